@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import bpe, exact_dedup, mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op6_mixing": mixing.op6_mixing,
+    "op7_bpe": bpe.op7_bpe,
 }
 
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": exact_dedup.ORACLE,
+    "op6_mixing": mixing.ORACLE,
 }
