@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, mixing
+from . import bpe, exact_dedup, mixing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op6_mixing": mixing.op6_mixing,
     "op7_bpe": bpe.op7_bpe,
+    "op8_toxicity": toxicity.op8_toxicity,
 }
 
 ORACLES: dict[str, str] = {
