@@ -3,8 +3,8 @@
 A merge can only join two symbols if the bytes that meet there are neighbours inside some vocabulary token.
 Byte pairs that occur inside no token therefore mark certain cuts: no merge ever crosses them.  Every word
 (pre-token) is cut there, the fragments are encoded independently by merge rank, and their ids are
-concatenated; only a word's last fragment carries the end-of-word suffix.  Results of words and fragments are
-remembered in tables that are emptied when full, so memory stays bounded whatever the corpus.
+concatenated; only a word's last fragment carries the end-of-word suffix.  Results of words are
+remembered in two generations of bounded size, so memory stays bounded whatever the corpus.
 
 The vocabulary file (a few megabytes) is read once on the driver and broadcast as it is.
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import operator
 import unicodedata
 from collections.abc import Iterator
 
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .workspace import Workspace
 
-#: Words and fragments remembered by a worker before its tables are emptied.
-REMEMBERED = 120_000
+#: Words that each of a worker's two generations remembers; the older one goes when the younger is full.
+REMEMBERED = 150_000
 #: Code points up to here are normalised by Python as the library does it; texts with others go through the library.
 PLAIN = 0x24F
 
@@ -58,8 +59,9 @@ class ForcedBoundaryBPE:
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")")
         self.joint = self._joints()
-        self.fragments: dict[tuple[str, bool], tuple[list[int], list[str]]] = {}
-        self.encoded: dict[str, tuple[bytes, str]] = {}
+        self.packed = {t: i.to_bytes(4, "little") for t, i in self.ids.items()}
+        self.young: dict[str, tuple[bytes, str]] = {}
+        self.old: dict[str, tuple[bytes, str]] = {}
         self.library = None
 
     def _joints(self) -> set[str]:
@@ -72,52 +74,48 @@ class ForcedBoundaryBPE:
 
     def pieces(self, word: str) -> list[str]:
         """The word, in the byte alphabet, cut wherever a byte pair occurs inside no token."""
-        out, start = [], 0
-        for i in range(1, len(word)):
-            if word[i - 1 : i + 1] not in self.joint:
-                out.append(word[start:i])
-                start = i
-        return [*out, word[start:]]
-
-    def merge(self, fragment: str, last: bool) -> tuple[list[int], list[str]]:
-        """Merges by rank, leftmost first among equals, until no neighbouring pair has one."""
+        pairs = list(map(operator.add, word, word[1:]))
+        if self.joint.issuperset(pairs):
+            return [word]
+        cuts = [0, *(i for i, p in enumerate(pairs, 1) if p not in self.joint), len(word)]
+        return [word[i:j] for i, j in zip(cuts, cuts[1:])]
+
+    def merge(self, fragment: str, last: bool) -> list[str]:
+        """Merges the neighbours of lowest rank, leftmost first, until no neighbouring pair has one."""
         symbols = list(fragment)
         if last and self.suffix:
             symbols[-1] += self.suffix
-        while len(symbols) > 1:
-            ranks = [self.rank.get(p, 1 << 30) for p in zip(symbols, symbols[1:])]
+        rank, none = self.rank.get, 1 << 30
+        ranks = [rank(p, none) for p in zip(symbols, symbols[1:])]
+        while ranks:
             best = min(ranks)
-            if best == 1 << 30:
+            if best == none:
                 break
-            out, i = [], 0
-            while i < len(symbols):
-                if i < len(ranks) and ranks[i] == best:
-                    out.append(symbols[i] + symbols[i + 1])
-                    i += 2
-                else:
-                    out.append(symbols[i])
-                    i += 1
-            symbols = out
-        known = [s for s in symbols if s in self.ids]
-        return [self.ids[s] for s in known], known
+            i = ranks.index(best)
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((symbols[i - 1], symbols[i]), none)
+            if i < len(ranks):
+                ranks[i] = rank((symbols[i], symbols[i + 1]), none)
+        return symbols
 
     def word(self, word: str) -> tuple[bytes, str]:
         """Little-endian 32-bit ids, and the tokens as the decoder writes them, of one pre-token."""
-        shown = "".join([self.alphabet[b] for b in word.encode()])
-        parts = self.pieces(shown)
-        ids: list[int] = []
-        tokens: list[str] = []
-        for i, part in enumerate(parts):
-            key = (part, i == len(parts) - 1)
-            if (got := self.fragments.get(key)) is None:
-                if len(self.fragments) > REMEMBERED:
-                    self.fragments.clear()
-                got = self.merge(*key)
-                if len(part) <= 64:
-                    self.fragments[key] = got
-            ids += got[0]
-            tokens += got[1]
-        return b"".join(i.to_bytes(4, "little") for i in ids), " ".join(tokens)
+        parts = self.pieces(word if word.isascii() and word.isprintable() else "".join([self.alphabet[b] for b in word.encode()]))
+        tokens = self.merge(parts[-1], True)
+        if len(parts) > 1:
+            tokens = [t for p in parts[:-1] for t in self.merge(p, False)] + tokens
+        tokens = [t for t in tokens if t in self.packed]
+        return b"".join([self.packed[t] for t in tokens]), " ".join(tokens)
+
+    def look_up(self, word: str) -> tuple[bytes, str]:
+        got = self.old.get(word) or self.word(word)
+        if len(self.young) >= REMEMBERED:
+            self.old, self.young = self.young, {}
+        if len(word) <= 64:
+            self.young[word] = got
+        return got
 
     def normalise(self, text: str) -> str:
         """NFC and lower case, character by character; white space is dropped later and may stay as it is."""
@@ -135,19 +133,13 @@ class ForcedBoundaryBPE:
         """Ids as little-endian unsigned 32-bit integers, and the text they decode to."""
         ids: list[bytes] = []
         shown: list[str] = []
-        known = self.encoded
         for part in self.cut.split(text) if self.special and "<" in text else (text,):
             if part in self.special:
                 ids.append(self.special[part].to_bytes(4, "little"))
                 shown.append(part)
                 continue
             for w in self.pattern.findall(self.normalise(part)):
-                if (got := known.get(w)) is None:
-                    if len(known) > REMEMBERED:
-                        known.clear()
-                    got = self.word(w)
-                    if len(w) <= 64:
-                        known[w] = got
+                got = self.young.get(w) or self.look_up(w)
                 if got[0]:
                     ids.append(got[0])
                     shown.append(got[1])
