@@ -6,16 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, mixing, toxicity
+from . import bpe, exact_dedup, html_extract, licenses, mixing, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op4_url_filter": url_filter.op4_url_filter,
     "op6_mixing": mixing.op6_mixing,
     "op7_bpe": bpe.op7_bpe,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_html_text": html_extract.op9_html_text,
+    "op10_licenses": licenses.op10_licenses,
 }
 
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": exact_dedup.ORACLE,
+    "op4_url_filter": url_filter.ORACLE,
     "op6_mixing": mixing.ORACLE,
+    "op10_licenses": licenses.ORACLE,
 }
