@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_dedup, exact_dedup, html_extract, licenses, mixing, toxicity, url_filter
+from . import bpe, embedding_dedup, exact_dedup, html_extract, jaccard_join, licenses, mixing, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op3_embedding_dedup": embedding_dedup.op3_embedding_dedup,
     "op4_url_filter": url_filter.op4_url_filter,
+    "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_mixing": mixing.op6_mixing,
     "op7_bpe": bpe.op7_bpe,
     "op8_toxicity": toxicity.op8_toxicity,
