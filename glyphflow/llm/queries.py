@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_dedup, exact_dedup, html_extract, jaccard_join, licenses, mixing, toxicity, url_filter
+from . import bpe, embedding_dedup, exact_dedup, html_extract, jaccard_join, licenses, mixing, substring_dedup, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_embedding_dedup": embedding_dedup.op3_embedding_dedup,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
