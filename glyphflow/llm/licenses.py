@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .workspace import Workspace
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: (label, phrase) of the base, and of the method.
 BASE = (("cc-by", "cc by"), ("gpl", "general public license"), ("reserved", "all rights reserved"))
 OWN = (
@@ -56,11 +58,17 @@ def lower_ascii(text: Column) -> Column:
     return F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u0137")))
 
 
+def word_array(text: Column) -> Column:
+    """The words of a text; gaps become single spaces first, since splitting at one character is fast."""
+    spaced = F.trim(F.regexp_replace(lower_ascii(text), GAP, " "))
+    return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " "))
+
+
 def scan_licenses(docs: DataFrame, base: tuple = BASE, own: tuple = OWN) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
     with Workspace(spark, "licenses") as ws:
-        rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_extract_all(lower_ascii(F.col("text").cast("string")), F.lit(WORD), F.lit(0)).alias("w"))
+        rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), word_array(F.col("text").cast("string")).alias("w"))
         templates = spark.sql(f"SELECT *, xxhash64(a, b) AS h FROM ({_values(template_rows(base, own))}) AS t({NAMES})")
         pairs = rows.where(F.size("w") > 1).select("doc_id", F.posexplode(F.arrays_zip(F.expr("slice(w, 1, size(w) - 1)").alias("x"), F.expr("slice(w, 2, size(w) - 1)").alias("y"))).alias("pos", "p"))
         hashed = pairs.select("doc_id", "pos", F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.xxhash64("p.x", "p.y").alias("h"))
