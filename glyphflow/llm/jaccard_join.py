@@ -9,9 +9,10 @@ universe is cut into, at most H hold different subsets.
     band at least expected cost: signatures, plus the one-deletion neighbourhoods of sets left with too few.
     Those few give every subset with one shingle deleted too, to meet among themselves.
 2.  Signatures travel packed to owner tasks by their hash, sorted and grouped there.  Small groups give all
-    their pairs.  Of large groups, only sets that may depend on them are considered: a set with more than H
-    signatures outside of large groups meets every partner elsewhere.  The rest is paired with the group's
-    first, verified, and where a group still has several components, across these.
+    their pairs; a pair that shares fewer groups than the pigeonhole principle demands is no candidate.  Of
+    large groups, only sets that may depend on them are considered: a set with more than H signatures outside
+    of large groups meets every partner elsewhere.  Each of the rest is paired with the first of its groups.
+    What that leaves in different components is paired by its rarest shingles, with the same guarantee.
 3.  Candidates are verified by exact intersection of the two sets of shingle hashes, and components found by
     alternating stars.
 
@@ -31,7 +32,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -39,7 +40,7 @@ from .textbytes import as_bytes, chunks, mix, span_hashes, words
 from .workspace import Workspace, partitions
 
 SHINGLE = 5
-#: Groups of one signature up to this size give all their pairs.
+#: Groups of one signature up to this size give all their pairs; larger ones are treated in another exact way.
 SMALL = 24
 #: Signatures and documents that a task packs together.
 PACK_SIGNATURES, PACK_DOCS = 3_000_000, 60_000
@@ -155,7 +156,9 @@ def _sign(owners: int):
                 used, local = np.unique(d, return_inverse=True)
                 head = np.array([len(s), len(used)], np.int64).tobytes()
                 blob = head + table[used].tobytes() + low[used].astype(np.int32).tobytes() + high[used].astype(np.int32).tobytes()
-                blob += (s & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + (s >> np.uint64(32)).astype(np.uint16).tobytes() + local.astype(np.uint16).tobytes()
+                # The high halves are in order, so their steps take next to no space.
+                high_steps = squeeze.compress(np.diff((s >> np.uint64(32)).astype(np.int64), prepend=0).astype(np.uint16).tobytes())
+                blob += (s & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + local.astype(np.uint16).tobytes() + high_steps
                 out.append((int(o), 1, blob))
             if rows:
                 out.append((task % owners, 0, squeeze.compress(np.array(rows, np.int64).tobytes())))
@@ -191,77 +194,83 @@ def _sign(owners: int):
     return sign
 
 
-GROUPED = "kind int, a long, b long, n long"
+GROUPED = "kind int, a long, b long, n long, need long"
 
 
-def _pairs_of(doc: np.ndarray, size: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs inside the small groups whose sizes allow a link, once each."""
-    first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for g in np.unique(length[(length > 1) & (length <= SMALL)]):
+def _pairs_of(doc: np.ndarray, size: np.ndarray, spare: np.ndarray, start: np.ndarray, length: np.ndarray, small: int) -> tuple[np.ndarray, ...]:
+    """The pairs inside small groups whose sizes allow a link: documents, groups shared, and groups needed."""
+    found = [np.zeros((4, 0), np.int64)]
+    for g in np.unique(length[(length > 1) & (length <= small)]):
         at = start[length == g]
         for i, j in combinations(range(int(g)), 2):
             a, b = at + i, at + j
             x, y = size[a], size[b]
             ok = (np.minimum(x, y) * 4 >= np.maximum(x, y) * 3) & (doc[a] != doc[b])
-            first.append(np.minimum(doc[a], doc[b])[ok])
-            second.append(np.maximum(doc[a], doc[b])[ok])
-    a, b = np.concatenate(first), np.concatenate(second)
+            a, b = a[ok], b[ok]
+            found.append(np.stack([np.minimum(doc[a], doc[b]), np.maximum(doc[a], doc[b]), np.where(doc[a] < doc[b], spare[a], spare[b]), np.where(doc[a] < doc[b], spare[b], spare[a])]))
+    a, b, p, q = np.concatenate(found, axis=1)
     order = np.lexsort((b, a))
-    a, b = a[order], b[order]
+    a, b, p, q = a[order], b[order], p[order], q[order]
     new = np.ones(len(a), bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return a[new], b[new]
-
-
-def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blobs in the order of their owners in; documents (0), pairs (1) and members of large groups (2) out."""
-    at: int | None = None
-    held: list[bytes] = []
-
-    def rows(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(a), 1 << 16):
-            s = slice(i, i + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a[s]), kind, np.int32)), *(pa.array(x[s].astype(np.int64)) for x in (a, b, n))], names=["kind", "a", "b", "n"])
-
-    def close() -> Iterator[pa.RecordBatch]:
-        if not held:
-            return
-        sigs, docs, spares, sizes = [], [], [], []
-        for blob in held:
-            n, m = np.frombuffer(blob, np.int64, 2)
-            at_ = 16
-            parts = []
-            for kind, c in ((np.int64, m), (np.int32, m), (np.int32, m), (np.uint32, n), (np.uint16, n), (np.uint16, n)):
-                parts.append(np.frombuffer(blob, kind, int(c), at_))
-                at_ += int(c) * np.dtype(kind).itemsize
-            table, spare, size, low, high, local = parts
-            sigs.append(low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32))
-            docs.append(table[local])
-            spares.append(spare[local])
-            sizes.append(size[local])
-        sig, doc, spare, size = (np.concatenate(x) for x in (sigs, docs, spares, sizes))
-        order = np.lexsort((doc, sig))
-        sig, doc, spare, size = sig[order], doc[order], spare[order], size[order]
-        start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        length = np.diff(np.concatenate([start, [len(sig)]]))
-        a, b = _pairs_of(doc, size.astype(np.int64), start, length)
-        yield from rows(1, a, b, np.zeros(len(a), np.int64))
-        for s, g in zip(start[length > SMALL].tolist(), length[length > SMALL].tolist(), strict=True):
-            yield from rows(2, np.full(g, int(sig[s]), np.int64), doc[s : s + g], spare[s : s + g])
-        held.clear()
+    at = np.flatnonzero(new)
+    # Both spares in one number; each is less than 2**31 and may be negative.
+    return a[at], b[at], np.diff(np.concatenate([at, [len(a)]])), (p[at] << 32) + (q[at] + (1 << 31))
+
+
+def _group(small: int):
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blobs in the order of their owners in; documents (0), pairs (1) and members of large groups (2) out."""
+        at: int | None = None
+        held: list[bytes] = []
+
+        def rows(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray, need: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+            need = np.zeros(len(a)) if need is None else need
+            for i in range(0, len(a), 1 << 16):
+                s = slice(i, i + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a[s]), kind, np.int32)), *(pa.array(x[s].astype(np.int64)) for x in (a, b, n, need))], names=["kind", "a", "b", "n", "need"])
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            sigs, docs, spares, sizes = [], [], [], []
+            for blob in held:
+                n, m = np.frombuffer(blob, np.int64, 2)
+                at_ = 16
+                parts = []
+                for kind, c in ((np.int64, m), (np.int32, m), (np.int32, m), (np.uint32, n), (np.uint16, n)):
+                    parts.append(np.frombuffer(blob, kind, int(c), at_))
+                    at_ += int(c) * np.dtype(kind).itemsize
+                table, spare, size, low, local = parts
+                high = np.cumsum(np.frombuffer(unpack.decompress(blob[at_:]), np.uint16).astype(np.uint64))
+                sigs.append(low.astype(np.uint64) | high << np.uint64(32))
+                docs.append(table[local])
+                spares.append(spare[local])
+                sizes.append(size[local])
+            sig, doc, spare, size = (np.concatenate(x) for x in (sigs, docs, spares, sizes))
+            order = np.lexsort((doc, sig))
+            sig, doc, spare, size = sig[order], doc[order], spare[order], size[order]
+            start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+            length = np.diff(np.concatenate([start, [len(sig)]]))
+            yield from rows(1, *_pairs_of(doc, size.astype(np.int64), spare.astype(np.int64), start, length, small))
+            for s, g in zip(start[length > small].tolist(), length[length > small].tolist(), strict=True):
+                yield from rows(2, np.full(g, int(sig[s]), np.int64), doc[s : s + g], spare[s : s + g])
+            held.clear()
+
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for owner, kind, blob in zip(*(batch.column(c).to_pylist() for c in ("owner", "kind", "blob")), strict=True):
+                if kind == 0:
+                    table = np.frombuffer(unpack.decompress(blob), np.int64).reshape(-1, 3)
+                    yield from rows(0, table[:, 0], table[:, 2], table[:, 1])
+                    continue
+                if owner != at:
+                    yield from close()
+                    at = owner
+                held.append(blob)
+        yield from close()
 
-    unpack = zstandard.ZstdDecompressor()
-    for batch in batches:
-        for owner, kind, blob in zip(*(batch.column(c).to_pylist() for c in ("owner", "kind", "blob")), strict=True):
-            if kind == 0:
-                table = np.frombuffer(unpack.decompress(blob), np.int64).reshape(-1, 3)
-                yield from rows(0, table[:, 0], table[:, 2], table[:, 1])
-                continue
-            if owner != at:
-                yield from close()
-                at = owner
-            held.append(blob)
-    yield from close()
+    return group
 
 
 # -- verification -------------------------------------------------------------------------------------------
@@ -273,11 +282,17 @@ def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([pack.compress(t) for t in as_bytes(b.column("text"))], pa.binary())], names=["doc_id", "blob"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor()
     for b in batches:
-        texts = [unpack.decompress(x) for x in b.column("blob").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())], names=["doc_id", "items"])
+        sets = shingle_sets([unpack.decompress(x) for x in b.column("blob").to_pylist()])
+        size = np.array([len(s) for s in sets], np.int64)
+        doc = np.repeat(np.array(b.column("doc_id").to_pylist(), np.int64), size)
+        token = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+        n = np.repeat(size, size)
+        for i in range(0, len(doc), 1 << 15):
+            s = slice(i, i + (1 << 15))
+            yield pa.RecordBatch.from_arrays([pa.array(token[s]), pa.array(doc[s]), pa.array(n[s])], names=["token", "doc_id", "size"])
 
 
 def similar(a: np.ndarray, b: np.ndarray, share: int = 75) -> bool:
@@ -291,60 +306,91 @@ def similar(a: np.ndarray, b: np.ndarray, share: int = 75) -> bool:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor()
     for batch in batches:
         a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-        x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
-        ok = [i for i in range(len(a)) if similar(np.frombuffer(x[i], np.uint64), np.frombuffer(y[i], np.uint64))]
+        blobs = dict(zip(a, batch.column("x").to_pylist(), strict=True)) | dict(zip(b, batch.column("y").to_pylist(), strict=True))
+        sets = dict(zip(blobs, shingle_sets([unpack.decompress(x) for x in blobs.values()]), strict=True))
+        ok = [i for i in range(len(a)) if similar(sets[a[i]], sets[b[i]])]
         yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in ok], pa.int64()), pa.array([b[i] for i in ok], pa.int64())], names=["a", "b"])
 
 
-class _Verifier:
-    """Fetches the sets of candidates and keeps the pairs that are linked."""
-
-    def __init__(self, ws: Workspace, rows: DataFrame) -> None:
-        self.ws, self.rows, self.round = ws, rows, 0
-
-    def linked(self, pairs: DataFrame) -> DataFrame:
-        self.round += 1
-        named = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        zipped = self.rows.mapInArrow(_zipped, "doc_id long, blob binary")
-        sets = self.ws.keep(zipped.join(named, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, items binary").dropDuplicates(["doc_id"]), f"sets-{self.round}")
-        left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
-        right = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
-        return self.ws.keep(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"), f"links-{self.round}")
-
-
-def jaccard_join(docs: DataFrame) -> DataFrame:
+def _linked(ws: Workspace, texts: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    """The pairs that are linked; b is joined first, since one a may have very many b."""
+    left = texts.select(F.col("doc_id").alias("a"), F.col("blob").alias("x"))
+    right = texts.select(F.col("doc_id").alias("b"), F.col("blob").alias("y"))
+    return ws.keep(pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"), name)
+
+
+def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs whose ends are not yet in one component."""
+    p = parts.select(F.col("node").alias("a"), F.col("component").alias("pa"))
+    q = parts.select(F.col("node").alias("b"), F.col("component").alias("pb"))
+    return pairs.join(p, "a", "left").join(q, "b", "left").where(F.coalesce("pa", "a") != F.coalesce("pb", "b")).select("a", "b")
+
+
+def _by_rare_shingles(ws: Workspace, texts: DataFrame, parts: DataFrame) -> DataFrame:
+    """Candidates among sets of many large groups, from their rarest shingles.
+
+    In the order of rarity, the first n - ceil(6n/7) + 1 shingles of the smaller of two linked sets and the
+    first n - ceil(3n/4) + 1 of the larger have one in common, and behind it there is room for what else they
+    must share.  Of a shingle's sets only those of different components are paired, and the most frequent
+    component's members not with each other.
+    """
+    tokens = ws.keep(texts.mapInArrow(_tokens, "token long, doc_id long, size long"), "tokens")
+    common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    met = tokens.join(common, "token")
+    by_rarity = Window.partitionBy("doc_id").orderBy("df", "token")
+    alone = F.col("size") - F.count(F.lit(1)).over(Window.partitionBy("doc_id"))
+    placed = met.withColumn("pos", alone + F.row_number().over(by_rarity)).where("pos <= size - (3 * size + 3) div 4 + 1")
+    placed = placed.join(parts, F.col("doc_id") == F.col("node"), "left")
+    entries = ws.keep(placed.select("token", "doc_id", "size", "pos", F.coalesce("component", "doc_id").alias("part"), F.expr("pos <= size - (6 * size + 6) div 7 + 1").alias("first")), "entries")
+    sizes = entries.groupBy("token", "part").agg(F.count(F.lit(1)).alias("n"), F.max("first").alias("first"))
+    mixed = sizes.groupBy("token").agg(F.max_by("part", F.struct("n", -F.col("part"))).alias("main"), F.count(F.lit(1)).alias("parts"), F.max("first").alias("first")).where("parts > 1 AND first")
+    held = entries.join(mixed.select("token", "main"), "token")
+    side = lambda c, where: held.where(where).select("token", *[F.col(x).alias(f"{c}_{x}") for x in ("doc_id", "size", "pos", "part")])
+    room = "4 * r_size >= 3 * s_size AND 7 * (1 + least(r_size - r_pos, s_size - s_pos)) >= 3 * (r_size + s_size)"
+    order = "(r_size < s_size OR (r_size = s_size AND r_doc_id < s_doc_id)) AND r_part <> s_part"
+    one = side("r", "first AND part <> main").join(side("s", "true"), "token").where(f"{order} AND {room}")
+    two = side("r", "first AND part = main").join(side("s", "part <> main"), "token").where(f"{order} AND {room}")
+    return one.union(two).select(F.least("r_doc_id", "s_doc_id").alias("a"), F.greatest("r_doc_id", "s_doc_id").alias("b")).distinct()
+
+
+def jaccard_join(docs: DataFrame, small: int = SMALL) -> DataFrame:
     """doc_id, n_shingles, component_id for each document (doc_id, text)."""
     spark = docs.sparkSession
     owners = partitions(spark)
     with Workspace(spark, "jaccard") as ws:
         rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         signed = rows.mapInArrow(_sign(owners), "owner int, kind int, blob binary")
-        grouped = ws.keep(signed.repartition(owners, "owner").sortWithinPartitions("owner").mapInArrow(_group, GROUPED), "grouped")
+        grouped = ws.keep(signed.repartition(owners, "owner").sortWithinPartitions("owner").mapInArrow(_group(small), GROUPED), "grouped")
         found = grouped.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("b").alias("rep"))
-        pairs = grouped.where("kind = 1").select("a", "b").distinct()
         # Sets that large groups may leave with too few signatures: the spare is the lesser of its two bands'
         # and all its large groups count against it.
         large = grouped.where("kind = 2").select(F.col("a").alias("gid"), F.col("b").alias("member"), F.col("n").alias("spare"))
-        bound = large.groupBy("member").agg(F.count(F.lit(1)).alias("large"), F.min("spare").alias("spare")).where("large > spare").select("member")
-        large = ws.keep(large.select("gid", "member").join(bound, "member").distinct(), "large")
-        first = large.groupBy("gid").agg(F.min("member").alias("a"))
-        stars = large.join(first, "gid").where("member <> a").select("a", F.col("member").alias("b")).distinct()
-        verifier = _Verifier(ws, rows)
-        tried = ws.keep(pairs.union(stars).distinct(), "tried")
-        folds = found.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-        links = folds.union(verifier.linked(tried))
+        counts = ws.keep(large.groupBy("member").agg(F.count(F.lit(1)).alias("large"), F.min("spare").alias("spare")), "counts")
+        bound = counts.where("large > spare").select("member")
+        # Two linked sets differ in few segments, so besides large groups they share more than each one's spare.
+        shared = grouped.where("kind = 1").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need"))
+        shared = shared.select("a", "b", "n", F.shiftright("need", 32).alias("p"), (F.col("need").bitwiseAND(0xFFFFFFFF) - (1 << 31)).alias("q"))
+        many = shared.join(counts.select(F.col("member").alias("a"), F.col("large").alias("l")), "a", "left").join(counts.select(F.col("member").alias("b"), F.col("large").alias("m")), "b", "left")
+        enough = lambda spare, large: F.col("n") > F.col(spare) - F.coalesce(large, F.lit(0))
+        pairs = ws.keep(many.where(enough("p", "l") & enough("q", "m")).select("a", "b"), "pairs")
+        # Each set of large groups with the first of its groups' firsts.
+        held = large.select("gid", "member").join(bound, "member")
+        first = held.groupBy("gid").agg(F.min("member").alias("a"))
+        stars = ws.keep(held.join(first, "gid").groupBy(F.col("member").alias("b")).agg(F.min("a").alias("a")).where("a <> b").select("a", "b"), "stars")
+        named = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(stars.select("a")).union(stars.select("b")).union(bound).distinct()
+        zipped = rows.mapInArrow(_zipped, "doc_id long, blob binary")
+        texts = ws.keep(zipped.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+        links = found.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+        links = links.union(_linked(ws, texts, stars, "links-1"))
         parts = components(ws, links, "first")
-        placed = large.join(parts, F.col("member") == F.col("node"), "left").select("gid", "member", F.coalesce("component", "member").alias("part"))
-        placed = ws.keep(placed, "placed")
-        mixed = placed.groupBy("gid").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("gid")
-        open_ = placed.join(mixed, "gid")
-        across = open_.alias("l").join(open_.alias("r"), (F.col("l.gid") == F.col("r.gid")) & (F.col("l.part") < F.col("r.part")))
-        across = across.select(F.least("l.member", "r.member").alias("a"), F.greatest("l.member", "r.member").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        across = ws.keep(across, "across")
-        if across.limit(1).count():
-            parts = components(ws, links.union(verifier.linked(across)), "second")
+        links = links.union(_linked(ws, texts, _apart(pairs, parts), "links-2"))
+        parts = components(ws, links, "second")
+        if bound.limit(1).count():
+            rare = _by_rare_shingles(ws, texts.join(bound.select(F.col("member").alias("doc_id")), "doc_id", "left_semi"), parts)
+            parts = components(ws, links.union(_linked(ws, texts, rare, "links-3")), "third")
         joined = found.join(parts, F.col("doc_id") == F.col("node"), "left")
         return ws.result(joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")))
 

@@ -13,6 +13,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import prepare
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
@@ -36,7 +38,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, name: str, batch_rows: int = 512) -> None:
-        self.spark = spark
+        self.spark = prepare(spark)
         self.root = f"{checkpoint_dir(spark).rstrip('/')}/glyphflow-{name}-{uuid.uuid4().hex}"
         self.settings = {
             "spark.sql.execution.arrow.maxRecordsPerBatch": str(batch_rows),
