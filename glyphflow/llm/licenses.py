@@ -33,7 +33,7 @@ OWN = (
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
 )
 #: Diagonals this near are merged; a span must cover this share of the template's pairs, within this many times its length.
-NEAR, COVER, STRETCH = 2, 0.8, 1.5
+NEAR, COVER, STRETCH = 2, 0.75, 1.5
 
 
 def template_rows(base: tuple = BASE, own: tuple = OWN) -> list[tuple[int, str, bool, int, int, str, str]]:

@@ -125,7 +125,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] | tuple = RULES, d
 def _judge_by_join(rows: DataFrame, index: SortedDigests, default: str) -> DataFrame:
     """The same for a list too long to broadcast: candidates meet the rules on their digest and string."""
     spark = rows.sparkSession
-    table = spark.createDataFrame([(r, v) for r, v in index.rules], "rule string, verdict string").withColumn("digest", F.xxhash64("rule"))
+    table = spark.createDataFrame([(r, v) for r, v in index.rules], "rule string, verdict string").withColumn("rule_digest", F.xxhash64("rule"))
     lengths = index.lengths
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +139,7 @@ def _judge_by_join(rows: DataFrame, index: SortedDigests, default: str) -> DataF
         "row long, page_id long, host string, path string, probes array<string>",
     )
     tried = numbered.select("row", "page_id", "host", "path", F.explode_outer("probes").alias("probe"))
-    met = tried.withColumn("digest", F.xxhash64("probe")).join(table, (F.col("digest") == table["digest"]) & (F.col("probe") == table["rule"]), "left")
+    met = tried.withColumn("digest", F.xxhash64("probe")).join(table, (F.col("digest") == F.col("rule_digest")) & (F.col("probe") == F.col("rule")), "left")
     best = met.groupBy("row", "page_id", "host", "path").agg(F.min(F.when(F.col("rule").isNotNull(), F.struct(-F.length("rule"), "rule", "verdict"))).alias("best"))
     return best.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
