@@ -12,6 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..data.encodings import PARTS, glyphs
 from .detection import UNICODE_NAMES
@@ -23,7 +24,7 @@ PASSED = r"\x20-\x7e\t\n\r"
 UNKNOWN = "\ufffd"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 

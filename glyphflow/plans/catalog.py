@@ -5,6 +5,8 @@ Each query runs over the whole of its tables.  Lists are joined to strings where
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +22,7 @@ from ..functions.text import DEVANAGARI, count_in, strip, words
 from ..operators import catalog as K
 from ..operators import convert, detect, layout, render, translate, usage
 from ..sources import adapters as A
+from ..streaming import usage as stream
 from . import sql as Q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -582,3 +585,29 @@ def strip_text(s, d):
     return table(s, d, "documents").select("doc_id", strip(F.col("text")).alias("stripped"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
 
 
+
+
+# -- streams ------------------------------------------------------------------------------------------------
+
+
+def _streamed(s: SparkSession, d: str, make, mode: str = "complete") -> DataFrame:
+    """Runs a stream over the events that are there, and gives what it left."""
+    folder = s.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="glyphflow-")
+    at = f"{folder.rstrip('/')}/glyphflow-stream-{uuid.uuid4().hex}"
+    stream.to_table(make(stream.read_events(s, d)), f"{at}/table", f"{at}/checkpoint", mode).awaitTermination()
+    return s.read.parquet(f"{at}/table")
+
+
+@register("stream_usage", f"SELECT service, date_trunc('day', ts) AS start, CAST(sum(characters) AS BIGINT) AS characters, count(*) AS uses FROM ({USES}) GROUP BY ALL")
+def stream_usage(s, d):
+    return _streamed(s, d, stream.usage_by_window)
+
+
+@register(
+    "stream_sessions",
+    """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
+g AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS events FROM g GROUP BY user_id, k""",
+)
+def stream_sessions(s, d):
+    return _streamed(s, d, stream.sessions)
