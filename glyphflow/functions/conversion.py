@@ -22,6 +22,8 @@ from .text import DEVANAGARI, characters
 #: What may stay as it is besides Devanagari: printable ASCII and line ends.
 PASSED = r"\x20-\x7e\t\n\r"
 UNKNOWN = "\ufffd"
+#: First of the characters (private use, plane 15) that stand for longer values meanwhile.
+PLACEHOLDERS = 0xF0000
 
 
 @F.pandas_udf(StringType())
@@ -30,34 +32,55 @@ def _nfc(text: pd.Series) -> pd.Series:
 
 
 def nfc(text: Column) -> Column:
-    """Canonical composition; texts below U+0300 are composed already and skip Python's work."""
-    return F.when(text.rlike(r"[^\x{0}-\x{2ff}]"), _nfc(F.when(text.rlike(r"[^\x{0}-\x{2ff}]"), text))).otherwise(text)
+    """Canonical composition; Python's quick check passes composed texts through."""
+    return _nfc(text)
 
 
-def _map_of(pairs: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+def _class_of(characters: list[str]) -> str:
+    """Characters as part of a character class."""
+    return "".join(f"\\x{{{ord(c):x}}}" for c in characters)
+
+
+def _singles(encoding: str) -> dict[str, str]:
+    return {k: v for k, v in glyphs(encoding).items() if len(k) == 1}
+
+
+def _covered(encoding: str) -> str:
+    """The class of characters that some rule covers."""
+    return PASSED + DEVANAGARI + _class_of(list(_singles(encoding)))
 
 
 def replace_sequences(text: Column, encoding: str) -> Column:
-    """The keys of more than one character, in order, as one fold over a literal array."""
-    pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in glyphs(encoding).items() if len(k) > 1])
-    return F.aggregate(pairs, text, lambda at, p: F.replace(at, p["k"], p["v"]))
+    """The keys of more than one character, in order, each on the result of the one before."""
+    for k, v in glyphs(encoding).items():
+        if len(k) > 1:
+            text = F.replace(text, F.lit(k), F.lit(v))
+    return text
 
 
 def unmapped(text: Column, encoding: str) -> Column:
     """The distinct characters that no rule covers, sorted, of a text whose sequences have been replaced."""
-    single = {k: v for k, v in glyphs(encoding).items() if len(k) == 1}
-    rest = F.filter(F.array_distinct(characters(text)), lambda c: ~c.rlike(f"[{PASSED}{DEVANAGARI}]") & _map_of(single)[c].isNull())
-    return F.sort_array(rest)
+    return F.sort_array(F.array_distinct(characters(F.regexp_replace(text, f"[{_covered(encoding)}]+", ""))))
 
 
 def replace_characters(text: Column, encoding: str, preserve_unknown: bool = True) -> Column:
-    single = _map_of({k: v for k, v in glyphs(encoding).items() if len(k) == 1})
-    if preserve_unknown:
-        keep = lambda c: F.coalesce(single[c], c)
-    else:
-        keep = lambda c: F.coalesce(single[c], F.when(c.rlike(f"[{PASSED}{DEVANAGARI}]"), c), F.lit(UNKNOWN))
-    return F.array_join(F.transform(characters(text), keep), "")
+    """Every remaining character by itself.
+
+    One pass of translate, which maps characters to single ones: those that become several or none are mapped
+    to placeholders beyond all assigned characters, which are replaced after.  Texts that hold such characters
+    themselves are mapped character by character.
+    """
+    singles = _singles(encoding)
+    longer = [k for k, v in singles.items() if len(v) != 1]
+    placeholder = {k: chr(PLACEHOLDERS + i) for i, k in enumerate(longer)}
+    if not preserve_unknown:
+        text = F.regexp_replace(text, f"[^{_covered(encoding)}]", UNKNOWN)
+    out = F.translate(text, "".join(singles), "".join(placeholder.get(k, v) for k, v in singles.items()))
+    for k in longer:
+        out = F.replace(out, F.lit(placeholder[k]), F.lit(singles[k]))
+    table = F.create_map(*[F.lit(x) for kv in singles.items() for x in kv])
+    slow = F.array_join(F.transform(characters(text), lambda c: F.coalesce(table[c], c)), "")
+    return F.when(text.rlike(f"[\\x{{{PLACEHOLDERS:x}}}-\\x{{{PLACEHOLDERS + len(longer):x}}}]"), slow).otherwise(out)
 
 
 def convert(text: Column, encoding: str, preserve_unknown: bool = True, normalize: bool = True) -> Column:
@@ -65,9 +88,19 @@ def convert(text: Column, encoding: str, preserve_unknown: bool = True, normaliz
     if encoding.lower() in UNICODE_NAMES or encoding not in PARTS:
         known = encoding.lower() in UNICODE_NAMES
         return F.struct(text.alias("converted"), F.lit(encoding).alias("encoding_used"), F.lit(known).alias("success"), F.array().cast("array<string>").alias("unmapped"))
-    replaced = replace_sequences(text, encoding)
-    out = processor(encoding)(replace_characters(replaced, encoding, preserve_unknown))
-    return F.struct((nfc(out) if normalize else out).alias("converted"), F.lit(encoding).alias("encoding_used"), F.lit(True).alias("success"), unmapped(replaced, encoding).alias("unmapped"))
+    made = applied(text, encoding, preserve_unknown)
+    out = made["converted"]
+    return F.struct((nfc(out) if normalize else out).alias("converted"), F.lit(encoding).alias("encoding_used"), F.lit(True).alias("success"), made["unmapped"].alias("unmapped"))
+
+
+def applied(text: Column, encoding: str, preserve_unknown: bool = True) -> Column:
+    """struct<converted, unmapped> before composition; the array of one binds the replaced text to a name."""
+
+    def rest(replaced: Column) -> Column:
+        done = processor(encoding)(replace_characters(replaced, encoding, preserve_unknown))
+        return F.struct(done.alias("converted"), unmapped(replaced, encoding).alias("unmapped"))
+
+    return F.transform(F.array(replace_sequences(text, encoding)), rest)[0]
 
 
 def conversion_rate(original: Column, n_unmapped: Column) -> Column:

@@ -25,15 +25,14 @@ def convert_blocks(blocks: DataFrame, page_encodings: DataFrame | None = None, e
     else:
         blocks = blocks.withColumn("encoding_used", own)
     raw, used = F.col("raw_text"), F.col("encoding_used")
-    passed = F.struct(raw.alias("converted"), F.coalesce(F.lower(used).isin(*UNICODE_NAMES), F.lit(True)).alias("success"), F.array().cast("array<string>").alias("unmapped"))
-    replaced, done, missed = passed["converted"], passed["converted"], passed["unmapped"]
+    none = F.array().cast("array<string>")
+    made = F.struct(raw.alias("converted"), none.alias("unmapped"))
     for e in PARTS:
-        text = C.replace_sequences(raw, e)
-        missed = F.when(used == e, C.unmapped(text, e)).otherwise(missed)
-        done = F.when(used == e, C.processor(e)(C.replace_characters(text, e))).otherwise(done)
+        made = F.when(used == e, C.applied(raw, e)).otherwise(made)
     known = F.coalesce(used.isin(*PARTS), F.lit(False))
-    done = F.when(known, done).otherwise(replaced)
-    out = blocks.withColumns({"unicode_text": done, "unmapped": missed, "success": F.coalesce(known | F.lower(used).isin(*UNICODE_NAMES) | used.isNull(), F.lit(True))})
+    out = blocks.withColumn("made", made)
+    success = F.coalesce(known | F.lower(used).isin(*UNICODE_NAMES) | used.isNull(), F.lit(True))
+    out = out.withColumns({"unicode_text": F.col("made.converted"), "unmapped": F.col("made.unmapped"), "success": success}).drop("made")
     out = out.withColumn("unicode_text", C.nfc(F.col("unicode_text")))
     return out.withColumn("confidence", C.conversion_rate(raw, F.size("unmapped")))
 

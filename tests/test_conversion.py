@@ -97,3 +97,10 @@ def test_catalogue(spark):
     assert back["kruti-dev", "भारत"] == "Hkkjr"
     files = spark.createDataFrame([("mine",)], "encoding string")
     assert [(r.encoding, r.font_family, r.language) for r in catalog.listing(catalog.encodings(spark), files).where("source = 'file'").collect()] == [("mine", "External", "-")]
+
+
+def test_placeholders_in_a_text(spark):
+    text = "\U000f0000 Hkkjr \U000f0001"
+    got = one(spark, text, lambda c: C.convert(c, "kruti-dev"))
+    assert got.converted == "\U000f0000 भारत \U000f0001" and got.unmapped == ["\U000f0000", "\U000f0001"]
+    assert one(spark, "क\u00e9\u0958", lambda c: C.convert(c, "kruti-dev", preserve_unknown=False)).converted == "क\ufffd\u0915\u093c"
