@@ -46,11 +46,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many rows of each document as the mix takes it; the one at a source's cut has its first words only."""
-    taken = mix(docs).where("taken > 0").select("doc_id", "size", "taken")
-    rows = docs.join(taken, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(0), F.expr("(taken - 1) div size"))))
-    words = F.col("taken") - F.col("copy") * F.col("size")
+    taken = mix(docs).where("taken > 0").groupBy("doc_id").agg(F.max("size").alias("mix_size"), F.max("taken").alias("mix_taken"))
+    own = [f"mix_doc_{i}" for i in range(len(docs.columns))]  # whatever else the columns are called
+    rows = docs.toDF(*own).join(taken, F.col(own[docs.columns.index("doc_id")]) == F.col("doc_id")).drop("doc_id")
+    rows = rows.withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.expr("(mix_taken - 1) div mix_size"))))
+    rows = rows.select(*[F.col(o).alias(c) for o, c in zip(own, docs.columns, strict=True)], F.col("mix_size"), (F.col("mix_taken") - F.col("mix_copy") * F.col("mix_size")).alias("mix_words"))
+    words, size = F.col("mix_words"), F.col("mix_size")
     beginning = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD_AND_GAP), F.lit(0)), F.lit(1), words.cast("int")), "")
-    text = F.when(words >= F.col("size"), F.col("text")).otherwise(beginning)
+    text = F.when(words >= size, F.col("text")).otherwise(beginning)
     cut = rows.withColumn("text", text)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -26,11 +26,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .textbytes import tidy
 from .workspace import Workspace
 
 #: Words that each of a worker's two generations remembers; the older one goes when the younger is full.
 REMEMBERED = 150_000
-#: Code points up to here are normalised by Python as the library does it; texts with others go through the library.
+#: Code points up to here are normalised and split by Python as by the library; texts with others go through its own code.
 PLAIN = 0x24F
 
 
@@ -102,7 +103,11 @@ class ForcedBoundaryBPE:
 
     def word(self, word: str) -> tuple[bytes, str]:
         """Little-endian 32-bit ids, and the tokens as the decoder writes them, of one pre-token."""
-        parts = self.pieces(word if word.isascii() and word.isprintable() else "".join([self.alphabet[b] for b in word.encode()]))
+        if word[0] == "\0" and len(word) > 1:
+            word = word[1:]
+        elif not (word.isascii() and word.isprintable()):
+            word = "".join([self.alphabet[b] for b in word.encode()])
+        parts = self.pieces(word)
         tokens = self.merge(parts[-1], True)
         if len(parts) > 1:
             tokens = [t for p in parts[:-1] for t in self.merge(p, False)] + tokens
@@ -117,17 +122,18 @@ class ForcedBoundaryBPE:
             self.young[word] = got
         return got
 
-    def normalise(self, text: str) -> str:
-        """NFC and lower case, character by character; white space is dropped later and may stay as it is."""
+    def words(self, text: str) -> list[str]:
+        """The pre-tokens of a text, those of unusual characters in the byte alphabet and marked by a NUL before."""
         if text.isascii():
-            return text.lower()
-        if ord(max(text)) <= PLAIN and "İ" not in text:
-            return unicodedata.normalize("NFC", text).lower()
+            return self.pattern.findall(text.lower())
+        if ord(max(text)) <= PLAIN and "\u0130" not in text:
+            return self.pattern.findall(unicodedata.normalize("NFC", text).lower())
         if self.library is None:
             from tokenizers import Tokenizer
 
             self.library = Tokenizer.from_str(self.source.decode())
-        return self.library.normalizer.normalize_str(text)
+        normal = self.library.normalizer.normalize_str(text)
+        return ["\0" + w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """Ids as little-endian unsigned 32-bit integers, and the text they decode to."""
@@ -138,7 +144,7 @@ class ForcedBoundaryBPE:
                 ids.append(self.special[part].to_bytes(4, "little"))
                 shown.append(part)
                 continue
-            for w in self.pattern.findall(self.normalise(part)):
+            for w in self.words(part):
                 got = self.young.get(w) or self.look_up(w)
                 if got[0]:
                     ids.append(got[0])
@@ -183,9 +189,10 @@ def encode_texts(docs: DataFrame, vocabulary: str, with_ids: bool = False) -> Da
                 rows.append((*row, np.frombuffer(ids, "<u4").astype(np.int64).tolist(), decoded) if with_ids else row)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        model.young, model.old = {}, {}
 
     ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<long>, decoded string" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, ddl)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(encode), ddl)
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:

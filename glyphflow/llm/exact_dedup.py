@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textbytes import WHITE
+from .textbytes import WHITE, tidy
 from .workspace import Workspace, partitions
 
 PAGES = "entry long, row long, doc_id long, key long, blob binary, sha string, n_chars long, n_rows long"
@@ -178,7 +178,7 @@ def exact_dedup(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     spark = docs.sparkSession
     with Workspace(spark, "exact") as ws:
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-        pages = ws.keep(rows.mapInArrow(_write_pages, PAGES), "pages")
+        pages = ws.keep(rows.mapInArrow(tidy(_write_pages), PAGES), "pages")
         entries = pages.where("blob is not null")
         size = F.octet_length("blob") + F.lit(96)
         total = entries.agg(F.sum(size)).first()[0] or 0
@@ -189,7 +189,7 @@ def exact_dedup(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
         slots = spark.createDataFrame(list(enumerate(directory.slots)), "slot long, bucket long")
         slot = F.shiftrightunsigned(F.col("key"), 64 - directory.depth) if directory.depth else F.lit(0).cast("long")
         owned = entries.withColumn("slot", slot).join(F.broadcast(slots), "slot").repartition(partitions(spark), "bucket").sortWithinPartitions("key", "entry")
-        classes = owned.select(*_PAGES.names).mapInArrow(_resolve_chains, CLASSES)
+        classes = owned.select(*_PAGES.names).mapInArrow(tidy(_resolve_chains), CLASSES)
         members = pages.where("blob is null").select("entry", "row", "doc_id")
         found = members.join(classes, "entry").select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.col("sha").alias("text_sha256"))
         return ws.result(found)

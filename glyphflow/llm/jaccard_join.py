@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .textbytes import as_bytes, chunks, mix, span_hashes, words
+from .textbytes import as_bytes, chunks, mix, span_hashes, tidy, words
 from .workspace import Workspace, partitions
 
 SHINGLE = 5
@@ -319,7 +319,7 @@ def _linked(ws: Workspace, texts: DataFrame, pairs: DataFrame, name: str) -> Dat
     """The pairs that are linked; b is joined first, since one a may have very many b."""
     left = texts.select(F.col("doc_id").alias("a"), F.col("blob").alias("x"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("blob").alias("y"))
-    return ws.keep(pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"), name)
+    return ws.keep(pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(tidy(_verify), "a long, b long"), name)
 
 
 def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -337,7 +337,7 @@ def _by_rare_shingles(ws: Workspace, texts: DataFrame, parts: DataFrame) -> Data
     must share.  Of a shingle's sets only those of different components are paired, and the most frequent
     component's members not with each other.
     """
-    tokens = ws.keep(texts.mapInArrow(_tokens, "token long, doc_id long, size long"), "tokens")
+    tokens = ws.keep(texts.mapInArrow(tidy(_tokens), "token long, doc_id long, size long"), "tokens")
     common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     met = tokens.join(common, "token")
     by_rarity = Window.partitionBy("doc_id").orderBy("df", "token")
@@ -362,8 +362,8 @@ def jaccard_join(docs: DataFrame, small: int = SMALL) -> DataFrame:
     owners = partitions(spark)
     with Workspace(spark, "jaccard") as ws:
         rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        signed = rows.mapInArrow(_sign(owners), "owner int, kind int, blob binary")
-        grouped = ws.keep(signed.repartition(owners, "owner").sortWithinPartitions("owner").mapInArrow(_group(small), GROUPED), "grouped")
+        signed = rows.mapInArrow(tidy(_sign(owners)), "owner int, kind int, blob binary")
+        grouped = ws.keep(signed.repartition(owners, "owner").sortWithinPartitions("owner").mapInArrow(tidy(_group(small)), GROUPED), "grouped")
         found = grouped.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("b").alias("rep"))
         # Sets that large groups may leave with too few signatures: the spare is the lesser of its two bands'
         # and all its large groups count against it.

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .jaccard_join import _zipped
-from .textbytes import BASE, BYTE_VALUE, chunks, mix
+from .textbytes import BASE, BYTE_VALUE, chunks, mix, tidy
 from .workspace import Workspace, partitions
 
 LENGTH, GRAM = 100, 32
@@ -410,12 +410,12 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     with Workspace(spark, "repeats") as ws:
         rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         zipped = rows.mapInArrow(_zipped, "doc_id long, blob binary")
-        anchored = rows.mapInArrow(_anchor(owners), "owner int, kind int, blob binary")
-        owned = ws.keep(anchored.repartition(owners, "owner").sortWithinPartitions("owner").mapInArrow(_own, OWNED), "owned")
+        anchored = rows.mapInArrow(tidy(_anchor(owners)), "owner int, kind int, blob binary")
+        owned = ws.keep(anchored.repartition(owners, "owner").sortWithinPartitions("owner").mapInArrow(tidy(_own), OWNED), "owned")
         wanted = owned.where("kind > 0").groupBy("doc_id").agg(F.collect_list(F.struct("kind", "lo", "size", "gram")).alias("wanted"))
         pieces = zipped.join(wanted, "doc_id").select("doc_id", "blob", "wanted").mapInArrow(_cut_pieces(owners), PIECES)
         ordered = pieces.repartition(owners, "shard").sortWithinPartitions("shard", "gram")
-        compared = ws.keep(ordered.select("gram", "doc_id", "lo", "piece").mapInArrow(_compare, RANGES), "compared")
+        compared = ws.keep(ordered.select("gram", "doc_id", "lo", "piece").mapInArrow(tidy(_compare), RANGES), "compared")
         ranges = owned.where("kind = 0").select("doc_id", "lo", "size").union(compared)
         gone = ranges.groupBy("doc_id").agg(F.collect_list(F.shiftleft("lo", 32) + F.col("size")).alias("gone"))
         found = zipped.join(gone, "doc_id", "left").select("doc_id", "blob", "gone").mapInArrow(_keep(with_text), KEPT + ", kept binary" * with_text)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ def as_bytes(column: pa.Array) -> list[bytes]:
 
 
 def chunks(batches: Iterator[pa.RecordBatch], key: str, text: str = "text", most: int = 1 << 21) -> Iterator[tuple[np.ndarray, list[bytes]]]:
-    """(keys, texts) of about ``most`` bytes: many short documents together, a longer one alone."""
+    """(keys, -1 for null, and texts) of about ``most`` bytes: many short documents together, a longer one alone."""
     ids: list[int] = []
     texts: list[bytes] = []
     size = 0
@@ -48,7 +49,7 @@ def chunks(batches: Iterator[pa.RecordBatch], key: str, text: str = "text", most
             if size and size + len(t) > most:
                 yield np.array(ids, np.int64), texts
                 ids, texts, size = [], [], 0
-            ids.append(k)
+            ids.append(-1 if k is None else k)
             texts.append(t)
             size += len(t) + 64
     if ids:
@@ -85,3 +86,19 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     inverse = np.cumprod(inverse, dtype=np.uint64)
     value = (total[end] - total[start]) * inverse[start]
     return mix(value + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(run: Batches) -> Batches:
+    """Gives a task's memory back to the system when it ends: workers live on and would keep what they once held."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return tidied
