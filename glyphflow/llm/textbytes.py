@@ -56,12 +56,25 @@ def chunks(batches: Iterator[pa.RecordBatch], key: str, text: str = "text", most
         yield np.array(ids, np.int64), texts
 
 
-def powers(n: int) -> np.ndarray:
-    """BASE**0 .. BASE**(n-1) mod 2**64."""
-    out = np.full(n, BASE, np.uint64)
-    if n:
-        out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+class _Powers:
+    """Powers of BASE and of its inverse, kept and lengthened as needed."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = max(n, 1 << 20)
+            up, down = np.full(size, BASE, np.uint64), np.full(size, BASE_INVERSE, np.uint64)
+            up[0] = down[0] = 1
+            up, down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+            if size > 1 << 22:
+                return up[:n], down[:n]  # of one very long text: not kept
+            self.up, self.down = up, down
+        return self.up[:n], self.down[:n]
+
+
+_POWERS = _Powers()
 
 
 def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -75,17 +88,23 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return joined, start, end, np.searchsorted(first, start, "right") - 1
 
 
+class SpanHashes:
+    """64-bit hashes of any spans of some bytes, from one pass over them."""
+
+    def __init__(self, data: np.ndarray) -> None:
+        n = len(data)
+        up, self.down = _POWERS.to(n + 1)
+        self.total = np.zeros(n + 1, np.uint64)
+        np.cumsum(BYTE_VALUE[data] * up[:n], out=self.total[1:])
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        value = (self.total[end] - self.total[start]) * self.down[start]
+        return mix(value + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of data[start:end] for every span."""
-    n = len(data)
-    power = powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(BYTE_VALUE[data] * power[:n], out=total[1:])
-    inverse = np.full(n + 1, BASE_INVERSE, np.uint64)
-    inverse[0] = 1
-    inverse = np.cumprod(inverse, dtype=np.uint64)
-    value = (total[end] - total[start]) * inverse[start]
-    return mix(value + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return SpanHashes(data).of(start, end)
 
 
 Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
