@@ -182,11 +182,11 @@ def _sign(owners: int):
                     count += len(s)
                 ids.append(doc)
                 spares.append((min(x for _, x in signed), len(values)))
-            if count > PACK_SIGNATURES or len(ids) > PACK_DOCS - 4096:
-                yield from pack()
-                for x in (ids, spares, held, of, rows):
-                    x.clear()
-                count = 0
+                if count > PACK_SIGNATURES or len(ids) == PACK_DOCS:
+                    yield from pack()
+                    for x in (ids, spares, held, of, rows):
+                        x.clear()
+                    count = 0
             if len(folded) > 500_000:
                 folded.clear()
         yield from pack()

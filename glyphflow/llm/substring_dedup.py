@@ -39,7 +39,7 @@ from .workspace import Workspace, partitions
 
 LENGTH, GRAM = 100, 32
 #: Pieces that a task folds and packs together, and documents.
-PACK_PIECES, PACK_DOCS = 1_500_000, 60_000
+PACK_PIECES, PACK_DOCS = 1_500_000, 40_000
 #: Pieces of one anchor from which its windows are dealt out singly; bytes of a shard.
 HOT, SHARD = 4096, 1 << 21
 
@@ -153,7 +153,7 @@ def _anchor(owners: int):
             held.append((gram, content, ids[of], lo, size))
             count += len(gram)
             docs_held += len(ids)
-            if count > PACK_PIECES or docs_held > PACK_DOCS - 4096:
+            if count > PACK_PIECES or docs_held > PACK_DOCS:
                 yield from pack()
                 count = docs_held = 0
         if count:
