@@ -103,7 +103,7 @@ class ForcedBoundaryBPE:
 
     def word(self, word: str) -> tuple[bytes, str]:
         """Little-endian 32-bit ids, and the tokens as the decoder writes them, of one pre-token."""
-        if word[0] == "\0" and len(word) > 1:
+        if word[0] == " ":
             word = word[1:]
         elif not (word.isascii() and word.isprintable()):
             word = "".join([self.alphabet[b] for b in word.encode()])
@@ -123,7 +123,7 @@ class ForcedBoundaryBPE:
         return got
 
     def words(self, text: str) -> list[str]:
-        """The pre-tokens of a text, those of unusual characters in the byte alphabet and marked by a NUL before."""
+        """The pre-tokens of a text, those of unusual characters in the byte alphabet and marked by a space, which no pre-token has."""
         if text.isascii():
             return self.pattern.findall(text.lower())
         if ord(max(text)) <= PLAIN and "\u0130" not in text:
@@ -133,7 +133,7 @@ class ForcedBoundaryBPE:
 
             self.library = Tokenizer.from_str(self.source.decode())
         normal = self.library.normalizer.normalize_str(text)
-        return ["\0" + w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
+        return [" " + w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """Ids as little-endian unsigned 32-bit integers, and the text they decode to."""

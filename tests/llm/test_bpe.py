@@ -38,7 +38,7 @@ def test_as_the_library(both, text):
     same(both, text)
 
 
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=400, deadline=None)
 @given(st.text(max_size=60))
 def test_any_text_as_the_library(both, text):
     if not any(0xD800 <= ord(c) <= 0xDFFF for c in text):
