@@ -22,6 +22,7 @@ from ..functions.text import DEVANAGARI, count_in, strip, words
 from ..operators import catalog as K
 from ..operators import convert, detect, layout, render, translate, usage
 from ..sources import adapters as A
+from ..sources.tables import read as table
 from ..streaming import usage as stream
 from . import sql as Q
 
@@ -39,10 +40,6 @@ def register(name: str, oracle: str | None = None):
     return put
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _blocks(s: SparkSession, d: str, fonts: bool = True) -> DataFrame:
     return A.blocks(table(s, d, "documents"), fonts)
 
