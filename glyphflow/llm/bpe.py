@@ -26,6 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import read
 from .textbytes import tidy
 from .workspace import Workspace
 
@@ -203,4 +204,4 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     with Workspace(spark, "bpe", batch_rows=256) as ws:
-        return ws.result(encode_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary_path()))
+        return ws.result(encode_texts(read(spark, sf_dir, "documents"), vocabulary_path()))

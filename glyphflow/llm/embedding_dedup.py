@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import read
 from .components import components
 from .workspace import Workspace, partitions
 
@@ -210,4 +211,4 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return near_vectors(read(spark, sf_dir, "embeddings"))

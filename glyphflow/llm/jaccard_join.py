@@ -35,6 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import read
 from .components import components
 from .textbytes import as_bytes, chunks, mix, span_hashes, tidy, words
 from .workspace import Workspace, partitions
@@ -396,4 +397,4 @@ def jaccard_join(docs: DataFrame, small: int = SMALL) -> DataFrame:
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return jaccard_join(read(spark, sf_dir, "documents"))

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import read
 from .workspace import Workspace
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -108,7 +109,7 @@ def scan_licenses(docs: DataFrame, base: tuple = BASE, own: tuple = OWN) -> Data
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return scan_licenses(read(spark, sf_dir, "documents"))
 
 
 ORACLE = rf"""
