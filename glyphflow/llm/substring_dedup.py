@@ -33,6 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import read
 from .jaccard_join import _zipped
 from .textbytes import BASE, BYTE_VALUE, chunks, mix, tidy
 from .workspace import Workspace, partitions
@@ -41,7 +42,9 @@ LENGTH, GRAM = 100, 32
 #: Pieces that a task folds and packs together, and documents.
 PACK_PIECES, PACK_DOCS = 1_500_000, 40_000
 #: Pieces of one anchor from which its windows are dealt out singly; bytes of a shard.
-HOT, SHARD = 4096, 1 << 21
+HOT, SHARD = 4096, 1 << 20
+#: Bits of a position in a shard that is sorted in packed numbers.
+_BITS = 21
 
 
 def _doubled(h: np.ndarray, size: int) -> np.ndarray:
@@ -231,20 +234,30 @@ def suffix_array(symbols: np.ndarray, left: np.ndarray) -> np.ndarray:
         nxt = np.zeros(n, np.uint64)
         nxt[:-j] = symbols[j:]
         key = (key << np.uint64(9)) | np.where(left > j, nxt, 0)
-    width = 7
-    while True:
-        order = np.argsort(key, kind="stable")
-        new = np.ones(n, bool)
-        new[1:] = key[order][1:] != key[order][:-1]
-        if new.all() or width > left.max():
-            return order
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
-        beyond = np.zeros(n, np.int64)
+    order = np.argsort(key)
+    new = np.ones(n, bool)
+    new[1:] = key[order][1:] != key[order][:-1]
+    width, most, at = 7, int(left.max(initial=0)), np.arange(n, dtype=np.uint64)
+    while not new.all():
+        rank = np.empty(n, np.uint64)
+        rank[order] = np.cumsum(new).astype(np.uint64)
+        beyond = np.zeros(n, np.uint64)
         if width < n:
             beyond[:-width] = rank[width:]
-        key = (rank.astype(np.uint64) << np.uint64(32)) | np.where(left > width, beyond, 0).astype(np.uint64)
+        beyond[left <= width] = 0
+        if n < 1 << _BITS:  # rank, rank beyond and position in one number: sorting it is all
+            packed = (rank << np.uint64(2 * _BITS)) | (beyond << np.uint64(_BITS)) | at
+            packed.sort()
+            order, key = (packed & np.uint64((1 << _BITS) - 1)).astype(np.int64), packed >> np.uint64(_BITS)
+        else:
+            key = (rank << np.uint64(32)) | beyond
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+        new[1:] = key[1:] != key[:-1]
         width *= 2
+        if width >= most:
+            break
+    return order
 
 
 class RunLengthIndex:
@@ -423,4 +436,4 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return remove_repeats(read(spark, sf_dir, "documents"))
