@@ -124,7 +124,7 @@ def pages_of_markers(text: Column, pages: int) -> Column:
     marker is page 1's unless that has one.
     """
     lines = F.split(text, "\n")
-    share = F.greatest(F.lit(1), F.expr("1") * F.floor(F.size(lines) / pages)).cast("int")
+    share = F.greatest(F.lit(1), F.floor(F.size(lines) / pages).cast("int"))
     rest = lambda i: F.when(i < pages - 1, share).otherwise(F.greatest(F.lit(0), F.size(lines) - i * share))
     even = F.transform(F.sequence(F.lit(0), F.lit(pages - 1)), lambda i: F.array_join(F.slice(lines, i * share + 1, rest(i)), "\n"))
     numbers = F.transform(F.regexp_extract_all(text, F.lit(MARKER), F.lit(1)), lambda n: n.cast("int"))

@@ -160,10 +160,6 @@ def convert_replacement_char(s, d):
     return made.select("doc_id", "c.converted", F.array_join("c.unmapped", "").alias("unmapped"))
 
 
-#: A line for each glyph key of each table, between two others, so that every key fires.
-KEYS = "SELECT CAST(ord AS BIGINT) AS doc_id, encoding, legacy || 'a' || legacy AS t FROM ({})"
-
-
 @register(
     "convert_every_key",
     " UNION ALL ".join(

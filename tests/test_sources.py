@@ -54,3 +54,14 @@ def test_ocr_edge(spark):
     assert [r.text for r in ocr.recognise(images, engine).orderBy("word_idx").collect()] == ["a", "b"]
     assert ocr.language_for("tesseract", "Marathi") == "mar" and ocr.language_for("vision", "mar") == ["mr", "hi"] and ocr.language_for("easyocr", "zz") == ["en"]
     assert ocr.capabilities(spark).count() == 5
+
+
+def test_small_tables_of_few_files_are_dealt_out(spark, tmp_path, monkeypatch):
+    from glyphflow.sources import tables
+
+    rows = spark.range(1000).selectExpr("id", "uuid() AS u", "repeat(uuid(), 50) AS t").coalesce(1)
+    rows.write.parquet(f"{tmp_path}/t.parquet")
+    got = tables.read(spark, str(tmp_path), "t")
+    assert got.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and got.count() == 1000
+    monkeypatch.setattr(tables, "SMALL", 1)
+    assert tables.read(spark, str(tmp_path), "t").rdd.getNumPartitions() == 1
