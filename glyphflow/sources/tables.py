@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes for each core below which a table of few files is dealt out.
 SMALL = 64 << 20
+#: Bytes of a table from which dealing it out pays.
+LEAST = 1 << 20
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,4 +26,4 @@ def spread(df: DataFrame) -> DataFrame:
     for f in files:
         path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI.create(f))
         size += path.getFileSystem(conf).getFileStatus(path).getLen()
-    return df.repartition(cores) if (1 << 20) < size < cores * SMALL else df
+    return df.repartition(cores) if LEAST < size < cores * SMALL else df

@@ -61,6 +61,7 @@ def test_small_tables_of_few_files_are_dealt_out(spark, tmp_path, monkeypatch):
 
     rows = spark.range(1000).selectExpr("id", "uuid() AS u", "repeat(uuid(), 50) AS t").coalesce(1)
     rows.write.parquet(f"{tmp_path}/t.parquet")
+    monkeypatch.setattr(tables, "LEAST", 1)
     got = tables.read(spark, str(tmp_path), "t")
     assert got.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and got.count() == 1000
     monkeypatch.setattr(tables, "SMALL", 1)
