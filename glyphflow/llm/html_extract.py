@@ -22,7 +22,9 @@ from __future__ import annotations
 
 import html
 import json
+import pickle
 import re
+import tempfile
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -42,8 +44,8 @@ from .workspace import partitions
 GROUP_ROWS, SHORT = 256, 60
 #: Counters of directory sizes.
 SLOTS = 1 << 16
-#: Pages of the group's first path that wait for a page to compare with.
-WAITING = 64
+#: Bytes of waiting pages held in memory; more of them wait in a file of the task.
+WAITING = 1 << 23
 
 BLOCKS = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -169,6 +171,24 @@ def main_text(lines: list[tuple[str, bool, bool, bool]], hashes: list[int], othe
     return "\n".join(lines[i][0] for i in body if not (i in shared and (not lines[i][1] or (len(lines[i][0]) <= SHORT and not lines[i][3]))))
 
 
+class Waiting:
+    """Pages that wait for one to be compared with, as many as there are."""
+
+    def __init__(self) -> None:
+        self.file, self.n = tempfile.SpooledTemporaryFile(WAITING), 0
+
+    def add(self, row: tuple) -> None:
+        pickle.dump(row, self.file, pickle.HIGHEST_PROTOCOL)
+        self.n += 1
+
+    def take(self) -> Iterator[tuple]:
+        self.file.seek(0)
+        for _ in range(self.n):
+            yield pickle.load(self.file)
+        self.file.close()
+        self.__init__()
+
+
 LINES = "page_id long, url string, host string, dir string, part long, path string, spread long, lines binary, hashes array<long>"
 _LINES = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("dir", pa.string()), ("part", pa.int64()), ("path", pa.string()), ("spread", pa.int64()), ("lines", pa.binary()), ("hashes", pa.list_(pa.int64()))])
 TEXTS = "page_id long, url string, text string, n_chars long"
@@ -217,42 +237,40 @@ def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     path: str | None = None
     last: list[int] = []
     before: list[int] | None = None  # lines of the nearest page before with another path
-    waiting: list[tuple] = []
+    waiting = Waiting()
 
     def give(row: tuple, other: list[int] | None) -> None:
         text = main_text([tuple(x) for x in json.loads(unpack.decompress(row[2]).decode("utf-8", "surrogatepass"))], row[3], other)
         out.append((row[0], row[1], text, len(text)))
 
-    def batch_of() -> pa.RecordBatch:
-        made = pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), _TEXTS, strict=True)], schema=_TEXTS)
-        out.clear()
-        return made
+    def full(least: int = 256) -> Iterator[pa.RecordBatch]:
+        if len(out) >= least:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), _TEXTS, strict=True)], schema=_TEXTS)
+            out.clear()
+
+    def release(other: list[int] | None) -> Iterator[pa.RecordBatch]:
+        for w in waiting.take():
+            give(w, other)
+            yield from full()
 
     for batch in batches:
         names = ("host", "dir", "part", "path", "page_id", "url", "lines", "hashes")
         for host, directory, part, at, page, url, lines, hashes in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
             row = (page, url, lines, hashes)
             if (host, directory, part) != group:
-                for w in waiting:
-                    give(w, None)
-                waiting.clear()
+                yield from release(None)
                 group, path, before = (host, directory, part), at, None
             elif at != path:
-                for w in waiting:
-                    give(w, hashes)
-                waiting.clear()
+                yield from release(hashes)
                 path, before = at, last
             last = hashes
-            if before is None and len(waiting) < WAITING:
-                waiting.append(row)
+            if before is None:
+                waiting.add(row)
             else:
                 give(row, before)
-        if len(out) >= 256:
-            yield batch_of()
-    for w in waiting:
-        give(w, None)
-    if out:
-        yield batch_of()
+        yield from full()
+    yield from release(None)
+    yield from full(1)
 
 
 def extract_text(pages: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:

@@ -49,3 +49,10 @@ def test_shared_lines_go(spark):
         assert by[103].text == by[104].text == "Same article text here."
         assert all(r.n_chars == len(r.text) for r in got)
     assert extract_text(df.where("false")).count() == 0
+
+
+def test_all_pages_of_the_first_path_are_differenced(spark):
+    line = "<div>Shared menu line</div><div>Own text number {} with enough words.</div><div>Imprint of the site</div>"
+    rows = [(i, f"http://a.org/d/view?id={i}" if i < 150 else "http://a.org/d/z", line.format(i)) for i in range(151)]
+    got = extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.text) for r in got) == [(i, f"Own text number {i} with enough words.") for i in range(151)]
