@@ -2,14 +2,14 @@
 
 1.  Each page becomes lines, one for each block, marked as inside an article or not.  Scripts, styles, forms
     and what tags or class names call menu, header, footer, sidebar, notice, advert or comment go here.
-2.  Pages are ordered by path within host and first directory; large directories are dealt into groups of
-    about GROUP_ROWS by a hash, so a host with a third of all pages is many tasks' work.  Directory sizes
-    come from a table of SLOTS hashed counts, the same size whatever the input.  A page is compared
-    with the page before it whose path differs (the first path's pages with the one after).
+2.  All pages are ordered by host and path and cut into parts at sampled places, so a host with a third of all
+    pages, or one path with many, is many tasks' work.  A page is compared with the nearest page before it of
+    its host whose path differs, or without one with the first page after; what the first and last host of a
+    part hand to other parts is found by a first pass that moves only hashes of lines.
 3.  Lines are aligned by longest common subsequence of their hashes, and shared lines are deleted: outside an
     article all of them, inside one only short ones in no heading, paragraph, list or table, because articles
-    may quote each other.  If most of the page's text is shared, the two are copies of one article and
-    nothing is deleted.
+    may quote each other.  A page that shares most of the text is a copy and is passed over for the next that
+    is none; of pages that are copies of each other the nearest is kept, so groups of any size are passed over.
 4.  Where a page has articles, its text is theirs; otherwise it is all that is left but lines of links.
 
 Defined cases: null html counts as empty and gives the empty text; a null URL has an empty host and path;
@@ -21,13 +21,14 @@ gives an empty result; no column but page_id, url and html is read.
 from __future__ import annotations
 
 import html
+import copy
 import json
 import pickle
 import re
 import tempfile
-from bisect import bisect_left
-from collections import Counter
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
@@ -40,13 +41,18 @@ from ..sources.tables import read
 from .url_filter import split_url
 from .workspace import partitions
 
-#: Pages in a group of near URLs, about; characters up to which a shared line inside an article goes.
-GROUP_ROWS, SHORT = 256, 60
-#: Counters of directory sizes.
-SLOTS = 1 << 16
+#: Characters up to which a shared line inside an article goes.
+SHORT = 60
+#: Pages of a part, at least; parts of a task, at most; places sampled for each bound between parts.
+GROUP_ROWS, PARTS, SAMPLE = 256, 8, 20
+#: Neighbours of a page that are kept, none a copy of another.
+NEAR = 4
 #: Bytes of waiting pages held in memory; more of them wait in a file of the task.
 WAITING = 1 << 23
 
+#: Text, inside an article, mostly links, prose.
+Line = tuple[str, bool, bool, bool]
+
 BLOCKS = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
@@ -161,14 +167,84 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
     return out[::-1]
 
 
-def main_text(lines: list[tuple[str, bool, bool, bool]], hashes: list[int], other: list[int] | None) -> str:
-    """The page's text, other being the line hashes of the page it is compared with."""
-    shared = set(common_lines(hashes, other)) if other else set()
+class Page(NamedTuple):
+    """What others are compared with: the hashes of the page's lines, and the characters of those of its body."""
+
+    path: str
+    hashes: list[int]
+    sizes: list[int]
+    at: int  # in the order of the scan
+
+
+def body_lines(lines: list[Line]) -> list[int]:
     has_main = any(m for _, m, *_ in lines)
-    body = [i for i, (_, m, links, _) in enumerate(lines) if (m if has_main else not links)]
-    if shared and 2 * sum(len(lines[i][0]) for i in body if i in shared) > sum(len(lines[i][0]) for i in body):
-        shared = set()  # a copy of the same article
-    return "\n".join(lines[i][0] for i in body if not (i in shared and (not lines[i][1] or (len(lines[i][0]) <= SHORT and not lines[i][3]))))
+    return [i for i, (_, m, links, _) in enumerate(lines) if (m if has_main else not links)]
+
+
+def page_of(lines: list[Line], path: str, at: int = 0) -> Page:
+    sizes = [0] * len(lines)
+    for i in body_lines(lines):
+        sizes[i] = len(lines[i][0])
+    return Page(path, [xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) >> 1 for t, *_ in lines], sizes, at)
+
+
+def copy_of(page: Page, other: Page) -> bool:
+    """Whether most of the page's text is in the other."""
+    return page.hashes == other.hashes or 2 * sum(page.sizes[i] for i in common_lines(page.hashes, other.hashes)) > sum(page.sizes)
+
+
+class Neighbours:
+    """Of a host whose pages are met in order of their paths: those a page can be compared with.
+
+    They are no copies of each other, so that a group of copies takes one place however many they are.
+    """
+
+    def __init__(self, host: str | None) -> None:
+        self.host = host
+        self.first: str | None = None
+        self.path: str | None = None
+        self.here: list[Page] = []  # of this path, nearest first
+        self.back: list[Page] = []  # of the paths before
+        self.own: list[Page] = []  # the first of the host's first path
+        self.opening: list[Page] = []  # the first of the other paths
+
+    def turn(self, path: str) -> None:
+        """The next page has this path."""
+        if self.path is None:
+            self.first = path
+        elif path != self.path:
+            self.back = [*self.here, *(b for b in self.back if not any(copy_of(h, b) for h in self.here))][:NEAR]
+            self.here = []
+        self.path = path
+
+    def meet(self, page: Page) -> None:
+        if page.hashes:
+            self.here = [page, *(h for h in self.here if not copy_of(page, h))][:NEAR]
+            start = self.own if page.path == self.first else self.opening
+            if len(start) < NEAR and not any(copy_of(page, o) for o in start):
+                start.append(page)
+
+    def kept(self) -> list[Page]:
+        """Pages that, met in this order, give the same neighbours."""
+        return sorted({p.at: p for p in (*self.own, *self.opening, *self.here, *self.back)}.values(), key=lambda p: p.at)
+
+
+def shared_lines(page: Page, near: Iterable[Page]) -> set[int] | None:
+    """The page's lines in the nearest page that is no copy of it and has another path; None without such a page."""
+    for other in near:
+        if other.path != page.path and not copy_of(page, other):
+            return set(common_lines(page.hashes, other.hashes))
+    return None
+
+
+def remaining(lines: list[Line], shared: set[int]) -> str:
+    return "\n".join(lines[i][0] for i in body_lines(lines) if not (i in shared and (not lines[i][1] or (len(lines[i][0]) <= SHORT and not lines[i][3]))))
+
+
+def main_text(lines: list[Line], hashes: list[int], other: list[int] | None) -> str:
+    """The page's text, other being the line hashes of the page it is compared with."""
+    page = page_of(lines, "")._replace(hashes=hashes)
+    return remaining(lines, shared_lines(page, [Page("other", other, [], 0)] if other else []) or set())
 
 
 class Waiting:
@@ -189,29 +265,42 @@ class Waiting:
         self.__init__()
 
 
-LINES = "page_id long, url string, host string, dir string, part long, path string, spread long, lines binary, hashes array<long>"
-_LINES = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("dir", pa.string()), ("part", pa.int64()), ("path", pa.string()), ("spread", pa.int64()), ("lines", pa.binary()), ("hashes", pa.list_(pa.int64()))])
+KEYS = "part int, host string, path string, spread long, digest long"
+LINES = f"{KEYS}, page_id long, url string, lines binary"
+LIGHT = f"{KEYS}, hashes array<long>, sizes array<int>"
+EDGES = "part int, host string, path string, hashes array<long>, sizes array<int>"
 TEXTS = "page_id long, url string, text string, n_chars long"
+_KEYS = [("part", pa.int32()), ("host", pa.string()), ("path", pa.string()), ("spread", pa.int64()), ("digest", pa.int64())]
+_LINES = pa.schema([*_KEYS, ("page_id", pa.int64()), ("url", pa.string()), ("lines", pa.binary())])
+_LIGHT = pa.schema([*_KEYS, ("hashes", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32()))])
+_EDGES = pa.schema([_KEYS[0], _KEYS[1], _KEYS[2], ("hashes", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32()))])
 _TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
 
-def _place(url: str | None) -> tuple[str, str, str]:
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def _place(url: str | None, page: int | None) -> tuple[str, str, int]:
+    """Where the page stands: host, path, and a hash that orders the pages of one path."""
     host, path = split_url(url)
-    return host, path[: path.find("/", 1) + 1], path.rstrip("/")
+    return host, path.rstrip("/"), xxhash.xxh64_intdigest(f"{url}\n{page}") >> 1
 
 
-def _slot(host: str, directory: str) -> int:
-    return xxhash.xxh64_intdigest(f"{host}\n{directory}") % SLOTS
+def _sample_places(of: int):
+    """About one in ``of`` places, chosen by a hash."""
 
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [p for p in map(_place, b.column("url").to_pylist(), b.column("page_id").to_pylist()) if xxhash.xxh64_intdigest(str(p[2]), 1) % of == 0]
+            if found:
+                yield _batch(found, pa.schema(_KEYS[1:4]))
 
-def _count_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        met = Counter(_slot(*_place(u)[:2]) for u in b.column("url").to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array(list(met), pa.int32()), pa.array(list(met.values()), pa.int64())], names=["slot", "n"])
+    return sample
 
 
-def _read_pages(parts: Broadcast):
-    """parts: of each slot, the groups that its directories are dealt into."""
+def _read_pages(bounds: Broadcast, light: bool):
+    """light: the hashes and sizes of the lines only, not their text."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
@@ -219,71 +308,131 @@ def _read_pages(parts: Broadcast):
             rows = []
             for page, url, source in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
                 lines = page_lines(source)
-                hashes = [xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) >> 1 for t, *_ in lines]
-                host, directory, path = _place(url)
-                spread = xxhash.xxh64_intdigest(f"{path}\n{page}") >> 1
-                rows.append((page, url, host, directory, spread % parts.value[_slot(host, directory)], path, spread, pack.compress(json.dumps(lines, ensure_ascii=False).encode("utf-8", "surrogatepass")), hashes))
+                place = _place(url, page)
+                keys = (bisect_right(bounds.value, place), *place, xxhash.xxh64_intdigest((source or "").encode("utf-8", "surrogatepass")) >> 1)
+                if light:
+                    rows.append((*keys, *page_of(lines, "")[1:3]))
+                else:
+                    rows.append((*keys, page, url, pack.compress(json.dumps(lines, ensure_ascii=False).encode("utf-8", "surrogatepass"))))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _LINES, strict=True)], schema=_LINES)
+                yield _batch(rows, _LIGHT if light else _LINES)
 
     return read
 
 
-def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of group and path in; texts out."""
-    unpack = zstandard.ZstdDecompressor()
-    out: list[tuple] = []
-    group: tuple | None = None
-    path: str | None = None
-    last: list[int] = []
-    before: list[int] | None = None  # lines of the nearest page before with another path
-    waiting = Waiting()
-
-    def give(row: tuple, other: list[int] | None) -> None:
-        text = main_text([tuple(x) for x in json.loads(unpack.decompress(row[2]).decode("utf-8", "surrogatepass"))], row[3], other)
-        out.append((row[0], row[1], text, len(text)))
-
-    def full(least: int = 256) -> Iterator[pa.RecordBatch]:
-        if len(out) >= least:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), _TEXTS, strict=True)], schema=_TEXTS)
-            out.clear()
-
-    def release(other: list[int] | None) -> Iterator[pa.RecordBatch]:
-        for w in waiting.take():
-            give(w, other)
-            yield from full()
+def _find_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of parts in order in; what the first and last host of each part keep out."""
+    part: int | None = None
+    first = now = Neighbours(None)
+
+    def close() -> Iterator[pa.RecordBatch]:
+        rows = [(part, n.host, p.path, p.hashes, p.sizes) for n in ((first,) if now is first else (first, now)) for p in n.kept()]
+        if rows:
+            yield _batch(rows, _EDGES)
 
+    n = 0
     for batch in batches:
-        names = ("host", "dir", "part", "path", "page_id", "url", "lines", "hashes")
-        for host, directory, part, at, page, url, lines, hashes in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-            row = (page, url, lines, hashes)
-            if (host, directory, part) != group:
-                yield from release(None)
-                group, path, before = (host, directory, part), at, None
-            elif at != path:
-                yield from release(hashes)
-                path, before = at, last
-            last = hashes
-            if before is None:
-                waiting.add(row)
-            else:
-                give(row, before)
-        yield from full()
-    yield from release(None)
-    yield from full(1)
+        for k, host, path, hashes, sizes in zip(*(batch.column(c).to_pylist() for c in ("part", "host", "path", "hashes", "sizes")), strict=True):
+            if k != part:
+                yield from close()
+                part, first = k, Neighbours(host)
+                now = first
+            elif host != now.host:
+                now = Neighbours(host)
+            now.turn(path)
+            now.meet(Page(path, hashes, sizes, n))
+            n += 1
+    yield from close()
+
+
+def _join_edges(rows: list[tuple]) -> tuple[dict[int, Neighbours], dict[str, Neighbours]]:
+    """What was met of a part's first host before the part, and all of the hosts at edges."""
+    before: dict[int, Neighbours] = {}
+    hosts: dict[str, Neighbours] = {}
+    part: int | None = None
+    for n, (k, host, path, hashes, sizes) in enumerate(rows):
+        if host not in hosts:
+            hosts[host] = Neighbours(host)
+        if k != part:
+            part, before[k] = k, copy.copy(hosts[host])
+            before[k].own, before[k].opening = [], []
+        hosts[host].turn(path)
+        hosts[host].meet(Page(path, hashes, sizes, n))
+    return before, hosts
+
+
+def _difference(edges: Broadcast):
+    def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of parts in order in; texts out."""
+        before, hosts = edges.value
+        unpack = zstandard.ZstdDecompressor()
+        out: list[tuple] = []
+        part: int | None = None
+        now = Neighbours(None)
+        waiting = Waiting()
+
+        def read_lines(packed: bytes) -> list[Line]:
+            return [tuple(x) for x in json.loads(unpack.decompress(packed).decode("utf-8", "surrogatepass"))]
+
+        def give(page: int | None, url: str | None, lines: list[Line], shared: set[int]) -> Iterator[pa.RecordBatch]:
+            text = remaining(lines, shared)
+            out.append((page, url, text, len(text)))
+            yield from full()
+
+        def full(least: int = 256) -> Iterator[pa.RecordBatch]:
+            if len(out) >= least:
+                yield _batch(out, _TEXTS)
+                out.clear()
+
+        def release() -> Iterator[pa.RecordBatch]:
+            opening = hosts.get(now.host, now).opening
+            for page, url, packed, path, back in waiting.take():
+                lines = read_lines(packed)
+                yield from give(page, url, lines, shared_lines(page_of(lines, path), [*back, *opening]) or set())
+
+        n = 0
+        for batch in batches:
+            for k, host, path, page, url, packed in zip(*(batch.column(c).to_pylist() for c in ("part", "host", "path", "page_id", "url", "lines")), strict=True):
+                if k != part or host != now.host:
+                    yield from release()
+                    now = Neighbours(host)
+                    if k != part and k in before and before[k].host == host:
+                        now = copy.copy(before[k])
+                    part = k
+                now.turn(path)
+                lines = read_lines(packed)
+                this = page_of(lines, path, n)
+                shared = shared_lines(this, now.back)
+                if shared is None:
+                    waiting.add((page, url, packed, path, now.back))
+                else:
+                    yield from give(page, url, lines, shared)
+                now.meet(this)
+                n += 1
+        yield from release()
+        yield from full(1)
+
+    return difference
 
 
 def extract_text(pages: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """page_id, url, text (the main text, blocks joined by a line break), n_chars for each row of pages."""
     spark = pages.sparkSession
+    sc = spark.sparkContext
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    parts = [1] * SLOTS
-    for slot, n in rows.select("url").mapInArrow(_count_places, "slot int, n long").groupBy("slot").agg(F.sum("n")).collect():  # SLOTS rows at most
-        parts[slot] = -(-n // group_rows)
-    grouped = rows.mapInArrow(_read_pages(spark.sparkContext.broadcast(parts)), LINES)
-    order = ["host", "dir", "part", "path", "page_id", "spread"]
-    dealt = grouped.repartition(partitions(spark), "host", "dir", "part").sortWithinPartitions(*order)
-    return dealt.select(*order, "url", "lines", "hashes").mapInArrow(_difference, TEXTS)
+    n = rows.count()
+    parts = max(1, min(-(-n // group_rows), PARTS * partitions(spark)))
+    places = sorted(map(tuple, rows.select("url", "page_id").mapInArrow(_sample_places(max(1, n // (parts * SAMPLE))), "host string, path string, spread long").collect()))  # SAMPLE for each part
+    bounds = sc.broadcast([places[len(places) * i // parts] for i in range(1, parts)] if places else [])
+    order = ["part", "host", "path", "spread", "digest"]
+
+    def dealt(light: bool) -> DataFrame:
+        read = rows.mapInArrow(_read_pages(bounds, light), LIGHT if light else LINES)
+        return read.repartition(partitions(spark), "part").sortWithinPartitions(*order, *([] if light else ["page_id"]))
+
+    found = sorted(enumerate(map(tuple, dealt(True).mapInArrow(_find_edges, EDGES).collect())), key=lambda x: (x[1][0], x[0]))  # a few pages for each part
+    edges = sc.broadcast(_join_edges([x for _, x in found]))
+    return dealt(False).mapInArrow(_difference(edges), TEXTS)
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

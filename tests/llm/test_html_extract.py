@@ -56,3 +56,22 @@ def test_all_pages_of_the_first_path_are_differenced(spark):
     rows = [(i, f"http://a.org/d/view?id={i}" if i < 150 else "http://a.org/d/z", line.format(i)) for i in range(151)]
     got = extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert sorted((r.page_id, r.text) for r in got) == [(i, f"Own text number {i} with enough words.") for i in range(151)]
+
+
+LINE = "<div>Shared menu line</div><div>Own text number {} with enough words.</div><div>Imprint of the site</div>"
+
+
+def texts(spark, rows, **options):
+    return {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), **options).collect()}
+
+
+def test_a_page_meets_the_nearest_path_of_its_host(spark):
+    rows = [(i, f"http://a.org/d{i}/x", LINE.format(i)) for i in range(20)]  # each alone in its directory
+    rows += [(100 + i, f"http://hot.org/d/{i:03}", LINE.format(100 + i)) for i in range(100)]
+    for size in (256, 8, 1):
+        assert texts(spark, rows, group_rows=size) == {i: f"Own text number {i} with enough words." for i, _, _ in rows}
+    pair = "<div>Section {} menu of its own</div><div>Own text number {} with enough words.</div>"
+    rows = [(i, f"http://b.org/d/{i:03}", pair.format(i // 2, i)) for i in range(100)]  # only the nearest has the menu
+    got = [texts(spark, rows, group_rows=size) for size in (256, 8, 1)]
+    assert got[0] == got[1] == got[2]
+    assert all(got[0][i] == f"Own text number {i} with enough words." for i in range(1, 100, 2))
