@@ -10,6 +10,8 @@
     article all of them, inside one only short ones in no heading, paragraph, list or table, because articles
     may quote each other.  A page that shares most of the text is a copy and is passed over for the next that
     is none; of pages that are copies of each other the nearest is kept, so groups of any size are passed over.
+    Where the host has none, most pages being its menus or all copies, the lines go that AGREE different
+    neighbours all have, if the page has others.
 4.  Where a page has articles, its text is theirs; otherwise it is all that is left but lines of links.
 
 Defined cases: null html counts as empty and gives the empty text; a null URL has an empty host and path;
@@ -27,7 +29,7 @@ import pickle
 import re
 import tempfile
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -47,6 +49,8 @@ SHORT = 60
 GROUP_ROWS, PARTS, SAMPLE = 256, 8, 20
 #: Neighbours of a page that are kept, none a copy of another.
 NEAR = 4
+#: Different pages that must have a line where no page of the host is anything but a copy.
+AGREE = 3
 #: Bytes of waiting pages held in memory; more of them wait in a file of the task.
 WAITING = 1 << 23
 
@@ -193,40 +197,69 @@ def copy_of(page: Page, other: Page) -> bool:
     return page.hashes == other.hashes or 2 * sum(page.sizes[i] for i in common_lines(page.hashes, other.hashes)) > sum(page.sizes)
 
 
+def equal(page: Page, other: Page) -> bool:
+    return page.hashes == other.hashes
+
+
+class Kept:
+    """Pages of a host met in order of their paths, of those that are the same only the nearest."""
+
+    def __init__(self, same: Callable[[Page, Page], bool]) -> None:
+        self.same = same
+        self.here: list[Page] = []  # of this path, nearest first
+        self.back: list[Page] = []  # of the paths before
+        self.own: list[Page] = []  # the first of the host's first path
+        self.opening: list[Page] = []  # the first of the other paths
+
+    def turn(self) -> None:
+        self.back = [*self.here, *(b for b in self.back if not any(self.same(h, b) for h in self.here))][:NEAR]
+        self.here = []
+
+    def meet(self, page: Page, first: bool) -> None:
+        self.here = [page, *(h for h in self.here if not self.same(page, h))][:NEAR]
+        start = self.own if first else self.opening
+        if len(start) < NEAR and not any(self.same(page, o) for o in start):
+            start.append(page)
+
+
 class Neighbours:
     """Of a host whose pages are met in order of their paths: those a page can be compared with.
 
-    They are no copies of each other, so that a group of copies takes one place however many they are.
+    ``near`` are no copies of each other, so that a group of copies takes one place however many they are;
+    ``alike`` may be, but are not equal.
     """
 
     def __init__(self, host: str | None) -> None:
         self.host = host
         self.first: str | None = None
         self.path: str | None = None
-        self.here: list[Page] = []  # of this path, nearest first
-        self.back: list[Page] = []  # of the paths before
-        self.own: list[Page] = []  # the first of the host's first path
-        self.opening: list[Page] = []  # the first of the other paths
+        self.near, self.alike = Kept(copy_of), Kept(equal)
 
     def turn(self, path: str) -> None:
         """The next page has this path."""
         if self.path is None:
             self.first = path
         elif path != self.path:
-            self.back = [*self.here, *(b for b in self.back if not any(copy_of(h, b) for h in self.here))][:NEAR]
-            self.here = []
+            self.near.turn()
+            self.alike.turn()
         self.path = path
 
     def meet(self, page: Page) -> None:
         if page.hashes:
-            self.here = [page, *(h for h in self.here if not copy_of(page, h))][:NEAR]
-            start = self.own if page.path == self.first else self.opening
-            if len(start) < NEAR and not any(copy_of(page, o) for o in start):
-                start.append(page)
+            self.near.meet(page, page.path == self.first)
+            self.alike.meet(page, page.path == self.first)
 
     def kept(self) -> list[Page]:
         """Pages that, met in this order, give the same neighbours."""
-        return sorted({p.at: p for p in (*self.own, *self.opening, *self.here, *self.back)}.values(), key=lambda p: p.at)
+        return sorted({p.at: p for k in (self.near, self.alike) for p in (*k.own, *k.opening, *k.here, *k.back)}.values(), key=lambda p: p.at)
+
+    def so_far(self) -> Neighbours:
+        """The same, but for what the host's pages open with."""
+        out = copy.copy(self)
+        out.near, out.alike = copy.copy(self.near), copy.copy(self.alike)
+        for k in (out.near, out.alike):
+            k.own, k.opening = [], []
+        return out
 
 
 def shared_lines(page: Page, near: Iterable[Page]) -> set[int] | None:
@@ -237,6 +270,18 @@ def shared_lines(page: Page, near: Iterable[Page]) -> set[int] | None:
     return None
 
 
+def lines_of_all(page: Page, alike: Iterable[Page]) -> set[int]:
+    """Where every neighbour has most of the page: the lines that AGREE different ones all have, if others remain."""
+    others: list[Page] = []
+    for other in alike:
+        if other.path != page.path and not any(equal(other, x) for x in (page, *others)):
+            others.append(other)
+    if len(others) < AGREE:
+        return set()
+    shared = set.intersection(*(set(common_lines(page.hashes, other.hashes)) for other in others[:AGREE]))
+    return shared if sum(page.sizes[i] for i in shared) < sum(page.sizes) else set()
+
+
 def remaining(lines: list[Line], shared: set[int]) -> str:
     return "\n".join(lines[i][0] for i in body_lines(lines) if not (i in shared and (not lines[i][1] or (len(lines[i][0]) <= SHORT and not lines[i][3]))))
 
@@ -354,8 +399,7 @@ def _join_edges(rows: list[tuple]) -> tuple[dict[int, Neighbours], dict[str, Nei
         if host not in hosts:
             hosts[host] = Neighbours(host)
         if k != part:
-            part, before[k] = k, copy.copy(hosts[host])
-            before[k].own, before[k].opening = [], []
+            part, before[k] = k, hosts[host].so_far()
         hosts[host].turn(path)
         hosts[host].meet(Page(path, hashes, sizes, n))
     return before, hosts
@@ -385,10 +429,12 @@ def _difference(edges: Broadcast):
                 out.clear()
 
         def release() -> Iterator[pa.RecordBatch]:
-            opening = hosts.get(now.host, now).opening
-            for page, url, packed, path, back in waiting.take():
+            host = hosts.get(now.host, now)
+            for page, url, packed, path, near, alike in waiting.take():
                 lines = read_lines(packed)
-                yield from give(page, url, lines, shared_lines(page_of(lines, path), [*back, *opening]) or set())
+                this = page_of(lines, path)
+                shared = shared_lines(this, [*near, *host.near.opening])
+                yield from give(page, url, lines, lines_of_all(this, [*alike, *host.alike.opening]) if shared is None else shared)
 
         n = 0
         for batch in batches:
@@ -397,14 +443,14 @@ def _difference(edges: Broadcast):
                     yield from release()
                     now = Neighbours(host)
                     if k != part and k in before and before[k].host == host:
-                        now = copy.copy(before[k])
+                        now = before[k].so_far()
                     part = k
                 now.turn(path)
                 lines = read_lines(packed)
                 this = page_of(lines, path, n)
-                shared = shared_lines(this, now.back)
+                shared = shared_lines(this, now.near.back)
                 if shared is None:
-                    waiting.add((page, url, packed, path, now.back))
+                    waiting.add((page, url, packed, path, now.near.back, now.alike.back))
                 else:
                     yield from give(page, url, lines, shared)
                 now.meet(this)

@@ -75,3 +75,21 @@ def test_a_page_meets_the_nearest_path_of_its_host(spark):
     got = [texts(spark, rows, group_rows=size) for size in (256, 8, 1)]
     assert got[0] == got[1] == got[2]
     assert all(got[0][i] == f"Own text number {i} with enough words." for i in range(1, 100, 2))
+
+
+def test_copies_are_passed_over(spark):
+    copy = "<div>Shared menu line</div><div>One article that many addresses of this host give, word by word.</div><div>Imprint of the site</div>"
+    rows = [(i, f"http://a.org/d/{i:03}", copy) for i in range(100)] + [(100, "http://a.org/e", LINE.format(100))]
+    for size in (256, 8):
+        got = texts(spark, rows, group_rows=size)
+        assert all(got[i] == "One article that many addresses of this host give, word by word." for i in range(100))
+        assert got[100] == "Own text number 100 with enough words."
+
+
+def test_pages_shorter_than_their_menus(spark):
+    short = "<div>Shared menu line</div><div>Own text {}.</div><div>Imprint of the site</div>"
+    rows = [(i, f"http://a.org/d/{i:03}", short.format(i)) for i in range(30)]
+    rows += [(100 + i, f"http://b.org/d/{i}", "<div>The same text at every address.</div>") for i in range(9)]
+    for size in (256, 4):
+        got = texts(spark, rows, group_rows=size)
+        assert got == {i: f"Own text {i}." if i < 30 else "The same text at every address." for i, _, _ in rows}
