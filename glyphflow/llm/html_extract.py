@@ -8,8 +8,10 @@
     part hand to other parts is found by a first pass that moves only hashes of lines.
 3.  Lines are aligned by longest common subsequence of their hashes, and shared lines are deleted: outside an
     article all of them, inside one only short ones in no heading, paragraph, list or table, because articles
-    may quote each other.  A page that shares most of the text is a copy and is passed over for the next that
-    is none; of pages that are copies of each other the nearest is kept, so groups of any size are passed over.
+    may quote each other.  What the EVERY nearest pages, none a copy of another, all share with the page is no
+    quotation, and goes wherever it stands.  A page that shares most of the text is a copy and is passed over
+    for the next that is none; of pages that are copies of each other the nearest is kept, so groups of any
+    size are passed over.
     Where the host has none, most pages being its menus or all copies, the lines go that AGREE different
     neighbours all have, if the page has others.
 4.  Where a page has articles, its text is theirs; otherwise it is all that is left but lines of links.
@@ -48,9 +50,9 @@ SHORT = 60
 #: Pages of a part, at least; parts of a task, at most; places sampled for each bound between parts.
 GROUP_ROWS, PARTS, SAMPLE = 256, 8, 20
 #: Neighbours of a page that are kept, none a copy of another.
-NEAR = 4
-#: Different pages that must have a line where no page of the host is anything but a copy.
-AGREE = 3
+NEAR = 10
+#: Different pages that must have a line where no page of the host is anything but a copy, and for any line of an article.
+AGREE, EVERY = 3, 8
 #: Bytes of waiting pages held in memory; more of them wait in a file of the task.
 WAITING = 1 << 23
 
@@ -262,12 +264,27 @@ class Neighbours:
         return out
 
 
-def shared_lines(page: Page, near: Iterable[Page]) -> set[int] | None:
-    """The page's lines in the nearest page that is no copy of it and has another path; None without such a page."""
+class Shared(NamedTuple):
+    nearest: set[int] | None  # lines shared with the nearest page that is no copy
+    everywhere: set[int]  # with each of EVERY such pages, none a copy of another
+    settled: bool  # no further page would change it
+
+
+def shared_lines(page: Page, near: Iterable[Page]) -> Shared:
+    """The page's lines in the nearest pages that have another path and are no copies of it."""
+    others: list[Page] = []
+    nearest: set[int] | None = None
+    everywhere: set[int] = set()
     for other in near:
-        if other.path != page.path and not copy_of(page, other):
-            return set(common_lines(page.hashes, other.hashes))
-    return None
+        if other.path == page.path or copy_of(page, other) or any(copy_of(other, x) for x in others):
+            continue
+        shared = set(common_lines(page.hashes, other.hashes))
+        everywhere = shared if nearest is None else everywhere & shared
+        nearest = shared if nearest is None else nearest
+        others.append(other)
+        if not everywhere or len(others) == EVERY:
+            return Shared(nearest, everywhere, True)
+    return Shared(nearest, set(), False)
 
 
 def lines_of_all(page: Page, alike: Iterable[Page]) -> set[int]:
@@ -282,14 +299,16 @@ def lines_of_all(page: Page, alike: Iterable[Page]) -> set[int]:
     return shared if sum(page.sizes[i] for i in shared) < sum(page.sizes) else set()
 
 
-def remaining(lines: list[Line], shared: set[int]) -> str:
-    return "\n".join(lines[i][0] for i in body_lines(lines) if not (i in shared and (not lines[i][1] or (len(lines[i][0]) <= SHORT and not lines[i][3]))))
+def remaining(lines: list[Line], nearest: set[int], everywhere: set[int]) -> str:
+    """The page's text without the lines it shares."""
+    return "\n".join(lines[i][0] for i in body_lines(lines) if i not in everywhere and not (i in nearest and (not lines[i][1] or (len(lines[i][0]) <= SHORT and not lines[i][3]))))
 
 
 def main_text(lines: list[Line], hashes: list[int], other: list[int] | None) -> str:
     """The page's text, other being the line hashes of the page it is compared with."""
     page = page_of(lines, "")._replace(hashes=hashes)
-    return remaining(lines, shared_lines(page, [Page("other", other, [], 0)] if other else []) or set())
+    shared = shared_lines(page, [Page("other", other, [], 0)] if other else [])
+    return remaining(lines, shared.nearest or set(), shared.everywhere)
 
 
 class Waiting:
@@ -418,8 +437,8 @@ def _difference(edges: Broadcast):
         def read_lines(packed: bytes) -> list[Line]:
             return [tuple(x) for x in json.loads(unpack.decompress(packed).decode("utf-8", "surrogatepass"))]
 
-        def give(page: int | None, url: str | None, lines: list[Line], shared: set[int]) -> Iterator[pa.RecordBatch]:
-            text = remaining(lines, shared)
+        def give(page: int | None, url: str | None, lines: list[Line], nearest: set[int], everywhere: set[int]) -> Iterator[pa.RecordBatch]:
+            text = remaining(lines, nearest, everywhere)
             out.append((page, url, text, len(text)))
             yield from full()
 
@@ -434,7 +453,7 @@ def _difference(edges: Broadcast):
                 lines = read_lines(packed)
                 this = page_of(lines, path)
                 shared = shared_lines(this, [*near, *host.near.opening])
-                yield from give(page, url, lines, lines_of_all(this, [*alike, *host.alike.opening]) if shared is None else shared)
+                yield from give(page, url, lines, lines_of_all(this, [*alike, *host.alike.opening]) if shared.nearest is None else shared.nearest, shared.everywhere)
 
         n = 0
         for batch in batches:
@@ -449,10 +468,10 @@ def _difference(edges: Broadcast):
                 lines = read_lines(packed)
                 this = page_of(lines, path, n)
                 shared = shared_lines(this, now.near.back)
-                if shared is None:
+                if not shared.settled:
                     waiting.add((page, url, packed, path, now.near.back, now.alike.back))
                 else:
-                    yield from give(page, url, lines, shared)
+                    yield from give(page, url, lines, shared.nearest, shared.everywhere)
                 now.meet(this)
                 n += 1
         yield from release()

@@ -93,3 +93,15 @@ def test_pages_shorter_than_their_menus(spark):
     for size in (256, 4):
         got = texts(spark, rows, group_rows=size)
         assert got == {i: f"Own text {i}." if i < 30 else "The same text at every address." for i, _, _ in rows}
+
+
+def test_what_every_article_of_the_host_has_goes(spark):
+    article = "<article><h1>Title {0}</h1><p>Own text number {0} with enough words for an article of its own.</p><p>{1}</p><ul><li>Sign up for our letter and never miss a thing that we write here</ul></article>"
+    quoted = lambda i: f"A passage that two articles have {i // 2}."
+    rows = [(i, f"http://a.org/d/{i:03}", article.format(i, quoted(i))) for i in range(40)]
+    rows += [(100 + i, f"http://b.org/d/{i}", article.format(100 + i, quoted(i))) for i in range(2)]
+    own = "Title {0}\nOwn text number {0} with enough words for an article of its own.\n{1}"
+    for size in (256, 4):
+        got = texts(spark, rows, group_rows=size)
+        assert all(got[i] == own.format(i, quoted(i)) for i in range(40))
+        assert all(got[i].startswith(own.format(i, quoted(i - 100))) and "Sign up" in got[i] for i in (100, 101))
