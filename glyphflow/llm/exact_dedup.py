@@ -10,8 +10,8 @@
 4.  Row references join their entry's class by entry id, which no hot text can skew.
 
 Defined cases: null text counts as empty, and all texts without other characters than white space are equal;
-rows repeated with the same id are separate rows of which one is kept; rows whose id is null are left out,
-since nothing could refer to them; an empty table gives an empty result; other columns are not read.
+rows repeated with one id are rows of their own, of which a group keeps one; a null id comes after all others
+and is kept if the longest text has no other; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import read
 from .textbytes import WHITE, tidy
-from .workspace import Workspace, partitions
+from .workspace import Workspace, owners_of
 
 PAGES = "entry long, row long, doc_id long, key long, blob binary, sha string, n_chars long, n_rows long"
 _PAGES = pa.schema([("entry", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("blob", pa.binary()), ("sha", pa.string()), ("n_chars", pa.int64()), ("n_rows", pa.int64())])
@@ -110,7 +110,7 @@ def _write_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for e in chain:
                 if e[7] == len(norm) and unpack.decompress(e[0], max_output_size=len(norm) or 1) == norm:
                     e[4] += 1
-                    if (-len(text), doc) < (-e[2], e[3]):
+                    if (-len(text), doc is None, doc or 0) < (-e[2], e[3] is None, e[3] or 0):
                         e[2], e[3], e[6] = len(text), doc, row
                     break
             else:
@@ -131,6 +131,11 @@ def _write_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def _rank(place: tuple) -> tuple:
+    n_chars, no_id, doc, row = place
+    return n_chars, no_id, doc or 0, row
+
+
 def _resolve_chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Entries in key order in; the class of each entry out."""
     unpack = zstandard.ZstdDecompressor()
@@ -140,7 +145,8 @@ def _resolve_chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
     def close() -> None:
         for link in chain:
-            out.extend((entry, link["best"][1], link["best"][2], link["rows"], link["sha"]) for entry in link["entries"])
+            _, _, keep, row = link["best"]
+            out.extend((entry, keep, row, link["rows"], link["sha"]) for entry in link["entries"])
         chain.clear()
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -159,10 +165,10 @@ def _resolve_chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                         continue
                 link["entries"].append(entry)
                 link["rows"] += n_rows
-                link["best"] = min(link["best"], (-n_chars, doc, row))
+                link["best"] = min(link["best"], (-n_chars, doc is None, doc, row), key=_rank)
                 break
             else:
-                chain.append({"blob": blob, "sha": sha, "entries": [entry], "rows": n_rows, "best": (-n_chars, doc, row)})
+                chain.append({"blob": blob, "sha": sha, "entries": [entry], "rows": n_rows, "best": (-n_chars, doc is None, doc, row)})
         if len(out) > 4096:
             yield batch_of(out)
             out.clear()
@@ -178,7 +184,7 @@ def exact_dedup(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """
     spark = docs.sparkSession
     with Workspace(spark, "exact") as ws:
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         pages = ws.keep(rows.mapInArrow(tidy(_write_pages), PAGES), "pages")
         entries = pages.where("blob is not null")
         size = F.octet_length("blob") + F.lit(96)
@@ -189,7 +195,7 @@ def exact_dedup(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
         # At most 2**MAX_DEPTH slots, 16 MB.
         slots = spark.createDataFrame(list(enumerate(directory.slots)), "slot long, bucket long")
         slot = F.shiftrightunsigned(F.col("key"), 64 - directory.depth) if directory.depth else F.lit(0).cast("long")
-        owned = entries.withColumn("slot", slot).join(F.broadcast(slots), "slot").repartition(partitions(spark), "bucket").sortWithinPartitions("key", "entry")
+        owned = entries.withColumn("slot", slot).join(F.broadcast(slots), "slot").repartition(owners_of(docs), "bucket").sortWithinPartitions("key", "entry")
         classes = owned.select(*_PAGES.names).mapInArrow(tidy(_resolve_chains), CLASSES)
         members = pages.where("blob is null").select("entry", "row", "doc_id")
         found = members.join(classes, "entry").select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.col("sha").alias("text_sha256"))

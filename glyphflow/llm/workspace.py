@@ -1,7 +1,8 @@
 """Where an operator keeps what more than one of its jobs reads.
 
 Everything goes to the folder named by ``spark.checkpoint.dir``, which all executors share; a folder of
-our own is chosen only where that setting is missing (tests, notebooks).  Intermediate tables are Parquet
+our own is chosen only where that setting is missing on a local master (tests, notebooks); elsewhere its
+absence is an error, since executors would write to their own disks.  Intermediate tables are Parquet
 files written and read by Spark, so any store Spark can write to will do, and a lost executor loses nothing.
 The result of an operator is a reliable checkpoint: Spark's cleaner removes it once no plan refers to it.
 """
@@ -12,6 +13,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import prepare
 
@@ -25,6 +27,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return named
     current = sc._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="glyphflow-"))
         current = sc._jsc.sc().getCheckpointDir()
     return current.get()
@@ -76,3 +80,36 @@ class Workspace:
 def partitions(spark: SparkSession) -> int:
     """How many owner tasks an exchange of packed records gets: the session's shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Bytes of input that one owner task should answer for, the most owners there are, and a size that is no estimate any more.
+OWNER_BYTES, MOST_OWNERS, UNKNOWN = 128 << 20, 1 << 14, 1 << 50
+
+
+def owners_of(docs: DataFrame) -> int:
+    """Owner tasks by the size that the optimizer knows of the input, no fewer than the session's partitions."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(partitions(docs.sparkSession), min(MOST_OWNERS, size // OWNER_BYTES) if size < UNKNOWN else 0)
+
+
+def keyed(ws: Workspace, docs: DataFrame, key: str, content: str, name: str = "keyed") -> tuple[DataFrame, bool]:
+    """(row, key, content) of every row of docs, row being unique and in the order of the keys; and whether row is the key.
+
+    It is where no key is null or repeated.  Otherwise rows are numbered by key (nulls last), then by a hash of the
+    content, and written once, so that every later job sees the same numbers.
+    """
+    rows = docs.select(F.col(key).cast("long").alias(key), content)
+    if rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(f"n > 1 OR {key} IS NULL").isEmpty():
+        return rows.select(F.col(key).alias("row"), key, content), True
+    order = rows.withColumn("met", F.monotonically_increasing_id()).orderBy(F.col(key).asc_nulls_last(), F.xxhash64(content), "met")
+    return ws.keep(order.select(F.monotonically_increasing_id().alias("row"), key, content), name), False
+
+
+def renamed(found: DataFrame, rows: DataFrame, own: bool, key: str, *columns: str) -> DataFrame:
+    """found with rows in ``columns`` replaced by their keys, which join by unique numbers."""
+    if own:
+        return found
+    for i, c in enumerate(columns):
+        names = rows.select(F.col("row").alias(f"row_{i}"), F.col(key).alias(f"key_{i}"))
+        found = found.join(names, F.col(c) == F.col(f"row_{i}"), "left").select(*[F.col(f"key_{i}").alias(c) if x == c else F.col(x) for x in found.columns])
+    return found

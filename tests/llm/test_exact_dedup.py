@@ -6,24 +6,24 @@ from hypothesis import strategies as st
 
 from glyphflow.llm.exact_dedup import Directory, exact_dedup
 
-from .messy import documents, rows_of
+from .messy import documents, with_null_id
 
 
 def brute(rows):
     groups = {}
     for doc, text in rows:
-        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", text or ""), []).append((-len(text or ""), doc))
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", text or ""), []).append((-len(text or ""), doc is None, doc))
     out = []
     for norm, members in groups.items():
-        keep = min(members)[1]
-        out += [(doc, keep, len(members), hashlib.sha256(norm.encode()).hexdigest()) for _, doc in members]
-    return sorted(out)
+        keep = min(members, key=lambda m: (m[0], m[1], m[2] or 0))[2]
+        out += [(doc, keep, len(members), hashlib.sha256(norm.encode()).hexdigest()) for _, _, doc in members]
+    return sorted(out, key=str)
 
 
 def test_groups_match_brute_force(spark):
     df, rows = documents(spark)
     got = exact_dedup(df, bucket_bytes=200).collect()
-    assert sorted((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == brute(rows)
+    assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got), key=str) == brute(with_null_id(rows))
     kept = [r for r in got if r.kept]
     assert len(kept) == len({r.text_sha256 for r in got})
     assert all(r.doc_id == r.keep_id for r in kept)
@@ -63,6 +63,9 @@ def test_directory_covers_every_key_once(histogram, capacity):
         assert total <= capacity or d.local[b] == 8
 
 
-def test_rows_helper(spark):
-    df, rows = documents(spark)
-    assert rows_of(df) == len(rows) + 1  # one row has no id
+def test_null_and_repeated_ids(spark):
+    rows = [(None, "a a"), (None, "b"), (3, "aa"), (3, "b "), (3, "c"), (1, "c"), (None, "dd  ")]
+    for parts in (1, 3):
+        got = exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+        assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got), key=str) == brute(rows)
+        assert sum(r.kept for r in got) == 4
