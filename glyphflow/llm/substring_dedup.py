@@ -5,20 +5,24 @@ same document.
 
 1.  Anchors.  The LENGTH-byte window at every start has one anchor, its leftmost least k-mer by hash, so equal
     windows have equal anchors.  All windows of one anchor form a piece of at most 2 * LENGTH - GRAM bytes.
-2.  Owner tasks get the pieces by anchor hash, 20 bytes each.  Of equal pieces all but the earliest lose their
-    windows at once.  Only where an anchor has different pieces must their texts be compared.
-3.  Those texts, distinct but repetitive, are indexed in shards by anchor: the Burrows-Wheeler transform of
-    the pieces is cut into runs, the suffix array is kept at run ends alone, matches of neighbours are measured
-    there, and streaming through the text gives every other position's match from the one before it.  Rows
-    that match in LENGTH bytes and more hold equal windows; the earliest stays.
+2.  Owner tasks get the pieces by anchor hash, 20 bytes each, and keep a dictionary of those that differ: of
+    equal pieces all but the earliest lose their windows at once.  Anchors with one piece have no other repeats.
+3.  The texts of the others, distinct but repetitive, are indexed in shards by anchor.  The index is the
+    Burrows-Wheeler transform of the pieces cut into runs, with the suffixes at the run ends and what neighbours
+    share there; nothing of the size of the text is kept.  Matching statistics are streamed from those samples:
+    between two of them every next position shares one symbol less with the next position of the same
+    neighbour.  Matches of LENGTH bytes and more chain equal windows together; the earliest of a chain stays.
 4.  Removed ranges join their document, once, and what is left is hashed.
 
-An anchor with very many pieces (a passage in a large share of all documents) is dealt out window by window,
-by the windows' own hashes, so no shard grows with it.  Equal pieces are recognised by 96 bits of hash.
+An anchor with very many pieces (a passage in a large share of all documents) is cut into bands of windows, whose
+anchor is what all windows of the band share, and bands with very many contents into single windows.  Each
+task folds equal ones before they are sent, so no value gathers more than HOT contents, or one for each task.
+Equal pieces are recognised by 96 bits of hash, everything else by its bytes.
 
-Defined cases: null text counts as empty, texts shorter than LENGTH keep all their bytes; rows repeated with
-one id are the same document and do not remove each other; rows whose id is null are left out; an empty table
-gives an empty result; no column but doc_id and text is read.
+Defined cases: null text counts as empty, texts shorter than LENGTH keep all their bytes; null ids come after
+all others; rows that share an id, or have none, are documents of their own, in the order of a hash of their
+texts, so of two equal rows one loses all; an empty table gives an empty result; no column but doc_id and text
+is read.
 """
 
 from __future__ import annotations
@@ -36,13 +40,15 @@ from pyspark.sql import functions as F
 from ..sources.tables import read
 from .jaccard_join import _zipped
 from .textbytes import BASE, BYTE_VALUE, chunks, mix, tidy
-from .workspace import Workspace, partitions
+from .workspace import Workspace, keyed, owners_of, renamed
 
 LENGTH, GRAM = 100, 32
 #: Pieces that a task folds and packs together, and documents.
 PACK_PIECES, PACK_DOCS = 1_500_000, 40_000
-#: Pieces of one anchor from which its windows are dealt out singly; bytes of a shard.
-HOT, SHARD = 4096, 1 << 20
+#: Different pieces of one anchor from which it is cut into bands of BAND windows; bytes of a shard.
+HOT, BAND, SHARD = 4096, 8, 1 << 20
+#: Pieces of hot anchors that a task remembers for folding equal ones.
+FOLD = 100_000
 #: Bits of a position in a shard that is sorted in packed numbers.
 _BITS = 21
 
@@ -65,7 +71,7 @@ def anchored_pieces(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         h = _doubled(h, k)
     gram = mix(h)
     h64 = _doubled(h, 32)
-    bits = np.uint64(max(1, int(n).bit_length()))
+    bits = np.uint64(max(22, int(n).bit_length()))  # the same for all but very long texts
     mask = (np.uint64(1) << bits) - np.uint64(1)
     least = (gram & ~mask) | np.arange(len(gram), dtype=np.uint64)
     width, reach = 1, LENGTH - GRAM + 1
@@ -168,56 +174,59 @@ def _anchor(owners: int):
 OWNED = "kind int, doc_id long, lo long, size long, gram long"
 
 
-def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ranges to remove (0), and pieces to compare (1; 2 if window by window)."""
-    at: int | None = None
-    held: list[bytes] = []
-    names = ["kind", "doc_id", "lo", "size", "gram"]
+def _own(hot: int):
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Ranges to remove (0), and pieces to compare (1; 2 if band by band)."""
+        at: int | None = None
+        held: list[bytes] = []
+        names = ["kind", "doc_id", "lo", "size", "gram"]
+
+        def rows(kind: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(kind), 1 << 16):
+                s = slice(i, i + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(kind[s].astype(np.int32)), *(pa.array(c[s].astype(np.int64)) for c in columns)], names=names)
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            columns = []
+            for blob in held:
+                n, m = np.frombuffer(blob, np.int64, 2)
+                at_, parts = 16, []
+                for kind, c in ((np.int64, m), (np.uint32, n), (np.uint32, n), (np.uint32, n), (np.uint16, n), (np.uint16, n), (np.uint16, n), (np.uint8, n)):
+                    parts.append(np.frombuffer(blob, kind, int(c), at_))
+                    at_ += int(c) * np.dtype(kind).itemsize
+                table, g, c, lo, g2, c2, local, size = parts
+                columns.append((g.astype(np.uint64) | g2.astype(np.uint64) << np.uint64(32), c.astype(np.uint64) | c2.astype(np.uint64) << np.uint64(32), table[local], lo.astype(np.int64), size.astype(np.int64)))
+            held.clear()
+            gram, content, doc, lo, size = (np.concatenate(x) for x in zip(*columns, strict=True))
+            order, new, later = later_ones([gram, content], doc, lo)
+            gone = order[later]
+            if len(gone):
+                d, s, e = merge_ranges(doc[gone], lo[gone], lo[gone] + size[gone])
+                yield from rows(np.zeros(len(d)), d, s, e - s, np.zeros(len(d)))
+            one = order[new]
+            g = gram[one]
+            start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+            pieces = np.diff(np.concatenate([start, [len(g)]]))
+            many = np.repeat(pieces, pieces)
+            keep = one[many > 1]
+            yield from rows(np.where(many[many > 1] > hot, 2, 1), doc[keep], lo[keep], size[keep], gram[keep])
 
-    def rows(kind: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(kind), 1 << 16):
-            s = slice(i, i + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(kind[s].astype(np.int32)), *(pa.array(c[s].astype(np.int64)) for c in columns)], names=names)
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for owner, kind, blob in zip(*(batch.column(c).to_pylist() for c in _PACKED), strict=True):
+                if kind == 0:
+                    doc, lo, end = np.frombuffer(unpack.decompress(blob), np.int64).reshape(3, -1)
+                    yield from rows(np.zeros(len(doc)), doc, lo, end - lo, np.zeros(len(doc)))
+                    continue
+                if owner != at:
+                    yield from close()
+                    at = owner
+                held.append(blob)
+        yield from close()
 
-    def close() -> Iterator[pa.RecordBatch]:
-        if not held:
-            return
-        columns = []
-        for blob in held:
-            n, m = np.frombuffer(blob, np.int64, 2)
-            at_, parts = 16, []
-            for kind, c in ((np.int64, m), (np.uint32, n), (np.uint32, n), (np.uint32, n), (np.uint16, n), (np.uint16, n), (np.uint16, n), (np.uint8, n)):
-                parts.append(np.frombuffer(blob, kind, int(c), at_))
-                at_ += int(c) * np.dtype(kind).itemsize
-            table, g, c, lo, g2, c2, local, size = parts
-            columns.append((g.astype(np.uint64) | g2.astype(np.uint64) << np.uint64(32), c.astype(np.uint64) | c2.astype(np.uint64) << np.uint64(32), table[local], lo.astype(np.int64), size.astype(np.int64)))
-        held.clear()
-        gram, content, doc, lo, size = (np.concatenate(x) for x in zip(*columns, strict=True))
-        order, new, later = later_ones([gram, content], doc, lo)
-        gone = order[later]
-        if len(gone):
-            d, s, e = merge_ranges(doc[gone], lo[gone], lo[gone] + size[gone])
-            yield from rows(np.zeros(len(d)), d, s, e - s, np.zeros(len(d)))
-        one = order[new]
-        g = gram[one]
-        start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-        pieces = np.diff(np.concatenate([start, [len(g)]]))
-        many = np.repeat(pieces, pieces)
-        keep = one[many > 1]
-        yield from rows(np.where(many[many > 1] > HOT, 2, 1), doc[keep], lo[keep], size[keep], gram[keep])
-
-    unpack = zstandard.ZstdDecompressor()
-    for batch in batches:
-        for owner, kind, blob in zip(*(batch.column(c).to_pylist() for c in _PACKED), strict=True):
-            if kind == 0:
-                doc, lo, end = np.frombuffer(unpack.decompress(blob), np.int64).reshape(3, -1)
-                yield from rows(np.zeros(len(doc)), doc, lo, end - lo, np.zeros(len(doc)))
-                continue
-            if owner != at:
-                yield from close()
-                at = owner
-            held.append(blob)
-    yield from close()
+    return own
 
 
 # -- the index ----------------------------------------------------------------------------------------------
@@ -261,93 +270,170 @@ def suffix_array(symbols: np.ndarray, left: np.ndarray) -> np.ndarray:
 
 
 class RunLengthIndex:
-    """Runs of the Burrows-Wheeler transform of some pieces, and the suffix array at their ends."""
+    """The runs of the Burrows-Wheeler transform of some pieces, sampled at their ends.
+
+    What is kept grows with the runs, not with the text: each run's symbol and length, and for its first suffix,
+    in text order, where that stands, the suffix before it in order (the last of the run before), and how many
+    symbols the two share.
+    """
 
     def __init__(self, pieces: list[bytes]) -> None:
         size = np.array([len(p) for p in pieces], np.int64) + 1
         end = np.cumsum(size)
         data = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8).astype(np.uint16) + 1
         data[end - 1] = 0
-        self.text, self.n = data, len(data)
-        self.left = np.repeat(end, size) - np.arange(self.n)
-        self.order = suffix_array(data, self.left)
-        before = data[self.order - 1]
-        before[self.order == 0] = 0
+        self.n = len(data)
+        order = suffix_array(data, np.repeat(end, size) - np.arange(self.n))
+        before = data[order - 1]
+        before[order == 0] = 0
         head = np.ones(self.n, bool)
-        head[1:] = (before[1:] != before[:-1]) | (before[1:] == 0)
-        self.head = np.flatnonzero(head)
-        #: Samples: the suffix at each run's first row, and at the row before it, the last of the run before.
-        self.first = self.order[self.head]
-        self.last = self.order[self.head - 1]
+        head[1:] = (before[1:] != before[:-1]) | (before[1:] == 0)  # every piece's end is a run of its own
+        start = np.flatnonzero(head)
+        self.symbol, self.length = before[start], np.diff(np.concatenate([start, [self.n]]))
+        first, last = order[start], order[start - 1]
+        by = np.argsort(first)
+        self.at, self.up = first[by], last[by]
+        self.shared = self._match(data, self.at, self.up)
+        self.shared[self.at == order[0]] = 0  # the first suffix has none before it
 
     @property
     def runs(self) -> int:
-        return len(self.head)
+        return len(self.symbol)
 
-    def head_matches(self) -> np.ndarray:
-        """Symbols that the first suffix of each run shares with the last of the run before."""
-        a, b = self.first.copy(), self.last.copy()
-        out = np.zeros(self.runs, np.int64)
-        live = np.flatnonzero(self.head > 0)
+    @staticmethod
+    def _match(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Symbols that the suffixes at a and b share, up to their pieces' ends."""
+        out, live = np.zeros(len(a), np.int64), np.arange(len(a))
         while len(live):
-            x, y = self.text[a[live]], self.text[b[live]]
+            x, y = data[a[live] + out[live]], data[b[live] + out[live]]
             live = live[(x == y) & (x > 0)]
             out[live] += 1
-            a[live] += 1
-            b[live] += 1
         return out
 
-    def matches(self) -> np.ndarray:
-        """Of each text position: the symbols shared with the suffix before it in order.
+    def matching_statistics(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of text positions: the symbols shared with the suffix before it in order, and where that stands.
 
-        Inside a run the neighbour's predecessor is the predecessor's neighbour, so a position that begins no
-        run shares one symbol less than the position before it: one pass through the text from the samples.
+        Inside a run the neighbour's predecessor is the predecessor's neighbour, so both follow from the last sample
+        at or before the position.
         """
-        sampled = np.full(self.n, -1, np.int64)
-        sampled[self.first] = self.head_matches()
-        at = np.maximum.accumulate(np.where(sampled >= 0, np.arange(self.n), 0))
-        return np.maximum(sampled[at] - (np.arange(self.n) - at), 0)
+        sample = np.searchsorted(self.at, at, "right") - 1
+        beyond = at - self.at[sample]
+        return np.maximum(self.shared[sample] - beyond, 0), self.up[sample] + beyond
+
+    def long_matches(self, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+        """Text positions that share ``length`` symbols and more with the suffix before them, and where that stands."""
+        gap = np.diff(np.concatenate([self.at, [self.n]]))
+        many = np.clip(self.shared - length + 1, 0, gap)
+        at = np.repeat(self.at - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        return at, self.matching_statistics(at)[1]
 
     def repeated(self, length: int = LENGTH) -> np.ndarray:
-        """Positions whose next ``length`` symbols also stand at an earlier one."""
-        share = self.matches()[self.order] >= length
-        start = np.flatnonzero(~share)
-        least = np.minimum.reduceat(self.order, start)
-        out = np.zeros(self.n, bool)
-        out[self.order] = self.order != np.repeat(least, np.diff(np.concatenate([start, [self.n]])))
-        return out
+        """Positions whose next ``length`` symbols also stand at an earlier one, in text order.
 
+        Long matches lead from each suffix to the one before it, so equal strings are chains; a chain's end is found
+        by doubling steps, and its least position stays.
+        """
+        at, before = self.long_matches(length)
+        node, which = np.unique(np.concatenate([at, before]), return_inverse=True)
+        step = np.arange(len(node))
+        step[which[: len(at)]] = which[len(at) :]
+        while True:
+            further = step[step]
+            if (further == step).all():
+                break
+            step = further
+        least = np.full(len(node), self.n)
+        np.minimum.at(least, step, node)
+        return node[node > least[step]]
+
+
+#: Pieces by shard and value, or, where piece is null, ranges that equal ones have lost.
+PIECES = "shard int, gram long, doc_id long, lo long, size long, piece binary"
+_PIECES = pa.schema([("shard", pa.int32()), ("gram", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int64()), ("size", pa.int64()), ("piece", pa.binary())])
+
+
+class Folded:
+    """Pieces to send, without those that this task has met at an earlier place."""
+
+    def __init__(self, shards: int) -> None:
+        self.shards, self.rows = shards, []
+        self.met: dict[tuple[int, bytes], tuple[int, int]] = {}
+        self.gone: list[tuple[int, int, int]] = []
+
+    def add(self, gram: int, doc: int, lo: int, piece: bytes) -> None:
+        place = self.met.get((gram, piece))
+        if place is not None and place < (doc, lo):
+            self.gone.append((doc, lo, lo + len(piece)))
+            return
+        if len(self.met) >= FOLD:
+            self.met.clear()
+        self.met[gram, piece] = doc, lo
+        self.rows.append((gram % self.shards, gram, doc, lo, len(piece), piece))
+
+    def close_document(self) -> None:
+        if self.gone:
+            for d, lo, end in zip(*(x.tolist() for x in merge_ranges(*np.array(self.gone, np.int64).T)), strict=True):
+                self.rows.append((d % self.shards, 0, d, lo, end - lo, None))
+            self.gone.clear()
+
+    def batches(self, least: int = 8192) -> Iterator[pa.RecordBatch]:
+        if len(self.rows) >= least:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*self.rows, strict=True), _PIECES, strict=True)], schema=_PIECES)
+            self.rows.clear()
+
+
+def anchor_in(text: bytes, lo: int, size: int, gram: int) -> int:
+    """Where the anchor of the windows of a piece stands: the leftmost k-mer of that hash that all of them hold."""
+    first, last = lo + size - LENGTH, lo + LENGTH - GRAM
+    h = BYTE_VALUE[np.frombuffer(text, np.uint8, last + GRAM - first, first)]
+    for k in (1, 2, 4, 8, 16):
+        h = _doubled(h, k)
+    return first + int(np.flatnonzero(mix(h) >> np.uint64(16) == np.uint64(gram))[0])
 
-PIECES = "shard int, gram long, doc_id long, lo long, piece binary"
+
+def bands(lo: int, size: int, anchor: int, width: int = BAND) -> Iterator[tuple[int, int, int, int]]:
+    """(start, end) of the windows of each band, and of what they share: bands begin at fixed places before the anchor."""
+    first, last = lo, lo + size - LENGTH
+    for j in range((anchor - last) // width, (anchor - first) // width + 1):
+        top, low = anchor - width * j, anchor - width * j - width + 1
+        yield max(first, low), min(last, top) + LENGTH, top, low + LENGTH
 
 
 def _cut_pieces(shards: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pieces as they are, or band by band where their anchor is hot; the value of a band is a hash of what its windows share."""
         unpack = zstandard.ZstdDecompressor()
-        out: list[tuple] = []
-
-        def batch_of() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["shard", "gram", "doc_id", "lo", "piece"])
-            out.clear()
-            return made
-
+        out = Folded(shards)
         for b in batches:
             for doc, blob, wanted in zip(*(b.column(c).to_pylist() for c in ("doc_id", "blob", "wanted")), strict=True):
                 text = unpack.decompress(blob)
                 for w in wanted:
                     lo, size, gram = w["lo"], w["size"], w["gram"]
                     if w["kind"] == 1:
-                        out.append((gram % shards, gram, doc, lo, text[lo : lo + size]))
+                        out.rows.append((gram % shards, gram, doc, lo, size, text[lo : lo + size]))
                         continue
-                    for s in range(lo, lo + size - LENGTH + 1):
-                        value = xxhash.xxh64_intdigest(text[s : s + LENGTH]) >> 1
-                        out.append((value % shards, value, doc, s, text[s : s + LENGTH]))
-                    if len(out) > 8192:
-                        yield batch_of()
-                if len(out) > 8192:
-                    yield batch_of()
-        if out:
-            yield batch_of()
+                    for start, end, x, y in bands(lo, size, anchor_in(text, lo, size, gram)):
+                        # Values of bands are negative, so they meet no anchor's.
+                        out.add(-1 - (xxhash.xxh64_intdigest(text[x:y]) >> 1), doc, start, text[start:end])
+                out.close_document()
+                yield from out.batches()
+        yield from out.batches(1)
+
+    return cut
+
+
+def _cut_windows(shards: int):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Single windows of bands with very many contents."""
+        out = Folded(shards)
+        for b in batches:
+            for doc, lo, piece in zip(*(b.column(c).to_pylist() for c in ("doc_id", "lo", "piece")), strict=True):
+                for s in range(len(piece) - LENGTH + 1):
+                    window = piece[s : s + LENGTH]
+                    out.add(-1 - (xxhash.xxh64_intdigest(window) >> 1), doc, lo + s, window)
+                out.close_document()
+            yield from out.batches()
+        yield from out.batches(1)
 
     return cut
 
@@ -358,34 +444,47 @@ RANGES = "doc_id long, lo long, size long"
 def repeated_ranges(doc: list[int], lo: list[int], pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ranges (document, start, end) that hold repeated windows of these pieces."""
     order = np.lexsort((np.array(lo, np.int64), np.array(doc, np.int64)))
-    d, s = np.array(doc, np.int64)[order], np.array(lo, np.int64)[order]
-    index = RunLengthIndex([pieces[i] for i in order])
-    hit = np.flatnonzero(index.repeated())
-    size = np.array([len(pieces[i]) + 1 for i in order], np.int64)
-    start = np.cumsum(size) - size
+    earliest: dict[bytes, int] = {}
+    gone = [i for i in order if earliest.setdefault(pieces[i], i) != i]
+    first = np.array(list(earliest.values()), np.int64)
+    d, s = np.array(doc, np.int64), np.array(lo, np.int64)
+    size = np.array([len(p) for p in pieces], np.int64)
+    hit = RunLengthIndex(list(earliest)).repeated()
+    start = np.cumsum(size[first] + 1) - size[first] - 1
     of = np.searchsorted(start, hit, "right") - 1
-    begin = s[of] + hit - start[of]
-    return merge_ranges(d[of], begin, begin + LENGTH)
+    begin = s[first[of]] + hit - start[of]
+    gone = np.array(gone, np.int64)
+    return merge_ranges(np.concatenate([d[first[of]], d[gone]]), np.concatenate([begin, s[gone]]), np.concatenate([begin + LENGTH, s[gone] + size[gone]]))
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces in the order of their anchors in; shards of SHARD bytes and more, whole anchors each."""
+    """Pieces in the order of their values in; shards of SHARD bytes and more, whole values each."""
     held: list[tuple[int, int, bytes]] = []
+    lost: list[tuple[int, int, int]] = []
     size, at = 0, None
 
+    def rows(d: list, s: list, n: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (d, s, n)], names=["doc_id", "lo", "size"])
+
     def close() -> pa.RecordBatch:
         d, s, e = repeated_ranges(*map(list, zip(*held, strict=True)))
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(d), pa.array(s), pa.array(e - s)], names=["doc_id", "lo", "size"])
+        return rows(d, s, e - s)
 
     for b in batches:
-        for gram, doc, lo, piece in zip(*(b.column(c).to_pylist() for c in ("gram", "doc_id", "lo", "piece")), strict=True):
+        for gram, doc, lo, n, piece in zip(*(b.column(c).to_pylist() for c in ("gram", "doc_id", "lo", "size", "piece")), strict=True):
+            if piece is None:
+                lost.append((doc, lo, n))
+                continue
             if size > SHARD and gram != at:
                 yield close()
                 size = 0
             at = gram
             held.append((doc, lo, piece))
             size += len(piece) + 1
+        if lost:
+            yield rows(*zip(*lost, strict=True))
+            lost.clear()
     if held:
         yield close()
 
@@ -416,23 +515,30 @@ def _keep(with_text: bool):
     return keep
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each document; with_text adds kept (bytes)."""
+def remove_repeats(docs: DataFrame, with_text: bool = False, hot: int = HOT) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row; with_text adds kept (bytes)."""
     spark = docs.sparkSession
-    owners = partitions(spark)
+    owners = owners_of(docs)
     with Workspace(spark, "repeats") as ws:
-        rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        zipped = rows.mapInArrow(_zipped, "doc_id long, blob binary")
-        anchored = rows.mapInArrow(tidy(_anchor(owners)), "owner int, kind int, blob binary")
-        owned = ws.keep(anchored.repartition(owners, "owner").sortWithinPartitions("owner").mapInArrow(tidy(_own), OWNED), "owned")
-        wanted = owned.where("kind > 0").groupBy("doc_id").agg(F.collect_list(F.struct("kind", "lo", "size", "gram")).alias("wanted"))
-        pieces = zipped.join(wanted, "doc_id").select("doc_id", "blob", "wanted").mapInArrow(_cut_pieces(owners), PIECES)
+        rows, own = keyed(ws, docs.withColumn("text", F.col("text").cast("string")), "doc_id", "text")
+        texts = rows.select(F.col("row").alias("doc_id"), "text")
+        zipped = texts.mapInArrow(_zipped, "doc_id long, blob binary")
+        anchored = texts.mapInArrow(tidy(_anchor(owners)), "owner int, kind int, blob binary")
+        owned = ws.keep(anchored.repartition(owners, "owner").sortWithinPartitions("owner").mapInArrow(tidy(_own(hot)), OWNED), "owned")
+        wanted = lambda kind: owned.where(F.col("kind") == kind).groupBy("doc_id").agg(F.collect_list(F.struct("kind", "lo", "size", "gram")).alias("wanted"))
+        cut = lambda kind: zipped.join(wanted(kind), "doc_id").select("doc_id", "blob", "wanted").mapInArrow(_cut_pieces(owners), PIECES)
+        pieces = cut(1)
+        if not owned.where("kind = 2").isEmpty():
+            banded = ws.keep(cut(2), "bands")
+            full = ws.keep(banded.where("piece is not null").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("gram"), "full")
+            windows = banded.join(full, "gram", "left_semi").where("piece is not null").select("doc_id", "lo", "piece").mapInArrow(_cut_windows(owners), PIECES)
+            pieces = pieces.union(banded.join(full, "gram", "left_anti")).union(windows)
         ordered = pieces.repartition(owners, "shard").sortWithinPartitions("shard", "gram")
-        compared = ws.keep(ordered.select("gram", "doc_id", "lo", "piece").mapInArrow(tidy(_compare), RANGES), "compared")
+        compared = ws.keep(ordered.select("gram", "doc_id", "lo", "size", "piece").mapInArrow(tidy(_compare), RANGES), "compared")
         ranges = owned.where("kind = 0").select("doc_id", "lo", "size").union(compared)
         gone = ranges.groupBy("doc_id").agg(F.collect_list(F.shiftleft("lo", 32) + F.col("size")).alias("gone"))
         found = zipped.join(gone, "doc_id", "left").select("doc_id", "blob", "gone").mapInArrow(_keep(with_text), KEPT + ", kept binary" * with_text)
-        return ws.result(found)
+        return ws.result(renamed(found, rows, own, "doc_id", "doc_id"))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
