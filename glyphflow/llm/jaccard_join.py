@@ -17,9 +17,9 @@ universe is cut into, at most H hold different subsets.
     alternating stars.
 
 Defined cases: null and empty texts, and those without words, have no shingles and are linked with nothing;
-fewer than five words are one shingle; equal sets of one task are folded and linked; rows repeated with one
-id are one document; rows whose id is null are left out; an empty table gives an empty result; no column but
-doc_id and text is read.
+fewer than five words are one shingle; equal sets of one task are folded and linked; rows that share an id or
+have none are documents of their own (each with a row of the result), and a component is named by the smallest
+id in it, null only if none has one; an empty table gives an empty result; no column but doc_id and text is read.
 """
 
 from __future__ import annotations
@@ -38,13 +38,15 @@ from pyspark.sql import functions as F
 from ..sources.tables import read
 from .components import components
 from .textbytes import as_bytes, chunks, mix, span_hashes, tidy, words
-from .workspace import Workspace, partitions
+from .workspace import Workspace, keyed, owners_of, partitions, renamed
 
 SHINGLE = 5
 #: Groups of one signature up to this size give all their pairs; larger ones are treated in another exact way.
 SMALL = 24
-#: Signatures and documents that a task packs together.
-PACK_SIGNATURES, PACK_DOCS = 3_000_000, 60_000
+#: Signatures and documents that a task packs together; slices of an owner's signatures, which it takes one by one.
+PACK_SIGNATURES, PACK_DOCS, SLICES = 3_000_000, 60_000, 4
+#: Shingles of more than one in this many of a partition's share of all are met by a broadcast table.
+HEAVY = 8
 _STEP = [np.uint64(int(x) | 1) for x in np.random.default_rng(77).integers(1, 1 << 62, SHINGLE + 1)]
 
 
@@ -145,10 +147,10 @@ def _sign(owners: int):
             squeeze = zstandard.ZstdCompressor(level=1)
             sig = np.concatenate(held) if held else np.zeros(0, np.uint64)
             doc = np.concatenate(of) if of else np.zeros(0, np.uint16)
-            owner = (sig % np.uint64(owners)).astype(np.int64)
+            owner = (sig % np.uint64(owners * SLICES)).astype(np.int64)
             order = np.lexsort((sig, owner))
             sig, doc, owner = sig[order], doc[order], owner[order]
-            cut = np.searchsorted(owner, np.arange(owners + 1))
+            cut = np.searchsorted(owner, np.arange(owners * SLICES + 1))
             table = np.array(ids, np.int64)
             low, high = np.array(spares, np.int64).reshape(-1, 2).T
             out = []
@@ -160,21 +162,32 @@ def _sign(owners: int):
                 # The high halves are in order, so their steps take next to no space.
                 high_steps = squeeze.compress(np.diff((s >> np.uint64(32)).astype(np.int64), prepend=0).astype(np.uint16).tobytes())
                 blob += (s & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + local.astype(np.uint16).tobytes() + high_steps
-                out.append((int(o), 1, blob))
+                out.append((int(o) // SLICES, 1 + int(o) % SLICES, blob))
             if rows:
                 out.append((task % owners, 0, squeeze.compress(np.array(rows, np.int64).tobytes())))
             for i in range(0, len(out), 64):
                 o, kind, blob = zip(*out[i : i + 64], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(o, pa.int32()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], names=["owner", "kind", "blob"])
 
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal count
+            yield from pack()
+            for x in (ids, spares, held, of, rows):
+                x.clear()
+            count = 0
+
         for docs, texts in chunks(batches, "doc_id"):
             for doc, values in zip(docs.tolist(), shingle_sets(texts), strict=True):
                 if not len(values):
                     rows.append((doc, 0, doc))
+                    if len(rows) >= 4 * PACK_DOCS:
+                        yield from flush()
                     continue
                 rep = folded.setdefault(hashlib.blake2b(values.tobytes(), digest_size=16).digest(), doc)
                 rows.append((doc, len(values), rep))
                 if rep != doc:
+                    if len(rows) >= 4 * PACK_DOCS:
+                        yield from flush()
                     continue
                 signed = [signatures(values, k) for k in families(len(values))]
                 for s, _ in signed:
@@ -184,10 +197,7 @@ def _sign(owners: int):
                 ids.append(doc)
                 spares.append((min(x for _, x in signed), len(values)))
                 if count > PACK_SIGNATURES or len(ids) == PACK_DOCS:
-                    yield from pack()
-                    for x in (ids, spares, held, of, rows):
-                        x.clear()
-                    count = 0
+                    yield from flush()
             if len(folded) > 500_000:
                 folded.clear()
         yield from pack()
@@ -221,8 +231,8 @@ def _pairs_of(doc: np.ndarray, size: np.ndarray, spare: np.ndarray, start: np.nd
 
 def _group(small: int):
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blobs in the order of their owners in; documents (0), pairs (1) and members of large groups (2) out."""
-        at: int | None = None
+        """Blobs in the order of their owners and slices in; documents (0), pairs (1) and members of large groups (2) out."""
+        at: tuple[int, int] | None = None
         held: list[bytes] = []
 
         def rows(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray, need: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
@@ -265,9 +275,9 @@ def _group(small: int):
                     table = np.frombuffer(unpack.decompress(blob), np.int64).reshape(-1, 3)
                     yield from rows(0, table[:, 0], table[:, 2], table[:, 1])
                     continue
-                if owner != at:
+                if (owner, kind) != at:
                     yield from close()
-                    at = owner
+                    at = owner, kind
                 held.append(blob)
         yield from close()
 
@@ -335,36 +345,48 @@ def _by_rare_shingles(ws: Workspace, texts: DataFrame, parts: DataFrame) -> Data
 
     In the order of rarity, the first n - ceil(6n/7) + 1 shingles of the smaller of two linked sets and the
     first n - ceil(3n/4) + 1 of the larger have one in common, and behind it there is room for what else they
-    must share.  Of a shingle's sets only those of different components are paired, and the most frequent
-    component's members not with each other.
+    must share.  Sets meet by shingle and by band of sizes, in which a partner is at most one band up.  Of those
+    that meet only sets of different components are paired, and the most frequent component's members not with
+    each other.
     """
     tokens = ws.keep(texts.mapInArrow(tidy(_tokens), "token long, doc_id long, size long"), "tokens")
-    common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    met = tokens.join(common, "token")
+    common = ws.keep(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "common")
+    # A shingle of a large share of all rows would be one task's join: those, fewer than HEAVY for each partition, are broadcast.
+    share = max(2, tokens.count() // (HEAVY * partitions(ws.spark)))
+    heavy, light = common.where(F.col("df") > share), common.where(F.col("df") <= share)
+    named = tokens.join(F.broadcast(heavy.withColumnRenamed("df", "heavy")), "token", "left")
+    met = named.where("heavy is not null").withColumnRenamed("heavy", "df").union(named.where("heavy is null").drop("heavy").join(light, "token"))
     by_rarity = Window.partitionBy("doc_id").orderBy("df", "token")
     alone = F.col("size") - F.count(F.lit(1)).over(Window.partitionBy("doc_id"))
     placed = met.withColumn("pos", alone + F.row_number().over(by_rarity)).where("pos <= size - (3 * size + 3) div 4 + 1")
     placed = placed.join(parts, F.col("doc_id") == F.col("node"), "left")
-    entries = ws.keep(placed.select("token", "doc_id", "size", "pos", F.coalesce("component", "doc_id").alias("part"), F.expr("pos <= size - (6 * size + 6) div 7 + 1").alias("first")), "entries")
-    sizes = entries.groupBy("token", "part").agg(F.count(F.lit(1)).alias("n"), F.max("first").alias("first"))
-    mixed = sizes.groupBy("token").agg(F.max_by("part", F.struct("n", -F.col("part"))).alias("main"), F.count(F.lit(1)).alias("parts"), F.max("first").alias("first")).where("parts > 1 AND first")
-    held = entries.join(mixed.select("token", "main"), "token")
-    side = lambda c, where: held.where(where).select("token", *[F.col(x).alias(f"{c}_{x}") for x in ("doc_id", "size", "pos", "part")])
+    entries = placed.select("token", "doc_id", "size", "pos", F.coalesce("component", "doc_id").alias("part"), F.expr("pos <= size - (6 * size + 6) div 7 + 1").alias("first"))
+    entries = ws.keep(entries, "entries")
+    band_of = lambda size: F.floor(F.log(size) / np.log(4 / 3)).cast("int")
+    larger = entries.withColumns({"band": band_of(F.col("size")), "role": F.lit("s")})
+    # A smaller set's partners have at most 4/3 of its size, so their bands are these.
+    smaller = entries.where("first").withColumns({"band": F.explode(F.sequence(band_of(F.col("size")), band_of(F.expr("4 * size div 3")))), "role": F.lit("r")})
+    roles = larger.unionByName(smaller)
+    sizes = roles.groupBy("token", "band", "part").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("role") == "r").alias("r"), F.max(F.col("role") == "s").alias("s"))
+    mixed = sizes.groupBy("token", "band").agg(F.max_by("part", F.struct("n", -F.col("part"))).alias("main"), F.count(F.lit(1)).alias("parts"), F.max("r").alias("r"), F.max("s").alias("s"))
+    held = ws.keep(roles.join(mixed.where("parts > 1 AND r AND s").select("token", "band", "main"), ["token", "band"]), "met")
+    side = lambda role, where: held.where(F.col("role") == role).where(where).select("token", "band", *[F.col(x).alias(f"{role}_{x}") for x in ("doc_id", "size", "pos", "part")])
     room = "4 * r_size >= 3 * s_size AND 7 * (1 + least(r_size - r_pos, s_size - s_pos)) >= 3 * (r_size + s_size)"
     order = "(r_size < s_size OR (r_size = s_size AND r_doc_id < s_doc_id)) AND r_part <> s_part"
-    one = side("r", "first AND part <> main").join(side("s", "true"), "token").where(f"{order} AND {room}")
-    two = side("r", "first AND part = main").join(side("s", "part <> main"), "token").where(f"{order} AND {room}")
+    one = side("r", "part <> main").join(side("s", "true"), ["token", "band"]).where(f"{order} AND {room}")
+    two = side("r", "part = main").join(side("s", "part <> main"), ["token", "band"]).where(f"{order} AND {room}")
     return one.union(two).select(F.least("r_doc_id", "s_doc_id").alias("a"), F.greatest("r_doc_id", "s_doc_id").alias("b")).distinct()
 
 
 def jaccard_join(docs: DataFrame, small: int = SMALL) -> DataFrame:
-    """doc_id, n_shingles, component_id for each document (doc_id, text)."""
+    """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
-    owners = partitions(spark)
+    owners = owners_of(docs)
     with Workspace(spark, "jaccard") as ws:
-        rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        numbered, own = keyed(ws, docs.withColumn("text", F.col("text").cast("string")), "doc_id", "text")
+        rows = numbered.select(F.col("row").alias("doc_id"), "text")
         signed = rows.mapInArrow(tidy(_sign(owners)), "owner int, kind int, blob binary")
-        grouped = ws.keep(signed.repartition(owners, "owner").sortWithinPartitions("owner").mapInArrow(tidy(_group(small)), GROUPED), "grouped")
+        grouped = ws.keep(signed.repartition(owners, "owner").sortWithinPartitions("owner", "kind").mapInArrow(tidy(_group(small)), GROUPED), "grouped")
         found = grouped.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("b").alias("rep"))
         # Sets that large groups may leave with too few signatures: the spare is the lesser of its two bands'
         # and all its large groups count against it.
@@ -383,7 +405,7 @@ def jaccard_join(docs: DataFrame, small: int = SMALL) -> DataFrame:
         stars = ws.keep(held.join(first, "gid").groupBy(F.col("member").alias("b")).agg(F.min("a").alias("a")).where("a <> b").select("a", "b"), "stars")
         named = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(stars.select("a")).union(stars.select("b")).union(bound).distinct()
         zipped = rows.mapInArrow(_zipped, "doc_id long, blob binary")
-        texts = ws.keep(zipped.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+        texts = ws.keep(zipped.join(named, "doc_id", "left_semi"), "texts")
         links = found.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
         links = links.union(_linked(ws, texts, stars, "links-1"))
         parts = components(ws, links, "first")
@@ -393,7 +415,7 @@ def jaccard_join(docs: DataFrame, small: int = SMALL) -> DataFrame:
             rare = _by_rare_shingles(ws, texts.join(bound.select(F.col("member").alias("doc_id")), "doc_id", "left_semi"), parts)
             parts = components(ws, links.union(_linked(ws, texts, rare, "links-3")), "third")
         joined = found.join(parts, F.col("doc_id") == F.col("node"), "left")
-        return ws.result(joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")))
+        return ws.result(renamed(joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")), numbered, own, "doc_id", "doc_id", "component_id"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 
 from glyphflow.llm import jaccard_join as m
 
-from .messy import documents
+from .messy import documents, with_null_id
 
 
 def shingles(text):
@@ -14,20 +14,26 @@ def shingles(text):
 
 
 def brute(rows):
-    sets = {d: shingles(t) for d, t in rows}
-    parent = {d: d for d in sets}
+    """(id, shingles, component) of each row, by comparing all pairs."""
+    sets = [shingles(t) for _, t in rows]
+    parent = list(range(len(rows)))
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for a in sets:
-        for b in sets:
-            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
-                x, y = find(a), find(b)
-                parent[max(x, y)] = min(x, y)
-    return {d: (len(s), find(d)) for d, s in sets.items()}
+    order = lambda i: (rows[i][0] is None, rows[i][0] or 0)
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)), key=order)
+                parent[y] = x
+    return sorted(((d, len(sets[i]), rows[find(i)][0]) for i, (d, _) in enumerate(rows)), key=str)
+
+
+def run(df, *options):
+    return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in m.jaccard_join(df, *options).collect()), key=str)
 
 
 def near(rng, n=220):
@@ -48,21 +54,23 @@ def near(rng, n=220):
 def test_components_match_brute_force(spark):
     rows = near(random.Random(1))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    want = brute(rows)
     for small in (24, 3):
-        got = {r.doc_id: (r.n_shingles, r.component_id) for r in m.jaccard_join(df, small).collect()}
-        assert got == want
+        assert run(df, small) == brute(rows)
 
 
 def test_messy_table(spark):
     df, rows = documents(spark)
-    got = m.jaccard_join(df).collect()
-    assert len(got) == len(rows)
-    want = brute(rows)
-    assert all((r.n_shingles, r.component_id) == want[r.doc_id] for r in got)
+    assert run(df) == brute(with_null_id(rows))
     assert m.jaccard_join(df.where("false")).count() == 0
 
 
+def test_null_and_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(5, a + " more"), (5, b + " more"), (6, a), (7, b), (None, c), (None, c), (None, a)]
+    for parts in (1, 3):
+        assert run(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)) == brute(rows)
+
+
 def test_linked_sets_share_as_many_signatures_as_promised():
     rng = np.random.default_rng(5)
     for n in (1, 2, 3, 4, 7, 12, 30, 90, 400):
