@@ -1,8 +1,10 @@
 """Embedding near-dedup through a pivot-permutation index.
 
 1.  Equal vectors of one task are folded into one with a weight, so a group of copies has few rows.
-2.  Pivots: PIVOTS vectors of a hash-ordered sample, none near another.  Each vector is described by its
-    NEAREST nearest pivots, in order.
+2.  Pivots: vectors of a hash-ordered sample, none near another, chosen for each dimension; vectors of a dimension
+    that the sample lacks take random directions.  Each vector is described by its nearest pivots, in order.
+    Pivots are as many as the table needs, from PIVOTS up to MOST_PIVOTS or PIVOT_BYTES, and with their
+    number the nearest that are kept.
 3.  The inverted lists are kept by pairs of pivots: a vector enters the list of every pair among its own, so
     whatever meets in a list shares at least two pivots.  A pair of vectors is judged in the list of the two
     smallest pivots that it shares, once.
@@ -11,9 +13,10 @@
 
 The sample is bounded and all vectors are indexed; the tests measure recall against brute force.
 
-Defined cases: null vectors, null or non-finite components, zero vectors and vectors of another dimension
-than most pivots have link with nothing and are their own component; rows whose id is null are left out; a
-repeated row counts as another vector; an empty table gives an empty result; other columns are not read.
+Defined cases: null vectors, null or non-finite components and zero vectors link with nothing and are their own
+component; vectors of different dimensions do not link; rows that share an id, or have none, are vectors of
+their own (each with a row of the result), and a component is named by the smallest id in it, null only if none
+has one; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,12 +31,15 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import read
 from .components import components
-from .workspace import Workspace, partitions
+from .workspace import Workspace, keyed, owners_of, renamed
 
-PIVOTS, NEAREST, BLOCK = 512, 5, 1024
+#: Pivots at least and at most, the bytes they may take, and the vectors for each one.
+PIVOTS, MOST_PIVOTS, PIVOT_BYTES, EACH = 512, 8192, 32 << 20, 512
+#: Vectors of a block.
+BLOCK = 1024
 COSINE = 0.95
-#: Pivots are drawn from this many vectors, and none has a larger cosine with an earlier one than this.
-SAMPLE, APART = 4096, 0.9
+#: Pivots are drawn from this many times as many vectors, and none has a larger cosine with an earlier one than this.
+SAMPLE, APART = 4, 0.9
 #: Distinct vectors that a task holds for folding.
 FOLD = 1 << 16
 
@@ -61,18 +67,34 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def choose_pivots(vectors: list[np.ndarray], most: int = PIVOTS) -> np.ndarray:
-    """The first vectors, of the most common dimension, that are apart from those chosen before."""
-    if not vectors:
-        return np.zeros((0, 0))
-    sizes = [len(v) for v in vectors]
-    dimension = max(sorted(set(sizes)), key=sizes.count)
-    x = unit(np.array([v for v in vectors if len(v) == dimension]))
-    chosen: list[int] = []
-    for i in range(len(x)):
-        if len(chosen) < most and (not chosen or (x[chosen] @ x[i]).max() < APART):
-            chosen.append(i)
-    return x[chosen]
+def nearest_of(pivots: int) -> int:
+    """How many nearest pivots describe a vector: the more there are, the fewer of them near vectors share."""
+    return 5 if pivots <= 1024 else 6 if pivots <= 4096 else 7
+
+
+def choose_pivots(vectors: list[np.ndarray], most: int = PIVOTS) -> dict[int, np.ndarray]:
+    """For each dimension the first vectors that are apart from those chosen before; dimensions share by number."""
+    by_size: dict[int, list[np.ndarray]] = {}
+    for v in vectors:
+        by_size.setdefault(len(v), []).append(v)
+    out = {}
+    for dimension, found in by_size.items():
+        x, chosen = unit(np.array(found)), []
+        share = max(64, most * len(found) // len(vectors))
+        for i in range(len(x)):
+            if len(chosen) == share:
+                break
+            if not chosen or (x[chosen] @ x[i]).max() < APART:
+                chosen.append(i)
+        out[dimension] = x[chosen]
+    return out
+
+
+def pivots_of(pivots: dict[int, np.ndarray], dimension: int) -> np.ndarray:
+    """The pivots for vectors of this dimension; directions at random where the sample had none."""
+    if dimension not in pivots:
+        pivots[dimension] = unit(np.random.default_rng(dimension).normal(size=(64, dimension)))
+    return pivots[dimension]
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,17 +123,19 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush()
 
 
-def nearest_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+def nearest_pivots(x: np.ndarray, pivots: np.ndarray, near: int | None = None) -> np.ndarray:
     """The numbers of each row's nearest pivots, ascending."""
-    near = min(NEAREST, len(pivots))
-    return np.sort(np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :near], axis=1).astype(np.int32)
+    near = min(near or nearest_of(len(pivots)), len(pivots))
+    found = [np.argpartition(-(x[i : i + 512] @ pivots.T), near - 1, axis=1)[:, :near] for i in range(0, len(x), 512)]
+    return np.sort(np.concatenate(found), axis=1).astype(np.int32)
 
 
-def pair_keys(near: np.ndarray) -> np.ndarray:
+def pair_keys(near: np.ndarray, dimension: int = 0) -> np.ndarray:
     """The list of every pair of a row's pivots; a single pivot pairs with itself."""
+    first = np.int64(dimension) << 32
     if near.shape[1] < 2:
-        return near.astype(np.int64) * PIVOTS + near
-    return np.stack([near[:, a].astype(np.int64) * PIVOTS + near[:, b] for a, b in combinations(range(near.shape[1]), 2)], axis=1)
+        return first + (near.astype(np.int64) << 16) + near
+    return np.stack([first + (near[:, a].astype(np.int64) << 16) + near[:, b] for a, b in combinations(range(near.shape[1]), 2)], axis=1)
 
 
 def verify(rep: np.ndarray, weight: np.ndarray, near: np.ndarray, x: np.ndarray, key: int, side: np.ndarray | None, cosine: float = COSINE) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +147,7 @@ def verify(rep: np.ndarray, weight: np.ndarray, near: np.ndarray, x: np.ndarray,
     np.fill_diagonal(link, False)
     if side is not None:
         link &= side[:, None] != side[None, :]
-    p, q = divmod(key, PIVOTS)
+    p, q = (key >> 16) & 0xFFFF, key & 0xFFFF
     for u in np.unique(near[(near < q) & (near != p)]):  # a smaller pair is shared: judged in its list
         has = (near == u).any(axis=1)
         link &= ~(has[:, None] & has[None, :])
@@ -136,24 +160,34 @@ def verify(rep: np.ndarray, weight: np.ndarray, near: np.ndarray, x: np.ndarray,
         label = new
 
 
-def near_vectors(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """vec_id, n_links (other vectors with a cosine of at least ``cosine``), component_id, kept for each row."""
+def near_vectors(embeddings: DataFrame, cosine: float = COSINE, pivots: int | None = None) -> DataFrame:
+    """vec_id, n_links (other vectors with a cosine of at least ``cosine``), component_id, kept for each row.
+
+    pivots: how many; by default as the table needs.
+    """
     spark = embeddings.sparkSession
+    owners = owners_of(embeddings)
     with Workspace(spark, "vectors", batch_rows=2048) as ws:
-        rows = embeddings.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-        sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()  # bounded
-        pivots = choose_pivots([v for v in _vectors(sample.column("embedding")) if v is not None] if sample.num_rows else [])
-        shared = spark.sparkContext.broadcast(pivots)  # PIVOTS vectors
+        numbered, own = keyed(ws, embeddings.withColumn("embedding", F.col("embedding").cast("array<double>")), "vec_id", "embedding")
+        rows = numbered.select(F.col("row").alias("vec_id"), "embedding")
+        longest, n = rows.agg(F.max(F.size("embedding")), F.count(F.lit(1))).first()
+        room = PIVOT_BYTES // (8 * max(1, longest or 1))
+        most = pivots or max(min(PIVOTS, room), min(n // EACH, MOST_PIVOTS, room))
+        sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE * most).toArrow()  # SAMPLE * PIVOT_BYTES
+        chosen = choose_pivots([v for v in _vectors(sample.column("embedding")) if v is not None] if sample.num_rows else [], most)
+        shared = spark.sparkContext.broadcast(chosen)  # PIVOT_BYTES
         folded = ws.keep(rows.mapInArrow(_fold, FOLDED), "folded")
         reps = folded.where("vector is not null").select("rep", "weight", "vector")
 
         def index(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+            """For each dimension of a batch: the batch, its rows of that dimension, their pivots and lists."""
             for b in batches:
                 raw = b.column("vector").to_pylist()
-                at = np.array([i for i, v in enumerate(raw) if len(v) == 8 * shared.value.shape[1]], np.int64)
-                if len(at):
-                    near = nearest_pivots(unit(np.frombuffer(b"".join(raw[i] for i in at)).reshape(len(at), -1)), shared.value)
-                    yield b, at, near, pair_keys(near)
+                size = np.array([len(v) // 8 for v in raw], np.int64)
+                for dimension in np.unique(size).tolist():
+                    at = np.flatnonzero(size == dimension)
+                    near = nearest_pivots(unit(np.frombuffer(b"".join(raw[i] for i in at)).reshape(len(at), -1)), pivots_of(shared.value, dimension))
+                    yield b, at, near, pair_keys(near, dimension)
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for _, _, _, keys in index(batches):
@@ -164,7 +198,7 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
             for b, at, near, keys in index(batches):
                 k = keys.shape[1]
                 row = pa.array(np.repeat(at, k))
-                packed = pa.array([p.tobytes() for p in near], pa.binary()).take(pa.array(np.repeat(np.arange(len(at)), k)))
+                packed = pa.array([p.astype(np.uint16).tobytes() for p in near], pa.binary()).take(pa.array(np.repeat(np.arange(len(at)), k)))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), b.column("rep").take(row), b.column("weight").take(row), packed, b.column("vector").take(row)], names=["key", "rep", "weight", "pivots", "vector"])
 
         long = reps.select("vector").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
@@ -173,7 +207,7 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
         blocks = listed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         blocks = blocks.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
         order = ["key", "i", "j"]
-        dealt = blocks.repartition(partitions(spark), *order).sortWithinPartitions(*order)
+        dealt = blocks.repartition(owners, *order).sortWithinPartitions(*order)
 
         def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at: tuple | None = None
@@ -183,7 +217,7 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
                 if len(held) < 2:
                     return None
                 rep, weight = (np.array([h[c] for h in held], np.int64) for c in (0, 1))
-                near = np.frombuffer(b"".join(h[2] for h in held), np.int32).reshape(len(held), -1)
+                near = np.frombuffer(b"".join(h[2] for h in held), np.uint16).astype(np.int64).reshape(len(held), -1)
                 x = unit(np.frombuffer(b"".join(h[3] for h in held)).reshape(len(held), -1))
                 side = None if at[1] == at[2] else np.array([h[4] for h in held]) == at[1]
                 links, least = verify(rep, weight, near, x, at[0], side, cosine)
@@ -207,7 +241,8 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
         members = folded.where("vector is null").select("vec_id", "rep").join(weights, "rep", "left").join(links, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left")
         component = F.coalesce("component", "rep")
         n_links = F.coalesce("links", F.lit(0)) + F.coalesce(F.col("weight") - 1, F.lit(0))
-        return ws.result(members.select("vec_id", n_links.cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept")))
+        found = members.select("vec_id", n_links.cast("long").alias("n_links"), component.alias("component_id"))
+        return ws.result(renamed(found, numbered, own, "vec_id", "vec_id", "component_id").withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))))
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ def test_recall_and_precision(spark):
     rows = [(i, v.tolist(), 0, 1, 2, 3) for i, v in enumerate(x)]
     n = len(rows)
     odd = [(n, None), (n + 1, [0.0] * 24), (n + 2, [float("nan")] * 24), (n + 3, [1.0, None] + [0.0] * 22), (n + 4, [1.0, 2.0]), (n + 5, []), (n + 6, [float("inf")] + [1.0] * 23)]
-    rows += [(i, v, 0, 1, 2, 3) for i, v in odd] + [(None, x[0].tolist(), 0, 1, 2, 3)]
+    rows += [(i, v, 0, 1, 2, 3) for i, v in odd]
     got = {r.vec_id: r for r in m.near_vectors(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
     assert len(got) == n + 7
     u = m.unit(x.astype(np.float64))
@@ -45,3 +45,36 @@ def test_blocks_judge_each_pair_once():
         links, _ = m.verify(at.astype(np.int64), np.ones(len(at), np.int64), near[at], x[at], int(key), None, cosine=-1.0)
         total[at] += links
     assert (total == 39).all()  # five of six pivots each, so every pair shares two and more
+
+
+def test_null_and_repeated_ids(spark):
+    v, w = [1.0, 2.0, 3.0], [3.0, -1.0, 0.5]
+    rows = [(1, v), (2, v), (1, v), (None, w), (None, w), (4, w), (5, [1.0, 2.0])]
+    for parts in (1, 3):
+        got = m.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(parts)).collect()
+        want = [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (4, 2, 4, True), (None, 2, 4, False), (None, 2, 4, False), (5, 0, 5, True)]
+        assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_every_dimension_is_indexed(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(200, 8)))]
+    rare = rng.normal(size=5)
+    rows += [(1000, rare.tolist()), (1001, (rare + 0.01).tolist()), (1002, [7.0]), (1003, [2.0])]
+    got = {r.vec_id: r for r in m.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)).collect()}
+    assert got[1001].component_id == 1000 and got[1001].n_links == 1 and got[1003].component_id == 1002
+
+
+def test_recall_at_the_threshold_with_many_pivots():
+    """Pairs just above the threshold share two of their nearest pivots, however many pivots there are."""
+    rng = np.random.default_rng(6)
+    for dimension in (32, 128, 384):
+        x = m.unit(rng.normal(size=(300, dimension)))
+        noise = rng.normal(size=x.shape)
+        noise -= (noise * x).sum(axis=1, keepdims=True) * x
+        y = 0.955 * x + np.sqrt(1 - 0.955**2) * m.unit(noise)
+        for n in (512, 2048, 8192):
+            pivots = m.unit(rng.normal(size=(n, dimension)))
+            a, b = m.nearest_pivots(x, pivots), m.nearest_pivots(y, pivots)
+            shared = np.array([len(set(p) & set(q)) for p, q in zip(a.tolist(), b.tolist(), strict=True)])
+            assert (shared >= 2).mean() >= 0.9, (dimension, n, (shared >= 2).mean())
