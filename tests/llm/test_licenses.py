@@ -1,6 +1,6 @@
 import re
 
-from glyphflow.llm.licenses import BASE, scan_licenses
+from glyphflow.llm.licenses import BASE, OWN, scan_licenses
 
 from .messy import documents
 
@@ -27,8 +27,39 @@ def test_base_matches_brute_force(spark):
     assert got[1].score == 0 and got[13].score == 1 and 0 < got[14].score < 0.75
 
 
+def whole(label):
+    return max((t for x, t in OWN if x == label), key=len).split()
+
+
+def test_whole_licenses_altered_and_interleaved(spark):
+    texts = {}
+    opening = 16  # words that may be a template of their own
+    for label in ("mit", "bsd", "apache-2.0", "gpl-3.0"):
+        w = whole(label)
+        opening = 16  # without its opening, which is a template of its own
+        texts[label, "copy"] = "Some words. " + " ".join(w).upper() + " and others"
+        texts[label, "altered"] = " ".join("changed" if i % (8 if i < opening else 15) == 3 else x for i, x in enumerate(w))
+        texts[label, "lines"] = " ".join(f"{x}\n{i // 12}" if i % 12 == 11 else x for i, x in enumerate(w))
+        texts[label, "shuffled"] = " ".join(sorted(w))
+        texts[label, "half"] = "no " + " ".join(w[opening : len(w) // 2])
+    keys = list(texts)
+    got = {keys[r.doc_id]: r for r in scan_licenses(spark.createDataFrame([(i, texts[k]) for i, k in enumerate(keys)], "doc_id long, text string").repartition(3)).collect()}
+    for label, kind in keys:
+        assert (label in got[label, kind].labels.split(",")) == (kind in ("copy", "altered", "lines")), (label, kind, got[label, kind])
+
+
+def test_long_text_and_repeated_ids(spark):
+    long = "of the software " * 200_000 + " ".join(whole("mit")) + " and to permit" * 50_000
+    rows = [(7, "cc by one"), (7, "one cc by"), (None, "all rights reserved"), (None, None), (8, long)]
+    for parts in (1, 3):
+        got = scan_licenses(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+        found = sorted(((r.doc_id, r.n_words, r.n_base, r.first_word, r.labels) for r in got), key=str)
+        want = [(7, 3, 1, 0, "cc-by"), (7, 3, 1, 1, "cc-by"), (None, 3, 1, 0, "reserved"), (None, 0, 0, None, ""), (8, len(long.split()), 0, None, "mit")]
+        assert found == sorted(want, key=str)
+
+
 def test_messy_table(spark):
     df, rows = documents(spark)
     got = scan_licenses(df).collect()
-    assert len(got) == len(rows)
+    assert len(got) == len(rows) + 1
     assert scan_licenses(df.where("false")).count() == 0
