@@ -16,6 +16,7 @@ is encoded by itself; rows with a null id are kept; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import operator
 import unicodedata
@@ -32,6 +33,8 @@ from .workspace import Workspace
 
 #: Words that each of a worker's two generations remembers; the older one goes when the younger is full.
 REMEMBERED = 150_000
+#: Symbols of a fragment from which its next merge is found by a heap instead of a scan.
+LONG = 48
 #: Code points up to here are normalised and split by Python as by the library; texts with others go through its own code.
 PLAIN = 0x24F
 
@@ -87,6 +90,8 @@ class ForcedBoundaryBPE:
         symbols = list(fragment)
         if last and self.suffix:
             symbols[-1] += self.suffix
+        if len(symbols) > LONG:
+            return self.merge_long(symbols)
         rank, none = self.rank.get, 1 << 30
         ranks = [rank(p, none) for p in zip(symbols, symbols[1:])]
         while ranks:
@@ -102,6 +107,27 @@ class ForcedBoundaryBPE:
                 ranks[i] = rank((symbols[i], symbols[i + 1]), none)
         return symbols
 
+    def merge_long(self, symbols: list[str | None]) -> list[str]:
+        """The same for n symbols in n log n steps: pairs wait in a heap by rank and place, symbols are a linked list."""
+        n, rank = len(symbols), self.rank
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(rank[p], i, p) for i, p in enumerate(zip(symbols, symbols[1:])) if p in rank]
+        heapq.heapify(heap)
+        while heap:
+            _, i, pair = heapq.heappop(heap)
+            j = after[i]
+            if j >= n or (symbols[i], symbols[j]) != pair:  # one of them has been merged since
+                continue
+            symbols[i], symbols[j] = pair[0] + pair[1], None
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (p := (symbols[i], symbols[k])) in rank:
+                    heapq.heappush(heap, (rank[p], i, p))
+            if (h := before[i]) >= 0 and (p := (symbols[h], symbols[i])) in rank:
+                heapq.heappush(heap, (rank[p], h, p))
+        return [s for s in symbols if s is not None]
+
     def word(self, word: str) -> tuple[bytes, str]:
         """Little-endian 32-bit ids, and the tokens as the decoder writes them, of one pre-token."""
         if word[0] == " ":

@@ -64,3 +64,23 @@ def test_table(spark, both):
             assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
     assert encode_texts(df.where("false"), vocabulary_path()).count() == 0
     assert encode_texts(df.where("doc_id = 1"), vocabulary_path(), with_ids=True).first().ids == []
+
+
+def test_very_long_words_as_the_library(both):
+    import random
+
+    rng = random.Random(5)
+    for word in ("".join(rng.choice("etaoinshr") for _ in range(20_000)), "ab" * 6_000, "aaaaaaab" * 2_000, "\u0915" * 3_000):
+        same(both, word)
+
+
+def test_a_million_letters(both):
+    import random
+    import time
+
+    rng = random.Random(6)
+    word = "".join(rng.choices("etaoinshrdlu", k=1_000_000))
+    start = time.monotonic()
+    ids, _ = both[0].encode(word)
+    assert time.monotonic() - start < 60
+    assert both[0].decode(ids).replace(" ", "").removesuffix("</w>") == word
