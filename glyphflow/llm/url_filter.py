@@ -42,12 +42,13 @@ def split_url(url: str | None) -> tuple[str, str]:
     return (found[1].translate(_LOWER), found[2]) if found else ("", "")
 
 
-def candidates(host: str, path: str, lengths: list[int]) -> list[str]:
-    """Each suffix of the host at a label's start, with each prefix of the path of these lengths; longest first."""
-    if not host:
+def candidates(host: str, path: str, lengths: list[int], labels: list[int]) -> list[str]:
+    """Each suffix of the host of so many labels, with each prefix of the path of these lengths; longest first."""
+    if not host or not labels:
         return []
-    labels = host.split(".")
-    suffixes = [".".join(labels[i:]) for i in range(len(labels))]
+    last = host.rsplit(".", max(labels))
+    have = len(last) if len(last) <= max(labels) else max(labels)
+    suffixes = [".".join(last[-k:]) for k in labels if k <= have]
     return sorted((s + path[:n] for s in suffixes if s for n in lengths if n <= len(path)), key=lambda c: (-len(c), c))
 
 
@@ -57,7 +58,9 @@ class SortedDigests:
     def __init__(self, rules: list[tuple[str, str]]) -> None:
         self.rules = sorted(dict(rules).items(), key=lambda r: xxhash.xxh64_intdigest(r[0]))
         self.digests = np.array([xxhash.xxh64_intdigest(r) for r, _ in self.rules], "<u8").tobytes()
-        self.lengths = sorted({len(r) - (r.find("/") if "/" in r else len(r)) for r, _ in self.rules})
+        hosts = [r.partition("/")[0] for r, _ in self.rules]
+        self.lengths = sorted({len(r) - len(h) for (r, _), h in zip(self.rules, hosts, strict=True)})
+        self.labels = sorted({h.count(".") + 1 for h in hosts})
         self._mapped: np.ndarray | None = None
 
     def __getstate__(self) -> dict:
@@ -115,7 +118,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] | tuple = RULES, d
         found = shared.value
         for batch in batches:
             parts = [split_url(u) for u in batch.column("url").to_pylist()]
-            best = found.find([candidates(h, p, found.lengths) for h, p in parts])
+            best = found.find([candidates(h, p, found.lengths, found.labels) for h, p in parts])
             columns = [[h for h, _ in parts], [p for _, p in parts], [b and b[0] for b in best], [b[1] if b else default for b in best]]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), *(pa.array(c, pa.string()) for c in columns)], schema=_OUT)
 
@@ -126,12 +129,12 @@ def _judge_by_join(rows: DataFrame, index: SortedDigests, default: str) -> DataF
     """The same for a list too long to broadcast: candidates meet the rules on their digest and string."""
     spark = rows.sparkSession
     table = spark.createDataFrame([(r, v) for r, v in index.rules], "rule string, verdict string").withColumn("rule_digest", F.xxhash64("rule"))
-    lengths = index.lengths
+    lengths, labels = index.lengths, index.labels
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [split_url(u) for u in batch.column("url").to_pylist()]
-            probes = [candidates(h, p, lengths) for h, p in parts]
+            probes = [candidates(h, p, lengths, labels) for h, p in parts]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array([h for h, _ in parts]), pa.array([p for _, p in parts]), pa.array(probes, pa.list_(pa.string()))], names=["page_id", "host", "path", "probes"])
 
     numbered = rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(

@@ -1,4 +1,4 @@
-from glyphflow.llm.url_filter import RULES, SortedDigests, judge_urls, split_url
+from glyphflow.llm.url_filter import RULES, SortedDigests, candidates, judge_urls, split_url
 
 URLS = [
     None, "", "no scheme", "http://", "HTTP://WWW.Example.ORG/es/1?x#y", "https://example.org", "https://example.org/", "https://a.example.org/en/1x", "https://notexample.org/es/",
@@ -45,3 +45,11 @@ def test_colliding_digests_are_confirmed():
 
 def test_split():
     assert split_url("x://A.B:80/p?q") == ("a.b:80", "/p")
+
+
+def test_very_long_urls(spark):
+    urls = ["http://" + "a." * 200_000 + "org/x", "http://www.example.org/" + "es/" * 200_000, "http://" + "b" * 500_000 + ".com/de/", "http://example.org/es/" + "?" * 100_000]
+    assert max(len(candidates(*split_url(u), [1, 4], [1, 2])) for u in urls) <= 4
+    for size in (1 << 20, 0):
+        got = judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), index_bytes=size).collect()
+        assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got} == {i: brute(u) for i, u in enumerate(urls)}
