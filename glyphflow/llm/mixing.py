@@ -54,11 +54,15 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return ranked.select("source", "source_size", "number", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, taken (words the mix takes, repeats counted) for each row."""
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED, row: str | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, taken (words the mix takes, repeats counted) for each row.
+
+    row: a column of docs that the result carries too.
+    """
+    carried = [row] if row else []
     with Workspace(docs.sparkSession, "mix") as ws:
         key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-        rows = ws.keep(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), key.alias("key")), "rows")
+        rows = ws.keep(docs.select("doc_id", *carried, F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), key.alias("key")), "rows")
         sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, epochs)
         sources = ws.keep(sources, "sources")
         ranged = rows.withColumn("range", F.substring("key", 1, DIGITS))
@@ -72,7 +76,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
         whole = F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(0)
         rest = budget - whole * F.col("source_size") - F.col("start") - F.col("inside")
         taken = F.col("size") * whole + F.greatest(F.lit(0), F.least(F.col("size"), rest))
-        return ws.result(placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken")))
+        return ws.result(placed.select("doc_id", *carried, "size", "source_size", "target", taken.cast("long").alias("taken")))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

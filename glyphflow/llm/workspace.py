@@ -44,10 +44,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str, batch_rows: int = 512) -> None:
         self.spark = prepare(spark)
         self.root = f"{checkpoint_dir(spark).rstrip('/')}/glyphflow-{name}-{uuid.uuid4().hex}"
-        self.settings = {
-            "spark.sql.execution.arrow.maxRecordsPerBatch": str(batch_rows),
-            "spark.sql.parquet.compression.codec": "zstd",
-        }
+        self.settings = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(batch_rows)}
         self.before: dict[str, str | None] = {}
 
     def __enter__(self) -> Workspace:
@@ -62,6 +59,9 @@ class Workspace:
                 self.spark.conf.unset(key)
             else:
                 self.spark.conf.set(key, value)
+        self.remove()
+
+    def remove(self) -> None:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.root)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
@@ -69,7 +69,7 @@ class Workspace:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Writes a table and returns it as read from its files."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def result(self, df: DataFrame) -> DataFrame:
@@ -92,17 +92,23 @@ def owners_of(docs: DataFrame) -> int:
     return max(partitions(docs.sparkSession), min(MOST_OWNERS, size // OWNER_BYTES) if size < UNKNOWN else 0)
 
 
-def keyed(ws: Workspace, docs: DataFrame, key: str, content: str, name: str = "keyed") -> tuple[DataFrame, bool]:
-    """(row, key, content) of every row of docs, row being unique and in the order of the keys; and whether row is the key.
+def numbered(ws: Workspace, docs: DataFrame, key: str, content: str, row: str, name: str = "numbered") -> tuple[DataFrame, bool]:
+    """docs with a column ``row``, unique and in the order of the keys; and whether it is the key itself.
 
     It is where no key is null or repeated.  Otherwise rows are numbered by key (nulls last), then by a hash of the
     content, and written once, so that every later job sees the same numbers.
     """
-    rows = docs.select(F.col(key).cast("long").alias(key), content)
-    if rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(f"n > 1 OR {key} IS NULL").isEmpty():
-        return rows.select(F.col(key).alias("row"), key, content), True
-    order = rows.withColumn("met", F.monotonically_increasing_id()).orderBy(F.col(key).asc_nulls_last(), F.xxhash64(content), "met")
-    return ws.keep(order.select(F.monotonically_increasing_id().alias("row"), key, content), name), False
+    if docs.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows")).where((F.col("n_rows") > 1) | F.col(key).isNull()).isEmpty():
+        return docs.withColumn(row, F.col(key).cast("long")), True
+    met = f"{row}_met"
+    order = docs.withColumn(met, F.monotonically_increasing_id()).orderBy(F.col(key).asc_nulls_last(), F.xxhash64(content), met)
+    return ws.keep(order.drop(met).withColumn(row, F.monotonically_increasing_id()), name), False
+
+
+def keyed(ws: Workspace, docs: DataFrame, key: str, content: str) -> tuple[DataFrame, bool]:
+    """(row, key, content) of every row of docs, numbered."""
+    rows, own = numbered(ws, docs.select(F.col(key).cast("long").alias(key), content), key, content, "row")
+    return rows.select("row", key, content), own
 
 
 def renamed(found: DataFrame, rows: DataFrame, own: bool, key: str, *columns: str) -> DataFrame:

@@ -23,7 +23,7 @@ def tables(spark, tmp_path_factory):
         w = rows[i * 5][1].split()
         w[rng.randrange(len(w))] = "other"
         rows.append((2000 + i, " ".join(w), "en", "src1", 1, "x"))
-    rows += [(3000, None, None, None, None, None), (3001, "", "en", "src0", 0, "x"), (None, "no id", "en", "src0", 5, "x")]
+    rows += [(3000, None, None, None, None, None), (3001, "", "en", "src0", 0, "x"), (None, "the anon isre reor onisthe an or", "en", "src0", 5, "x"), (None, "onor isis there anre oror the", None, "src1", 8, "x"), (3001, "isthe or onre anan theis reon is", "en", "src2", 3, "x")]
     path = str(tmp_path_factory.mktemp("sf"))
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size string").write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
@@ -41,24 +41,26 @@ def test_stages_match_brute_force(spark, tables):
         if k < 4:
             assert after.columns == ["doc_id", "text", "lang", "source", "n_chars", "size"]
         if name == "toxicity":
-            assert 0.6 * len(before) < len(rows) < len(before) and {3000, 3001} <= {r.doc_id for r in rows}
+            bad = sum(any(x in (t or "") for x in ("blorgvex", "quzzag", "snarfle")) for _, t, _ in before)
+            assert abs(len(before) - len(rows) - bad) <= 0.1 * bad and {None, 3000, 3001} <= {r.doc_id for r in rows}
+            assert sum(r.doc_id in (None, 3001) for r in rows) == 4
         elif name == "exact dedup":
-            want = {keep for _, keep, _, _ in test_exact_dedup.brute([(d, t) for d, t, _ in before])}
-            assert sorted(r.doc_id for r in rows) == sorted(want)
+            want = {sha: keep for _, keep, _, sha in test_exact_dedup.brute([(d, t) for d, t, _ in before])}
+            assert sorted((r.doc_id for r in rows), key=str) == sorted(want.values(), key=str)
         elif name.startswith("n-gram"):
-            want = test_jaccard_join.brute([(d, t) for d, t, _ in before])
-            assert sorted(r.doc_id for r in rows) == sorted({c for _, c in want.values()})
+            found = test_jaccard_join.brute([(i, t) for i, (_, t, _) in enumerate(sorted(before, key=lambda r: (r[0] is None, r[0] or 0)))])
+            assert len(rows) == len({c for _, _, c in found})
         elif name.startswith("mixing"):
             count = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
             total, mixed = sum(count(t) for _, t, _ in before), sum(count(r.text) for r in rows)
             assert abs(mixed - 1.5 * total) <= 5
             whole = {d: t for d, t, _ in before}
-            assert all(whole[r.doc_id].startswith(r.text) and r.n_chars == len(r.text) for r in rows if r.text != whole[r.doc_id])
+            assert all(whole[r.doc_id].startswith(r.text) and r.n_chars == len(r.text) for r in rows if r.doc_id not in (None, 3001) and r.text != whole[r.doc_id])
         else:
             with open(vocabulary_path(), "rb") as f:
                 model = ForcedBoundaryBPE(f.read())
-            want = sorted((d, len(model.encode(t or "")[0]) // 4) for d, t, _ in before)
-            assert sorted((r.doc_id, r.n_tokens) for r in rows) == want
+            want = sorted(((d, len(model.encode(t or "")[0]) // 4) for d, t, _ in before), key=str)
+            assert sorted(((r.doc_id, r.n_tokens) for r in rows), key=str) == want
         docs = after
 
 
