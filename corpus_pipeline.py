@@ -4,12 +4,14 @@ Every stage is a function of (spark, docs, sf_dir), docs having the columns of d
 as Parquet and read again as the next stage's docs.  All but the last return those columns.
 
 Defined cases, in every stage: null and empty texts are documents like any other (not toxic, copies of each
-other, without shingles, of size 0, without tokens); rows whose id is null go with the first stage, since no
-decision could refer to them; rows that repeat an id share its decisions; empty tables stay empty.
+other, without shingles, of size 0, without tokens); rows that share an id or have none are documents of their
+own, decided on each by itself; empty tables stay empty.
 """
 
 from __future__ import annotations
 
+import atexit
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,37 +20,67 @@ from glyphflow.llm.exact_dedup import exact_dedup
 from glyphflow.llm.jaccard_join import jaccard_join
 from glyphflow.llm.mixing import mix
 from glyphflow.llm.toxicity import score_toxicity
-from glyphflow.llm.workspace import Workspace
+from glyphflow.llm.workspace import Workspace, numbered
 
 #: A word with the white space before it; splitting and joining by it gives back a text's beginning.
 WORD_AND_GAP = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
 
 
-def _those(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids, "doc_id", "left_semi").select(*docs.columns)
+#: Tables of numbered rows that results of stages still read.
+_IN_USE: list[Workspace] = []
+
+
+@atexit.register
+def _remove() -> None:
+    while _IN_USE:
+        ws = _IN_USE.pop()
+        if ws.spark.sparkContext._jsc is not None:  # the session may end before this module does
+            ws.remove()
+
+
+def _numbered(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a column that tells its rows apart, and the column's name."""
+    row = next(f"row_{i}" for i in range(len(docs.columns) + 1) if f"row_{i}" not in docs.columns)
+    ws = Workspace(spark, "rows")
+    rows, own = numbered(ws, docs, "doc_id", "text", row)
+    if not own:
+        _IN_USE.append(ws)
+    return rows, row
+
+
+def _texts(rows: DataFrame, row: str) -> DataFrame:
+    return rows.select(F.col(row).alias("doc_id"), "text")
+
+
+def _those(rows: DataFrame, row: str, ids: DataFrame) -> DataFrame:
+    return rows.join(ids.toDF(row), row, "left_semi").drop(row)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that are not predicted to be toxic."""
-    scored = score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _those(docs, scored.groupBy("doc_id").agg(F.max("predicted").alias("p")).where("p = 0").select("doc_id"))
+    rows, row = _numbered(spark, docs)
+    scored = score_toxicity(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), row=row)
+    return _those(rows, row, scored.where("predicted = 0").select(row))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of equal texts."""
-    return _those(docs, exact_dedup(docs).where("kept").select("doc_id")).dropDuplicates(["doc_id"])
+    rows, row = _numbered(spark, docs)
+    return _those(rows, row, exact_dedup(_texts(rows, row)).where("kept").select("doc_id"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first document of each component of near copies."""
-    return _those(docs, jaccard_join(docs).where("doc_id = component_id").select("doc_id"))
+    rows, row = _numbered(spark, docs)
+    return _those(rows, row, jaccard_join(_texts(rows, row)).where("doc_id = component_id").select("doc_id"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many rows of each document as the mix takes it; the one at a source's cut has its first words only."""
-    taken = mix(docs).where("taken > 0").groupBy("doc_id").agg(F.max("size").alias("mix_size"), F.max("taken").alias("mix_taken"))
+    docs_, row = _numbered(spark, docs)
+    taken = mix(docs_, row=row).where("taken > 0").select(F.col(row).alias("mix_row"), F.col("size").alias("mix_size"), F.col("taken").alias("mix_taken"))
     own = [f"mix_doc_{i}" for i in range(len(docs.columns))]  # whatever else the columns are called
-    rows = docs.toDF(*own).join(taken, F.col(own[docs.columns.index("doc_id")]) == F.col("doc_id")).drop("doc_id")
+    rows = docs_.select(*docs.columns, row).toDF(*own, "mix_of").join(taken, F.col("mix_of") == F.col("mix_row")).drop("mix_of", "mix_row")
     rows = rows.withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.expr("(mix_taken - 1) div mix_size"))))
     rows = rows.select(*[F.col(o).alias(c) for o, c in zip(own, docs.columns, strict=True)], F.col("mix_size"), (F.col("mix_taken") - F.col("mix_copy") * F.col("mix_size")).alias("mix_words"))
     words, size = F.col("mix_words"), F.col("mix_size")
@@ -84,4 +116,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     with Workspace(spark, "pipeline") as ws:
         for k, (_, stage) in enumerate(STAGES):
             docs = ws.keep(stage(spark, docs, sf_dir), f"stage-{k}")
+            _remove()
         return ws.result(docs)
