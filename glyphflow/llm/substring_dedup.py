@@ -43,8 +43,8 @@ from .textbytes import BASE, BYTE_VALUE, chunks, mix, tidy
 from .workspace import Workspace, keyed, owners_of, renamed
 
 LENGTH, GRAM = 100, 32
-#: Pieces that a task folds and packs together, and documents.
-PACK_PIECES, PACK_DOCS = 1_500_000, 40_000
+#: Pieces that a task folds and packs together, and documents; slices of an owner's pieces, which it takes one by one.
+PACK_PIECES, PACK_DOCS, SLICES = 1_500_000, 40_000, 4
 #: Different pieces of one anchor from which it is cut into bands of BAND windows; bytes of a shard.
 HOT, BAND, SHARD = 4096, 8, 1 << 20
 #: Pieces of hot anchors that a task remembers for folding equal ones.
@@ -142,16 +142,16 @@ def _anchor(owners: int):
                 out.append((task % owners, 0, zstandard.ZstdCompressor(level=1).compress(ranges.tobytes())))
             order = order[new]
             gram, content, doc, lo, size = (x[order] for x in (gram, content, doc, lo, size))
-            owner = (gram % np.uint64(owners)).astype(np.int64)
+            owner = (gram % np.uint64(owners * SLICES)).astype(np.int64)
             by = np.argsort(owner, kind="stable")
-            cut = np.searchsorted(owner[by], np.arange(owners + 1))
+            cut = np.searchsorted(owner[by], np.arange(owners * SLICES + 1))
             for o in np.flatnonzero(np.diff(cut)):
                 at = by[cut[o] : cut[o + 1]]
                 table, local = np.unique(doc[at], return_inverse=True)
                 g, c = gram[at], content[at]
                 parts = [np.array([len(at), len(table)], np.int64), table, (g & np.uint64(0xFFFFFFFF)).astype(np.uint32), (c & np.uint64(0xFFFFFFFF)).astype(np.uint32), lo[at].astype(np.uint32)]
                 parts += [(g >> np.uint64(32)).astype(np.uint16), (c >> np.uint64(32)).astype(np.uint16), local.astype(np.uint16), size[at].astype(np.uint8)]
-                out.append((int(o), 1, b"".join(x.tobytes() for x in parts)))
+                out.append((int(o) // SLICES, 1 + int(o) % SLICES, b"".join(x.tobytes() for x in parts)))
             for i in range(0, len(out), 64):
                 o, kind, blob = zip(*out[i : i + 64], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(o, pa.int32()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], names=_PACKED)
@@ -177,7 +177,7 @@ OWNED = "kind int, doc_id long, lo long, size long, gram long"
 def _own(hot: int):
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Ranges to remove (0), and pieces to compare (1; 2 if band by band)."""
-        at: int | None = None
+        at: tuple[int, int] | None = None
         held: list[bytes] = []
         names = ["kind", "doc_id", "lo", "size", "gram"]
 
@@ -200,6 +200,7 @@ def _own(hot: int):
                 columns.append((g.astype(np.uint64) | g2.astype(np.uint64) << np.uint64(32), c.astype(np.uint64) | c2.astype(np.uint64) << np.uint64(32), table[local], lo.astype(np.int64), size.astype(np.int64)))
             held.clear()
             gram, content, doc, lo, size = (np.concatenate(x) for x in zip(*columns, strict=True))
+            columns.clear()
             order, new, later = later_ones([gram, content], doc, lo)
             gone = order[later]
             if len(gone):
@@ -220,9 +221,9 @@ def _own(hot: int):
                     doc, lo, end = np.frombuffer(unpack.decompress(blob), np.int64).reshape(3, -1)
                     yield from rows(np.zeros(len(doc)), doc, lo, end - lo, np.zeros(len(doc)))
                     continue
-                if owner != at:
+                if (owner, kind) != at:
                     yield from close()
-                    at = owner
+                    at = owner, kind
                 held.append(blob)
         yield from close()
 
@@ -524,7 +525,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, hot: int = HOT) ->
         texts = rows.select(F.col("row").alias("doc_id"), "text")
         zipped = texts.mapInArrow(_zipped, "doc_id long, blob binary")
         anchored = texts.mapInArrow(tidy(_anchor(owners)), "owner int, kind int, blob binary")
-        owned = ws.keep(anchored.repartition(owners, "owner").sortWithinPartitions("owner").mapInArrow(tidy(_own(hot)), OWNED), "owned")
+        owned = ws.keep(anchored.repartition(owners, "owner").sortWithinPartitions("owner", "kind").mapInArrow(tidy(_own(hot)), OWNED), "owned")
         wanted = lambda kind: owned.where(F.col("kind") == kind).groupBy("doc_id").agg(F.collect_list(F.struct("kind", "lo", "size", "gram")).alias("wanted"))
         cut = lambda kind: zipped.join(wanted(kind), "doc_id").select("doc_id", "blob", "wanted").mapInArrow(_cut_pieces(owners), PIECES)
         pieces = cut(1)
