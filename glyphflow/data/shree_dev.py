@@ -118,7 +118,6 @@ BASE = {
     'ˆ': 'ह्व',
     '‰': '्व',
     "'": "'",
-    ': "ङ्ग",   # Ngga\n    ': 'ङ्घ',
     '¬': 'ङ्क्ष',
     '•': 'ह्न',
     '–': 'ड्ढ',

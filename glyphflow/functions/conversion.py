@@ -12,6 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 from pyspark.sql.types import StringType
 
 from ..data.encodings import PARTS, glyphs
@@ -36,6 +37,16 @@ def nfc(text: Column) -> Column:
     return _nfc(text)
 
 
+@F.pandas_udf(StructType([StructField("converted", StringType()), StructField("unmapped", ArrayType(StringType()))]))
+def _compose(made: pd.DataFrame) -> pd.DataFrame:
+    return made.assign(converted=made["converted"].map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore"))
+
+
+def composed(made: Column) -> Column:
+    """The same of a whole result, which is then computed once however many of its fields are used."""
+    return _compose(made)
+
+
 def _class_of(characters: list[str]) -> str:
     """Characters as part of a character class."""
     return "".join(f"\\x{{{ord(c):x}}}" for c in characters)
@@ -89,8 +100,9 @@ def convert(text: Column, encoding: str, preserve_unknown: bool = True, normaliz
         known = encoding.lower() in UNICODE_NAMES
         return F.struct(text.alias("converted"), F.lit(encoding).alias("encoding_used"), F.lit(known).alias("success"), F.array().cast("array<string>").alias("unmapped"))
     made = applied(text, encoding, preserve_unknown)
-    out = made["converted"]
-    return F.struct((nfc(out) if normalize else out).alias("converted"), F.lit(encoding).alias("encoding_used"), F.lit(True).alias("success"), made["unmapped"].alias("unmapped"))
+    if normalize:
+        made = composed(made)
+    return F.struct(made["converted"].alias("converted"), F.lit(encoding).alias("encoding_used"), F.lit(True).alias("success"), made["unmapped"].alias("unmapped"))
 
 
 def applied(text: Column, encoding: str, preserve_unknown: bool = True) -> Column:

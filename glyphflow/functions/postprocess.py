@@ -22,6 +22,8 @@ SHREE_DEV_PAIRS = [
 ]
 SHREE_DEV_CONSONANT = "[\u0915-\u0931\u0932\u0933\u0935-\u0939\u0958-\u095f]"
 SHREE_DEV_SIGN = "\u093e-\u0943\u0947\u0948\u094b\u094c"
+#: A stand-in that some converted files hold, and what it stands for.
+SHREE_DEV_STAND_IN = ("\u092a\u094d\u0932\u0947\u0938\u0939\u094b\u0932\u094d\u0921\u0930_\u0907", "\u092a")
 #: Encodings whose glyph i stands before its consonant, as the letters p and q.
 SHREE_DEV = ("shree-dev", "shree-dev-0714", "shree-dev-0708")
 
@@ -48,7 +50,7 @@ def shree_dev(text: Column) -> Column:
     text = F.regexp_replace(text, f"({SHREE_DEV_CONSONANT})([{SHREE_DEV_SIGN}\u0901\u0902]*)\u00a9", "\u00a9$1$2")
     text = F.regexp_replace(text, f"((?:{SHREE_DEV_CONSONANT}\u094d)+)\u00a9", "\u00a9$1")
     text = F.replace(text, F.lit("\u00a9"), F.lit("\u0930\u094d"))
-    text = _replace_all(text, SHREE_DEV_PAIRS)
+    text = _replace_all(text, [SHREE_DEV_STAND_IN, *SHREE_DEV_PAIRS])
     text = F.regexp_replace(text, f"([\u0901-\u0903\u0970]+)([{SHREE_DEV_SIGN}]+)", "$2$1")
     return F.regexp_replace(text, f"[{SPACES}]+([\u093d\u094d\u093e\u0940-\u0943\u0947\u0948\u094b\u094c\u0901\u0902])", "$1")
 

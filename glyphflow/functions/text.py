@@ -29,6 +29,16 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, f"[{SPACES}]+"), lambda w: w != "")
 
 
+def strip_ansi(text: Column) -> Column:
+    """A terminal's output without its colours."""
+    return F.regexp_replace(text, r"\x1b\[[0-9;]*m", "")
+
+
+def preview(text: Column, most: int = 50) -> Column:
+    """The beginning of a text, with three dots where it goes on."""
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text)
+
+
 def characters(text: Column) -> Column:
     """The code points of a text."""
     return F.filter(F.split(text, ""), lambda c: c != "")

@@ -16,7 +16,7 @@ import urllib.request
 from collections.abc import Callable
 
 from ..data import languages as L
-from .translate import FREE_TIER, MOCK_PREFIX, Backend, Pace, TranslationError, UsageLimitExceeded
+from .translate import FREE_TIER, MOCK_PREFIX, Backend, Pace, TranslationError, UsageLimitExceeded, timeout_of
 
 Fetch = Callable[[str, str, dict, bytes | None], tuple[int, bytes]]
 
@@ -62,7 +62,7 @@ def google(fetch: Fetch | None = None, timeout: float = 60) -> Backend:
             raise TranslationError("empty answer")
         return "".join(part[0] for part in data[0] if part and part[0])
 
-    return Backend("google", call, pace=Pace(2.0), retries=5)
+    return Backend("google", call, pace=Pace(2.0), retries=5, backoff=3.0)
 
 
 def mymemory(fetch: Fetch | None = None, timeout: float = 30) -> Backend:
@@ -90,10 +90,17 @@ def shell(path: str | None = None, engine: str = "google", timeout: float = 60)
         program = path or shutil.which("trans")
         if not program:
             raise TranslationError("the trans program is not installed")
-        try:
-            done = subprocess.run([program, "-brief", "-no-ansi", "-e", engine, "-s", source, "-t", target], input=text, capture_output=True, text=True, timeout=timeout)
-        except (OSError, subprocess.TimeoutExpired) as e:
-            raise TranslationError(str(e)) from e
+        ask, attempt = [program, "-brief", "-no-ansi", "-e", engine, "-s", source, "-t", target], 0
+        while True:
+            try:
+                done = subprocess.run(ask, input=text, capture_output=True, text=True, timeout=timeout * timeout_of(attempt) / timeout_of(0))
+                break
+            except subprocess.TimeoutExpired as e:  # a slow answer gets more time, other errors a new attempt
+                attempt += 1
+                if attempt == 3:
+                    raise TranslationError(str(e)) from e
+            except OSError as e:
+                raise TranslationError(str(e)) from e
         if done.returncode or not done.stdout.strip():
             raise TranslationError(done.stderr.strip() or "empty answer")
         return re.sub(r"\x1b\[[0-9;]*m", "", done.stdout).strip()
@@ -131,12 +138,13 @@ def openai(api_key: str, model: str = "gpt-4o-mini", temperature: float = 0.3, f
 
 
 def gcp(project: str, used: int = 0, location: str = "global", enforce_free_tier: bool = True) -> Backend:
-    """The cloud service; characters count against the month's free ones before a call."""
-    state = {"used": used}
+    """The cloud service.  What a whole job sends is judged before its first call (translate.guard or within_limit), and
+    written to the usage table after it (translate.characters_sent), since workers cannot count for each other;
+    a single text beyond what is left is refused here as well."""
 
     def call(text: str, source: str, target: str) -> str:
-        if enforce_free_tier and state["used"] + len(text) > FREE_TIER:
-            raise UsageLimitExceeded(f"{state['used']} of {FREE_TIER} characters are used")
+        if enforce_free_tier and used + len(text) > FREE_TIER:
+            raise UsageLimitExceeded(f"{used} of {FREE_TIER} characters are used")
         try:
             from google.cloud import translate_v3 as service
         except ImportError as e:
@@ -144,7 +152,6 @@ def gcp(project: str, used: int = 0, location: str = "global", enforce_free_tier
         answer = service.TranslationServiceClient().translate_text(
             request={"parent": f"projects/{project}/locations/{location}", "contents": [text], "mime_type": "text/plain", "source_language_code": source, "target_language_code": target}
         )
-        state["used"] += len(text)
         return answer.translations[0].translated_text
 
     return Backend("gcp_cloud", call)

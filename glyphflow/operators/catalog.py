@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..data import languages as L
-from ..data.encodings import CATALOG, SCRIPT, map_rows
+from ..data.encodings import CATALOG, PARTS, SCRIPT, map_rows
 from ..data.fonts import BY_PRIORITY
 
 
@@ -44,6 +44,20 @@ def listing(builtin: DataFrame, files: DataFrame | None = None, search: str | No
     return out.where(F.lower("encoding").contains(search.lower())) if search else out
 
 
+def overlaps(spark: SparkSession) -> DataFrame:
+    """encoding, n_base, n_overlap: keys of a table's first part that a later part has too."""
+    rows = [(e, i, k) for e, parts in PARTS.items() for i, part in enumerate(parts) for k in part]
+    keys = spark.createDataFrame(rows, "encoding string, part int, legacy string")
+    base, later = keys.where("part = 0").select("encoding", "legacy"), keys.where("part > 0").select("encoding", "legacy")
+    both = base.intersect(later).groupBy("encoding").agg(F.count(F.lit(1)).alias("n_overlap"))
+    return base.groupBy("encoding").agg(F.count(F.lit(1)).alias("n_base")).join(both, "encoding", "left").select("encoding", "n_base", F.coalesce("n_overlap", F.lit(0)).alias("n_overlap"))
+
+
+def file_name(encoding: Column) -> Column:
+    """An encoding's name as files have it."""
+    return F.translate(F.lower(encoding), " _", "--")
+
+
 def _look_up(code: Column, table: dict[str, str], default: Column) -> Column:
     pairs = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
     return F.coalesce(pairs[F.lower(code)], default)

@@ -30,10 +30,9 @@ def convert_blocks(blocks: DataFrame, page_encodings: DataFrame | None = None, e
     for e in PARTS:
         made = F.when(used == e, C.applied(raw, e)).otherwise(made)
     known = F.coalesce(used.isin(*PARTS), F.lit(False))
-    out = blocks.withColumn("made", made)
+    out = blocks.withColumn("made", C.composed(made))
     success = F.coalesce(known | F.lower(used).isin(*UNICODE_NAMES) | used.isNull(), F.lit(True))
     out = out.withColumns({"unicode_text": F.col("made.converted"), "unmapped": F.col("made.unmapped"), "success": success}).drop("made")
-    out = out.withColumn("unicode_text", C.nfc(F.col("unicode_text")))
     return out.withColumn("confidence", C.conversion_rate(raw, F.size("unmapped")))
 
 

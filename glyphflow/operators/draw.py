@@ -51,6 +51,12 @@ def flowing(texts: DataFrame) -> DataFrame:
     return layout.flow_pages(lines).select("doc_id", "page_number", F.lit(50.0).alias("x"), "y", F.lit(11.0).alias("size"), "text")
 
 
+def any_placed(blocks: DataFrame) -> DataFrame:
+    """doc_id and whether any of its blocks is both translated and positioned, which its layout depends on."""
+    shown = F.col("translated_text").isNotNull() & (F.col("translated_text") != "") & F.col("position").isNotNull()
+    return blocks.groupBy("doc_id").agg(F.bool_or(shown).alias("placed"))
+
+
 def choose(blocks: DataFrame, pages: DataFrame, preserve: bool = True, structure: bool = False) -> DataFrame:
     """The layout that the options ask for."""
     return in_structure(blocks) if structure else in_place(blocks) if preserve else page_by_page(pages)

@@ -7,6 +7,7 @@ expression; network backends are Arrow functions over chunks with bounded concur
 from __future__ import annotations
 
 import random
+import threading
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -41,6 +42,8 @@ class Backend:
     concurrency: int = 3
     pace: Pace | None = None
     retries: int = 3
+    backoff: float = 0.0
+    sleep: Callable[[float], None] = field(default=time.sleep, repr=False)
 
 
 @dataclass
@@ -60,23 +63,49 @@ class Pace:
         self.sleep(self.delay())
 
 
+#: Seconds that a program may take, and the most after growing from attempt to attempt.
+FIRST_TIMEOUT, GROWTH, LAST_TIMEOUT = 60.0, 1.5, 180.0
+
+
+def timeout_of(attempt: int) -> float:
+    """Seconds for an attempt, counted from 0."""
+    return min(LAST_TIMEOUT, FIRST_TIMEOUT * GROWTH**attempt)
+
+
+def schedule(requests: DataFrame, base: float = 2.0, backoff: float = 3.0) -> DataFrame:
+    """Of requests (n, from 1; attempt, from 0): the delay's bounds by Pace, the back-off and the time allowed."""
+    factor = F.lit(1.5) ** ((F.col("n") > 5).cast("int") + (F.col("n") > 10).cast("int"))
+    allowed = F.least(F.lit(LAST_TIMEOUT), F.lit(FIRST_TIMEOUT) * F.lit(GROWTH) ** F.col("attempt"))
+    return requests.withColumns({"least": factor * (base * 0.5), "most": factor * (base * 2.0), "backoff": F.lit(2.0) ** F.col("attempt") * backoff, "allowed": allowed})
+
+
 def mock(text: Column, prefix: str = MOCK_PREFIX) -> Column:
     return F.concat(F.lit(prefix), text)
 
 
 def _edge(backend: Backend, source: str, target: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def one(text: str) -> tuple[str, str | None]:
-        error = None
-        for _ in range(max(1, backend.retries)):
-            try:
-                if backend.pace:
-                    backend.pace.wait()
-                return backend.call(text, source, target), None
-            except TranslationError as e:
-                error = str(e)
-        return text, error
+    """Chunks translated with bounded concurrency.  All threads of a task keep one pace, so its rate is the pace's;
+    a job's rate is that times the tasks that run at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = threading.Lock()
+
+        def one(text: str) -> tuple[str, str | None]:
+            error = None
+            for attempt in range(max(1, backend.retries)):
+                if attempt and backend.backoff:
+                    backend.sleep(2 ** (attempt - 1) * backend.backoff + random.random())
+                try:
+                    if backend.pace:
+                        with turn:
+                            backend.pace.wait()
+                    return backend.call(text, source, target), None
+                except UsageLimitExceeded:
+                    raise  # no further call may be made
+                except TranslationError as e:
+                    error = str(e)
+            return text, error
+
         with ThreadPoolExecutor(backend.concurrency) as pool:
             for b in batches:
                 got = list(pool.map(one, b.column("chunk").to_pylist()))
@@ -114,13 +143,31 @@ def translate_texts(texts: DataFrame, backend: Backend | None = None, source: st
 
 def translate_blocks(blocks: DataFrame, backend: Backend | None = None, **options) -> DataFrame:
     """Adds translated_text to blocks with text; blank blocks keep null.  Long blocks are chunked too."""
-    key = F.concat_ws("/", "doc_id", "page_number", "block_idx")
+    key = F.to_json(F.struct("doc_id", "page_number", "block_idx"), {"ignoreNullFields": "false"})
     text = F.coalesce(F.col("unicode_text") if "unicode_text" in blocks.columns else F.lit(None).cast("string"), F.col("raw_text"))
     rows = blocks.withColumns({"block_key": key, "block_text": text})
     done = translate_texts(rows.where(~is_blank(F.col("block_text"))).select(F.col("block_key").alias("doc_id"), F.col("block_text").alias("source_text")), backend, **options)
     return rows.join(done.select(F.col("doc_id").alias("block_key"), "translated_text"), "block_key", "left").drop("block_key", "block_text")
 
 
+def all_failed(done: DataFrame) -> DataFrame:
+    """Adds n_failed and failed to translations: whether no chunk of the text was translated."""
+    return done.withColumn("n_failed", F.size("warnings")).withColumn("failed", F.col("n_failed") >= F.col("chunk_count"))
+
+
+def characters_sent(texts: DataFrame, done: DataFrame) -> DataFrame:
+    """doc_id and characters of texts that were translated without a warning: what counts as used, after success."""
+    counted = texts.where(~is_blank(F.col("source_text"))).select("doc_id", F.length("source_text").cast("long").alias("n"))
+    return counted.join(done.select("doc_id", (F.size("warnings") == 0).alias("ok")), "doc_id").select("doc_id", F.when(F.col("ok"), F.col("n")).otherwise(0).alias("characters"))
+
+
+def within_limit(requests: DataFrame, used: DataFrame, limit: int = FREE_TIER) -> DataFrame:
+    """service, n (characters to send), used, allowed: judged for each service as a whole, before any call."""
+    sums = requests.groupBy("service").agg(F.coalesce(F.sum(F.length("source_text")), F.lit(0)).cast("long").alias("n"))
+    found = sums.join(used.select("service", F.col("characters").alias("used")), "service", "left").withColumn("used", F.coalesce("used", F.lit(0)).cast("long"))
+    return found.withColumn("allowed", F.col("used") + F.col("n") <= limit)
+
+
 def page_marked(pages: DataFrame) -> DataFrame:
     """doc_id and one text with a marker before each page."""
     block = F.concat(F.lit("--- Page "), F.col("page_number").cast("string"), F.lit(" ---\n\n"), F.col("page_text"))

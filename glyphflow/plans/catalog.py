@@ -22,6 +22,7 @@ from ..functions.text import DEVANAGARI, count_in, strip, words
 from ..operators import catalog as K
 from ..operators import convert, detect, layout, render, translate, usage
 from ..sources import adapters as A
+from ..sources import pdf
 from ..sources.tables import read as table
 from ..streaming import usage as stream
 from . import sql as Q
@@ -223,7 +224,7 @@ def post_shree_dev(s, d):
 
 @register("clean_legacy_text", r"SELECT page_id, regexp_replace(html, '[^\n\r\t\x20-\x7e\x{80}-\x{ff}]', '', 'g') AS cleaned, regexp_replace(html, '[\x00-\x08\x0b\x0c\x0e-\x1f\x{fffd}]', '', 'g') AS kept FROM pages")
 def clean_legacy_text(s, d):
-    return table(s, d, "pages").select("page_id", F.regexp_replace("html", r"[^\n\r\t\x20-\x7e\x{80}-\x{ff}]", "").alias("cleaned"), F.regexp_replace("html", r"[\x00-\x08\x0b\x0c\x0e-\x1f\x{fffd}]", "").alias("kept"))
+    return table(s, d, "pages").select("page_id", pdf.clean_legacy(F.col("html")).alias("cleaned"), pdf.without_dirt(F.col("html")).alias("kept"))
 
 
 # -- catalogue ----------------------------------------------------------------------------------------------
@@ -363,9 +364,30 @@ def min_size_blocks(s, d):
     return layout.large_enough(_blocks(s, d, False)).select("doc_id", "block_idx")
 
 
-@register("place_lines")
+def _lines_to_width(text: str, width: str, size: str) -> str:
+    """The list of lines that a text without line breaks wraps to, by estimated widths."""
+    words = f"list_filter(regexp_split_to_array({text}, '[{Q.WS}]+'), lambda w: w <> '')"
+    own = f"length(x.u) * {size} * 0.5::DOUBLE"
+    used = f"a.n + CASE WHEN a.u = '' THEN 0.0::DOUBLE ELSE {size} * 0.25::DOUBLE END + {own}"
+    put = "CASE WHEN a.u <> '' THEN list_append(a.c, a.u) ELSE a.c END"
+    step = f"CASE WHEN {used} <= {width} THEN {{'c': a.c, 'u': CASE WHEN a.u = '' THEN x.u ELSE a.u || ' ' || x.u END, 'n': {used}}} ELSE {{'c': {put}, 'u': x.u, 'n': {own}}} END"
+    items = f"[{{'c': []::VARCHAR[], 'u': '', 'n': 0.0::DOUBLE}}] || list_transform({words}, lambda w: {{'c': []::VARCHAR[], 'u': w, 'n': 0.0::DOUBLE}})"
+    lines = f"(SELECT CASE WHEN f.u <> '' THEN list_append(f.c, f.u) ELSE f.c END FROM (SELECT list_reduce({items}, lambda a, x: {step}) AS f))"
+    return f"CASE WHEN regexp_matches({text}, '[^{Q.WS}]') THEN {lines} ELSE [''] END"
+
+
+PLACED = f"""WITH k AS (SELECT doc_id, page_number, block_idx, x0, y0, x1, len({_lines_to_width('raw_text', '(x1 - x0 - 4.0::DOUBLE)', '11.0::DOUBLE')}) AS m FROM ({BLOCKS}) WHERE regexp_matches(raw_text, '[^{Q.WS}]') AND x1 - x0 >= 20 AND y1 - y0 >= 10),
+l AS (SELECT doc_id, page_number, list({{'i': block_idx, 'x0': x0, 'x1': x1, 'y': y0, 'n': CAST(m AS BIGINT), 'e': 0.0::DOUBLE, 'p': []::STRUCT(i BIGINT, x0 DOUBLE, x1 DOUBLE, y DOUBLE, n BIGINT, e DOUBLE)[]}} ORDER BY y0, x0, block_idx) AS bs FROM k GROUP BY doc_id, page_number),
+r AS (SELECT doc_id, page_number, list_reduce([{{'i': CAST(-1 AS BIGINT), 'x0': 0.0::DOUBLE, 'x1': 0.0::DOUBLE, 'y': 0.0::DOUBLE, 'n': CAST(0 AS BIGINT), 'e': 0.0::DOUBLE, 'p': []::STRUCT(i BIGINT, x0 DOUBLE, x1 DOUBLE, y DOUBLE, n BIGINT, e DOUBLE)[]}}] || bs, lambda a, b:
+  {{'i': b.i, 'x0': b.x0, 'x1': b.x1, 'y': b.y, 'n': b.n, 'e': b.e, 'p': list_append(a.p, list_transform([greatest(b.y + 2.0::DOUBLE, coalesce(list_max(list_transform(list_filter(a.p, lambda o: o.n > 0 AND NOT (b.x1 < o.x0 OR b.x0 > o.x1)), lambda o: o.e + 8.0::DOUBLE)), b.y + 2.0::DOUBLE)) + 11.0::DOUBLE],
+    lambda y: {{'i': b.i, 'x0': b.x0, 'x1': b.x1, 'y': y, 'n': least(b.n, greatest(0, CAST(floor((840.0::DOUBLE - y) / (11.0::DOUBLE * 1.2::DOUBLE)) + 1 AS BIGINT))), 'e': y + least(b.n, greatest(0, CAST(floor((840.0::DOUBLE - y) / (11.0::DOUBLE * 1.2::DOUBLE)) + 1 AS BIGINT))) * (11.0::DOUBLE * 1.2::DOUBLE)}})[1])}}).p AS p FROM l)
+SELECT doc_id, page_number, unnest(p).i AS block_idx, round(unnest(p).y, 6) AS y, CAST(unnest(p).n AS INT) AS n_lines, round(unnest(p).e, 6) AS next_y FROM r"""
+
+
+@register("place_lines", PLACED)
 def place_lines(s, d):
-    return layout.place_lines(layout.large_enough(_blocks(s, d, False)))
+    placed = layout.place_lines(layout.large_enough(_blocks(s, d, False)))
+    return placed.withColumns({"y": F.round("y", 6), "next_y": F.round("next_y", 6)})
 
 
 @register("flow_pages", f"SELECT doc_id, block_idx AS line, CAST(block_idx // 47 + 1 AS INT) AS page_number, round(80.8::DOUBLE + (block_idx % 47) * 15.4::DOUBLE, 6) AS y FROM ({BLOCKS})")
@@ -394,7 +416,20 @@ def chunk_text(s, d):
     return table(s, d, "documents").select("doc_id", F.posexplode(S.chunks(flat)).alias("ord", "chunk"))
 
 
-@register("chunk_paragraphs")
+def _packed_paragraphs() -> str:
+    start = lambda c, u: f"{{'c': {c}, 'u': {u}}}"
+    put = lambda a: f"CASE WHEN {a}.u <> '' THEN list_append({a}.c, {a}.u) ELSE {a}.c END"
+    cut = rf"regexp_extract_all(p.u, '[^\x{{964}}\x{{965}}.!?]*[\x{{964}}\x{{965}}.!?]+[{Q.WS}]*|[^\x{{964}}\x{{965}}.!?]+$')"
+    none = "[]::VARCHAR[]"
+    sentence = f"CASE WHEN length(b.u) + length(q.u) <= 2000 THEN {start('b.c', 'b.u || q.u')} ELSE {start(put('b'), 'q.u')} END"
+    long = f"list_reduce([{start(put('a'), chr(39) * 2)}] || list_transform({cut}, lambda z: {start(none, 'z')}), lambda b, q: {sentence})"
+    joined = start("a.c", "CASE WHEN a.u <> '' THEN a.u || chr(10) || chr(10) || p.u ELSE p.u END")
+    step = f"CASE WHEN length(a.u) + length(p.u) + 2 <= 2000 THEN {joined} WHEN length(p.u) <= 2000 THEN {start(put('a'), 'p.u')} ELSE {long} END"
+    folded = f"list_reduce([{start(none, chr(39) * 2)}] || list_transform(string_split(t, chr(10) || chr(10)), lambda z: {start(none, 'z')}), lambda a, p: {step})"
+    return f"(SELECT {put('f')} FROM (SELECT {folded} AS f))"
+
+
+@register("chunk_paragraphs", f"SELECT doc_id, unnest(range(len(c))) AS ord, unnest(c) AS chunk FROM (SELECT doc_id, CASE WHEN length(t) <= 2000 THEN [t] ELSE {_packed_paragraphs()} END AS c FROM (SELECT doc_id, {PARAS} AS t FROM documents))")
 def chunk_paragraphs(s, d):
     return table(s, d, "documents").select("doc_id", F.posexplode(S.chunks(paras())).alias("ord", "chunk"))
 
@@ -415,7 +450,7 @@ def wrap_simple(s, d):
     return _blocks(s, d, False).select("doc_id", "block_idx", F.array_join(S.wrap(F.col("raw_text")), "\n").alias("wrapped"))
 
 
-@register("wrap_precise")
+@register("wrap_precise", f"SELECT doc_id, block_idx, array_to_string({_lines_to_width('raw_text', '(x1 - x0)', 'font_size')}, chr(10)) AS wrapped FROM ({BLOCKS})")
 def wrap_precise(s, d):
     p = F.col("position")
     return _blocks(s, d, False).select("doc_id", "block_idx", F.array_join(S.wrap_to_width(F.col("raw_text"), p["x1"] - p["x0"], F.col("font_size")), "\n").alias("wrapped"))
@@ -433,7 +468,10 @@ def fit_font_size(s, d):
     return _blocks(s, d, False).select("doc_id", "block_idx", S.fit_font_size(F.col("raw_text"), 300.0, 60.0).alias("size"))
 
 
-@register("fit_block_size")
+FITS = "CASE " + " ".join(f"WHEN len({_lines_to_width('raw_text', '(x1 - x0)', f'{z!r}::DOUBLE')}) * {z * 1.2!r}::DOUBLE <= y1 - y0 THEN {z!r}::DOUBLE" for z in S.sizes_down(12.0, 5.0)) + " ELSE 5.0::DOUBLE END"
+
+
+@register("fit_block_size", f"SELECT doc_id, block_idx, {FITS} AS size FROM ({BLOCKS})")
 def fit_block_size(s, d):
     p = F.col("position")
     return _blocks(s, d, False).select("doc_id", "block_idx", S.fit_block_size(F.col("raw_text"), p["x1"] - p["x0"], p["y1"] - p["y0"], 12.0).alias("size"))
@@ -468,17 +506,17 @@ z AS (SELECT doc_id, a, b, unnest(range(greatest(len(a), len(b)))) AS ord FROM y
 SELECT doc_id, ord, replace(replace(coalesce(a[ord + 1], ''), '|', '\\|'), chr(10), ' ') AS original, replace(replace(coalesce(b[ord + 1], ''), '|', '\\|'), chr(10), ' ') AS translation FROM z""",
 )
 def bilingual_rows(s, d):
+    return render.bilingual_rows(_turns(s, d))
+
+
+def _turns(s, d) -> DataFrame:
+    """The user's and the others' turns of each conversation, as a text and its translation."""
+
     def side(user: bool):
         turn = F.when((F.col("role") == "user") == F.lit(user), F.struct("turn", "text"))
-        texts = F.transform(F.array_sort(F.collect_list(turn)), lambda r: r["text"])
-        return F.when(F.size(texts) > 0, F.array_join(texts, "\n\n"))
+        return F.array_join(F.transform(F.array_sort(F.collect_list(turn)), lambda r: r["text"]), "\n\n")
 
-    conv = table(s, d, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(side(True).alias("s"), side(False).alias("t"))
-    empty = F.array().cast("array<string>")
-    zipped = F.arrays_zip(F.coalesce(F.split("s", "\n\n"), empty).alias("s"), F.coalesce(F.split("t", "\n\n"), empty).alias("t"))
-    cell = lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
-    rows = conv.select("doc_id", F.posexplode(zipped).alias("ord", "p"))
-    return rows.select("doc_id", "ord", cell(F.col("p.s")).alias("original"), cell(F.col("p.t")).alias("translation"))
+    return table(s, d, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(side(True).alias("source_text"), side(False).alias("translated_text"))
 
 
 # -- translation, usage, rendering --------------------------------------------------------------------------
@@ -521,12 +559,13 @@ def usage_check(s, d):
 
 @register(
     "session_expiry",
-    "WITH s AS (SELECT user_id AS session_id, max(ts) AS created_at, bool_or(event_type = 'purchase') AS processing FROM events GROUP BY user_id), n AS (SELECT max(ts) AS now FROM events) SELECT session_id, created_at FROM s, n WHERE epoch(date_trunc('second', now)) - epoch(date_trunc('second', created_at)) > 1800 AND NOT processing",
+    "WITH s AS (SELECT user_id AS session_id, max(ts) AS created_at, arg_max(event_type, (epoch_us(ts), event_id)) = 'purchase' AS processing FROM events GROUP BY user_id), n AS (SELECT max(ts) + INTERVAL 1 DAY AS now FROM events) SELECT session_id, created_at FROM s, n WHERE epoch(date_trunc('second', now)) - epoch(date_trunc('second', created_at)) > 1800 AND NOT processing",
 )
 def session_expiry(s, d):
     events = table(s, d, "events")
-    now = events.agg(F.max("ts").cast("string")).first()[0]
-    sessions = events.groupBy(F.col("user_id").alias("session_id")).agg(F.max("ts").alias("created_at"), F.bool_or(F.col("event_type") == "purchase").alias("processing"))
+    now = events.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).cast("string")).first()[0]
+    last = F.max_by("event_type", F.struct("ts", "event_id"))
+    sessions = events.groupBy(F.col("user_id").alias("session_id")).agg(F.max("ts").alias("created_at"), (last == "purchase").alias("processing"))
     return usage.expired_sessions(sessions, now).select("session_id", "created_at")
 
 

@@ -110,6 +110,7 @@ def shree_dev(t: str) -> str:
     t = rf"regexp_replace({t}, '({c})([{m}\x{{901}}\x{{902}}]*)\x{{a9}}', chr(169) || '\1\2', 'g')"
     t = rf"regexp_replace({t}, '((?:{c}\x{{94d}})+)\x{{a9}}', chr(169) || '\1', 'g')"
     t = f"replace({t}, chr(169), chr(2352) || chr(2381))"
+    t = f"replace({t}, 'प्लेसहोल्डर_इ', 'प')"
     for a, b, to in ((0x93E, 0x947, 0x94B), (0x93E, 0x948, 0x94C), (0x945, 0x902, 0x901), (0x902, 0x945, 0x901), (0x93E, 0x945, 0x949), (0x945, 0x93E, 0x949), (0x93E, 0x94B, 0x94B), (0x948, 0x93E, 0x94C), (0x947, 0x93E, 0x94B)):
         t = f"replace({t}, chr({a}) || chr({b}), chr({to}))"
     t = rf"regexp_replace({t}, '([\x{{901}}-\x{{903}}\x{{970}}]+)([{m}]+)', '\2\1', 'g')"

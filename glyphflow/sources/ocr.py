@@ -8,8 +8,10 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..data import languages as L
+from ..functions.text import is_blank
 
 WORDS = "doc_id long, page_number int, word_idx int, text string, left double, top double, width double, height double, conf double, block_num int, line_num int"
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
@@ -42,16 +44,76 @@ def with_tesseract(image: bytes, language: object) -> Iterator[dict]:
             yield {"text": text} | {k: data[k][i] for k in ("left", "top", "width", "height", "conf", "block_num", "line_num")}
 
 
+_READERS: dict[str, object] = {}
+
+
 def with_easyocr(image: bytes, language: object) -> Iterator[dict]:
+    """A worker loads the model of a language once."""
     import easyocr
 
-    for points, text, conf in easyocr.Reader(language).readtext(image):
+    key = ",".join(language)
+    if key not in _READERS:
+        _READERS[key] = easyocr.Reader(language)
+    for points, text, conf in _READERS[key].readtext(image):
         if text.strip():
             xs, ys = [p[0] for p in points], [p[1] for p in points]
             yield {"text": text, "left": min(xs), "top": min(ys), "width": max(xs) - min(xs), "height": max(ys) - min(ys), "conf": conf * 100, "block_num": 0, "line_num": 0}
 
 
-ENGINES: dict[str, Engine] = {"tesseract": with_tesseract, "easyocr": with_easyocr}
+def vision_words(pages: list) -> Iterator[dict]:
+    """Words of an annotated page of the cloud service: symbols joined, a hundred words a block."""
+    n = 0
+    for page in pages:
+        for block in page.blocks:
+            for paragraph in block.paragraphs:
+                for word in paragraph.words:
+                    text = "".join(s.text for s in word.symbols)
+                    if text.strip():
+                        xs, ys = [v.x for v in word.bounding_box.vertices], [v.y for v in word.bounding_box.vertices]
+                        yield {"text": text, "left": min(xs), "top": min(ys), "width": max(xs) - min(xs), "height": max(ys) - min(ys), "conf": word.confidence * 100, "block_num": n // 100, "line_num": 0}
+                        n += 1
+
+
+def with_vision(image: bytes, language: object) -> Iterator[dict]:
+    from google.cloud import vision
+
+    answer = vision.ImageAnnotatorClient().document_text_detection(image=vision.Image(content=image), image_context={"language_hints": language})
+    if answer.error.message:
+        raise RuntimeError(answer.error.message)
+    yield from vision_words(answer.full_text_annotation.pages)
+
+
+ENGINES: dict[str, Engine] = {"tesseract": with_tesseract, "easyocr": with_easyocr, "vision": with_vision}
+
+
+def page_images(data: bytes, dpi: int = DPI) -> Iterator[tuple[int, bytes]]:
+    """(page number, PNG) of a PDF's pages, where PyMuPDF is installed."""
+    import fitz
+
+    with fitz.open(stream=data, filetype="pdf") as document:
+        for number, page in enumerate(document, 1):
+            yield number, page.get_pixmap(matrix=fitz.Matrix(dpi / 72, dpi / 72)).tobytes("png")
+
+
+def render_pages(files: DataFrame, render: Callable[[bytes], Iterator[tuple[int, bytes]]] = page_images) -> DataFrame:
+    """doc_id, page_number, image of files (doc_id, content); a file that can't be rendered has no pages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc, data in zip(b.column("doc_id").to_pylist(), b.column("content").to_pylist(), strict=True):
+                try:
+                    for number, image in render(data):
+                        yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([number], pa.int32()), pa.array([image], pa.binary())], names=["doc_id", "page_number", "image"])
+                except Exception as e:  # whatever a broken file makes the library raise
+                    print(f"{doc}: {type(e).__name__}: {e}")
+
+    return files.select("doc_id", "content").mapInArrow(run, "doc_id long, page_number int, image binary")
+
+
+def whole_pages(pages: DataFrame, lines: DataFrame, engine: str) -> DataFrame:
+    """One block for each page (doc_id, page_number, page_text) that has text but no line, in the engine's confidence."""
+    alone = pages.join(lines.select("doc_id", "page_number").distinct(), ["doc_id", "page_number"], "left_anti").where(~is_blank(F.col("page_text")))
+    return alone.select("doc_id", "page_number", F.col("page_text").alias("raw_text"), F.lit(WHOLE_PAGE[engine]).alias("confidence"))
 
 
 def recognise(images: DataFrame, engine: Engine | str, language: str = "mr") -> DataFrame:
@@ -63,7 +125,11 @@ def recognise(images: DataFrame, engine: Engine | str, language: str = "mr") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for doc, page, image in zip(*(b.column(c).to_pylist() for c in ("doc_id", "page_number", "image")), strict=True):
-                rows = [{"doc_id": doc, "page_number": page, "word_idx": i} | w for i, w in enumerate(call(image, told))]
+                try:
+                    rows = [{"doc_id": doc, "page_number": page, "word_idx": i} | w for i, w in enumerate(call(image, told))]
+                except Exception as e:  # whatever a broken image makes the engine raise
+                    print(f"{doc}, page {page}: {type(e).__name__}: {e}")
+                    continue
                 yield pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in _WORDS], schema=_WORDS)
 
     return images.select("doc_id", "page_number", "image").mapInArrow(run, WORDS)
