@@ -53,6 +53,8 @@ GROUP_ROWS, PARTS, SAMPLE = 256, 8, 20
 NEAR = 10
 #: Different pages that must have a line where no page of the host is anything but a copy, and for any line of an article.
 AGREE, EVERY = 3, 8
+#: Bits of the table of a longest common subsequence that are kept.
+BITS = 1 << 27
 #: Bytes of waiting pages held in memory; more of them wait in a file of the task.
 WAITING = 1 << 23
 
@@ -81,10 +83,35 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _WORD = re.compile(r"[a-z]+")
+#: Words that say what an element is at the end of a name too (site-footer), where others say it at the beginning only.
+PLACES = frozenset("ad ads banner footer nav navbar navigation menu sidebar comments breadcrumb breadcrumbs pagination pager header masthead topbar toolbar".split())
+#: Beginnings of names that speak of a page's other parts.
+SPEAKS_OF = frozenset("has no with without is show hide page layout".split())
+
+
+def roles_of(attributes: str) -> set[str]:
+    """What class, id and role call an element: each name's first word, and its last if that is a place on the page."""
+    out: set[str] = set()
+    for groups in _NAMED.findall(attributes):
+        for name in "".join(groups).lower().split():
+            parts = _WORD.findall(name)
+            if parts and parts[0] not in SPEAKS_OF:
+                out.add(parts[0])
+                if parts[-1] in PLACES:
+                    out.add(parts[-1])
+    return out
+
 
+def page_lines(source: str | None) -> list[Line]:
+    """(text, inside an article, mostly links, prose) of each block of the page, in order.
+
+    Names are no more than hints: where following them leaves no text at all, they are passed over.
+    """
+    lines = _read_lines(source, True)
+    return lines if body_lines(lines) else _read_lines(source, False) or lines
 
-def page_lines(source: str | None) -> list[tuple[str, bool, bool, bool]]:
-    """(text, inside an article, mostly links, prose) of each block of the page, in order."""
+
+def _read_lines(source: str | None, named: bool) -> list[Line]:
     out: list[tuple[str, bool, bool, bool]] = []
     parts: list[str] = []
     linked, in_link, main, block = 0, 0, 0, ""
@@ -118,6 +145,8 @@ def page_lines(source: str | None) -> list[tuple[str, bool, bool, bool]]:
             if name in BLOCKS and not skip:
                 close()
             continue
+        if skip == "p" and not closing and name in BLOCKS:
+            skip, depth = "", 0  # a paragraph ends where the next block begins
         if skip:
             if name in MAIN and not closing and skip in ASIDE | {"div", "section", "ul"} and skip not in ("aside", "form"):
                 skip, depth = "", 0
@@ -136,7 +165,7 @@ def page_lines(source: str | None) -> list[tuple[str, bool, bool, bool]]:
         if name in MAIN:
             main = max(0, main + (-1 if closing else 1))
         elif not closing and name not in ("html", "body", "br", "hr", "img", "input", "link", "meta") and not attributes.endswith("/"):
-            roles = {w for g in _NAMED.findall(attributes) for w in _WORD.findall("".join(g).lower())} if attributes else set()
+            roles = roles_of(attributes) if attributes and named else set()
             if (name in ASIDE and not (name == "header" and main)) or roles & ROLES or (roles & OUTER_ROLES and not main) or (attributes and _HIDDEN.search(attributes)):
                 close()
                 skip, depth = name, 1
@@ -145,34 +174,88 @@ def page_lines(source: str | None) -> list[tuple[str, bool, bool, bool]]:
 
 
 def common_lines(a: list[int], b: list[int]) -> list[int]:
-    """Indexes into a of a longest common subsequence; the k-th of equal lines stands for the k-th."""
-    places: dict[tuple[int, int], int] = {}
-    met: dict[int, int] = {}
+    """Indexes into a of a longest common subsequence."""
+    places: dict[int, int] = {}
+    twice = False
     for j, x in enumerate(b):
-        met[x] = met.get(x, 0) + 1
-        places[x, met[x]] = j
-    met = {}
+        twice = twice or x in places
+        places[x] = j
+    found = [i for i, x in enumerate(a) if x in places]
+    if twice or len({a[i] for i in found}) < len(found):
+        mine = {a[i] for i in found}
+        return [found[i] for i in _longest([a[i] for i in found], [x for x in b if x in mine])]
+    # Every line once: the longest run of rising places.
     tails: list[int] = []
     ends: list[int] = []
     before: list[int] = []
-    index: list[int] = []
-    for i, x in enumerate(a):
-        met[x] = met.get(x, 0) + 1
-        j = places.get((x, met[x]))
-        if j is None:
-            continue
+    for n, i in enumerate(found):
+        j = places[a[i]]
         k = bisect_left(tails, j)
         before.append(ends[k - 1] if k else -1)
-        index.append(i)
         tails[k : k + 1] = [j]
-        ends[k : k + 1] = [len(index) - 1]
+        ends[k : k + 1] = [n]
     out, at = [], ends[-1] if ends else -1
     while at >= 0:
-        out.append(index[at])
+        out.append(found[at])
         at = before[at]
     return out[::-1]
 
 
+def _rows(a: list[int], b: list[int]) -> Iterator[int]:
+    """For each prefix of a the bits of b at which its longest common subsequence with b's prefixes does not grow."""
+    where: dict[int, int] = {}
+    for j, x in enumerate(b):
+        where[x] = where.get(x, 0) | 1 << j
+    every = (1 << len(b)) - 1
+    row = every
+    for x in a:
+        met = row & where.get(x, 0)
+        row = ((row + met) | (row - met)) & every
+        yield row
+
+
+def _lengths(a: list[int], b: list[int]) -> list[int]:
+    """The lengths of the longest common subsequences of a with every prefix of b."""
+    row = (1 << len(b)) - 1
+    for row in _rows(a, b):  # noqa: B007
+        pass
+    out = [0]
+    for bit in reversed(f"{row:0{len(b)}b}" if b else ""):
+        out.append(out[-1] + (bit == "0"))
+    return out
+
+
+def _longest(a: list[int], b: list[int]) -> list[int]:
+    """Indexes into a of a longest common subsequence, whatever repeats: bits of a row at once, rows kept up to BITS."""
+    start, n, m = 0, len(a), len(b)
+    while start < min(n, m) and a[start] == b[start]:
+        start += 1
+    while n > start and m > start and a[n - 1] == b[m - 1]:
+        n, m = n - 1, m - 1
+    head, tail = list(range(start)), list(range(n, len(a)))
+    a, b = a[start:n], b[start:m]
+    if not a or not b:
+        return head + tail
+    if len(a) > 1 and len(a) * len(b) > BITS:  # halves of a meet a cut of b at which both are longest
+        half = len(a) // 2
+        left, right = _lengths(a[:half], b), _lengths(a[half:][::-1], b[::-1])
+        cut = max(range(len(b) + 1), key=lambda j: left[j] + right[len(b) - j])
+        middle = _longest(a[:half], b[:cut]) + [half + i for i in _longest(a[half:], b[cut:])]
+        return head + [start + i for i in middle] + tail
+    rows = list(_rows(a, b))
+    out: list[int] = []
+    i, j = len(a), len(b)
+    while i and j:
+        if rows[i - 1] >> (j - 1) & 1:
+            j -= 1
+            continue
+        i -= 1
+        if not i or rows[i - 1] >> (j - 1) & 1:
+            out.append(start + i)
+            j -= 1
+    return head + out[::-1] + tail
+
+
 class Page(NamedTuple):
     """What others are compared with: the hashes of the page's lines, and the characters of those of its body."""
 

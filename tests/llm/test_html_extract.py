@@ -105,3 +105,42 @@ def test_what_every_article_of_the_host_has_goes(spark):
         got = texts(spark, rows, group_rows=size)
         assert all(got[i] == own.format(i, quoted(i)) for i in range(40))
         assert all(got[i].startswith(own.format(i, quoted(i - 100))) and "Sign up" in got[i] for i in (100, 101))
+
+
+def test_longest_common_subsequence(monkeypatch):
+    import random
+
+    from glyphflow.llm import html_extract as m
+
+    def length(a, b):
+        best = [0] * (len(b) + 1)
+        for x in a:
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(best[j] + 1 if x == y else max(best[j + 1], row[j]))
+            best = row
+        return best[-1]
+
+    rng = random.Random(8)
+    for bits in (1 << 27, 20):
+        monkeypatch.setattr(m, "BITS", bits)
+        for _ in range(400):
+            k = rng.choice([2, 4, 30])
+            a, b = ([rng.randrange(k) for _ in range(rng.randrange(0, 25))] for _ in range(2))
+            got = m.common_lines(a, b)
+            assert got == sorted(set(got)) and len(got) == length(a, b)
+            rest = iter(b)
+            assert all(any(x == y for y in rest) for x in (a[i] for i in got))
+    assert m.common_lines([1, 2], [2, 1, 2]) == [0, 1]
+
+
+def test_names_never_take_the_only_text():
+    from glyphflow.llm.html_extract import main_text, page_lines
+
+    text = lambda source: main_text(page_lines(source), [0] * len(page_lines(source)), None)
+    assert text('<body><div id="page" class="has-sidebar"><p>Main text</p></div></body>') == "Main text"
+    assert text('<div class="market-share"><p>Main text</p></div>') == "Main text"
+    assert text('<p class="notice">note<p>Main text') == "Main text"
+    assert text('<div class="sidebar"><p>Only text</p></div>') == "Only text"
+    assert text('<div class="site-footer">imprint</div><p>Main text</p>') == "Main text"
+    assert text('<ul class="menu-main"><li>Home</li></ul><div class="ad-box">buy</div><p>Main text</p>') == "Main text"
