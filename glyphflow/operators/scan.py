@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.files import threshold
+from ..sources.files import OVER, threshold
 from ..sources.ocr import DPI, page_images, render_pages
 
 #: How a page is kept, and the quality of its picture.
@@ -28,9 +28,35 @@ def picture_size(width: Column, height: Column, dpi: int = DPI) -> Column:
 
 def in_mode(pixels: Column, mode: str) -> Column:
     """Grey values as the mode keeps them."""
+    check_options(mode)
+    return threshold(pixels) if mode == "bw" else pixels
+
+
+def check_options(mode: str = "color", dpi: int = DPI, quality: int = QUALITY) -> None:
+    """Mistakes that a plan can find before any file is read."""
     if mode not in MODES:
         raise ValueError(f"no mode {mode!r}; there are {', '.join(MODES)}")
-    return threshold(pixels) if mode == "bw" else pixels
+    if dpi <= 0 or not 1 <= quality <= 100:
+        raise ValueError("dpi must be above 0, and quality between 1 and 100")
+
+
+def pictures(mode: str = "color", dpi: int = DPI, quality: int = QUALITY) -> Callable[[bytes], Iterator[tuple[int, bytes]]]:
+    """Pages as JPEG in color or grey, or as PNG in black and white, where PyMuPDF is installed."""
+    check_options(mode, dpi, quality)
+    black_or_white = bytes(255 if grey > OVER else 0 for grey in range(256))
+
+    def render(data: bytes) -> Iterator[tuple[int, bytes]]:
+        import fitz
+
+        with fitz.open(stream=data, filetype="pdf") as document:
+            for number, page in enumerate(document, 1):
+                picture = page.get_pixmap(matrix=fitz.Matrix(dpi / 72, dpi / 72), colorspace=fitz.csRGB if mode == "color" else fitz.csGRAY, alpha=False)
+                if mode == "bw":
+                    yield number, fitz.Pixmap(fitz.csGRAY, picture.width, picture.height, picture.samples.translate(black_or_white), False).tobytes("png")
+                else:
+                    yield number, picture.tobytes("jpeg", jpg_quality=quality)
+
+    return render
 
 
 def assembled(pictures: list[bytes]) -> bytes:
@@ -39,7 +65,7 @@ def assembled(pictures: list[bytes]) -> bytes:
 
     document = fitz.open()
     for data in pictures:
-        picture = fitz.open(stream=data, filetype="png")
+        picture = fitz.open(stream=data, filetype="png" if data[:4] == b"\x89PNG" else "jpeg")
         area = picture[0].rect
         document.new_page(width=area.width, height=area.height).insert_image(area, stream=data)
     return document.tobytes()

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import catalog, convert, detect, render, translate, usage
+from ..operators import catalog, convert, detect, render, scan, translate, usage
+from ..operators.render import output_name
 
 
 def detect_command(blocks: DataFrame, encoding: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -46,6 +47,13 @@ def extract_command(blocks: DataFrame, meta: DataFrame, kind: str = "text", enco
     return render.render(render.page_texts(converted, "unicode_text"), meta, kind)
 
 
+def scan_copy_command(files: DataFrame, mode: str = "color", dpi: int = scan.DPI, quality: int = scan.QUALITY, render=None, assemble=scan.assembled) -> DataFrame:
+    """name and pdf of files (doc_id, name, content): each page a picture; render and assemble default to PyMuPDF."""
+    scan.check_options(mode, dpi, quality)
+    copies = scan.scan_copy(files, render or scan.pictures(mode, dpi, quality), assemble)
+    return copies.join(files.select("doc_id", output_name(F.col("name"), "_scanned.pdf").alias("name")), "doc_id").select("name", "pdf")
+
+
 def usage_command(events: DataFrame) -> DataFrame:
     """The current month of each service, with what is left of the free characters."""
     return usage.limit_report(usage.current_usage(events))

@@ -37,6 +37,15 @@ def write_documents(rendered: DataFrame, path: str) -> None:
     rendered.write.mode("overwrite").parquet(path)
 
 
-def threshold(pixels: Column, over: int = 180) -> Column:
+def write_each(rendered: DataFrame, path: str) -> None:
+    """A text file of its own for each document (name, rendered), in a folder of its name."""
+    rendered.select("name", "rendered").repartition("name").write.mode("overwrite").partitionBy("name").text(path)
+
+
+#: The grey value above which a pixel is white.
+OVER = 180
+
+
+def threshold(pixels: Column, over: int = OVER) -> Column:
     """Grey values to black and white."""
     return F.transform(pixels, lambda p: F.when(p > over, 255).otherwise(0))

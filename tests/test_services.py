@@ -9,7 +9,8 @@ import __spark_entry__ as entry
 from glyphflow.data import encodings
 from glyphflow.operators import backends, scan, sessions
 from glyphflow.operators import translate as T
-from glyphflow.plans import services
+from glyphflow.plans import commands, services
+from glyphflow.sources import files as table_files
 from glyphflow.sources import ocr, pdf
 
 SMALL = "/root/testdata/sf0.001"
@@ -69,6 +70,21 @@ def test_pictures_of_pages(spark):
         scan.in_mode(None, "sepia")
 
 
+def test_scan_copy_command(spark):
+    files = spark.createDataFrame([(1, "a/b.pdf", b"ab")], "doc_id long, name string, content binary")
+    pages = lambda data: iter([(2, data[1:]), (1, data[:1])])
+    assert [(r.name, bytes(r.pdf)) for r in commands.scan_copy_command(files, "bw", render=pages, assemble=b"+".join).collect()] == [("a/b_scanned.pdf", b"a+b")]
+    for wrong in ({"mode": "sepia"}, {"dpi": 0}, {"quality": 101}):
+        with pytest.raises(ValueError):
+            commands.scan_copy_command(files, **wrong)
+
+
+def test_a_file_for_each_document(spark, tmp_path):
+    table_files.write_each(spark.createDataFrame([("x.txt", "one\ntwo"), ("y.txt", "three")], "name string, rendered string"), str(tmp_path / "out"))
+    found = {p.parent.name: p.read_text() for p in (tmp_path / "out").glob("name=*/part-*.txt")}
+    assert found == {"name=x.txt": "one\ntwo\n", "name=y.txt": "three\n"}
+
+
 def test_engines(spark):
     def engine(image, language):
         if image == b"!":
