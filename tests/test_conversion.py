@@ -7,8 +7,8 @@ from glyphflow.functions import postprocess as P
 from glyphflow.operators import catalog, convert
 
 LEGACY = "´ÖÆüÖ¸üÖÂ™Òü ¸üÖ•Ö³ÖÖÂÖÖ †×¬Ö×®ÖμÖ´Ö"
-#: Keys of each table, and those of more than one character.
-SIZES = {"shree-lipi": (77, 11), "kruti-dev": (81, 26), "dvb-tt": (137, 47), "shree-dev": (221, 28), "chanakya": (119, 25), "aps-dv": (133, 18), "walkman-chanakya": (115, 17), "shusha": (138, 26)}
+#: Keys of each table, and those of more than one character; shree-dev is without one that was a piece of source text.
+SIZES = {"shree-lipi": (77, 11), "kruti-dev": (81, 26), "dvb-tt": (137, 47), "shree-dev": (220, 27), "chanakya": (119, 25), "aps-dv": (133, 18), "walkman-chanakya": (115, 17), "shusha": (138, 26)}
 
 
 def one(spark, value, expression):
