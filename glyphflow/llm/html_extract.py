@@ -5,7 +5,8 @@
 2.  All pages are ordered by host and path and cut into parts at sampled places, so a host with a third of all
     pages, or one path with many, is many tasks' work.  A page is compared with the nearest page before it of
     its host whose path differs, or without one with the first page after; what the first and last host of a
-    part hand to other parts is found by a first pass that moves only hashes of lines.
+    part hand to other parts is found by a first pass that moves only hashes of lines, joined host by host in
+    order of the parts, and dealt to the parts beside their pages.
 3.  Lines are aligned by longest common subsequence of their hashes, and shared lines are deleted: outside an
     article all of them, inside one only short ones in no heading, paragraph, list or table, because articles
     may quote each other.  What the EVERY nearest pages, none a copy of another, all share with the page is no
@@ -43,7 +44,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import read
 from .url_filter import split_url
-from .workspace import partitions
+from .workspace import Workspace, partitions
 
 #: Characters up to which a shared line inside an article goes.
 SHORT = 60
@@ -338,14 +339,22 @@ class Neighbours:
         """Pages that, met in this order, give the same neighbours."""
         return sorted({p.at: p for k in (self.near, self.alike) for p in (*k.own, *k.opening, *k.here, *k.back)}.values(), key=lambda p: p.at)
 
-    def so_far(self) -> Neighbours:
-        """The same, but for what the host's pages open with."""
+    def _without(self, *names: str) -> Neighbours:
         out = copy.copy(self)
         out.near, out.alike = copy.copy(self.near), copy.copy(self.alike)
         for k in (out.near, out.alike):
-            k.own, k.opening = [], []
+            for name in names:
+                setattr(k, name, [])
         return out
 
+    def so_far(self) -> Neighbours:
+        """The same, but for what the host's pages open with."""
+        return self._without("own", "opening")
+
+    def opening(self) -> Neighbours:
+        """What the host's pages open with alone."""
+        return self._without("own", "here", "back")
+
 
 class Shared(NamedTuple):
     nearest: set[int] | None  # lines shared with the nearest page that is no copy
@@ -413,14 +422,16 @@ class Waiting:
 
 
 KEYS = "part int, host string, path string, spread long, digest long"
-LINES = f"{KEYS}, page_id long, url string, lines binary"
+LINES = f"{KEYS}, kind int, page_id long, url string, lines binary"
 LIGHT = f"{KEYS}, hashes array<long>, sizes array<int>"
-EDGES = "part int, host string, path string, hashes array<long>, sizes array<int>"
+EDGES = "part int, host string, seq long, path string, hashes array<long>, sizes array<int>"
 TEXTS = "page_id long, url string, text string, n_chars long"
 _KEYS = [("part", pa.int32()), ("host", pa.string()), ("path", pa.string()), ("spread", pa.int64()), ("digest", pa.int64())]
-_LINES = pa.schema([*_KEYS, ("page_id", pa.int64()), ("url", pa.string()), ("lines", pa.binary())])
+_LINES = pa.schema([*_KEYS, ("kind", pa.int32()), ("page_id", pa.int64()), ("url", pa.string()), ("lines", pa.binary())])
 _LIGHT = pa.schema([*_KEYS, ("hashes", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32()))])
-_EDGES = pa.schema([_KEYS[0], _KEYS[1], _KEYS[2], ("hashes", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32()))])
+_EDGES = pa.schema([_KEYS[0], _KEYS[1], ("seq", pa.int64()), _KEYS[2], ("hashes", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32()))])
+#: Kinds of rows of a part: what was met of its first host in earlier parts, what hosts at its edges open with, pages.
+BEFORE, OPENING, PAGE = range(3)
 _TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
 
@@ -460,7 +471,7 @@ def _read_pages(bounds: Broadcast, light: bool):
                 if light:
                     rows.append((*keys, *page_of(lines, "")[1:3]))
                 else:
-                    rows.append((*keys, page, url, pack.compress(json.dumps(lines, ensure_ascii=False).encode("utf-8", "surrogatepass"))))
+                    rows.append((*keys, PAGE, page, url, pack.compress(json.dumps(lines, ensure_ascii=False).encode("utf-8", "surrogatepass"))))
             if rows:
                 yield _batch(rows, _LIGHT if light else _LINES)
 
@@ -473,7 +484,7 @@ def _find_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     first = now = Neighbours(None)
 
     def close() -> Iterator[pa.RecordBatch]:
-        rows = [(part, n.host, p.path, p.hashes, p.sizes) for n in ((first,) if now is first else (first, now)) for p in n.kept()]
+        rows = [(part, n.host, p.at, p.path, p.hashes, p.sizes) for n in ((first,) if now is first else (first, now)) for p in n.kept()]
         if rows:
             yield _batch(rows, _EDGES)
 
@@ -492,75 +503,96 @@ def _find_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from close()
 
 
-def _join_edges(rows: list[tuple]) -> tuple[dict[int, Neighbours], dict[str, Neighbours]]:
-    """What was met of a part's first host before the part, and all of the hosts at edges."""
-    before: dict[int, Neighbours] = {}
+def _join_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of hosts in order of parts in; for each part of a host that spans several, what was met before and what it opens with."""
+    pack = zstandard.ZstdCompressor(level=3)
+    now = Neighbours(None)
+    parts: list[int] = []
+
+    def state(part: int, kind: int, of: Neighbours) -> pa.RecordBatch:
+        return _batch([(part, of.host, "", 0, 0, kind, None, None, pack.compress(pickle.dumps(of, pickle.HIGHEST_PROTOCOL)))], _LINES)
+
+    def close() -> Iterator[pa.RecordBatch]:
+        if len(parts) > 1:
+            opening = now.opening()
+            for part in parts:
+                yield state(part, OPENING, opening)
+
+    n = 0
+    for batch in batches:
+        for part, host, path, hashes, sizes in zip(*(batch.column(c).to_pylist() for c in ("part", "host", "path", "hashes", "sizes")), strict=True):
+            if host != now.host:
+                yield from close()
+                now, parts = Neighbours(host), []
+            if not parts or part != parts[-1]:
+                if parts:
+                    yield state(part, BEFORE, now.so_far())
+                parts.append(part)
+            now.turn(path)
+            now.meet(Page(path, hashes, sizes, n))
+            n += 1
+    yield from close()
+
+
+def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of parts in order in, of each part its states first; texts out."""
+    before = Neighbours(None)
     hosts: dict[str, Neighbours] = {}
+    unpack = zstandard.ZstdDecompressor()
+    out: list[tuple] = []
     part: int | None = None
-    for n, (k, host, path, hashes, sizes) in enumerate(rows):
-        if host not in hosts:
-            hosts[host] = Neighbours(host)
-        if k != part:
-            part, before[k] = k, hosts[host].so_far()
-        hosts[host].turn(path)
-        hosts[host].meet(Page(path, hashes, sizes, n))
-    return before, hosts
-
-
-def _difference(edges: Broadcast):
-    def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of parts in order in; texts out."""
-        before, hosts = edges.value
-        unpack = zstandard.ZstdDecompressor()
-        out: list[tuple] = []
-        part: int | None = None
-        now = Neighbours(None)
-        waiting = Waiting()
-
-        def read_lines(packed: bytes) -> list[Line]:
-            return [tuple(x) for x in json.loads(unpack.decompress(packed).decode("utf-8", "surrogatepass"))]
-
-        def give(page: int | None, url: str | None, lines: list[Line], nearest: set[int], everywhere: set[int]) -> Iterator[pa.RecordBatch]:
-            text = remaining(lines, nearest, everywhere)
-            out.append((page, url, text, len(text)))
-            yield from full()
-
-        def full(least: int = 256) -> Iterator[pa.RecordBatch]:
-            if len(out) >= least:
-                yield _batch(out, _TEXTS)
-                out.clear()
-
-        def release() -> Iterator[pa.RecordBatch]:
-            host = hosts.get(now.host, now)
-            for page, url, packed, path, near, alike in waiting.take():
-                lines = read_lines(packed)
-                this = page_of(lines, path)
-                shared = shared_lines(this, [*near, *host.near.opening])
-                yield from give(page, url, lines, lines_of_all(this, [*alike, *host.alike.opening]) if shared.nearest is None else shared.nearest, shared.everywhere)
-
-        n = 0
-        for batch in batches:
-            for k, host, path, page, url, packed in zip(*(batch.column(c).to_pylist() for c in ("part", "host", "path", "page_id", "url", "lines")), strict=True):
-                if k != part or host != now.host:
-                    yield from release()
-                    now = Neighbours(host)
-                    if k != part and k in before and before[k].host == host:
-                        now = before[k].so_far()
-                    part = k
-                now.turn(path)
-                lines = read_lines(packed)
-                this = page_of(lines, path, n)
-                shared = shared_lines(this, now.near.back)
-                if not shared.settled:
-                    waiting.add((page, url, packed, path, now.near.back, now.alike.back))
-                else:
-                    yield from give(page, url, lines, shared.nearest, shared.everywhere)
-                now.meet(this)
-                n += 1
-        yield from release()
-        yield from full(1)
+    now = Neighbours(None)
+    waiting = Waiting()
+
+    def read_lines(packed: bytes) -> list[Line]:
+        return [tuple(x) for x in json.loads(unpack.decompress(packed).decode("utf-8", "surrogatepass"))]
+
+    def give(page: int | None, url: str | None, lines: list[Line], nearest: set[int], everywhere: set[int]) -> Iterator[pa.RecordBatch]:
+        text = remaining(lines, nearest, everywhere)
+        out.append((page, url, text, len(text)))
+        yield from full()
+
+    def full(least: int = 256) -> Iterator[pa.RecordBatch]:
+        if len(out) >= least:
+            yield _batch(out, _TEXTS)
+            out.clear()
+
+    def release() -> Iterator[pa.RecordBatch]:
+        host = hosts.get(now.host, now)
+        for page, url, packed, path, near, alike in waiting.take():
+            lines = read_lines(packed)
+            this = page_of(lines, path)
+            shared = shared_lines(this, [*near, *host.near.opening])
+            yield from give(page, url, lines, lines_of_all(this, [*alike, *host.alike.opening]) if shared.nearest is None else shared.nearest, shared.everywhere)
 
-    return difference
+    n = 0
+    for batch in batches:
+        for k, host, path, kind, page, url, packed in zip(*(batch.column(c).to_pylist() for c in ("part", "host", "path", "kind", "page_id", "url", "lines")), strict=True):
+            if k != part:
+                yield from release()
+                part, before, hosts, now = k, Neighbours(None), {}, Neighbours(None)
+            if kind != PAGE:
+                met = pickle.loads(unpack.decompress(packed))
+                if kind == BEFORE:
+                    before = met
+                else:
+                    hosts[host] = met
+                continue
+            if host != now.host:
+                yield from release()
+                now = before if before.host == host else Neighbours(host)
+            now.turn(path)
+            lines = read_lines(packed)
+            this = page_of(lines, path, n)
+            shared = shared_lines(this, now.near.back)
+            if not shared.settled:
+                waiting.add((page, url, packed, path, now.near.back, now.alike.back))
+            else:
+                yield from give(page, url, lines, shared.nearest, shared.everywhere)
+            now.meet(this)
+            n += 1
+    yield from release()
+    yield from full(1)
 
 
 def extract_text(pages: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -573,14 +605,11 @@ def extract_text(pages: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     places = sorted(map(tuple, rows.select("url", "page_id").mapInArrow(_sample_places(max(1, n // (parts * SAMPLE))), "host string, path string, spread long").collect()))  # SAMPLE for each part
     bounds = sc.broadcast([places[len(places) * i // parts] for i in range(1, parts)] if places else [])
     order = ["part", "host", "path", "spread", "digest"]
-
-    def dealt(light: bool) -> DataFrame:
-        read = rows.mapInArrow(_read_pages(bounds, light), LIGHT if light else LINES)
-        return read.repartition(partitions(spark), "part").sortWithinPartitions(*order, *([] if light else ["page_id"]))
-
-    found = sorted(enumerate(map(tuple, dealt(True).mapInArrow(_find_edges, EDGES).collect())), key=lambda x: (x[1][0], x[0]))  # a few pages for each part
-    edges = sc.broadcast(_join_edges([x for _, x in found]))
-    return dealt(False).mapInArrow(_difference(edges), TEXTS)
+    ws = Workspace(spark, "html")
+    found = rows.mapInArrow(_read_pages(bounds, True), LIGHT).repartition(partitions(spark), "part").sortWithinPartitions(*order).mapInArrow(_find_edges, EDGES)
+    states = found.repartition(partitions(spark), "host").sortWithinPartitions("host", "part", "seq").mapInArrow(_join_edges, LINES)
+    dealt = rows.mapInArrow(_read_pages(bounds, False), LINES).union(ws.result(states)).repartition(partitions(spark), "part")
+    return dealt.sortWithinPartitions("part", "kind", *order[1:], "page_id").mapInArrow(_difference, TEXTS)
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
