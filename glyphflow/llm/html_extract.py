@@ -5,8 +5,9 @@
 2.  All pages are ordered by host and path and cut into parts at sampled places, so a host with a third of all
     pages, or one path with many, is many tasks' work.  A page is compared with the nearest page before it of
     its host whose path differs, or without one with the first page after; what the first and last host of a
-    part hand to other parts is found by a first pass that moves only hashes of lines, joined host by host in
-    order of the parts, and dealt to the parts beside their pages.
+    part hand to other parts is found by a first pass that moves only hashes of lines.  It is joined in order of
+    the parts, first inside blocks of about as many parts as there are blocks, then across a host's blocks, so
+    that no task takes more than that many parts of one host, and dealt to the parts beside their pages.
 3.  Lines are aligned by longest common subsequence of their hashes, and shared lines are deleted: outside an
     article all of them, inside one only short ones in no heading, paragraph, list or table, because articles
     may quote each other.  What the EVERY nearest pages, none a copy of another, all share with the page is no
@@ -33,6 +34,7 @@ import re
 import tempfile
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable, Iterator
+from math import isqrt
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -425,11 +427,13 @@ KEYS = "part int, host string, path string, spread long, digest long"
 LINES = f"{KEYS}, kind int, page_id long, url string, lines binary"
 LIGHT = f"{KEYS}, hashes array<long>, sizes array<int>"
 EDGES = "part int, host string, seq long, path string, hashes array<long>, sizes array<int>"
+STATES = "part int, host string, kind int, state binary"
 TEXTS = "page_id long, url string, text string, n_chars long"
 _KEYS = [("part", pa.int32()), ("host", pa.string()), ("path", pa.string()), ("spread", pa.int64()), ("digest", pa.int64())]
 _LINES = pa.schema([*_KEYS, ("kind", pa.int32()), ("page_id", pa.int64()), ("url", pa.string()), ("lines", pa.binary())])
 _LIGHT = pa.schema([*_KEYS, ("hashes", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32()))])
 _EDGES = pa.schema([_KEYS[0], _KEYS[1], ("seq", pa.int64()), _KEYS[2], ("hashes", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32()))])
+_STATES = pa.schema([_KEYS[0], _KEYS[1], ("kind", pa.int32()), ("state", pa.binary())])
 #: Kinds of rows of a part: what was met of its first host in earlier parts, what hosts at its edges open with, pages.
 BEFORE, OPENING, PAGE = range(3)
 _TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
@@ -503,37 +507,78 @@ def _find_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from close()
 
 
+def _fold_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of a host's block of parts in order in; out what the block as a whole keeps, named by the block."""
+    now, block = Neighbours(None), None
+
+    def close() -> Iterator[pa.RecordBatch]:
+        rows = [(block, now.host, p.at, p.path, p.hashes, p.sizes) for p in now.kept()]
+        if rows:
+            yield _batch(rows, _EDGES)
+
+    n = 0
+    for batch in batches:
+        for k, host, path, hashes, sizes in zip(*(batch.column(c).to_pylist() for c in ("block", "host", "path", "hashes", "sizes")), strict=True):
+            if (host, k) != (now.host, block):
+                yield from close()
+                now, block = Neighbours(host), k
+            now.turn(path)
+            now.meet(Page(path, hashes, sizes, n))
+            n += 1
+    yield from close()
+
+
 def _join_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges of hosts in order of parts in; for each part of a host that spans several, what was met before and what it opens with."""
-    pack = zstandard.ZstdCompressor(level=3)
-    now = Neighbours(None)
+    """Edges of a host's block in order of parts in, what is known of the block's host first; out for each part of a
+    host that spans several what was met before, and what the host opens with."""
+    pack, unpack = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+    now, block = Neighbours(None), None
+    known: Neighbours | None = None  # the host's opening, where it spans several blocks
+    later = False  # whether the host has parts before this block
     parts: list[int] = []
 
     def state(part: int, kind: int, of: Neighbours) -> pa.RecordBatch:
-        return _batch([(part, of.host, "", 0, 0, kind, None, None, pack.compress(pickle.dumps(of, pickle.HIGHEST_PROTOCOL)))], _LINES)
+        return _batch([(part, of.host, kind, pack.compress(pickle.dumps(of, pickle.HIGHEST_PROTOCOL)))], _STATES)
 
     def close() -> Iterator[pa.RecordBatch]:
-        if len(parts) > 1:
-            opening = now.opening()
+        if known or len(parts) > 1:
+            opening = known or now.opening()
             for part in parts:
                 yield state(part, OPENING, opening)
 
     n = 0
     for batch in batches:
-        for part, host, path, hashes, sizes in zip(*(batch.column(c).to_pylist() for c in ("part", "host", "path", "hashes", "sizes")), strict=True):
-            if host != now.host:
+        for k, host, kind, part, path, hashes, sizes, met in zip(*(batch.column(c).to_pylist() for c in ("block", "host", "kind", "part", "path", "hashes", "sizes", "state")), strict=True):
+            if (host, k) != (now.host, block):
                 yield from close()
-                now, parts = Neighbours(host), []
-            if not parts or part != parts[-1]:
-                if parts:
-                    yield state(part, BEFORE, now.so_far())
-                parts.append(part)
-            now.turn(path)
-            now.meet(Page(path, hashes, sizes, n))
-            n += 1
+                now, block, known, later, parts = Neighbours(host), k, None, False, []
+            if kind == BEFORE:
+                now, later = pickle.loads(unpack.decompress(met)), True
+            elif kind == OPENING:
+                known = pickle.loads(unpack.decompress(met))
+            else:
+                if not parts or part != parts[-1]:
+                    if parts or later:
+                        yield state(part, BEFORE, now.so_far())
+                    parts.append(part)
+                now.turn(path)
+                now.meet(Page(path, hashes, sizes, n))
+                n += 1
     yield from close()
 
 
+def _states(ws: Workspace, found: DataFrame, parts: int) -> DataFrame:
+    """What parts have to know of others, by the edges found in each."""
+    tasks, none = partitions(ws.spark), "cast(null as binary) state"
+    found = ws.result(found.withColumn("block", F.expr(f"part div {max(1, isqrt(parts))}")))
+    blocks = found.repartition(tasks, "host", "block").sortWithinPartitions("host", "block", "part", "seq").mapInArrow(_fold_blocks, EDGES)
+    blocks = blocks.selectExpr("0 block", "host", f"{PAGE} kind", "part", "seq", "path", "hashes", "sizes", none)
+    known = blocks.repartition(tasks, "host").sortWithinPartitions("host", "part", "seq").mapInArrow(_join_edges, STATES)
+    known = known.selectExpr("part block", "host", "kind", "0 part", "0L seq", "'' path", "array(0L) hashes", "array(0) sizes", "state")
+    edges = found.selectExpr("cast(block as int) block", "host", f"{PAGE} kind", "part", "seq", "path", "hashes", "sizes", none).union(known)
+    return ws.result(edges.repartition(tasks, "host", "block").sortWithinPartitions("host", "block", "kind", "part", "seq").mapInArrow(_join_edges, STATES))
+
+
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of parts in order in, of each part its states first; texts out."""
     before = Neighbours(None)
@@ -607,8 +652,8 @@ def extract_text(pages: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     order = ["part", "host", "path", "spread", "digest"]
     ws = Workspace(spark, "html")
     found = rows.mapInArrow(_read_pages(bounds, True), LIGHT).repartition(partitions(spark), "part").sortWithinPartitions(*order).mapInArrow(_find_edges, EDGES)
-    states = found.repartition(partitions(spark), "host").sortWithinPartitions("host", "part", "seq").mapInArrow(_join_edges, LINES)
-    dealt = rows.mapInArrow(_read_pages(bounds, False), LINES).union(ws.result(states)).repartition(partitions(spark), "part")
+    states = _states(ws, found, parts).selectExpr("part", "host", "'' path", "0L spread", "0L digest", "kind", "cast(null as long) page_id", "cast(null as string) url", "state lines")
+    dealt = rows.mapInArrow(_read_pages(bounds, False), LINES).union(states).repartition(partitions(spark), "part")
     return dealt.sortWithinPartitions("part", "kind", *order[1:], "page_id").mapInArrow(_difference, TEXTS)
 
 

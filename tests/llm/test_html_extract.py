@@ -144,3 +144,15 @@ def test_names_never_take_the_only_text():
     assert text('<div class="sidebar"><p>Only text</p></div>') == "Only text"
     assert text('<div class="site-footer">imprint</div><p>Main text</p>') == "Main text"
     assert text('<ul class="menu-main"><li>Home</li></ul><div class="ad-box">buy</div><p>Main text</p>') == "Main text"
+
+
+def test_a_host_of_many_parts_and_blocks_hands_over_what_one_part_knows(spark):
+    article = "<article><h1>Title {0}</h1><p>Own text number {0} with enough words for an article.</p><p>{1}</p></article><div>Menu of section {2}</div><div>Imprint</div>"
+    body = "<div>Own text number {0} with enough words for a page.</div><div>Menu of section {2}</div><div>{1}</div>"
+    rows = []
+    for i in range(240):
+        host = "hot.org" if i < 160 else f"h{i // 20}.org"
+        rows.append((i, f"http://{host}/{i // 9}/{i:03}", (body if i % 3 else article).format(i, "Sign up for our letter and never miss a thing." if i % 5 else "Copied", i // 12)))
+    want = texts(spark, rows, group_rows=1000)  # one part
+    for size in (40, 9, 2, 1):
+        assert texts(spark, rows, group_rows=size) == want
