@@ -6,6 +6,7 @@ expression; network backends are Arrow functions over chunks with bounded concur
 
 from __future__ import annotations
 
+import math
 import random
 import threading
 import time
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.shaping import CHUNK, chunks, slices
 from ..functions.text import is_blank
+from .running import running_sums
 
 # The mock's prefix, and the free characters of a month.
 MOCK_PREFIX = "[TRANSLATED] "
@@ -35,20 +37,30 @@ class UsageLimitExceeded(TranslationError):
 
 @dataclass
 class Backend:
-    """Translates one text at a time; call may raise TranslationError."""
+    """Translates one text at a time; call may raise TranslationError.
+
+    pace: delays of each task; rate: requests a second of the whole job, retries included.
+    """
 
     name: str
     call: Callable[[str, str, str], str]
     concurrency: int = 3
     pace: Pace | None = None
+    rate: float | None = None
     retries: int = 3
     backoff: float = 0.0
     sleep: Callable[[float], None] = field(default=time.sleep, repr=False)
 
 
+#: Factor of the delay from this request on: longer after five, and again after ten.
+STEPS = ((1, 1.0), (6, 1.5), (11, 2.25))
+#: Least and most share of the delay that chance leaves.
+JITTER = (0.5, 2.0)
+
+
 @dataclass
 class Pace:
-    """Delays between requests: longer after five, and again after ten."""
+    """Delays between requests, for those of one sender."""
 
     base: float = 2.0
     sent: int = 0
@@ -56,13 +68,38 @@ class Pace:
 
     def delay(self) -> float:
         self.sent += 1
-        factor = 1.5 ** ((self.sent > 5) + (self.sent > 10))
-        return self.base * random.uniform(0.5, 2.0) * factor
+        factor = max(f for n, f in STEPS if self.sent >= n)
+        return self.base * random.uniform(*JITTER) * factor
 
     def wait(self) -> None:
         self.sleep(self.delay())
 
 
+@dataclass
+class Slots:
+    """Moments at which one of several lanes may send, so that all together keep ``rate`` requests a second.
+
+    Time is cut into slots of 1 / rate seconds and slot s belongs to lane s modulo lanes, so no slot has two
+    requests, whichever lanes run and whenever they began.
+    """
+
+    rate: float
+    lane: int
+    lanes: int
+    sleep: Callable[[float], None] = field(default=time.sleep, repr=False)
+    clock: Callable[[], float] = field(default=time.time, repr=False)
+    last: int = -1
+
+    def take(self, turn: threading.Lock) -> float:
+        """Waits for the lane's next free slot; the moment it begins.  Threads take slots in turn and wait together."""
+        with turn:
+            now = max(math.ceil(self.clock() * self.rate), self.last + 1)
+            slot = self.last = now + (self.lane - now) % self.lanes
+        while (left := slot / self.rate - self.clock()) > 0:
+            self.sleep(left)
+        return slot / self.rate
+
+
 #: Seconds that a program may take, and the most after growing from attempt to attempt.
 FIRST_TIMEOUT, GROWTH, LAST_TIMEOUT = 60.0, 1.5, 180.0
 
@@ -72,33 +109,59 @@ def timeout_of(attempt: int) -> float:
     return min(LAST_TIMEOUT, FIRST_TIMEOUT * GROWTH**attempt)
 
 
+def _factor(n: Column) -> Column:
+    return F.greatest(*[F.when(n >= first, f) for first, f in STEPS])
+
+
+def send_times(requests: DataFrame, order: list[str], groups: list[str], base: float = 2.0) -> DataFrame:
+    """Adds n (from 1) and at_us: microseconds after the first request of its group at which each one is sent.
+
+    order tells the requests of a group apart.  Delays are those of Pace; chance is the hash of a request's place in
+    the order, so that reruns agree.  Numbers and times are sums over all requests before, however many tasks hold
+    them.
+    """
+    numbered = running_sums(requests.withColumn("one", F.lit(1)), groups, order, {"earlier": "one"}).withColumn("n", (F.col("earlier") + 1).cast("long")).drop("one", "earlier")
+    share = F.conv(F.substring(F.md5(F.concat_ws("/", *order).cast("binary")), 1, 8), 16, 10).cast("long") % 1501 + 500
+    delay = F.when(F.col("n") > 1, (F.lit(int(base * 1000)) * share * _factor(F.col("n"))).cast("long")).otherwise(0)
+    timed = running_sums(numbered.withColumn("delay_us", delay), groups, order, {"before_us": "delay_us"})
+    return timed.withColumn("at_us", F.col("before_us") + F.col("delay_us")).drop("before_us", "delay_us")
+
+
 def schedule(requests: DataFrame, base: float = 2.0, backoff: float = 3.0) -> DataFrame:
     """Of requests (n, from 1; attempt, from 0): the delay's bounds by Pace, the back-off and the time allowed."""
-    factor = F.lit(1.5) ** ((F.col("n") > 5).cast("int") + (F.col("n") > 10).cast("int"))
+    factor = _factor(F.col("n"))
     allowed = F.least(F.lit(LAST_TIMEOUT), F.lit(FIRST_TIMEOUT) * F.lit(GROWTH) ** F.col("attempt"))
-    return requests.withColumns({"least": factor * (base * 0.5), "most": factor * (base * 2.0), "backoff": F.lit(2.0) ** F.col("attempt") * backoff, "allowed": allowed})
+    return requests.withColumns({"least": factor * (base * JITTER[0]), "most": factor * (base * JITTER[1]), "backoff": F.lit(2.0) ** F.col("attempt") * backoff, "allowed": allowed})
 
 
 def mock(text: Column, prefix: str = MOCK_PREFIX) -> Column:
     return F.concat(F.lit(prefix), text)
 
 
-def _edge(backend: Backend, source: str, target: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Chunks translated with bounded concurrency.  All threads of a task keep one pace, so its rate is the pace's;
-    a job's rate is that times the tasks that run at once."""
+def _edge(backend: Backend, source: str, target: str, lanes: int = 1) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Chunks translated with bounded concurrency.  All threads of a task keep one pace; with a rate, the chunks have a
+    lane, a task has the slots of the lanes it holds, and the job keeps the rate however many tasks run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = threading.Lock()
-
-        def one(text: str) -> tuple[str, str | None]:
+        slots: dict[int, Slots] = {}
+
+        def wait(lane: int | None) -> None:
+            if backend.rate:
+                with turn:
+                    own = slots.setdefault(lane, Slots(backend.rate, lane, lanes, backend.sleep))
+                own.take(turn)
+            elif backend.pace:
+                with turn:
+                    backend.pace.wait()
+
+        def one(text: str, lane: int | None) -> tuple[str, str | None]:
             error = None
             for attempt in range(max(1, backend.retries)):
                 if attempt and backend.backoff:
                     backend.sleep(2 ** (attempt - 1) * backend.backoff + random.random())
                 try:
-                    if backend.pace:
-                        with turn:
-                            backend.pace.wait()
+                    wait(lane)
                     return backend.call(text, source, target), None
                 except UsageLimitExceeded:
                     raise  # no further call may be made
@@ -108,7 +171,7 @@ def _edge(backend: Backend, source: str, target: str) -> Callable[[Iterator[pa.R
 
         with ThreadPoolExecutor(backend.concurrency) as pool:
             for b in batches:
-                got = list(pool.map(one, b.column("chunk").to_pylist()))
+                got = list(pool.map(one, b.column("chunk").to_pylist(), b.column("lane").to_pylist()))
                 yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([t for t, _ in got], pa.string()), pa.array([e for _, e in got], pa.string())], names=["key", "translated", "error"])
 
     return run
@@ -127,7 +190,13 @@ def translate_texts(texts: DataFrame, backend: Backend | None = None, source: st
         return cut.select("doc_id", F.array_join(done, "\n\n").alias("translated_text"), F.size("parts").alias("chunk_count"), F.array().cast("array<string>").alias("warnings"))
     rows = cut.select("doc_id", blank.alias("blank"), F.posexplode("parts").alias("ord", "chunk")).withColumn("key", F.sha2("chunk", 256))
     once = rows.where(~F.col("blank")).groupBy("key").agg(F.min("chunk").alias("chunk"))
-    translated = once.mapInArrow(_edge(backend, source, target), "key string, translated string, error string")
+    lanes = texts.sparkSession.sparkContext.defaultParallelism if backend.rate else 1
+    if backend.rate:
+        numbers = running_sums(once.select("key", F.lit(1).alias("one")), [], ["key"], {"n": "one"}).select("key", (F.col("n") % lanes).cast("int").alias("lane"))
+        once = once.join(numbers, "key").repartition(lanes, "lane")
+    else:
+        once = once.withColumn("lane", F.lit(None).cast("int"))
+    translated = once.mapInArrow(_edge(backend, source, target, lanes), "key string, translated string, error string")
     back = rows.join(translated, "key", "left")
     text = F.coalesce("translated", "chunk")
     warning = F.when(F.col("error").isNotNull(), F.concat(F.lit("Chunk "), (F.col("ord") + 1).cast("string"), F.lit(" translation failed: "), F.col("error")))
@@ -188,4 +257,4 @@ def prompt(text: Column, source: str, target: str) -> Column:
     return F.concat(F.lit(f"Translate the following text from {source} to {target}. Give only the translation.\n\n"), text)
 
 
-__all__ = ["Backend", "Pace", "TranslationError", "UsageLimitExceeded", "guard", "mock", "page_marked", "prompt", "slices", "translate_blocks", "translate_texts"]
+__all__ = ["Backend", "Pace", "Slots", "TranslationError", "UsageLimitExceeded", "guard", "mock", "page_marked", "prompt", "slices", "translate_blocks", "translate_texts"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import running_sums
 from .translate import FREE_TIER
 
 #: Seconds after which an idle session goes.
@@ -33,6 +34,22 @@ def check_limit(requests: DataFrame, usage: DataFrame, limit: int = FREE_TIER) -
     return used.withColumn("exceeds", F.col("used") + F.col("n") > limit)
 
 
+def budget_cut(requests: DataFrame, used: DataFrame, limit: int = FREE_TIER) -> DataFrame:
+    """Adds before (characters of the month when its turn comes) and allowed to requests (service, month, at, id, n).
+
+    In the order of at and id, requests are allowed as long as the month's characters with theirs stay within the
+    limit; the first that does not fit ends the month.  used: service, month, characters so far.  A null or negative n
+    counts as 0.
+    """
+    sized = requests.withColumn("n", F.greatest(F.coalesce("n", F.lit(0)), F.lit(0)).cast("long"))
+    summed = running_sums(sized, ["service", "month"], ["at", "id"], {"earlier": "n"})
+    known = used.select(F.col("service").alias("_service"), F.col("month").alias("_month"), F.col("characters").alias("_used"))
+    same = F.col("service").eqNullSafe(F.col("_service")) & F.col("month").eqNullSafe(F.col("_month"))
+    before = F.col("earlier") + F.coalesce("_used", F.lit(0))
+    placed = summed.join(known, same, "left").withColumn("before", before.cast("long"))
+    return placed.withColumn("allowed", F.col("before") + F.col("n") <= limit).drop("earlier", "_service", "_month", "_used")
+
+
 def expired_sessions(sessions: DataFrame, now: str, ttl: int = SESSION_TTL) -> DataFrame:
     """Sessions (session_id, created_at, processing) older than ttl at ``now`` that nothing works on."""
     age = F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp("created_at")

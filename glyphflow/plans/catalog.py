@@ -5,7 +5,6 @@ Each query runs over the whole of its tables.  Lists are joined to strings where
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -21,6 +20,7 @@ from ..functions import shaping as S
 from ..functions.text import DEVANAGARI, count_in, strip, words
 from ..operators import catalog as K
 from ..operators import convert, detect, layout, render, translate, usage
+from ..session import shared_dir
 from ..sources import adapters as A
 from ..sources import pdf
 from ..sources.tables import read as table
@@ -624,8 +624,7 @@ def strip_text(s, d):
 
 def _streamed(s: SparkSession, d: str, make, mode: str = "complete") -> DataFrame:
     """Runs a stream over the events that are there, and gives what it left."""
-    folder = s.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="glyphflow-")
-    at = f"{folder.rstrip('/')}/glyphflow-stream-{uuid.uuid4().hex}"
+    at = f"{shared_dir(s)}/glyphflow-stream-{uuid.uuid4().hex}"
     stream.to_table(make(stream.read_events(s, d)), f"{at}/table", f"{at}/checkpoint", mode).awaitTermination()
     return s.read.parquet(f"{at}/table")
 

@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -30,3 +34,27 @@ def local(name: str = "glyphflow", cores: str = "*", partitions: int = 8, memory
         "spark.ui.showConsoleProgress": "false",
     }
     return prepare(builder.config(map=settings).getOrCreate())
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share; one of our own only where a local master has none."""
+    sc = spark.sparkContext
+    current = sc._jsc.sc().getCheckpointDir()
+    named = sc.getConf().get("spark.checkpoint.dir") or (current.get() if current.isDefined() else None)
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    named = named or tempfile.mkdtemp(prefix="glyphflow-")
+    if current.isEmpty():
+        sc.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[str]:
+    """A folder below the shared one, removed at the end."""
+    path = f"{shared_dir(spark)}/glyphflow-{name}-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -53,15 +53,20 @@ def font_rows(data: bytes, password: str | None = None) -> Iterator[dict]:
                 yield {"page_number": number, "ord": i, "basefont": base, "name": name, "type": kind, "xref": xref, "encoding": encoding}
 
 
+def spans_of(page) -> Iterator[dict]:
+    """Spans of the text layer of one page."""
+    for b, block in enumerate(x for x in page.get_text("dict")["blocks"] if x["type"] == 0):
+        for n, line in enumerate(block["lines"]):
+            for i, span in enumerate(line["spans"]):
+                x0, y0, x1, y1 = span["bbox"]
+                yield {"width": page.rect.width, "height": page.rect.height, "block_no": b, "line_no": n, "span_idx": i, "text": span["text"], "font": span["font"], "size": span["size"], "x0": x0, "y0": y0, "x1": x1, "y1": y1}
+
+
 def with_pymupdf(data: bytes, password: str | None = None) -> Iterator[dict]:
     """Spans of the text layer, page by page."""
     with opened(data, password) as document:
         for number, page in enumerate(document, 1):
-            for b, block in enumerate(x for x in page.get_text("dict")["blocks"] if x["type"] == 0):
-                for n, line in enumerate(block["lines"]):
-                    for i, span in enumerate(line["spans"]):
-                        x0, y0, x1, y1 = span["bbox"]
-                        yield {"page_number": number, "width": page.rect.width, "height": page.rect.height, "block_no": b, "line_no": n, "span_idx": i, "text": span["text"], "font": span["font"], "size": span["size"], "x0": x0, "y0": y0, "x1": x1, "y1": y1}
+            yield from ({"page_number": number} | span for span in spans_of(page))
 
 
 INFO = "path string, title string, author string, subject string, creator string, producer string, creationDate string, modDate string, page_count int, error string"

@@ -25,10 +25,12 @@ class Pending:
     the place of the others.
     """
 
-    def __init__(self, folder: str, name: str) -> None:
+    def __init__(self, folder: str, name: str, job: str = "") -> None:
+        """job: tells the temporary files of jobs apart that write to one folder at a time."""
         self.files, root = store(folder)
-        self.final, self.temporary = f"{root}/{name}", f"{root}/{PENDING}/{uuid.uuid4().hex}"
-        self.files.create_dir(f"{root}/{PENDING}", recursive=True)
+        pending = f"{root}/{PENDING}/{job}".rstrip("/")
+        self.final, self.temporary = f"{root}/{name}", f"{pending}/{uuid.uuid4().hex}"
+        self.files.create_dir(pending, recursive=True)
         self.stream = self.files.open_output_stream(self.temporary, compression=None)
         self.n_bytes = 0
 
