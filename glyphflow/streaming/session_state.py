@@ -112,7 +112,7 @@ def session_states(operations: DataFrame, ttl: int = 1800, late: str = "1 hour")
     A row for each operation and each expiry, once the watermark has passed it; ``late`` is how much earlier than
     others a row may be and still count.
     """
-    keyed = operations.withColumn("at", F.unix_micros("ts")).withWatermark("ts", late).groupBy("session_id")
+    keyed = operations.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("at", F.unix_micros("ts")).withWatermark("ts", late).groupBy("session_id")
     return keyed.transformWithState(Sessions(ttl * 1_000_000), TOLD, "append", "eventTime")
 
 
