@@ -1,19 +1,16 @@
 """Conversion of legacy glyph codes to Unicode.
 
 First the keys of two and more characters, one after another, longest first, each on the result of the one
-before; then every remaining character by itself.  Only NFC needs Python (Spark has no such function); it is
-an Arrow UDF that passes texts without combining characters through untouched.
+before; then every remaining character by itself.  All of it runs in the JVM: NFC is that of the ICU library that Spark
+has for its collations.
 """
 
 from __future__ import annotations
 
-import unicodedata
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
-from pyspark.sql.types import StringType
 
 from ..data.encodings import PARTS, glyphs
 from .detection import UNICODE_NAMES
@@ -27,24 +24,24 @@ UNKNOWN = "\ufffd"
 PLACEHOLDERS = 0xF0000
 
 
-@F.pandas_udf(StringType())
-def _nfc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+#: Spark's own copy of ICU, and its composition; false: canonical.
+ICU = ("com.ibm.icu.text.Normalizer", "compose", False)
 
 
-def nfc(text: Column) -> Column:
-    """Canonical composition; Python's quick check passes composed texts through."""
-    return _nfc(text)
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
 
-@F.pandas_udf(StructType([StructField("converted", StringType()), StructField("unmapped", ArrayType(StringType()))]))
-def _compose(made: pd.DataFrame) -> pd.DataFrame:
-    return made.assign(converted=made["converted"].map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore"))
+def nfc(text: Column) -> Column:
+    """Canonical composition; null stays null."""
+    name, method, compatible = ICU
+    return once(text, lambda t: F.when(t.isNotNull(), F.reflect(F.lit(name), F.lit(method), t, F.lit(compatible))))
 
 
 def composed(made: Column) -> Column:
-    """The same of a whole result, which is then computed once however many of its fields are used."""
-    return _compose(made)
+    """The same of a whole result (converted, unmapped)."""
+    return once(made, lambda m: F.struct(nfc(m["converted"]).alias("converted"), m["unmapped"].alias("unmapped")))
 
 
 def _class_of(characters: list[str]) -> str:
@@ -74,24 +71,53 @@ def unmapped(text: Column, encoding: str) -> Column:
     return F.sort_array(F.array_distinct(characters(F.regexp_replace(text, f"[{_covered(encoding)}]+", ""))))
 
 
+def _lengthened(text: Column, longer: dict[str, str]) -> Column:
+    """Each key followed by its value without the first character.
+
+    From the last place of a value to its second, one pass puts a character behind all keys that have it there, so
+    keys with one ending share their passes; passes whose keys a text does not have are left out.
+    """
+    passes: dict[tuple[int, str], list[str]] = {}
+    for place in range(max(map(len, longer.values()), default=1) - 1, 0, -1):
+        for k, v in longer.items():
+            if len(v) > place:
+                passes.setdefault((place, v[place]), []).append(k)
+    if not passes:
+        return text
+
+    def put(present: Column) -> Column:
+        t = text
+        for (_, c), keys in passes.items():
+            own = f"[{_class_of(keys)}]"
+            t = once(t, lambda u: F.when(present.rlike(own), F.regexp_replace(u, f"({own})", f"$1{c}")).otherwise(u))  # noqa: B023
+        return t
+
+    return once(F.regexp_replace(text, f"[^{_class_of(list(longer))}]+", ""), put)
+
+
 def replace_characters(text: Column, encoding: str, preserve_unknown: bool = True) -> Column:
     """Every remaining character by itself.
 
-    One pass of translate, which maps characters to single ones: those that become several or none are mapped
-    to placeholders beyond all assigned characters, which are replaced after.  Texts that hold such characters
-    themselves are mapped character by character.
+    One pass of translate, which maps characters to single ones or to nothing; what values have behind their first
+    character is put there before.  A value whose further characters are keys themselves goes by a placeholder
+    beyond all assigned characters; texts that hold such characters are mapped character by character.
     """
     singles = _singles(encoding)
-    longer = [k for k, v in singles.items() if len(v) != 1]
-    placeholder = {k: chr(PLACEHOLDERS + i) for i, k in enumerate(longer)}
+    longer = {k: v for k, v in singles.items() if len(v) > 1}
+    odd = [k for k, v in longer.items() if set(v[1:]) & {*singles, "$", "\\"}]
+    placeholder = {k: chr(PLACEHOLDERS + i) for i, k in enumerate(odd)}
     if not preserve_unknown:
         text = F.regexp_replace(text, f"[^{_covered(encoding)}]", UNKNOWN)
-    out = F.translate(text, "".join(singles), "".join(placeholder.get(k, v) for k, v in singles.items()))
-    for k in longer:
+    out = _lengthened(text, {k: v for k, v in longer.items() if k not in placeholder})
+    kept = [k for k, v in singles.items() if v] + [k for k, v in singles.items() if not v]  # translate drops the last ones
+    out = F.translate(out, "".join(kept), "".join(placeholder.get(k, singles[k][:1]) for k in kept))
+    if not odd:
+        return out
+    for k in odd:
         out = F.replace(out, F.lit(placeholder[k]), F.lit(singles[k]))
     table = F.create_map(*[F.lit(x) for kv in singles.items() for x in kv])
     slow = F.array_join(F.transform(characters(text), lambda c: F.coalesce(table[c], c)), "")
-    return F.when(text.rlike(f"[\\x{{{PLACEHOLDERS:x}}}-\\x{{{PLACEHOLDERS + len(longer):x}}}]"), slow).otherwise(out)
+    return F.when(text.rlike(f"[\\x{{{PLACEHOLDERS:x}}}-\\x{{{PLACEHOLDERS + len(odd):x}}}]"), slow).otherwise(out)
 
 
 def convert(text: Column, encoding: str, preserve_unknown: bool = True, normalize: bool = True) -> Column:
@@ -100,19 +126,18 @@ def convert(text: Column, encoding: str, preserve_unknown: bool = True, normaliz
         known = encoding.lower() in UNICODE_NAMES
         return F.struct(text.alias("converted"), F.lit(encoding).alias("encoding_used"), F.lit(known).alias("success"), F.array().cast("array<string>").alias("unmapped"))
     made = applied(text, encoding, preserve_unknown)
-    if normalize:
-        made = composed(made)
-    return F.struct(made["converted"].alias("converted"), F.lit(encoding).alias("encoding_used"), F.lit(True).alias("success"), made["unmapped"].alias("unmapped"))
+    finish = nfc if normalize else lambda t: t
+    return once(made, lambda m: F.struct(finish(m["converted"]).alias("converted"), F.lit(encoding).alias("encoding_used"), F.lit(True).alias("success"), m["unmapped"].alias("unmapped")))
 
 
 def applied(text: Column, encoding: str, preserve_unknown: bool = True) -> Column:
-    """struct<converted, unmapped> before composition; the array of one binds the replaced text to a name."""
+    """struct<converted, unmapped> before composition."""
 
     def rest(replaced: Column) -> Column:
         done = processor(encoding)(replace_characters(replaced, encoding, preserve_unknown))
         return F.struct(done.alias("converted"), unmapped(replaced, encoding).alias("unmapped"))
 
-    return F.transform(F.array(replace_sequences(text, encoding)), rest)[0]
+    return once(replace_sequences(text, encoding), rest)
 
 
 def conversion_rate(original: Column, n_unmapped: Column) -> Column:
