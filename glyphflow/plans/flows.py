@@ -115,20 +115,20 @@ def session_states(s, d):
 
 # -- budgets and send times ---------------------------------------------------------------------------------
 
-ASKED = "SELECT CASE WHEN event_type IN ('click', 'view') THEN 'gcp' ELSE event_type END AS service, strftime(ts, '%Y-%m') AS month, ts AS made, event_id AS id, greatest(coalesce(CAST(round(value) AS BIGINT), 0), 0) AS n FROM events"
+ASKED = "SELECT source AS service, 'm' || doc_id % 3 AS month, doc_id % 100 AS made, doc_id AS id, CAST(length(coalesce(text, '')) AS BIGINT) AS n FROM documents"
 
 
 @register(
     "budget_cut",
-    f"""SELECT service, month, id, n, before, before + n <= 60000 AS allowed FROM (
-  SELECT *, CAST(coalesce(sum(n) OVER (PARTITION BY service, month ORDER BY made, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + CASE service WHEN 'gcp' THEN 1234 ELSE 0 END AS BIGINT) AS before FROM ({ASKED}))""",
+    f"""SELECT service, month, id, n, before, before + n <= 500000 AS allowed FROM (
+  SELECT *, CAST(coalesce(sum(n) OVER (PARTITION BY service, month ORDER BY made, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + CASE WHEN service LIKE '%2' THEN 490000 ELSE 0 END AS BIGINT) AS before FROM ({ASKED}))""",
 )
 def budget_cut(s, d):
-    """Which uses of a month are within its characters, one service having most of them."""
-    service = F.when(F.col("event_type").isin("click", "view"), "gcp").otherwise(F.col("event_type"))
-    asked = table(s, d, "events").select(service.alias("service"), F.date_format("ts", "yyyy-MM").alias("month"), F.col("ts").alias("at"), F.col("event_id").alias("id"), F.round("value").cast("long").alias("n"))
-    used = asked.where("service = 'gcp'").select("service", "month").distinct().withColumn("characters", F.lit(1234))
-    return usage.budget_cut(asked, used, 60_000).select("service", "month", "id", "n", "before", "allowed")
+    """Which texts a month's characters are enough for, one service having a good part of all texts."""
+    i = F.col("doc_id")
+    asked = table(s, d, "documents").select(F.col("source").alias("service"), F.concat(F.lit("m"), (i % 3).cast("string")).alias("month"), (i % 100).alias("at"), i.alias("id"), F.length("text").cast("long").alias("n"))
+    used = asked.where("service LIKE '%2'").select("service", "month").distinct().withColumn("characters", F.lit(490_000))
+    return usage.budget_cut(asked, used).select("service", "month", "id", "n", "before", "allowed")
 
 
 @register(
