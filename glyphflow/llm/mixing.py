@@ -9,7 +9,7 @@
     random order exactly, the row at the cut being taken in part.
 
 Defined cases: null text has size 0; null source is a source, ranked last; a null doc_id counts as the text
-'null' for its key; rows tied in key, id and size are interchangeable; sources without words have target 0;
+'null' for its key; rows tied in key, id and size follow their row, where one is given, else they are interchangeable; sources without words have target 0;
 an empty table gives an empty result; other columns are not read.
 """
 
@@ -57,7 +57,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED, row: str | None = None) -> DataFrame:
     """doc_id, size, source_size, target, taken (words the mix takes, repeats counted) for each row.
 
-    row: a column of docs that the result carries too.
+    row: a column of docs that tells its rows apart; the result carries it, and it settles ties.
     """
     carried = [row] if row else []
     with Workspace(docs.sparkSession, "mix") as ws:
@@ -69,7 +69,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
         earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
         starts = ranged.groupBy("source", "range").agg(F.sum("size").alias("words")).select("source", "range", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("start"))
         starts = starts.join(sources, starts["source"].eqNullSafe(sources["source"])).select(starts["source"], "range", "start", "source_size", "target")
-        inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+        inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", *carried).rowsBetween(Window.unboundedPreceding, -1)
         placed = ranged.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
         placed = placed.join(starts, placed["source"].eqNullSafe(starts["source"]) & (placed["range"] == starts["range"])).drop(starts["source"], starts["range"])
         budget = F.floor("target").cast("long")

@@ -50,3 +50,13 @@ def test_empty(spark):
     df, _ = documents(spark)
     assert mix(df.where("false")).count() == 0
     assert {r.taken for r in mix(df.where("doc_id < 3")).collect()} == {0}
+
+
+def test_rows_of_one_id_and_size_keep_their_turn(spark):
+    """Whatever order they come in, the same texts are taken twice, once or in part."""
+    rows = [(7, f"{c} {c}{c} {c}", "s", i) for i, c in enumerate("abcdefghi")] + [(8, "one two", "t", 20), (None, "x y", "s", 21), (None, "y x", "s", 22)]
+    found = []
+    for turn in range(4):
+        df = spark.createDataFrame(rows[turn * 3 :] + rows[: turn * 3], "doc_id long, text string, source string, turn long").repartition(turn + 1)
+        found.append(sorted(tuple(r) for r in mix(df, share=1.3, row="turn").select("turn", "taken").collect()))
+    assert all(f == found[0] for f in found) and len({t for _, t in found[0]}) > 1
