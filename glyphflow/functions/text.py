@@ -29,9 +29,13 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, f"[{SPACES}]+"), lambda w: w != "")
 
 
+#: What sets a terminal's colours.
+ANSI = r"\x1b\[[0-9;]*m"
+
+
 def strip_ansi(text: Column) -> Column:
     """A terminal's output without its colours."""
-    return F.regexp_replace(text, r"\x1b\[[0-9;]*m", "")
+    return F.regexp_replace(text, ANSI, "")
 
 
 def preview(text: Column, most: int = 50) -> Column:

@@ -8,6 +8,7 @@ its own client.  Errors become TranslationError, which keeps the source text of
 from __future__ import annotations
 
 import json
+import re
 import shutil
 import subprocess
 import urllib.error
@@ -16,7 +17,8 @@ import urllib.request
 from collections.abc import Callable
 
 from ..data import languages as L
-from .translate import FREE_TIER, MOCK_PREFIX, Backend, Pace, TranslationError, UsageLimitExceeded, timeout_of
+from ..functions.text import ANSI
+from .translate import FREE_TIER, MOCK_PREFIX, Backend, Pace, TranslationError, UsageLimitExceeded, instruction, timeout_of
 
 Fetch = Callable[[str, str, dict, bytes | None], tuple[int, bytes]]
 
@@ -84,7 +86,6 @@ def mymemory(fetch: Fetch | None = None, timeout: float = 30) -> Backend:
 
 def shell(path: str | None = None, engine: str = "google", timeout: float = 60) -> Backend:
     """The trans program, fed on standard input; its colours are stripped."""
-    import re
 
     def call(text: str, source: str, target: str) -> str:
         program = path or shutil.which("trans")
@@ -103,7 +104,7 @@ def shell(path: str | None = None, engine: str = "google", timeout: float = 60)
                 raise TranslationError(str(e)) from e
         if done.returncode or not done.stdout.strip():
             raise TranslationError(done.stderr.strip() or "empty answer")
-        return re.sub(r"\x1b\[[0-9;]*m", "", done.stdout).strip()
+        return re.sub(ANSI, "", done.stdout).strip()
 
     return Backend("trans", call, pace=Pace(2.0))
 
@@ -113,7 +114,7 @@ def ollama(model: str = "llama3.2", host: str = OLLAMA_HOST, fetch: Fetch | None
 
     def call(text: str, source: str, target: str) -> str:
         name = lambda c: L.NAMES.get(c.lower(), c)
-        ask = f"Translate this {name(source)} text to {name(target)}. Answer with the translation alone.\n\n{text}"
+        ask = f"{instruction(name(source), name(target))}\n\n{text}"
         data = _json(fetch, "POST", f"{host}/api/generate", {"model": model, "prompt": ask, "stream": False, "options": {"temperature": 0.3}})
         return data.get("response", "").strip()
 
@@ -125,7 +126,7 @@ def openai(api_key: str, model: str = "gpt-4o-mini", temperature: float = 0.3, f
 
     def call(text: str, source: str, target: str) -> str:
         name = lambda c: L.NAMES.get(c.lower(), c)
-        system = f"Translate from {name(source)} to {name(target)}. Keep meaning, tone and layout. Answer with the translation alone."
+        system = instruction(name(source), name(target))
         limit = "max_completion_tokens" if model.startswith("gpt-5") else "max_tokens"
         payload = {"model": model, "messages": [{"role": "system", "content": system}, {"role": "user", "content": text}], "temperature": temperature, limit: 4096}
         choices = _json(fetch, "POST", OPENAI, payload, {"Authorization": f"Bearer {api_key}"}).get("choices") or []

@@ -32,18 +32,18 @@ def _line(order: list[Column], default: float, dpi: int) -> list[Column]:
 def lines_by_number(words: DataFrame, dpi: int = 300) -> DataFrame:
     """One line for each (block_num, line_num) of a page; words in the order they were recognised."""
     words = words.where(~is_blank(F.col("text")))
-    return words.groupBy("doc_id", "block_num", "line_num").agg(*_line([F.col("word_idx")], TESSERACT_DEFAULT, dpi))
+    return words.groupBy("doc_id", "page_number", "block_num", "line_num").agg(*_line([F.col("word_idx")], TESSERACT_DEFAULT, dpi))
 
 
 def lines_by_gap(words: DataFrame, engine: str = "vision", dpi: int = 300) -> DataFrame:
-    """Lines of words whose tops follow each other closely: each is compared with the word before it."""
+    """Lines of a page's words whose tops follow each other closely: each is compared with the word before it."""
     gap, default = ENGINES[engine]
-    order = Window.partitionBy("doc_id").orderBy("top", "left", "word_idx")
+    order = Window.partitionBy("doc_id", "page_number").orderBy("top", "left", "word_idx")
     last = F.lag("top").over(order)
     new = F.when((last >= 0) & (F.abs(F.col("top") - last) > gap), 1).otherwise(0)
     running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     numbered = words.where(~is_blank(F.col("text"))).withColumn("new", new).withColumn("line", F.sum("new").over(running))
-    return numbered.groupBy("doc_id", "line").agg(*_line([F.col("left"), F.col("top"), F.col("word_idx")], default, dpi))
+    return numbered.groupBy("doc_id", "page_number", "line").agg(*_line([F.col("left"), F.col("top"), F.col("word_idx")], default, dpi))
 
 
 def polygon_box(points: Column) -> Column:

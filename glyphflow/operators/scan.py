@@ -72,10 +72,13 @@ def assembled(pictures: list[bytes]) -> bytes:
 
 
 def scan_copy(files: DataFrame, render: Callable[[bytes], Iterator[tuple[int, bytes]]] = page_images, assemble: Assemble = assembled) -> DataFrame:
-    """doc_id and pdf of files (doc_id, content); a file that can't be rendered has no copy."""
+    """doc_id and pdf of files (doc_id, content); a file of which a page can't be rendered has no copy, and its error."""
 
     def join(pages: pd.DataFrame) -> pd.DataFrame:
+        errors = pages.error.dropna()
+        if len(errors):
+            return pd.DataFrame({"doc_id": [pages.doc_id.iloc[0]], "pdf": [None], "error": [errors.iloc[0]]})
         ordered = pages.sort_values("page_number")
-        return pd.DataFrame({"doc_id": [ordered.doc_id.iloc[0]], "pdf": [assemble(list(ordered.image))]})
+        return pd.DataFrame({"doc_id": [ordered.doc_id.iloc[0]], "pdf": [assemble(list(ordered.image))], "error": [None]})
 
-    return render_pages(files, render).groupBy("doc_id").applyInPandas(join, "doc_id long, pdf binary")
+    return render_pages(files, render).groupBy("doc_id").applyInPandas(join, "doc_id long, pdf binary, error string")

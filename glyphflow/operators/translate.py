@@ -171,7 +171,8 @@ def _edge(backend: Backend, source: str, target: str, lanes: int = 1) -> Callabl
 
         with ThreadPoolExecutor(backend.concurrency) as pool:
             for b in batches:
-                got = list(pool.map(one, b.column("chunk").to_pylist(), b.column("lane").to_pylist()))
+                lane = b.column("lane").to_pylist() if "lane" in b.schema.names else [None] * len(b)
+                got = list(pool.map(one, b.column("chunk").to_pylist(), lane))
                 yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([t for t, _ in got], pa.string()), pa.array([e for _, e in got], pa.string())], names=["key", "translated", "error"])
 
     return run
@@ -252,9 +253,14 @@ def guard(texts: DataFrame, used: int, limit: int = FREE_TIER) -> int:
     return n
 
 
+def instruction(source: str, target: str) -> str:
+    """What a language model is told to do with a text in one language, by the languages' names."""
+    return f"Translate the following text from {source} to {target}. Give only the translation."
+
+
 def prompt(text: Column, source: str, target: str) -> Column:
     """What a language model is asked for."""
-    return F.concat(F.lit(f"Translate the following text from {source} to {target}. Give only the translation.\n\n"), text)
+    return F.concat(F.lit(f"{instruction(source, target)}\n\n"), text)
 
 
-__all__ = ["Backend", "Pace", "Slots", "TranslationError", "UsageLimitExceeded", "guard", "mock", "page_marked", "prompt", "slices", "translate_blocks", "translate_texts"]
+__all__ = ["Backend", "Pace", "Slots", "TranslationError", "UsageLimitExceeded", "guard", "instruction", "mock", "page_marked", "prompt", "slices", "translate_blocks", "translate_texts"]

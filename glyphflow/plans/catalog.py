@@ -311,16 +311,16 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.withColumn("confidence", F.round("confidence", 12))
 
 
-@register("line_group_block", f"SELECT doc_id, block_num, line_num, string_agg(text, ' ' ORDER BY word_idx, text) AS raw_text, {_box('0.0::DOUBLE')} FROM ({A.WORDS_SQL}) GROUP BY doc_id, block_num, line_num")
+@register("line_group_block", f"SELECT doc_id, page_number, block_num, line_num, string_agg(text, ' ' ORDER BY word_idx, text) AS raw_text, {_box('0.0::DOUBLE')} FROM ({A.WORDS_SQL}) GROUP BY doc_id, page_number, block_num, line_num")
 def line_group_block(s, d):
     return _rounded(layout.lines_by_number(A.ocr_words(table(s, d, "lineitem"))))
 
 
 def _gap(name: str, engine: str) -> None:
     gap, default = layout.ENGINES[engine]
-    sql = f"""WITH w AS (SELECT *, lag(top) OVER (PARTITION BY doc_id ORDER BY top, "left", word_idx) AS last FROM ({A.WORDS_SQL})),
-    l AS (SELECT *, CAST(sum(CASE WHEN last >= 0 AND abs(top - last) > {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY top, "left", word_idx ROWS UNBOUNDED PRECEDING) AS BIGINT) AS line FROM w)
-    SELECT doc_id, line, string_agg(text, ' ' ORDER BY "left", top, word_idx, text) AS raw_text, {_box(f'{default}::DOUBLE')} FROM l GROUP BY doc_id, line"""
+    sql = f"""WITH w AS (SELECT *, lag(top) OVER (PARTITION BY doc_id, page_number ORDER BY top, "left", word_idx) AS last FROM ({A.WORDS_SQL})),
+    l AS (SELECT *, CAST(sum(CASE WHEN last >= 0 AND abs(top - last) > {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_number ORDER BY top, "left", word_idx ROWS UNBOUNDED PRECEDING) AS BIGINT) AS line FROM w)
+    SELECT doc_id, page_number, line, string_agg(text, ' ' ORDER BY "left", top, word_idx, text) AS raw_text, {_box(f'{default}::DOUBLE')} FROM l GROUP BY doc_id, page_number, line"""
     register(name, sql)(lambda s, d: _rounded(layout.lines_by_gap(A.ocr_words(table(s, d, "lineitem")), engine)))
 
 

@@ -157,11 +157,11 @@ def positioned_blocks(s, d):
 BLANKED = A.WORDS_SQL.replace("'w' || l_partkey AS text", "CASE l_partkey % 4 WHEN 0 THEN ' ' WHEN 1 THEN chr(160) || chr(9) ELSE 'w' || l_partkey END AS text")
 
 
-@register("nonblank_words", f"SELECT doc_id, block_num, line_num, string_agg(text, ' ' ORDER BY word_idx, text) AS raw_text FROM ({BLANKED}) WHERE regexp_matches(text, '[^{Q.WS}]') GROUP BY doc_id, block_num, line_num")
+@register("nonblank_words", f"SELECT doc_id, page_number, block_num, line_num, string_agg(text, ' ' ORDER BY word_idx, text) AS raw_text FROM ({BLANKED}) WHERE regexp_matches(text, '[^{Q.WS}]') GROUP BY doc_id, page_number, block_num, line_num")
 def nonblank_words(s, d):
     turn = F.pmod(F.substring("text", 2, 20).cast("long"), F.lit(4))
     words = A.ocr_words(table(s, d, "lineitem")).withColumn("text", F.when(turn == 0, " ").when(turn == 1, "\u00a0\t").otherwise(F.col("text")))
-    return layout.lines_by_number(words).select("doc_id", "block_num", "line_num", "raw_text")
+    return layout.lines_by_number(words).select("doc_id", "page_number", "block_num", "line_num", "raw_text")
 
 
 @register("whole_pages", f"SELECT doc_id, page_number, page_text AS raw_text, 0.8::DOUBLE AS confidence FROM ({SORTED_PAGES}) WHERE regexp_matches(page_text, '[^{Q.WS}]') AND page_number % 2 = 0")

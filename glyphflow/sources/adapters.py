@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LINES_A_PAGE = 20
+#: Pages of a document of recognised words.
+PAGES_OF = 8
 #: Font names that stand in for those of a page, dealt out by document.
 FONTS = [None, "Shree-Dev-0714", "KrutiDev010", "Arial", "Mangal", "DVBWTTSurekhNormal", "Paragraph", "AkrutiDev", "Chanakya", "Times New Roman", "APS-C-DV", "Shusha", "SDL-Dev", ""]
 
@@ -39,9 +41,11 @@ BLOCKS_SQL = f"""
 
 
 def ocr_words(lineitem: DataFrame) -> DataFrame:
-    """Rows of numbers as recognised words: doc_id (page), word_idx, text, box in pixels, conf, block_num, line_num."""
+    """Rows of numbers as recognised words, an order being a page and eight of them a document: doc_id, page_number,
+    word_idx, text, box in pixels, conf, block_num, line_num."""
     return lineitem.select(
-        F.col("l_orderkey").alias("doc_id"),
+        F.floor(F.col("l_orderkey") / PAGES_OF).alias("doc_id"),
+        (F.col("l_orderkey") % PAGES_OF + 1).cast("int").alias("page_number"),
         F.col("l_linenumber").alias("word_idx"),
         F.concat(F.lit("w"), F.col("l_partkey").cast("string")).alias("text"),
         (F.col("l_partkey") % 500).cast("double").alias("left"),
@@ -54,8 +58,8 @@ def ocr_words(lineitem: DataFrame) -> DataFrame:
     )
 
 
-WORDS_SQL = """
-  SELECT l_orderkey AS doc_id, l_linenumber AS word_idx, 'w' || l_partkey AS text, CAST(l_partkey % 500 AS DOUBLE) AS "left", CAST(floor(l_quantity) * 10 AS DOUBLE) AS top,
+WORDS_SQL = f"""
+  SELECT l_orderkey // {PAGES_OF} AS doc_id, CAST(l_orderkey % {PAGES_OF} + 1 AS INT) AS page_number, l_linenumber AS word_idx, 'w' || l_partkey AS text, CAST(l_partkey % 500 AS DOUBLE) AS "left", CAST(floor(l_quantity) * 10 AS DOUBLE) AS top,
     CAST(20 + l_suppkey % 50 AS DOUBLE) AS width, CAST(10 + l_suppkey % 9 AS DOUBLE) AS height, round(l_discount * 1000) - 5 AS conf, l_linenumber % 3 AS block_num, l_suppkey % 4 AS line_num
   FROM lineitem
 """

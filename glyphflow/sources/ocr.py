@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..data import languages as L
 from ..functions.text import is_blank
 
-WORDS = "doc_id long, page_number int, word_idx int, text string, left double, top double, width double, height double, conf double, block_num int, line_num int"
+WORDS = "doc_id long, page_number int, word_idx int, text string, left double, top double, width double, height double, conf double, block_num int, line_num int, error string"
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
 _WORDS = pa.schema([(f.split()[0], _TYPES[f.split()[1]]) for f in WORDS.split(", ")])
 DPI = 300
@@ -44,6 +44,22 @@ def with_tesseract(image: bytes, language: object) -> Iterator[dict]:
             yield {"text": text} | {k: data[k][i] for k in ("left", "top", "width", "height", "conf", "block_num", "line_num")}
 
 
+def box_of(points: list[tuple[float, float]]) -> dict:
+    """The upright box around a polygon, as operators.layout.polygon_box has it."""
+    xs, ys = [x for x, _ in points], [y for _, y in points]
+    return {"left": min(xs), "top": min(ys), "width": max(xs) - min(xs), "height": max(ys) - min(ys)}
+
+
+def text_with_tesseract(image: bytes, language: object) -> str:
+    """A page's text without places."""
+    import io
+
+    import pytesseract
+    from PIL import Image
+
+    return pytesseract.image_to_string(Image.open(io.BytesIO(image)), lang=language)
+
+
 _READERS: dict[str, object] = {}
 
 
@@ -56,8 +72,7 @@ def with_easyocr(image: bytes, language: object) -> Iterator[dict]:
         _READERS[key] = easyocr.Reader(language)
     for points, text, conf in _READERS[key].readtext(image):
         if text.strip():
-            xs, ys = [p[0] for p in points], [p[1] for p in points]
-            yield {"text": text, "left": min(xs), "top": min(ys), "width": max(xs) - min(xs), "height": max(ys) - min(ys), "conf": conf * 100, "block_num": 0, "line_num": 0}
+            yield {"text": text} | box_of([(p[0], p[1]) for p in points]) | {"conf": conf * 100, "block_num": 0, "line_num": 0}
 
 
 def vision_words(pages: list) -> Iterator[dict]:
@@ -69,8 +84,7 @@ def vision_words(pages: list) -> Iterator[dict]:
                 for word in paragraph.words:
                     text = "".join(s.text for s in word.symbols)
                     if text.strip():
-                        xs, ys = [v.x for v in word.bounding_box.vertices], [v.y for v in word.bounding_box.vertices]
-                        yield {"text": text, "left": min(xs), "top": min(ys), "width": max(xs) - min(xs), "height": max(ys) - min(ys), "conf": word.confidence * 100, "block_num": n // 100, "line_num": 0}
+                        yield {"text": text} | box_of([(v.x, v.y) for v in word.bounding_box.vertices]) | {"conf": word.confidence * 100, "block_num": n // 100, "line_num": 0}
                         n += 1
 
 
@@ -84,6 +98,8 @@ def with_vision(image: bytes, language: object) -> Iterator[dict]:
 
 
 ENGINES: dict[str, Engine] = {"tesseract": with_tesseract, "easyocr": with_easyocr, "vision": with_vision}
+#: Of engines that can, the text of a page that has no words with places.
+TEXTS: dict[str, Callable[[bytes, object], str]] = {"tesseract": text_with_tesseract}
 
 
 def page_images(data: bytes, dpi: int = DPI) -> Iterator[tuple[int, bytes]]:
@@ -96,18 +112,24 @@ def page_images(data: bytes, dpi: int = DPI) -> Iterator[tuple[int, bytes]]:
 
 
 def render_pages(files: DataFrame, render: Callable[[bytes], Iterator[tuple[int, bytes]]] = page_images) -> DataFrame:
-    """doc_id, page_number, image of files (doc_id, content); a file that can't be rendered has no pages."""
+    """doc_id, page_number, image, error of files (doc_id, content); a file that can't be rendered is a row with its error,
+    after the pages that could be."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for doc, data in zip(b.column("doc_id").to_pylist(), b.column("content").to_pylist(), strict=True):
+
+                def row(number: int | None, image: bytes | None, error: str | None) -> pa.RecordBatch:
+                    columns = [pa.array([doc], pa.int64()), pa.array([number], pa.int32()), pa.array([image], pa.binary()), pa.array([error], pa.string())]  # noqa: B023
+                    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "page_number", "image", "error"])
+
                 try:
                     for number, image in render(data):
-                        yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([number], pa.int32()), pa.array([image], pa.binary())], names=["doc_id", "page_number", "image"])
+                        yield row(number, image, None)
                 except Exception as e:  # whatever a broken file makes the library raise
-                    print(f"{doc}: {type(e).__name__}: {e}")
+                    yield row(None, None, f"{type(e).__name__}: {e}")
 
-    return files.select("doc_id", "content").mapInArrow(run, "doc_id long, page_number int, image binary")
+    return files.select("doc_id", "content").mapInArrow(run, "doc_id long, page_number int, image binary, error string")
 
 
 def whole_pages(pages: DataFrame, lines: DataFrame, engine: str) -> DataFrame:
@@ -116,23 +138,34 @@ def whole_pages(pages: DataFrame, lines: DataFrame, engine: str) -> DataFrame:
     return alone.select("doc_id", "page_number", F.col("page_text").alias("raw_text"), F.lit(WHOLE_PAGE[engine]).alias("confidence"))
 
 
-def recognise(images: DataFrame, engine: Engine | str, language: str = "mr") -> DataFrame:
-    """Words of page images (doc_id, page_number, image); a page that fails gives none."""
+def recognise(images: DataFrame, engine: Engine | str, language: str = "mr", page_text: Callable[[bytes, object], str] | None = None) -> DataFrame:
+    """Words of page images (doc_id, page_number, image); a page that fails is a row with its error.
+
+    A page without words whose text can be had (page_text, or the engine's own) is one word, in the confidence of a
+    whole page and without a place.
+    """
     name = engine if isinstance(engine, str) else "custom"
     call = ENGINES[engine] if isinstance(engine, str) else engine
-    told = language_for(name, language)
+    told, text_of = language_for(name, language), page_text or TEXTS.get(name)
+    sure = WHOLE_PAGE.get(name, WHOLE_PAGE["tesseract"]) * 100
+
+    def words(image: bytes) -> list[dict]:
+        found = list(call(image, told))
+        if not found and text_of and (text := text_of(image, told)).strip():
+            found = [{"text": text.strip(), "conf": sure, "block_num": 0, "line_num": 0}]
+        return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for doc, page, image in zip(*(b.column(c).to_pylist() for c in ("doc_id", "page_number", "image")), strict=True):
                 try:
-                    rows = [{"doc_id": doc, "page_number": page, "word_idx": i} | w for i, w in enumerate(call(image, told))]
+                    rows = words(image)
                 except Exception as e:  # whatever a broken image makes the engine raise
-                    print(f"{doc}, page {page}: {type(e).__name__}: {e}")
-                    continue
+                    rows = [{"error": f"{type(e).__name__}: {e}"}]
+                rows = [{"doc_id": doc, "page_number": page, "word_idx": i} | w for i, w in enumerate(rows)]
                 yield pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in _WORDS], schema=_WORDS)
 
-    return images.select("doc_id", "page_number", "image").mapInArrow(run, WORDS)
+    return images.where("image IS NOT NULL").select("doc_id", "page_number", "image").mapInArrow(run, WORDS)
 
 
 def capabilities(spark: SparkSession) -> DataFrame:

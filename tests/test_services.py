@@ -4,10 +4,11 @@ import os
 from types import SimpleNamespace as Of
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from glyphflow.data import encodings
-from glyphflow.operators import backends, scan, sessions
+from glyphflow.operators import backends, layout, scan, sessions
 from glyphflow.operators import translate as T
 from glyphflow.plans import commands, services
 from glyphflow.sources import files as table_files
@@ -65,7 +66,8 @@ def test_pictures_of_pages(spark):
             raise ValueError("broken")
         yield from ((n, bytes([x])) for n, x in reversed(list(enumerate(data, 1))))
 
-    assert {r.doc_id: bytes(r.pdf) for r in scan.scan_copy(files, render, b"|".join).collect()} == {1: b"a|b", 3: b"c"}
+    copies = {r.doc_id: (r.pdf and bytes(r.pdf), r.error) for r in scan.scan_copy(files, render, b"|".join).collect()}
+    assert copies == {1: (b"a|b", None), 2: (None, "ValueError: broken"), 3: (b"c", None)}
     with pytest.raises(ValueError):
         scan.in_mode(None, "sepia")
 
@@ -85,6 +87,12 @@ def test_a_file_for_each_document(spark, tmp_path):
     assert found == {"name=x.txt": "one\ntwo\n", "name=y.txt": "three\n"}
 
 
+def one_page(data):
+    """A file whose second page can't be rendered."""
+    yield 1, b"i"
+    raise ValueError("page 2")
+
+
 def test_engines(spark):
     def engine(image, language):
         if image == b"!":
@@ -92,7 +100,14 @@ def test_engines(spark):
         yield {"text": "w", "left": 0.0, "top": 0.0, "width": 1.0, "height": 1.0, "conf": 50.0, "block_num": 0, "line_num": 0}
 
     images = spark.createDataFrame([(1, 1, b"!"), (1, 2, b"x")], "doc_id long, page_number int, image binary")
-    assert [(r.doc_id, r.page_number) for r in ocr.recognise(images, engine).collect()] == [(1, 2)]
+    assert [(r.page_number, r.text, r.error) for r in ocr.recognise(images, engine).collect()] == [(1, None, "RuntimeError: broken"), (2, "w", None)]
+    none = lambda image, language: iter([])
+    whole = ocr.recognise(images, none, page_text=lambda image, language: " a page \n" if image == b"x" else " ")
+    assert [(r.page_number, r.text, r.conf, r.left) for r in whole.collect()] == [(2, "a page", 80.0, None)]
+    assert [(r.page_number, r.raw_text, r.confidence) for r in layout.lines_by_number(whole).collect()] == [(2, "a page", 0.8)]
+    failed = ocr.render_pages(spark.createDataFrame([(7, b"x")], "doc_id long, content binary"), one_page)
+    assert [(r.page_number, r.image and bytes(r.image), r.error) for r in failed.collect()] == [(1, b"i", None), (None, None, "ValueError: page 2")]
+    assert ocr.recognise(failed, engine).count() == 1
     assert set(ocr.ENGINES) == {"tesseract", "easyocr", "vision"}
 
 
@@ -162,3 +177,32 @@ def test_tables_have_their_keys():
 
 
 SIZES = {"shree-lipi": 77, "kruti-dev": 81, "dvb-tt": 137, "shree-dev": 220, "chanakya": 119, "aps-dv": 133, "walkman-chanakya": 115, "shusha": 138}
+
+
+def test_what_is_asked_is_what_the_query_shows(spark):
+    """Language models get the tested instruction, and colours go by the tested pattern."""
+    import json
+
+    asked = []
+
+    def fetch(method, url, headers, body):
+        asked.append(json.loads(body))
+        return 200, json.dumps({"response": "r", "choices": [{"message": {"content": "o"}}]}).encode()
+
+    backends.ollama(fetch=fetch).call("text", "mr", "en")
+    backends.openai("k", fetch=fetch).call("text", "mr", "en")
+    shown = spark.range(1).select(T.prompt(F.lit("text"), "Marathi", "English")).first()[0]
+    assert asked[0]["prompt"] == shown and asked[1]["messages"][0]["content"] + "\n\ntext" == shown
+
+
+def test_colours_of_a_program(tmp_path):
+    program = tmp_path / "trans"
+    program.write_text("#!/bin/sh\nprintf '\\033[1mbold\\033[0m text\\n'\n")
+    program.chmod(0o755)
+    assert backends.shell(str(program)).call("x", "mr", "en") == "bold text"
+
+
+def test_boxes_of_polygons(spark):
+    points = [(3.0, 9.0), (1.0, 4.0), (8.0, 5.0)]
+    column = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in points])
+    assert spark.range(1).select(layout.polygon_box(column).alias("b")).first().b.asDict() == ocr.box_of(points)

@@ -75,8 +75,8 @@ def test_percent(spark, share, want):
 
 
 def words(spark, tops):
-    rows = [(1, i, f"w{i}", float(10 * i), float(t), 5.0, 8.0, c, 0, 0) for i, (t, c) in enumerate(tops)]
-    return spark.createDataFrame(rows, "doc_id long, word_idx int, text string, left double, top double, width double, height double, conf double, block_num int, line_num int")
+    rows = [(1, 1, i, f"w{i}", float(10 * i), float(t), 5.0, 8.0, c, 0, 0) for i, (t, c) in enumerate(tops)]
+    return spark.createDataFrame(rows, "doc_id long, page_number int, word_idx int, text string, left double, top double, width double, height double, conf double, block_num int, line_num int")
 
 
 def test_lines_chain_by_gap(spark):
@@ -88,6 +88,14 @@ def test_lines_chain_by_gap(spark):
     assert (line.raw_text, line.confidence, line.x1) == ("w0 w1", 0.0, 15.0 * 0.24)
 
 
+def test_pages_keep_their_words(spark):
+    """The same places on two pages of a document are two lines."""
+    both = words(spark, [(0, 90.0), (5, 80.0)])
+    both = both.union(both.withColumn("page_number", F.lit(2)).withColumn("text", F.concat("text", F.lit("'"))))
+    for lines in (layout.lines_by_gap(both), layout.lines_by_gap(both, "easy"), layout.lines_by_number(both)):
+        assert sorted((r.page_number, r.raw_text) for r in lines.collect()) == [(1, "w0 w1"), (2, "w0' w1'")]
+
+
 def boxes(spark, rows):
     return spark.createDataFrame([(1, 1, i, "some text", 12.0, b) for i, b in enumerate(rows)], "doc_id long, page_number int, block_idx int, raw_text string, font_size double, position struct<y0:double,x0:double,x1:double,y1:double>")
 
