@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.shaping import wrap_to_width
 from ..functions.text import is_blank
+from .overlaps import MANY, meeting_boxes, sweep
 
 #: Pixels between the tops of words from which a new line begins, and the confidence of words without any, by engine.
 ENGINES = {"vision": (20, 90.0), "easy": (30, 85.0)}
@@ -78,12 +79,19 @@ def large_enough(blocks: DataFrame) -> DataFrame:
     return blocks.where(~is_blank(F.col("raw_text")) & p.isNotNull() & (p["x1"] - p["x0"] >= LEAST_WIDTH) & (p["y1"] - p["y0"] >= LEAST_HEIGHT))
 
 
-def overlap_pairs(blocks: DataFrame) -> DataFrame:
-    """Blocks of a page whose boxes overlap in both directions, once each."""
-    side = lambda n: blocks.select("doc_id", "page_number", F.col("block_idx").alias(f"idx_{n}"), F.col("position").alias(f"p{n}"))
-    both = side("a").join(side("b"), ["doc_id", "page_number"]).where("idx_a < idx_b")
-    meets = "NOT (pa.x1 < pb.x0 OR pa.x0 > pb.x1) AND NOT (pa.y1 < pb.y0 OR pa.y0 > pb.y1)"
-    return both.where(meets).select("doc_id", "page_number", "idx_a", "idx_b")
+def overlap_pairs(blocks: DataFrame, many: int = MANY) -> DataFrame:
+    """Blocks of a page whose boxes overlap in both directions, once each.
+
+    Pages of up to ``many`` blocks compare all of them, larger ones those that are near each other.
+    """
+    page, p = ["doc_id", "page_number"], F.col("position")
+    boxes = blocks.where(p.isNotNull()).select(*page, F.col("block_idx").alias("idx"), *[p[c].alias(c) for c in ("x0", "y0", "x1", "y1")])
+    large = boxes.groupBy(*page).count().where(F.col("count") > many).select(*page)
+    side = lambda n: boxes.join(large, page, "left_anti").select(*page, *[F.col(c).alias(f"{c}_{n}") for c in ("idx", "x0", "y0", "x1", "y1")])
+    both = side("a").join(side("b"), page).where("idx_a < idx_b")
+    meets = "NOT (x1_a < x0_b OR x0_a > x1_b) AND NOT (y1_a < y0_b OR y0_a > y1_b)"
+    near = meeting_boxes(boxes.join(large, page, "left_semi"), page)
+    return both.where(meets).select(*page, "idx_a", "idx_b").unionByName(near)
 
 
 def _page_list(blocks: DataFrame, *more: str) -> DataFrame:
@@ -98,10 +106,11 @@ def _below(placed: Column, x: Column, y: Column, end: str, gap: float) -> Column
     return F.greatest(y, F.array_max(F.transform(met, lambda o: o[end] + gap)))
 
 
-def resolve_overlaps(blocks: DataFrame, gap: float = 4.0) -> DataFrame:
+def resolve_overlaps(blocks: DataFrame, gap: float = 4.0, many: int = MANY) -> DataFrame:
     """doc_id, page_number, block_idx, adj_y0, adj_y1: each block below those before it that share its columns.
 
-    A fold over one page's blocks, from top to bottom: each position depends on the moved ones.
+    From top to bottom, as each position depends on the moved ones: a fold over the blocks of a page, or a sweep
+    that keeps the lowest end over every column for pages of more than ``many`` blocks whose boxes are in order.
     """
     none = F.expr("CAST(array() AS array<struct<idx:bigint,x0:double,x1:double,y0:double,end:double>>)")
 
@@ -109,8 +118,12 @@ def resolve_overlaps(blocks: DataFrame, gap: float = 4.0) -> DataFrame:
         y = _below(placed, x, x["y0"], "end", gap)
         return F.array_append(placed, F.struct(x["idx"].cast("long").alias("idx"), x["x0"].alias("x0"), x["x1"].alias("x1"), y.alias("y0"), (y + x["h"]).alias("end")))
 
-    moved = _page_list(blocks).select("doc_id", "page_number", F.explode(F.aggregate("items", none, step)).alias("b"))
-    return moved.select("doc_id", "page_number", F.col("b.idx").alias("block_idx"), F.col("b.y0").alias("adj_y0"), F.col("b.end").alias("adj_y1"))
+    pages = _page_list(blocks)
+    plain = F.forall("items", lambda x: F.coalesce((x["x0"] <= x["x1"]) & ~F.isnan(x["x1"]) & ~F.isnan(x["y0"]) & x["h"].isNotNull(), F.lit(False)))
+    swept = (F.size("items") > many) & plain
+    folded = pages.where(~swept).select("doc_id", "page_number", F.explode(F.aggregate("items", none, step)).alias("b"))
+    moved = folded.select("doc_id", "page_number", "b.idx", "b.y0", "b.end").unionByName(sweep(pages.where(swept), gap))
+    return moved.select("doc_id", "page_number", F.col("idx").alias("block_idx"), F.col("y0").alias("adj_y0"), F.col("end").alias("adj_y1"))
 
 
 def place_lines(blocks: DataFrame, page_height: float = 842.0) -> DataFrame:

@@ -347,11 +347,33 @@ def overlap_pairs(s, d):
     return layout.overlap_pairs(_blocks(s, d, False))
 
 
-def _moved(gap: float) -> str:
+def _moved(gap: float, blocks: str = BLOCKS) -> str:
     return f"""SELECT doc_id, page_number, unnest(r).idx AS block_idx, unnest(r).a AS adj_y0, unnest(r).a + unnest(r).h AS adj_y1 FROM (
   SELECT doc_id, page_number, list_reduce(list([{{'idx': block_idx, 'a': y0, 'h': y1 - y0, 'x0': x0, 'x1': x1}}] ORDER BY y0, x0, block_idx), lambda p, n: list_append(p, {{'idx': n[1].idx,
     'a': greatest(n[1].a, coalesce(list_max(list_transform(list_filter(p, lambda o: NOT (n[1].x1 < o.x0 OR n[1].x0 > o.x1)), lambda o: o.a + o.h + {gap}::DOUBLE)), n[1].a)), 'h': n[1].h, 'x0': n[1].x0, 'x1': n[1].x1}})) AS r
-  FROM ({BLOCKS}) GROUP BY doc_id, page_number)"""
+  FROM ({blocks}) GROUP BY doc_id, page_number)"""
+
+
+#: Documents as the boxes of crowded pages, a thousand a page.
+CROWDED = """SELECT 1 AS doc_id, CAST(doc_id // 1000 AS INT) AS page_number, doc_id AS block_idx, CAST(doc_id * 37 % 601 AS DOUBLE) AS x0, CAST(doc_id * 91 % 809 AS DOUBLE) AS y0,
+  CAST(doc_id * 37 % 601 + coalesce(length(text), 0) % 83 AS DOUBLE) AS x1, CAST(doc_id * 91 % 809 + 3 + doc_id % 11 AS DOUBLE) AS y1 FROM documents"""
+
+
+def _crowded(s: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id")
+    x0, y0 = i * 37 % 601, i * 91 % 809
+    box = F.struct(*[c.cast("double").alias(n) for n, c in (("x0", x0), ("y0", y0), ("x1", x0 + F.coalesce(F.length("text"), F.lit(0)) % 83), ("y1", y0 + 3 + i % 11))])
+    return table(s, d, "documents").select(F.lit(1).alias("doc_id"), F.floor(i / 1000).cast("int").alias("page_number"), i.alias("block_idx"), box.alias("position"))
+
+
+@register("overlap_crowded", f"WITH b AS ({CROWDED}) SELECT a.page_number, a.block_idx AS idx_a, c.block_idx AS idx_b FROM b a JOIN b c ON a.page_number = c.page_number AND a.block_idx < c.block_idx WHERE NOT (a.x1 < c.x0 OR a.x0 > c.x1) AND NOT (a.y1 < c.y0 OR a.y0 > c.y1)")
+def overlap_crowded(s, d):
+    return layout.overlap_pairs(_crowded(s, d)).drop("doc_id")
+
+
+@register("overlap_swept", _moved(4.0, CROWDED))
+def overlap_swept(s, d):
+    return layout.resolve_overlaps(_crowded(s, d))
 
 
 @register("overlap_resolve", _moved(4.0))
