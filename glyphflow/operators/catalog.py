@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..data import languages as L
-from ..data.encodings import CATALOG, PARTS, SCRIPT, map_rows
+from ..data.encodings import CATALOG, PARTS, SCRIPT, glyphs, map_rows
 from ..data.fonts import BY_PRIORITY
 
 
@@ -44,6 +44,29 @@ def listing(builtin: DataFrame, files: DataFrame | None = None, search: str | No
     return out.where(F.lower("encoding").contains(search.lower())) if search else out
 
 
+def matching(term: Column) -> Column:
+    """array<struct<encoding, font_family, language>>: the built-in tables whose name has the term, in any case."""
+    names = F.array(*[F.struct(F.lit(e).alias("encoding"), F.lit(family).alias("font_family"), F.lit(language).alias("language")) for e, family, language, _ in CATALOG])
+    return F.filter(names, lambda x: x["encoding"].contains(F.lower(term)))
+
+
+def shared_keys(encoding: str) -> list[str]:
+    """Keys of a table's first part that a later part has too."""
+    first, *later = PARTS[encoding]
+    return [k for k in first if any(k in part for part in later)]
+
+
+def holds_any(text: Column, keys: list[str]) -> Column:
+    """Whether a text has one of the keys."""
+    return text.rlike("|".join("".join(f"\\x{{{ord(c):x}}}" for c in k) for k in keys)) if keys else F.lit(False)
+
+
+def key_of(encoding: str, number: Column) -> Column:
+    """A table's key by number, counted on from the first after the last, in the order of application."""
+    keys = list(glyphs(encoding))
+    return F.get(F.array(*map(F.lit, keys)), (number % len(keys)).cast("int"))
+
+
 def overlaps(spark: SparkSession) -> DataFrame:
     """encoding, n_base, n_overlap: keys of a table's first part that a later part has too."""
     rows = [(e, i, k) for e, parts in PARTS.items() for i, part in enumerate(parts) for k in part]

@@ -17,7 +17,7 @@ from ..functions import conversion as C
 from ..functions import detection as D
 from ..functions import postprocess as P
 from ..functions import shaping as S
-from ..functions.text import DEVANAGARI, count_in, strip, words
+from ..functions.text import DEVANAGARI, characters, count_in, strip, words
 from ..operators import catalog as K
 from ..operators import convert, detect, layout, render, translate, usage
 from ..session import shared_dir
@@ -161,18 +161,19 @@ def convert_replacement_char(s, d):
     return made.select("doc_id", "c.converted", F.array_join("c.unmapped", "").alias("unmapped"))
 
 
-@register(
-    "convert_every_key",
-    " UNION ALL ".join(
-        f"SELECT '{e}' AS encoding, doc_id AS ord, converted, unmapped FROM ({Q.converted('SELECT CAST(o AS BIGINT) AS doc_id, k || chr(97) || k AS t FROM (VALUES ' + ', '.join(f'({i}, {Q.q(k)})' for i, k in enumerate(C.glyphs(e))) + ') AS v(o, k)', e)})"
-        for e in PARTS
-    ),
-)
+def _keyed(encoding: str) -> str:
+    keys = list(C.glyphs(encoding))
+    return f"SELECT doc_id, k || substr(text, 1, 5) || k AS t FROM (SELECT doc_id, text, ([{', '.join(map(Q.q, keys))}])[doc_id % {len(keys)} + 1] AS k FROM documents)"
+
+
+@register("convert_every_key", " UNION ALL ".join(f"SELECT '{e}' AS encoding, doc_id, converted, unmapped FROM ({Q.converted(_keyed(e), e)})" for e in PARTS))
 def convert_every_key(s, d):
-    rows = K.glyph_map(s).select("encoding", F.col("ord").cast("long").alias("ord"), F.concat("legacy", F.lit("a"), "legacy").alias("t"))
+    """Each document's beginning between two of a key, the keys of every table taking turns."""
     out = None
     for e in PARTS:
-        made = rows.where(F.col("encoding") == e).select("encoding", "ord", C.convert(F.col("t"), e).alias("c")).select("encoding", "ord", "c.converted", F.array_join("c.unmapped", "").alias("unmapped"))
+        key = K.key_of(e, F.col("doc_id"))
+        made = table(s, d, "documents").select("doc_id", C.convert(F.concat(key, F.substring("text", 1, 5), key), e).alias("c"))
+        made = made.select(F.lit(e).alias("encoding"), "doc_id", "c.converted", F.array_join("c.unmapped", "").alias("unmapped"))
         out = made if out is None else out.union(made)
     return out
 
@@ -231,22 +232,61 @@ def clean_legacy_text(s, d):
 
 MAP = "(VALUES " + ", ".join(f"({Q.q(e)}, {i}, {Q.q(k)}, {Q.q(v)})" for e, i, k, v in map_rows()) + ") AS g(encoding, ord, legacy, uni)"
 BUILTIN = "(VALUES " + ", ".join(f"({Q.q(e)}, {Q.q(f)}, {Q.q(lang)}, {Q.q(','.join(v))})" for e, f, lang, v in CATALOG) + ") AS b(encoding, font_family, language, variants)"
+FONT_OF = f"SELECT doc_id, ([{', '.join('NULL' if f is None else Q.q(f) for f in A.FONTS)}])[doc_id % {len(A.FONTS)} + 1] AS font FROM documents"
 
 
-@register("reverse_mapping", f"SELECT encoding, uni AS unicode, arg_min(legacy, ord) AS legacy FROM {MAP} GROUP BY encoding, uni")
+def _fonts(s: SparkSession, d: str) -> DataFrame:
+    """doc_id and the font that stands in for the document's own."""
+    names = F.array(*[F.lit(f).cast("string") for f in A.FONTS])
+    return table(s, d, "documents").select("doc_id", F.element_at(names, (F.col("doc_id") % len(A.FONTS) + 1).cast("int")).alias("font"))
+
+
+@register(
+    "reverse_mapping",
+    f"""WITH c AS (SELECT DISTINCT doc_id, unnest(string_split(converted, '')) AS unicode FROM ({Q.converted(DOCS, 'kruti-dev')})),
+r AS (SELECT uni, arg_min(legacy, ord) AS legacy FROM {MAP} WHERE encoding = 'kruti-dev' GROUP BY uni)
+SELECT unicode, legacy, count(*) AS n_documents FROM c JOIN r ON unicode = uni GROUP BY ALL""",
+)
 def reverse_mapping(s, d):
-    return K.reverse_map(K.glyph_map(s))
+    """The key behind each character of converted texts."""
+    chars = table(s, d, "documents").select(F.explode(F.array_distinct(characters(C.convert(F.col("text"), "kruti-dev")["converted"]))).alias("unicode"))
+    keys = K.reverse_map(K.glyph_map(s).where("encoding = 'kruti-dev'"))
+    counted = chars.groupBy("unicode").agg(F.count(F.lit(1)).alias("n_documents"))
+    return counted.join(keys, "unicode").select("unicode", "legacy", "n_documents")
 
 
-@register("encoding_catalog", f"SELECT b.encoding, font_family, language, variants, n_keys, n_long FROM {BUILTIN} JOIN (SELECT encoding, count(*) AS n_keys, sum(CASE WHEN length(legacy) > 1 THEN 1 ELSE 0 END)::BIGINT AS n_long FROM {MAP} GROUP BY encoding) m ON b.encoding = m.encoding")
+@register(
+    "encoding_catalog",
+    f"""SELECT e.*, coalesce(n, 0) AS n_documents FROM (VALUES
+  ('shree-lipi', 'Shree-Lipi', 'Marathi', 'Shree-Dev-0714,Shree-Dev-0702,Shree-Dev-0705', 77, 11),
+  ('kruti-dev', 'Kruti Dev', 'Hindi', 'KrutiDev010,KrutiDev040', 81, 26),
+  ('dvb-tt', 'DVB-TT', 'Marathi', 'DVBWTTSurekhNormal,DVBWTTSurekhBold,DVBTTSurekhNormal,DVBWTT,DVB-TT-Surekh', 137, 47),
+  ('shree-dev', 'SHREE-DEV', 'Marathi', 'SHREE-DEV-0708,SHREE-DEV-0714,SHREE-DEV-0715,SHREE-DEV-0721', 220, 27),
+  ('chanakya', 'Chanakya', 'Hindi', 'Chanakya,ChanakyaFont', 119, 25),
+  ('aps-dv', 'APS-DV', 'Hindi', 'APS-DV,APS-C-DV', 133, 18),
+  ('walkman-chanakya', 'Walkman-Chanakya', 'Hindi', 'Walkman-Chanakya,WM-Chanakya', 115, 17),
+  ('shusha', 'Shusha', 'Marathi', 'Shusha,Shushaa', 138, 26)) AS e(encoding, font_family, language, variants, n_keys, n_long)
+LEFT JOIN (SELECT {Q.font_case('font')} AS enc, count(*) AS n FROM ({FONT_OF}) GROUP BY 1) f ON e.encoding = f.enc""",
+)
 def encoding_catalog(s, d):
+    """The built-in tables, and how many documents have a font of each."""
     keys = K.glyph_map(s).groupBy("encoding").agg(F.count(F.lit(1)).alias("n_keys"), F.count_if(F.length("legacy") > 1).alias("n_long"))
-    return K.encodings(s).join(keys, "encoding").select("encoding", "font_family", "language", join("variants").alias("variants"), "n_keys", "n_long")
+    found = _fonts(s, d).groupBy(D.of_font(F.col("font"))["encoding"].alias("encoding")).agg(F.count(F.lit(1)).alias("n"))
+    listed = K.encodings(s).join(keys, "encoding").join(found, "encoding", "left")
+    return listed.select("encoding", "font_family", "language", join("variants").alias("variants"), F.col("n_keys").cast("int").alias("n_keys"), F.col("n_long").cast("int").alias("n_long"), F.coalesce("n", F.lit(0)).alias("n_documents"))
 
 
-@register("encoding_search", f"SELECT encoding, font_family, language, 'builtin' AS source FROM {BUILTIN} WHERE contains(lower(encoding), 'dev')")
+@register(
+    "encoding_search",
+    f"""SELECT doc_id, e.encoding, e.font_family, e.language FROM ({FONT_OF}) JOIN (VALUES
+  ('shree-lipi', 'Shree-Lipi', 'Marathi'), ('kruti-dev', 'Kruti Dev', 'Hindi'), ('dvb-tt', 'DVB-TT', 'Marathi'), ('shree-dev', 'SHREE-DEV', 'Marathi'),
+  ('chanakya', 'Chanakya', 'Hindi'), ('aps-dv', 'APS-DV', 'Hindi'), ('walkman-chanakya', 'Walkman-Chanakya', 'Hindi'), ('shusha', 'Shusha', 'Marathi')) AS e(encoding, font_family, language)
+ON font <> '' AND contains(e.encoding, lower(font[1:3]))""",
+)
 def encoding_search(s, d):
-    return K.listing(K.encodings(s), search="DEV")
+    """The tables that the beginning of each document's font finds."""
+    asked = _fonts(s, d).where("font <> ''").select("doc_id", F.substring("font", 1, 3).alias("term"))
+    return asked.select("doc_id", F.inline(K.matching(F.col("term"))))
 
 
 OF = "(VALUES " + ", ".join(f"({i}, {Q.q(e)}, {Q.q(c)})" for i, (e, c) in enumerate(L.OF_ENCODING.items())) + ") AS o(ord, e, lang)"
@@ -257,9 +297,19 @@ def source_language(s, d):
     return detect.detect_blocks(_blocks(s, d)).select("doc_id", "block_idx", K.source_language(F.col("found.encoding")).alias("language"))
 
 
-@register("languages_by_source", f"SELECT lang AS language, string_agg(e, ',' ORDER BY ord) AS encodings FROM {OF} GROUP BY lang")
+@register(
+    "languages_by_source",
+    f"""SELECT language, n_documents, CASE language
+  WHEN 'mr' THEN 'shree-dev,shree-dev-0714,shree-dev-0708,shree-lipi,dvb-tt,shusha'
+  WHEN 'hi' THEN 'kruti-dev,chanakya,aps-dv,walkman-chanakya,agra,akruti,unicode-devanagari,unicode-ocr' END AS encodings
+FROM (SELECT CASE WHEN e IN ('kruti-dev', 'chanakya', 'aps-dv', 'walkman-chanakya', 'agra', 'akruti', 'unicode-devanagari') THEN 'hi' ELSE 'mr' END AS language, count(*) AS n_documents
+  FROM (SELECT {Q.font_case('font')} AS e FROM ({FONT_OF})) GROUP BY 1)""",
+)
 def languages_by_source(s, d):
-    return K.encodings_by_language(s).select("language", join("encodings").alias("encodings"))
+    """The source languages of documents by their fonts, and every encoding that each has."""
+    language = K.source_language(D.of_font(F.col("font"))["encoding"]).alias("language")
+    found = _fonts(s, d).groupBy(language).agg(F.count(F.lit(1)).alias("n_documents"))
+    return found.join(K.encodings_by_language(s), "language").select("language", "n_documents", join("encodings").alias("encodings"))
 
 
 def _case(code: str, pairs: dict[str, str], default: str) -> str:
@@ -277,9 +327,20 @@ def lang_codes(s, d):
     return codes.select("lang", "n", K.language_name(c).alias("name"), K.google_code(c).alias("google"), K.mymemory_code(c).alias("mymemory"), K.tesseract_code(c).alias("tesseract"))
 
 
-@register("service_options", "SELECT * FROM (VALUES " + ", ".join(f"({Q.q(k)}, {i}, {Q.q(c)}, {Q.q(v)})" for k, t in ({"target_language": L.TARGETS} | L.OPTIONS).items() for i, (c, v) in enumerate(t.items())) + ") AS o(kind, ord, code, label)")
+@register(
+    "service_options",
+    """SELECT lang, n, 'target_language' AS kind, ord, label FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang)
+JOIN (VALUES ('en', 0, 'English'), ('hi', 1, 'Hindi'), ('es', 2, 'Spanish'), ('fr', 3, 'French'), ('de', 4, 'German'), ('pt', 5, 'Portuguese'), ('ru', 6, 'Russian'), ('zh', 7, 'Chinese'), ('ja', 8, 'Japanese'), ('ko', 9, 'Korean')) AS t(code, ord, label) ON lang = code
+UNION ALL SELECT source, n, 'output_format', ord, label FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)
+JOIN (VALUES ('src0', 0, 'PDF'), ('src1', 1, 'Text'), ('src2', 2, 'Markdown')) AS f(code, ord, label) ON source = code""",
+)
 def service_options(s, d):
-    return K.options(s)
+    """What is offered for the languages of documents, and for sources that name a format by its number."""
+    docs, offered = table(s, d, "documents"), K.options(s)
+    langs = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).join(offered.where("kind = 'target_language'"), F.col("lang") == F.col("code"))
+    numbered = offered.where("kind = 'output_format'").withColumn("code", F.concat(F.lit("src"), F.col("ord").cast("string")))
+    formats = docs.groupBy(F.col("source").alias("lang")).agg(F.count(F.lit(1)).alias("n")).join(numbered, F.col("lang") == F.col("code"))
+    return langs.unionByName(formats).select("lang", "n", "kind", "ord", "label")
 
 
 # -- views and layout ---------------------------------------------------------------------------------------

@@ -83,9 +83,18 @@ def fonts_shown(s, d):
 PART_KEYS = "(VALUES " + ", ".join(f"({Q.q(e)}, {i}, {Q.q(k)})" for e, parts in PARTS.items() for i, part in enumerate(parts) for k in part) + ") AS k(encoding, part, legacy)"
 
 
-@register("mapping_overlap", f"SELECT encoding, count(DISTINCT legacy) FILTER (WHERE part = 0) AS n_base, count(DISTINCT legacy) FILTER (WHERE part = 0 AND twice) AS n_overlap FROM (SELECT *, bool_or(part > 0) OVER (PARTITION BY encoding, legacy) AS twice FROM {PART_KEYS}) GROUP BY encoding")
+@register(
+    "mapping_overlap",
+    f"""WITH t AS (SELECT *, bool_or(part > 0) OVER (PARTITION BY encoding, legacy) AS twice FROM {PART_KEYS}),
+n AS (SELECT encoding, count(DISTINCT legacy) FILTER (WHERE part = 0) AS n_base, count(DISTINCT legacy) FILTER (WHERE part = 0 AND twice) AS n_overlap FROM t GROUP BY encoding),
+h AS (SELECT encoding, count(DISTINCT doc_id) AS n_documents FROM documents JOIN (SELECT DISTINCT encoding, legacy FROM t WHERE part = 0 AND twice) o ON contains(text, legacy) GROUP BY encoding)
+SELECT n.encoding, n_base, n_overlap, coalesce(n_documents, 0) AS n_documents FROM n LEFT JOIN h ON n.encoding = h.encoding""",
+)
 def mapping_overlap(s, d):
-    return K.overlaps(s)
+    """Keys that two parts of a table have, and how many documents hold one of them."""
+    holding = [F.count_if(K.holds_any(F.col("text"), K.shared_keys(e))).alias(e) for e in PARTS]
+    counts = table(s, d, "documents").agg(*holding).unpivot([], [F.col(f"`{e}`") for e in PARTS], "encoding", "n_documents")
+    return K.overlaps(s).join(counts, "encoding")
 
 
 NAMED = "lower(replace(replace('My ' || upper(lang) || '_Font ' || source, ' ', '-'), '_', '-'))"
@@ -98,11 +107,24 @@ def mapping_files(s, d):
     return K.listing(K.encodings(s), found)
 
 
-@register("ocr_languages", "SELECT * FROM (VALUES " + ", ".join(f"({Q.q(e)}, {Q.q(k)}, {Q.q(v if isinstance(v, str) else ','.join(v))})" for e, t in (("tesseract", L.OCR_TESSERACT), ("vision", L.OCR_VISION), ("easyocr", L.OCR_EASY)) for k, v in t.items()) + ") AS o(engine, language, told)")
+ASKED_LANGUAGES = ["marathi", "hi", "tam", "telugu", "kn", "Mal", "bengali", "gu", "PAN", "devanagari", "EN", "zz"]
+
+
+@register(
+    "ocr_languages",
+    """SELECT language, engine, count(*) AS n, CASE engine
+  WHEN 'tesseract' THEN CASE language WHEN 'marathi' THEN 'mar' WHEN 'hi' THEN 'hin' WHEN 'en' THEN 'eng' WHEN 'devanagari' THEN 'mar+hin' ELSE language END
+  WHEN 'vision' THEN CASE language WHEN 'marathi' THEN 'mr,hi' WHEN 'devanagari' THEN 'mr,hi,sa' WHEN 'tam' THEN 'ta' WHEN 'telugu' THEN 'te' WHEN 'mal' THEN 'ml' WHEN 'bengali' THEN 'bn' WHEN 'pan' THEN 'pa' ELSE language END
+  ELSE CASE language WHEN 'marathi' THEN 'mr,en' WHEN 'hi' THEN 'hi,en' WHEN 'tam' THEN 'ta,en' WHEN 'telugu' THEN 'te,en' WHEN 'kn' THEN 'kn,en' WHEN 'mal' THEN 'ml,en' WHEN 'bengali' THEN 'bn,en' WHEN 'gu' THEN 'gu,en' WHEN 'pan' THEN 'pa,en' WHEN 'devanagari' THEN 'hi,mr,en' ELSE 'en' END END AS told
+FROM (SELECT (['marathi', 'hi', 'tam', 'telugu', 'kn', 'mal', 'bengali', 'gu', 'pan', 'devanagari', 'en', 'zz'])[doc_id % 12 + 1] AS language, unnest(['tesseract', 'vision', 'easyocr']) AS engine FROM documents)
+GROUP BY ALL""",
+)
 def ocr_languages(s, d):
-    tables = (("tesseract", L.OCR_TESSERACT), ("vision", L.OCR_VISION), ("easyocr", L.OCR_EASY))
-    told = lambda v: v if isinstance(v, str) else ",".join(v)
-    return s.createDataFrame([(e, k, told(ocr.language_for(e, k))) for e, t in tables for k in t], "engine string, language string, told string")
+    """What each engine is told for the languages that documents are asked to be in."""
+    names = F.array(*map(F.lit, ASKED_LANGUAGES))
+    asked = table(s, d, "documents").groupBy(F.get(names, (F.col("doc_id") % len(ASKED_LANGUAGES)).cast("int")).alias("asked")).agg(F.count(F.lit(1)).alias("n"))
+    told = F.explode(F.array(*[F.struct(F.lit(e).alias("engine"), ocr.told(e, F.col("asked")).alias("told")) for e in ocr.ENGINES])).alias("x")
+    return asked.select(F.lower("asked").alias("language"), "n", told).select("language", "x.engine", "n", "x.told")
 
 
 # -- texts --------------------------------------------------------------------------------------------------

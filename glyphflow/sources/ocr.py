@@ -7,7 +7,7 @@ import shutil
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..data import languages as L
@@ -32,6 +32,14 @@ def language_for(engine: str, language: str):
     return L.OCR_EASY.get(key, ["en"])
 
 
+def told(engine: str, language: Column) -> Column:
+    """The same for a column of languages; several codes are joined by commas."""
+    table = {"tesseract": L.OCR_TESSERACT, "vision": L.OCR_VISION, "easyocr": L.OCR_EASY}[engine]
+    codes = F.create_map(*[F.lit(x) for k, v in table.items() for x in (k, v if isinstance(v, str) else ",".join(v))])
+    key = F.lower(language)
+    return F.coalesce(codes[key], F.lit("en") if engine == "easyocr" else key)
+
+
 def with_tesseract(image: bytes, language: object) -> Iterator[dict]:
     import io
 
