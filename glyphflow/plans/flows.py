@@ -3,14 +3,39 @@
 from __future__ import annotations
 
 from pyspark.errors import PySparkException
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import translate, usage
+from ..operators.patterns import match_patterns
 from ..session import scratch, shared_dir
 from ..sources import documents
 from ..sources.tables import read as table
 from ..streaming import session_state
-from .catalog import register
+from .catalog import FONT_OF, _fonts, register
+
+# -- font names and patterns --------------------------------------------------------------------------------
+
+
+@register(
+    "custom_patterns",
+    f"""WITH p AS (SELECT row_number() OVER (ORDER BY p_name) - 1 AS k, p_name FROM (SELECT DISTINCT p_name FROM part)),
+n AS (SELECT doc_id, p_name, doc_id % 97 AS turn, upper(p_name) || '-' || doc_id % 97 || '-' || coalesce(font, '') AS name FROM ({FONT_OF}) JOIN p ON doc_id % (SELECT count(*) FROM p) = k),
+m AS (SELECT n.doc_id, n.name, arg_min('custom-' || p_partkey, (-p_size, p_partkey)) AS encoding FROM n LEFT JOIN (SELECT * FROM part WHERE p_partkey < 1000) q ON q.p_name = n.p_name AND q.p_partkey % 97 = n.turn GROUP BY ALL)
+SELECT * FROM m""",
+)
+def custom_patterns(s, d):
+    """Font names made of documents, and the best of a thousand patterns that parts stand for."""
+    part, i = table(s, d, "part"), F.col("doc_id")
+    kinds = part.select("p_name").distinct()
+    k = F.row_number().over(Window.orderBy("p_name")) - 1  # of the few names that parts have
+    numbered = kinds.withColumn("k", k)
+    fonts = _fonts(s, d).withColumn("k", i % kinds.count()).join(numbered, "k")
+    named = fonts.select("doc_id", F.concat(F.upper("p_name"), F.lit("-"), (i % 97).cast("string"), F.lit("-"), F.coalesce("font", F.lit(""))).alias("name"))
+    regex = F.concat(F.lit("^"), F.replace("p_name", F.lit(" "), F.lit(r"[-_\s]*")), F.lit(r"[-_\s]*"), (F.col("p_partkey") % 97).cast("string"), F.lit("(-|$)"))
+    asked = part.where("p_partkey < 1000").select(F.concat(F.lit("custom-"), F.col("p_partkey").cast("string")).alias("encoding"), F.col("p_size").cast("int").alias("priority"), F.col("p_partkey").cast("int").alias("ord"), regex.alias("regex"))
+    return named.join(match_patterns(named, asked), "name", "left").select("doc_id", "name", "encoding")
+
 
 # -- documents in files -------------------------------------------------------------------------------------
 

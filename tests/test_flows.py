@@ -16,7 +16,7 @@ from .test_services import SMALL, _same
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test data")
-@pytest.mark.parametrize("name", ["paged_documents", "document_files", "session_states", "budget_cut", "send_times"])
+@pytest.mark.parametrize("name", ["paged_documents", "document_files", "session_states", "budget_cut", "send_times", "custom_patterns"])
 def test_queries_match_their_sql(spark, name):
     assert name in dir(flows)
     _same(spark, name)
