@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shaping import fit_font_size, sizes_down, wrap, wrap_to_width
 from ..functions.text import is_blank
 from . import layout
+from .scan import in_turn
 
 #: doc_id, page_number, x, y, size, text: one line of text each.
 PLACED = ("doc_id", "page_number", "x", "y", "size", "text")
@@ -62,17 +65,27 @@ def choose(blocks: DataFrame, pages: DataFrame, preserve: bool = True, structure
     return in_structure(blocks) if structure else in_place(blocks) if preserve else page_by_page(pages)
 
 
-def pdf_files(placed: DataFrame, font_file: str | None = None) -> DataFrame:
-    """doc_id and pdf: each document drawn where its rows are; a document is one file, so its lines meet."""
-
-    def draw(lines: pd.DataFrame) -> pd.DataFrame:
-        import fitz
+def drawn(lines: Iterator[dict], font_file: str | None = None) -> bytes:
+    """A PDF of a document's placed lines, which come page by page; a page without any is empty."""
+    import fitz
 
-        document = fitz.open()
-        for number in range(1, int(lines.page_number.max()) + 1):
+    document, page = fitz.open(), None
+    for r in lines:
+        while document.page_count < r["page_number"]:
             page = document.new_page(width=A4[0], height=A4[1])
-            for r in lines[lines.page_number == number].sort_values(["y", "x"]).itertuples(index=False):
-                page.insert_text((r.x, r.y), r.text, fontsize=r.size, fontfile=font_file, fontname="own" if font_file else "helv")
-        return pd.DataFrame({"doc_id": [lines.doc_id.iloc[0]], "pdf": [document.tobytes()]})
+        page.insert_text((r["x"], r["y"]), r["text"], fontsize=r["size"], fontfile=font_file, fontname="own" if font_file else "helv")
+    return document.tobytes()
+
+
+def pdf_files(placed: DataFrame, font_file: str | None = None, draw: Callable[[Iterator[dict]], bytes] | None = None) -> DataFrame:
+    """doc_id and pdf: a document is one file, so its lines come to one task, in order of page and place; draw defaults
+    to PyMuPDF."""
+    write = draw or (lambda lines: drawn(lines, font_file))
+    schema = pa.schema([("doc_id", pa.int64()), ("pdf", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc_id, lines in in_turn(batches, "doc_id"):
+            yield pa.RecordBatch.from_pylist([{"doc_id": doc_id, "pdf": write(lines)}], schema)
 
-    return placed.select(*PLACED).groupBy("doc_id").applyInPandas(draw, "doc_id long, pdf binary")
+    ordered = placed.select(*PLACED).repartition("doc_id").sortWithinPartitions("doc_id", "page_number", "y", "x")
+    return ordered.mapInArrow(run, "doc_id long, pdf binary")

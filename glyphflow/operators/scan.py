@@ -1,14 +1,16 @@
 """Scanned copies: every page becomes a picture, and the pictures a new file.
 
 Sizes and pixels are columns; rendering and writing are edges with pluggable functions, by PyMuPDF where it is
-installed.  A document is one file, so its pictures meet in one task.
+installed.  A document is one file, so its pictures come to one task, page after page: that task holds the file it
+writes and a batch of pictures, never all of them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from ..sources.ocr import DPI, page_images, render_pages
 
 #: How a page is kept, and the quality of its picture.
 MODES, QUALITY = ("color", "grayscale", "bw"), 85
-Assemble = Callable[[list[bytes]], bytes]
+Assemble = Callable[[Iterable[bytes]], bytes]
 
 
 def picture_size(width: Column, height: Column, dpi: int = DPI) -> Column:
@@ -59,7 +61,7 @@ def pictures(mode: str = "color", dpi: int = DPI, quality: int = QUALITY) -> Cal
     return render
 
 
-def assembled(pictures: list[bytes]) -> bytes:
+def assembled(pictures: Iterable[bytes]) -> bytes:
     """A PDF of one picture a page."""
     import fitz
 
@@ -71,14 +73,21 @@ def assembled(pictures: list[bytes]) -> bytes:
     return document.tobytes()
 
 
+def in_turn(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[object, Iterator[dict]]]:
+    """Each key of sorted batches with its rows, which are there one at a time."""
+    rows = (row for batch in batches for i in range(len(batch)) for row in batch.slice(i, 1).to_pylist())
+    return groupby(rows, lambda row: row[key])
+
+
 def scan_copy(files: DataFrame, render: Callable[[bytes], Iterator[tuple[int, bytes]]] = page_images, assemble: Assemble = assembled) -> DataFrame:
-    """doc_id and pdf of files (doc_id, content); a file of which a page can't be rendered has no copy, and its error."""
+    """doc_id, pdf, error of files (doc_id, content); a file of which a page can't be rendered has no copy, and its error."""
+    schema = pa.schema([("doc_id", pa.int64()), ("pdf", pa.binary()), ("error", pa.string())])
 
-    def join(pages: pd.DataFrame) -> pd.DataFrame:
-        errors = pages.error.dropna()
-        if len(errors):
-            return pd.DataFrame({"doc_id": [pages.doc_id.iloc[0]], "pdf": [None], "error": [errors.iloc[0]]})
-        ordered = pages.sort_values("page_number")
-        return pd.DataFrame({"doc_id": [ordered.doc_id.iloc[0]], "pdf": [assemble(list(ordered.image))], "error": [None]})
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc_id, pages in in_turn(batches, "doc_id"):
+            first = next(pages)  # an error has no page number and comes first
+            pdf = None if first["error"] else assemble(p["image"] for p in (one for part in ([first], pages) for one in part))
+            yield pa.RecordBatch.from_pylist([{"doc_id": doc_id, "pdf": pdf, "error": first["error"]}], schema)
 
-    return render_pages(files, render).groupBy("doc_id").applyInPandas(join, "doc_id long, pdf binary, error string")
+    ordered = render_pages(files, render).repartition("doc_id").sortWithinPartitions("doc_id", F.col("page_number").asc_nulls_first())
+    return ordered.mapInArrow(join, "doc_id long, pdf binary, error string")

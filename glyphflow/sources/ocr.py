@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import importlib.util
 import shutil
+import subprocess
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -154,6 +155,8 @@ def recognise(images: DataFrame, engine: Engine | str, language: str = "mr", pag
     """
     name = engine if isinstance(engine, str) else "custom"
     call = ENGINES[engine] if isinstance(engine, str) else engine
+    if name == "tesseract":
+        check_language(language, installed_languages())
     told, text_of = language_for(name, language), page_text or TEXTS.get(name)
     sure = WHOLE_PAGE.get(name, WHOLE_PAGE["tesseract"]) * 100
 
@@ -176,14 +179,52 @@ def recognise(images: DataFrame, engine: Engine | str, language: str = "mr", pag
     return images.where("image IS NOT NULL").select("doc_id", "page_number", "image").mapInArrow(run, WORDS)
 
 
-def capabilities(spark: SparkSession) -> DataFrame:
-    """engine, available, message: what this driver could use."""
+class LanguageNotAvailable(ValueError):
+    """The program lacks the data of a language."""
+
+
+def installed_languages(ask: Callable[[], str] | None = None) -> set[str] | None:
+    """The languages that the tesseract program has; None without the program.  ask: what it prints when asked for them."""
+    if ask is None:
+        program = shutil.which("tesseract")
+        if program is None:
+            return None
+
+        def ask() -> str:
+            return subprocess.run([program, "--list-langs"], capture_output=True, text=True, timeout=60).stdout
+
+    lines = [line.strip() for line in ask().splitlines()]
+    return {line for line in lines if line and not line.endswith(":") and " " not in line}
+
+
+def check_language(language: str, installed: set[str] | None) -> None:
+    """Refuses a language before any page is recognised; "mar+hin" needs both."""
+    missing = [code for code in language_for("tesseract", language).split("+") if installed is not None and code not in installed]
+    if missing:
+        raise LanguageNotAvailable(f"tesseract has no data for {', '.join(missing)}; it has {', '.join(sorted(installed))}")
+
+
+def gpu() -> str | None:
+    """cuda or mps, whichever torch can use; None for neither."""
+    if importlib.util.find_spec("torch") is None:
+        return None
+    import torch
+
+    if torch.cuda.is_available():
+        return "cuda"
+    return "mps" if getattr(torch.backends, "mps", None) and torch.backends.mps.is_available() else None
+
+
+def capabilities(spark: SparkSession, installed: set[str] | None = None) -> DataFrame:
+    """engine, available, message, languages: what this driver could use, and tesseract's installed languages."""
     has = lambda m: importlib.util.find_spec(m) is not None
+    installed = installed_languages() if installed is None else installed
+    found, device = sorted(installed or ()), gpu()
     rows = [
-        ("tesseract", has("pytesseract") and shutil.which("tesseract") is not None, "needs pytesseract and the tesseract program"),
-        ("easyocr", has("easyocr"), "needs easyocr"),
-        ("vision", has("google.cloud.vision") if has("google") and has("google.cloud") else False, "needs google-cloud-vision and credentials"),
-        ("pymupdf", has("fitz"), "needs PyMuPDF"),
-        ("gpu", has("torch"), "needs torch"),
+        ("tesseract", has("pytesseract") and installed is not None, "needs pytesseract and the tesseract program", found),
+        ("easyocr", has("easyocr"), "needs easyocr", sorted({two for _, two, _ in L.INDIAN})),
+        ("vision", has("google.cloud.vision") if has("google") and has("google.cloud") else False, "needs google-cloud-vision and credentials", sorted({two for _, two, _ in L.INDIAN})),
+        ("pymupdf", has("fitz"), "needs PyMuPDF", []),
+        ("gpu", device is not None, device or "needs torch with CUDA or MPS", []),
     ]
-    return spark.createDataFrame(rows, "engine string, available boolean, message string")
+    return spark.createDataFrame(rows, "engine string, available boolean, message string, languages array<string>")

@@ -62,3 +62,19 @@ def test_backends():
     assert backends.create("mock", prefix=">").call("t", "mr", "en") == ">t"
     with pytest.raises(ValueError):
         backends.create("none")
+
+
+def test_extract(spark):
+    meta = spark.createDataFrame([(d, "f.pdf", "kruti-dev", 0.5, "hi", "en", "mock", 2, "now", None) for d in (1, 2)], "doc_id long, source_file string, encoding string, confidence double, source_language string, target_language string, backend string, page_count int, generated_at string, translated_text string")
+    made = {r.doc_id: r.rendered for r in commands.extract_command(blocks(spark), meta).collect()}
+    assert made[1].endswith("--- Page 1 ---\n\nभारत\n\n--- Page 2 ---\n\nदेश\n") and made[2].endswith("plain")
+    raw = {r.doc_id: r.rendered for r in commands.extract_command(blocks(spark), meta, "markdown", raw=True).collect()}
+    assert "## Page 2\n\nns'k" in raw[1]
+
+
+def test_files_are_drawn_line_by_line(spark):
+    """A stand-in for the writer: lines come in order of page and place, one document after the other."""
+    rows = [(d, p, 10.0, y, 11.0, f"{d}{p}{y:.0f}") for d in (1, 2, None) for p in (3, 1) for y in (30.0, 5.0)]
+    placed = spark.createDataFrame(rows, "doc_id long, page_number int, x double, y double, size double, text string").repartition(4)
+    got = {r.doc_id: bytes(r.pdf).decode() for r in draw.pdf_files(placed, draw=lambda lines: ",".join(r["text"] for r in lines).encode()).collect()}
+    assert got == {d: ",".join(f"{d}{p}{y}" for p in (1, 3) for y in (5, 30)) for d in (1, 2, None)}

@@ -53,7 +53,26 @@ def test_ocr_edge(spark):
 
     assert [r.text for r in ocr.recognise(images, engine).orderBy("word_idx").collect()] == ["a", "b"]
     assert ocr.language_for("tesseract", "Marathi") == "mar" and ocr.language_for("vision", "mar") == ["mr", "hi"] and ocr.language_for("easyocr", "zz") == ["en"]
-    assert ocr.capabilities(spark).count() == 5
+    listed = {r.engine: r for r in ocr.capabilities(spark, {"mar", "eng"}).collect()}
+    assert len(listed) == 5 and listed["tesseract"].languages == ["eng", "mar"] and "hi" in listed["vision"].languages
+
+
+def test_languages_are_refused_before_any_work():
+    installed = ocr.installed_languages(lambda: 'List of available languages in "/usr/share/" (3):\neng\nmar\nosd\n')
+    assert installed == {"eng", "mar", "osd"}
+    ocr.check_language("Marathi", installed)
+    ocr.check_language("hi", None)  # unknown here: workers may have it
+    with pytest.raises(ocr.LanguageNotAvailable, match="no data for hin; it has eng, mar, osd"):
+        ocr.check_language("devanagari", installed)
+
+
+def test_codes_of_recognisers():
+    """The two tables made of one list, against plain ones."""
+    assert {k: ocr.L.OCR_VISION[k] for k in ("marathi", "mr", "mar", "hindi", "tam", "te", "kannada", "malayalam", "bn", "guj", "punjabi", "devanagari")} == {
+        "marathi": ["mr", "hi"], "mr": ["mr", "hi"], "mar": ["mr", "hi"], "hindi": ["hi"], "tam": ["ta"], "te": ["te"], "kannada": ["kn"], "malayalam": ["ml"], "bn": ["bn"], "guj": ["gu"], "punjabi": ["pa"], "devanagari": ["mr", "hi", "sa"],
+    }
+    assert len(ocr.L.OCR_VISION) == 28 and len(ocr.L.OCR_EASY) == 31
+    assert (ocr.L.OCR_EASY["mar"], ocr.L.OCR_EASY["devanagari"], ocr.L.OCR_EASY["eng"]) == (["mr", "en"], ["hi", "mr", "en"], ["en"])
 
 
 def test_small_tables_of_few_files_are_dealt_out(spark, tmp_path, monkeypatch):
