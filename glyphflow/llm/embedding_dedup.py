@@ -3,13 +3,16 @@
 1.  Equal vectors of one task are folded into one with a weight, so a group of copies has few rows.
 2.  Pivots: vectors of a hash-ordered sample, none near another, chosen for each dimension; vectors of a dimension
     that the sample lacks take random directions.  Each vector is described by its nearest pivots, in order.
-    Pivots are as many as the table needs, from PIVOTS up to MOST_PIVOTS or PIVOT_BYTES, and with their
-    number the nearest that are kept.
+    Pivots are as many as the table needs, from PIVOTS up to MOST_PIVOTS or PIVOT_BYTES.  How many nearest ones
+    describe a vector is found out on the sample: its vectors are turned at random until their cosine is the
+    threshold, and the number grows until TARGET of them share two pivots with themselves as they were.  So recall
+    holds where all vectors point one way, too.
 3.  The inverted lists are kept by pairs of pivots: a vector enters the list of every pair among its own, so
     whatever meets in a list shares at least two pivots.  A pair of vectors is judged in the list of the two
     smallest pivots that it shares, once.
 4.  Lists longer than BLOCK are dealt into chunks by a hash, and every pair of chunks is a block of its own.
-    Blocks are verified by exact cosines in double precision and give sums of links, and a spanning forest.
+    Blocks are verified by exact cosines in double precision and give sums of links, and a spanning forest; vectors
+    that single precision holds exactly travel in it.
 
 The sample is bounded and all vectors are indexed; the tests measure recall against brute force.
 
@@ -40,8 +43,10 @@ BLOCK = 1024
 COSINE = 0.95
 #: Pivots are drawn from this many times as many vectors, and none has a larger cosine with an earlier one than this.
 SAMPLE, APART = 4, 0.9
-#: Distinct vectors that a task holds for folding.
-FOLD = 1 << 16
+#: Share of turned vectors that must share two pivots, the fewest and most nearest pivots, and vectors that are turned.
+TARGET, FEWEST, NEAREST, TURNED = 0.97, 5, 12, 512
+#: Bytes of distinct vectors, and of the ids of equal ones, that a task holds for folding.
+FOLD = 64 << 20
 
 FOLDED = "vec_id long, rep long, weight long, vector binary"
 LISTED = "key long, rep long, weight long, pivots binary, vector binary"
@@ -67,9 +72,38 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def nearest_of(pivots: int) -> int:
-    """How many nearest pivots describe a vector: the more there are, the fewer of them near vectors share."""
-    return 5 if pivots <= 1024 else 6 if pivots <= 4096 else 7
+def pack(v: np.ndarray) -> bytes:
+    """A vector's bytes, in single precision where that loses nothing; the first byte says which."""
+    with np.errstate(over="ignore"):
+        short = v.astype(np.float32)
+    return b"f" + short.tobytes() if (short.astype(np.float64) == v).all() else b"d" + v.tobytes()
+
+
+def dimension_of(packed: bytes) -> int:
+    return (len(packed) - 1) // (4 if packed[:1] == b"f" else 8)
+
+
+def unpack(packed: list[bytes]) -> np.ndarray:
+    """Vectors of one dimension as rows in double precision."""
+    return np.array([np.frombuffer(p, np.float32 if p[:1] == b"f" else np.float64, offset=1) for p in packed], np.float64)
+
+
+def turned(x: np.ndarray, cosine: float, seed: int = 1) -> np.ndarray:
+    """Rows of length 1 turned in directions at random, to this cosine with themselves."""
+    noise = np.random.default_rng(seed).normal(size=x.shape)
+    noise -= (noise * x).sum(axis=1, keepdims=True) * x
+    length = np.sqrt((noise * noise).sum(axis=1, keepdims=True))
+    return cosine * x + np.sqrt(max(0.0, 1 - cosine * cosine)) * np.divide(noise, length, out=np.zeros_like(noise), where=length > 0)
+
+
+def nearest_needed(x: np.ndarray, pivots: np.ndarray, cosine: float = COSINE, target: float = TARGET) -> int:
+    """How many nearest pivots describe a vector: the fewest with which ``target`` of the turned rows share two."""
+    x = x[-TURNED:]  # the first ones are pivots themselves
+    a, b = ranked_pivots(x, pivots, NEAREST), ranked_pivots(turned(x, cosine), pivots, NEAREST)
+    for near in range(min(FEWEST, len(pivots)), min(NEAREST, len(pivots)) + 1):
+        if ((a[:, :near, None] == b[:, None, :near]).sum(axis=(1, 2)) >= min(2, near)).mean() >= target:
+            return near
+    return min(NEAREST, len(pivots))
 
 
 def choose_pivots(vectors: list[np.ndarray], most: int = PIVOTS) -> dict[int, np.ndarray]:
@@ -90,6 +124,15 @@ def choose_pivots(vectors: list[np.ndarray], most: int = PIVOTS) -> dict[int, np
     return out
 
 
+def numbers_needed(vectors: list[np.ndarray], pivots: dict[int, np.ndarray], cosine: float = COSINE) -> dict[int, int]:
+    """nearest_needed for each dimension of a sample."""
+    out = {}
+    for dimension, p in pivots.items():
+        own = [v for v in vectors if len(v) == dimension][-TURNED:]
+        out[dimension] = nearest_needed(unit(np.array(own)), p, cosine)
+    return out
+
+
 def pivots_of(pivots: dict[int, np.ndarray], dimension: int) -> np.ndarray:
     """The pivots for vectors of this dimension; directions at random where the sample had none."""
     if dimension not in pivots:
@@ -99,6 +142,7 @@ def pivots_of(pivots: dict[int, np.ndarray], dimension: int) -> np.ndarray:
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: dict[bytes, list] = {}
+    held = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
         rows = [(i, ids[0], None, None) for ids in ([min(g), *g] for g in seen.values()) for i in ids[1:]]
@@ -113,19 +157,29 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if v is None:
                 alone.append(i)
             else:
-                seen.setdefault(v.tobytes(), []).append(i)
+                packed = pack(v + 0.0)  # no negative zeros
+                held += 16 if packed in seen else len(packed) + 200
+                seen.setdefault(packed, []).append(i)
         if alone:
             n = len(alone)
             yield pa.RecordBatch.from_arrays([pa.array(alone, pa.int64()), pa.array(alone, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=["vec_id", "rep", "weight", "vector"])
-        if len(seen) > FOLD:
+        if held > FOLD:
             yield from flush()
+            held = 0
     if seen:
         yield from flush()
 
 
-def nearest_pivots(x: np.ndarray, pivots: np.ndarray, near: int | None = None) -> np.ndarray:
+def ranked_pivots(x: np.ndarray, pivots: np.ndarray, near: int) -> np.ndarray:
+    """The numbers of each row's nearest pivots, nearest first."""
+    near = min(near, len(pivots))
+    found = [np.argsort(-(x[i : i + 512] @ pivots.T), axis=1, kind="stable")[:, :near] for i in range(0, len(x), 512)]
+    return np.concatenate(found).astype(np.int32)
+
+
+def nearest_pivots(x: np.ndarray, pivots: np.ndarray, near: int = FEWEST) -> np.ndarray:
     """The numbers of each row's nearest pivots, ascending."""
-    near = min(near or nearest_of(len(pivots)), len(pivots))
+    near = min(near, len(pivots))
     found = [np.argpartition(-(x[i : i + 512] @ pivots.T), near - 1, axis=1)[:, :near] for i in range(0, len(x), 512)]
     return np.sort(np.concatenate(found), axis=1).astype(np.int32)
 
@@ -174,19 +228,21 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE, pivots: int | No
         room = PIVOT_BYTES // (8 * max(1, longest or 1))
         most = pivots or max(min(PIVOTS, room), min(n // EACH, MOST_PIVOTS, room))
         sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE * most).toArrow()  # SAMPLE * PIVOT_BYTES
-        chosen = choose_pivots([v for v in _vectors(sample.column("embedding")) if v is not None] if sample.num_rows else [], most)
-        shared = spark.sparkContext.broadcast(chosen)  # PIVOT_BYTES
+        vectors = [v for v in _vectors(sample.column("embedding")) if v is not None] if sample.num_rows else []
+        chosen = choose_pivots(vectors, most)
+        shared = spark.sparkContext.broadcast((chosen, numbers_needed(vectors, chosen, cosine)))  # PIVOT_BYTES
         folded = ws.keep(rows.mapInArrow(_fold, FOLDED), "folded")
         reps = folded.where("vector is not null").select("rep", "weight", "vector")
 
         def index(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
             """For each dimension of a batch: the batch, its rows of that dimension, their pivots and lists."""
+            pivots, needed = shared.value
             for b in batches:
                 raw = b.column("vector").to_pylist()
-                size = np.array([len(v) // 8 for v in raw], np.int64)
+                size = np.array([dimension_of(v) for v in raw], np.int64)
                 for dimension in np.unique(size).tolist():
                     at = np.flatnonzero(size == dimension)
-                    near = nearest_pivots(unit(np.frombuffer(b"".join(raw[i] for i in at)).reshape(len(at), -1)), pivots_of(shared.value, dimension))
+                    near = nearest_pivots(unit(unpack([raw[i] for i in at])), pivots_of(pivots, dimension), needed.get(dimension, NEAREST))
                     yield b, at, near, pair_keys(near, dimension)
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +274,7 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE, pivots: int | No
                     return None
                 rep, weight = (np.array([h[c] for h in held], np.int64) for c in (0, 1))
                 near = np.frombuffer(b"".join(h[2] for h in held), np.uint16).astype(np.int64).reshape(len(held), -1)
-                x = unit(np.frombuffer(b"".join(h[3] for h in held)).reshape(len(held), -1))
+                x = unit(unpack([h[3] for h in held]))
                 side = None if at[1] == at[2] else np.array([h[4] for h in held]) == at[1]
                 links, least = verify(rep, weight, near, x, at[0], side, cosine)
                 some = links > 0
