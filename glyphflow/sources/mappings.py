@@ -1,11 +1,11 @@
-"""Glyph tables from files, beside the built-in ones."""
+"""Glyph tables from files in any store that Spark reads, beside the built-in ones."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
-from pathlib import Path
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,9 +25,20 @@ def file_name(encoding: str) -> str:
     return encoding.lower().replace(" ", "-").replace("_", "-")
 
 
-def find(encoding: str, folders: Iterable[str]) -> Path | None:
+def _path(spark: SparkSession, name: str):
+    """A path of Hadoop's and its file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def find(spark: SparkSession, encoding: str, folders: Iterable[str]) -> str | None:
     """The first file of the encoding: folder by folder, ending by ending."""
-    return next((p for d in folders for e in ENDINGS if (p := Path(d) / f"{file_name(encoding)}{e}").exists()), None)
+    for folder in folders:
+        for ending in ENDINGS:
+            path, files = _path(spark, f"{folder.rstrip('/')}/{file_name(encoding)}{ending}")
+            if files.exists(path):
+                return path.toString()
+    return None
 
 
 def parse(text: str, ending: str) -> dict:
@@ -56,13 +67,41 @@ def table_of(data: dict) -> dict[str, str]:
 def load(spark: SparkSession, encoding: str, folders: Iterable[str] = ()) -> DataFrame:
     """encoding, ord, legacy, unicode: the built-in table if there is one, else the file's."""
     builtin = glyph_map(spark).where(F.col("encoding") == encoding)
-    path = find(encoding, folders)
-    if path is None or builtin.limit(1).count():
+    path = None if builtin.limit(1).count() else find(spark, encoding, folders)
+    if path is None:
         return builtin
-    rows = [(encoding, i, k, v) for i, (k, v) in enumerate(table_of(parse(path.read_text(encoding="utf-8"), path.suffix)).items())]
+    text = spark.read.text(path, wholetext=True).first()
+    rows = [(encoding, i, k, v) for i, (k, v) in enumerate(table_of(parse(text.value if text else "", path[path.rindex(".") :])).items())]
     return spark.createDataFrame(rows, ROWS)
 
 
-def available(folders: Iterable[str]) -> list[str]:
+def available(spark: SparkSession, folders: Iterable[str]) -> list[str]:
     """Encodings that have a file."""
-    return sorted({p.stem for d in folders for p in Path(d).glob("*") if p.suffix in ENDINGS})
+    found = set()
+    for folder in folders:
+        path, files = _path(spark, folder)
+        for status in files.listStatus(path) if files.exists(path) else []:
+            stem, dot, ending = status.getPath().getName().rpartition(".")
+            if dot + ending in ENDINGS:
+                found.add(stem)
+    return sorted(found)
+
+
+def read_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """encoding, ord, legacy, unicode, error of every mapping file of a folder, read where the files are dealt to; a
+    file that can't be read is a row with its error.  The encoding is the file's name."""
+    schema = pa.schema([("encoding", pa.string()), ("ord", pa.int32()), ("legacy", pa.string()), ("unicode", pa.string()), ("error", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                stem, _, ending = path.rpartition("/")[2].rpartition(".")
+                try:
+                    table = table_of(parse(content.decode(), f".{ending}"))
+                    rows = [{"encoding": stem, "ord": i, "legacy": k, "unicode": v} for i, (k, v) in enumerate(table.items())]
+                except Exception as e:  # whatever is wrong with the file
+                    rows = [{"encoding": stem, "error": f"{type(e).__name__}: {e}"}]
+                yield pa.RecordBatch.from_pylist(rows, schema)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{yaml,yml,json}").load(folder)
+    return files.select("path", "content").mapInArrow(run, f"{ROWS}, error string")

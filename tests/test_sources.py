@@ -10,7 +10,15 @@ def test_mapping_files(spark, tmp_path):
     got = [(r.legacy, r.unicode) for r in mappings.load(spark, "My_Font", [str(tmp_path)]).orderBy("ord").collect()]
     assert got == [("ab", "क"), ("a", "आ"), ("b", "ब")]
     assert mappings.load(spark, "kruti-dev", [str(tmp_path)]).count() == 81 and mappings.load(spark, "none", [str(tmp_path)]).count() == 0
-    assert mappings.available([str(tmp_path)]) == ["my-font"]
+    assert mappings.available(spark, [str(tmp_path), str(tmp_path / "none")]) == ["my-font"]
+    assert mappings.load(spark, "MY FONT", [f"file://{tmp_path}/none", f"file://{tmp_path}/"]).count() == 3
+    (tmp_path / "odd.json").write_text('{"mappings": [1]}')
+    (tmp_path / "cut.json").write_text("{")
+    (tmp_path / "notes.txt").write_text("no table")
+    tables = {}
+    for r in mappings.read_tables(spark, str(tmp_path)).orderBy("encoding", "ord").collect():
+        tables.setdefault(r.encoding, []).append((r.legacy, r.unicode) if r.error is None else r.error.partition(":")[0])
+    assert tables == {"my-font": [("ab", "क"), ("a", "आ"), ("b", "ब")], "odd": ["TypeError"], "cut": ["MappingError"]}
     with pytest.raises(mappings.MappingError):
         mappings.parse("{}", ".json")
     with pytest.raises(mappings.MappingError):
