@@ -20,7 +20,8 @@
 
 Defined cases: null html counts as empty and gives the empty text; a null URL has an empty host and path;
 unclosed elements end with the page, an unfinished tag at the end is dropped; rows repeated or with null ids
-are pages like any other (a copy has the same path, so it is never compared with itself); an empty table
+are pages like any other (a copy has the same path, so it is never compared with itself); an element goes, with all
+in it, where an attribute of its own hides it (hidden, aria-hidden, display:none); formulas stay; an empty table
 gives an empty result; no column but page_id, url and html is read.
 """
 
@@ -69,7 +70,7 @@ BLOCKS = frozenset(
     "head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 #: Elements without any text of the page, contents included.
-RAW = frozenset("script style noscript template textarea iframe svg select object title head canvas audio video math".split())
+RAW = frozenset("script style noscript template textarea iframe svg select object title head canvas audio video".split())
 #: Elements that are not main text.
 ASIDE = frozenset("nav header footer aside form menu dialog button".split())
 #: Words in class, id or role that say so too; those of the second set hold outside articles only.
@@ -83,8 +84,8 @@ MAIN = frozenset(("article", "main"))
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th caption figcaption summary".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)|[^<]+|<", re.S)
-_NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 _WORD = re.compile(r"[a-z]+")
 #: Words that say what an element is at the end of a name too (site-footer), where others say it at the beginning only.
 PLACES = frozenset("ad ads banner footer nav navbar navigation menu sidebar comments breadcrumb breadcrumbs pagination pager header masthead topbar toolbar".split())
@@ -92,12 +93,37 @@ PLACES = frozenset("ad ads banner footer nav navbar navigation menu sidebar comm
 SPEAKS_OF = frozenset("has no with without is show hide page layout".split())
 
 
-def roles_of(attributes: str) -> set[str]:
-    """What class, id and role call an element: each name's first word, and its last if that is a place on the page."""
+#: Words that a name may have beside a role and still be no more than that role's place in an article.
+FORMS = frozenset(
+    "area bar block body bottom box button buttons card column container content count cta embed feed field group heading holder icon icons inline inner input item items left line link links list "
+    "main message outer panel post posts right row section sign slot stories tag tags text thread title tool tools top unit up wrap wrapper".split()
+)
+
+
+def attributes_of(tag: str) -> dict[str, str]:
+    """The attributes of a tag by lower-case name; the first of a name counts."""
+    out: dict[str, str] = {}
+    for name, *value in _ATTRIBUTE.findall(tag):
+        out.setdefault(name.lower(), "".join(value))
+    return out
+
+
+def unseen(attributes: dict[str, str]) -> bool:
+    """Whether attributes of their own, not words in others, say that an element is not shown."""
+    return attributes.get("hidden", "false").lower() != "false" or attributes.get("aria-hidden", "").lower() == "true" or bool(_UNSEEN.search(attributes.get("style", "")))
+
+
+def roles_of(attributes: dict[str, str], in_article: bool = False) -> set[str]:
+    """What class, id and role call an element: each name's first word, and its last if that is a place on the page.
+
+    Inside an article a name must say nothing else: "newsletter-box" does, "share-prices" and "ad-hoc" do not.
+    """
     out: set[str] = set()
-    for groups in _NAMED.findall(attributes):
-        for name in "".join(groups).lower().split():
+    for key in ("class", "id", "role"):
+        for name in attributes.get(key, "").lower().split():
             parts = _WORD.findall(name)
+            if in_article and not all(p in ROLES or p in PLACES or p in FORMS for p in parts):
+                continue
             if parts and parts[0] not in SPEAKS_OF:
                 out.add(parts[0])
                 if parts[-1] in PLACES:
@@ -168,8 +194,9 @@ def _read_lines(source: str | None, named: bool) -> list[Line]:
         if name in MAIN:
             main = max(0, main + (-1 if closing else 1))
         elif not closing and name not in ("html", "body", "br", "hr", "img", "input", "link", "meta") and not attributes.endswith("/"):
-            roles = roles_of(attributes) if attributes and named else set()
-            if (name in ASIDE and not (name == "header" and main)) or roles & ROLES or (roles & OUTER_ROLES and not main) or (attributes and _HIDDEN.search(attributes)):
+            own = attributes_of(attributes) if attributes.strip() else {}
+            roles = roles_of(own, main > 0) if own and named else set()
+            if (name in ASIDE and not (name == "header" and main)) or roles & ROLES or (roles & OUTER_ROLES and not main) or unseen(own):
                 close()
                 skip, depth = name, 1
     close()

@@ -1,3 +1,5 @@
+import pytest
+
 from glyphflow.llm.html_extract import common_lines, extract_text, main_text, page_lines
 
 SHELL = "<html><head><title>T</title><style>p{{}}</style></head><body><nav><a href='/'>Home</a></nav><div class='cookie-notice'>We use cookies</div>{}<footer>&copy; x</footer><script>var a='</p>';</script></body></html>"
@@ -156,3 +158,26 @@ def test_a_host_of_many_parts_and_blocks_hands_over_what_one_part_knows(spark):
     want = texts(spark, rows, group_rows=1000)  # one part
     for size in (40, 9, 2, 1):
         assert texts(spark, rows, group_rows=size) == want
+
+
+@pytest.mark.parametrize(
+    "source, kept",
+    [
+        ('<p>one</p><p id="share-prices">two</p>', "one two"),
+        ('<p>one</p><section class="ad-hoc"><p>two</p></section>', "one two"),
+        ('<p>one</p><div class="menu-planning">two</div>', "one two"),
+        ('<p>one</p><p title="the hidden truth">two</p>', "one two"),
+        ('<p>one</p><p data-x="hidden" data-class="ad">two</p>', "one two"),
+        ('<p>one</p><p hidden="false">two</p>', "one two"),
+        ("<p>one</p><p>a <math><mi>b</mi><mo>=</mo><mn>2</mn></math></p>", "one a b=2"),
+        ("<p>one</p><p hidden>two</p>", "one"),
+        ("<p>one</p><p HIDDEN=''>two</p>", "one"),
+        ('<p>one</p><p style="color:red; display : none">two</p>', "one"),
+        ("<p>one</p><div aria-hidden='true'>two</div>", "one"),
+        ('<p>one</p><div class="newsletter-box">two</div><ul class="share">three</ul><div role=alert>four</div>', "one"),
+        ('<p>one</p><div id="comments-list-2">two</div>', "one"),
+    ],
+)
+def test_names_and_attributes_inside_an_article(source, kept):
+    """Only what says nothing but a page's part, and attributes that hide by themselves, take text from an article."""
+    assert " ".join(t for t, *_ in page_lines(f"<main><article>{source}</article></main>")) == kept
