@@ -8,8 +8,8 @@
 4.  A source's budget is its target in whole words.  Whole epochs come first; what remains is cut off the
     random order exactly, the row at the cut being taken in part.
 
-Defined cases: null text has size 0; null source is a source, ranked last; a null doc_id counts as the text
-'null' for its key; rows tied in key, id and size follow their row, where one is given, else they are interchangeable; sources without words have target 0;
+Defined cases: null text has size 0; null source is a source, ranked last; a row without a doc_id has its
+key from its text; rows tied in key, id and size follow their row, where one is given, else they are interchangeable; sources without words have target 0;
 an empty table gives an empty result; other columns are not read.
 """
 
@@ -61,7 +61,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     """
     carried = [row] if row else []
     with Workspace(docs.sparkSession, "mix") as ws:
-        key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
+        nameless = F.concat(F.lit("null:"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+        key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), nameless)).cast("binary"))
         rows = ws.keep(docs.select("doc_id", *carried, F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), key.alias("key")), "rows")
         sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, epochs)
         sources = ws.keep(sources, "sources")
@@ -86,7 +87,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-    md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS key
+    md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, '')))) AS key
   FROM documents),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS number FROM d GROUP BY source),

@@ -60,3 +60,14 @@ def test_rows_of_one_id_and_size_keep_their_turn(spark):
         df = spark.createDataFrame(rows[turn * 3 :] + rows[: turn * 3], "doc_id long, text string, source string, turn long").repartition(turn + 1)
         found.append(sorted(tuple(r) for r in mix(df, share=1.3, row="turn").select("turn", "taken").collect()))
     assert all(f == found[0] for f in found) and len({t for _, t in found[0]}) > 1
+
+
+def test_rows_without_an_id_are_in_an_order_of_their_own(spark):
+    """Their keys are as random as those of others, so no range of keys has them all, and reruns agree."""
+    df = spark.range(6000).selectExpr("cast(null AS long) AS doc_id", "concat('w', id, repeat(' x', cast(id % 3 AS int))) AS text", "'s' AS source", "id AS turn")
+    keys = df.selectExpr("substring(md5(concat('mix-1:null:', md5(text))), 1, 3) AS k").groupBy("k").count()
+    assert keys.count() > 2500 and keys.agg({"count": "max"}).first()[0] < 20
+    first, second = ({r.turn: r.taken for r in mix(df.repartition(k), share=0.4, row="turn").collect()} for k in (2, 5))
+    assert first == second
+    taken = [t for t, n in first.items() if n]
+    assert {t % 3 for t in taken} == {0, 1, 2} and min(taken) < 600 and max(taken) > 5400
