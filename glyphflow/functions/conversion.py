@@ -7,15 +7,13 @@ has for its collations.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..data.encodings import PARTS, glyphs
 from .detection import UNICODE_NAMES
 from .postprocess import processor
-from .text import DEVANAGARI, characters
+from .text import DEVANAGARI, characters, once, where
 
 #: What may stay as it is besides Devanagari: printable ASCII and line ends.
 PASSED = r"\x20-\x7e\t\n\r"
@@ -28,11 +26,6 @@ PLACEHOLDERS = 0xF0000
 ICU = ("com.ibm.icu.text.Normalizer", "compose", False)
 
 
-def once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value computed once however often it is used."""
-    return F.transform(F.array(value), use)[0]
-
-
 def nfc(text: Column) -> Column:
     """Canonical composition; null stays null."""
     name, method, compatible = ICU
@@ -89,7 +82,7 @@ def _lengthened(text: Column, longer: dict[str, str]) -> Column:
         t = text
         for (_, c), keys in passes.items():
             own = f"[{_class_of(keys)}]"
-            t = once(t, lambda u: F.when(present.rlike(own), F.regexp_replace(u, f"({own})", f"$1{c}")).otherwise(u))  # noqa: B023
+            t = where(t, lambda u: present.rlike(own), lambda u: F.regexp_replace(u, f"({own})", f"$1{c}"))  # noqa: B023
         return t
 
     return once(F.regexp_replace(text, f"[^{_class_of(list(longer))}]+", ""), put)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import SPACES
+from .text import SPACES, where
 
 # Signs that one font writes as two, and the sign they stand for.
 VOWEL_PAIRS = [("\u093e\u0947", "\u094b"), ("\u093e\u0948", "\u094c"), ("\u0947\u093e", "\u094b"), ("\u0948\u093e", "\u094c")]
@@ -42,15 +42,28 @@ def common(text: Column) -> Column:
     return F.regexp_replace(text, rf"[{SPACES}]+([\u094d\u093e-\u094c\u0901\u0902])", "$1")
 
 
-def shree_dev(text: Column) -> Column:
-    """The same for fonts that write i (p, q) before and r (the copyright sign) after its cluster."""
+def _signs_i(text: Column) -> Column:
     text = F.regexp_replace(text, f"([pq])({SHREE_DEV_CONSONANT})", "$2$1")
     text = F.regexp_replace(text, f"([pq])((?:\u094d{SHREE_DEV_CONSONANT})+)", "$2$1")
-    text = _replace_all(text, [("p", "\u093f"), ("q", "\u093f\u0902")])
+    return _replace_all(text, [("p", "\u093f"), ("q", "\u093f\u0902")])
+
+
+def _signs_r(text: Column) -> Column:
     text = F.regexp_replace(text, f"({SHREE_DEV_CONSONANT})([{SHREE_DEV_SIGN}\u0901\u0902]*)\u00a9", "\u00a9$1$2")
     text = F.regexp_replace(text, f"((?:{SHREE_DEV_CONSONANT}\u094d)+)\u00a9", "\u00a9$1")
-    text = F.replace(text, F.lit("\u00a9"), F.lit("\u0930\u094d"))
-    text = _replace_all(text, [SHREE_DEV_STAND_IN, *SHREE_DEV_PAIRS])
+    return F.replace(text, F.lit("\u00a9"), F.lit("\u0930\u094d"))
+
+
+def shree_dev(text: Column) -> Column:
+    """The same for fonts that write i (p, q) before and r (the copyright sign) after its cluster.
+
+    Steps that a text has no sign for are left out.
+    """
+    text = where(text, lambda t: t.rlike("[pq]"), _signs_i)
+    text = where(text, lambda t: F.contains(t, F.lit("\u00a9")), _signs_r)
+    signs = "".join({c for pair, _ in SHREE_DEV_PAIRS for c in pair})
+    pairs = [SHREE_DEV_STAND_IN, *SHREE_DEV_PAIRS]
+    text = where(text, lambda t: t.rlike(f"[{''.join(sorted(signs))}]{{2}}|{SHREE_DEV_STAND_IN[0]}"), lambda t: _replace_all(t, pairs))
     text = F.regexp_replace(text, f"([\u0901-\u0903\u0970]+)([{SHREE_DEV_SIGN}]+)", "$2$1")
     return F.regexp_replace(text, f"[{SPACES}]+([\u093d\u094d\u093e\u0940-\u0943\u0947\u0948\u094b\u094c\u0901\u0902])", "$1")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,6 +31,16 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, f"[{SPACES}]+"), lambda w: w != "")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def where(text: Column, needed: Callable[[Column], Column], use: Callable[[Column], Column]) -> Column:
+    """use(text) for the texts that need it; the others are left alone."""
+    return once(text, lambda t: F.when(needed(t), use(t)).otherwise(t))
+
+
 #: What sets a terminal's colours.
 ANSI = r"\x1b\[[0-9;]*m"
 
