@@ -65,27 +65,18 @@ def unmapped(text: Column, encoding: str) -> Column:
 
 
 def _lengthened(text: Column, longer: dict[str, str]) -> Column:
-    """Each key followed by its value without the first character.
-
-    From the last place of a value to its second, one pass puts a character behind all keys that have it there, so
-    keys with one ending share their passes; passes whose keys a text does not have are left out.
-    """
-    passes: dict[tuple[int, str], list[str]] = {}
-    for place in range(max(map(len, longer.values()), default=1) - 1, 0, -1):
-        for k, v in longer.items():
-            if len(v) > place:
-                passes.setdefault((place, v[place]), []).append(k)
-    if not passes:
+    """Each key followed by its value without the first character: the text is cut behind all keys at once, and what a
+    piece lacks follows from its last character, so a pass is enough however many keys there are."""
+    if not longer:
         return text
+    keys, rests = "".join(longer), F.array(*[F.lit(v[1:]) for v in longer.values()])
 
-    def put(present: Column) -> Column:
-        t = text
-        for (_, c), keys in passes.items():
-            own = f"[{_class_of(keys)}]"
-            t = where(t, lambda u: present.rlike(own), lambda u: F.regexp_replace(u, f"({own})", f"$1{c}"))  # noqa: B023
-        return t
+    def lengthened(piece: Column) -> Column:
+        key = F.instr(F.lit(keys), F.substring(piece, -1, 1))
+        return F.when(piece == "", piece).otherwise(F.concat(piece, F.coalesce(F.get(rests, key - 1), F.lit(""))))
 
-    return once(F.regexp_replace(text, f"[^{_class_of(list(longer))}]+", ""), put)
+    own = f"[{_class_of(list(longer))}]"
+    return where(text, lambda t: t.rlike(own), lambda t: F.array_join(F.transform(F.split(t, f"(?<={own})"), lengthened), ""))
 
 
 def replace_characters(text: Column, encoding: str, preserve_unknown: bool = True) -> Column:

@@ -24,6 +24,8 @@ SHREE_DEV_CONSONANT = "[\u0915-\u0931\u0932\u0933\u0935-\u0939\u0958-\u095f]"
 SHREE_DEV_SIGN = "\u093e-\u0943\u0947\u0948\u094b\u094c"
 #: A stand-in that some converted files hold, and what it stands for.
 SHREE_DEV_STAND_IN = ("\u092a\u094d\u0932\u0947\u0938\u0939\u094b\u0932\u094d\u0921\u0930_\u0907", "\u092a")
+#: Passes over what most characters are, which the many ranges of white space would be compared with one by one.
+NO_SPACE = "(?![!-~\u0900-\u097f])"
 #: Encodings whose glyph i stands before its consonant, as the letters p and q.
 SHREE_DEV = ("shree-dev", "shree-dev-0714", "shree-dev-0708")
 
@@ -39,7 +41,7 @@ def common(text: Column) -> Column:
     text = _replace_all(text, VOWEL_PAIRS)
     text = F.regexp_replace(text, "([\u0915-\u0939\u0958-\u095f])([\u093e-\u094c\u0962\u0963])(\u093c)", "$1$3$2")
     text = F.regexp_replace(text, "([\u0901-\u0903])([\u093e-\u094c]+)", "$2$1")
-    return F.regexp_replace(text, rf"[{SPACES}]+([\u094d\u093e-\u094c\u0901\u0902])", "$1")
+    return F.regexp_replace(text, rf"{NO_SPACE}[{SPACES}]+([\u094d\u093e-\u094c\u0901\u0902])", "$1")
 
 
 def _signs_i(text: Column) -> Column:
@@ -65,7 +67,7 @@ def shree_dev(text: Column) -> Column:
     pairs = [SHREE_DEV_STAND_IN, *SHREE_DEV_PAIRS]
     text = where(text, lambda t: t.rlike(f"[{''.join(sorted(signs))}]{{2}}|{SHREE_DEV_STAND_IN[0]}"), lambda t: _replace_all(t, pairs))
     text = F.regexp_replace(text, f"([\u0901-\u0903\u0970]+)([{SHREE_DEV_SIGN}]+)", "$2$1")
-    return F.regexp_replace(text, f"[{SPACES}]+([\u093d\u094d\u093e\u0940-\u0943\u0947\u0948\u094b\u094c\u0901\u0902])", "$1")
+    return F.regexp_replace(text, f"{NO_SPACE}[{SPACES}]+([\u093d\u094d\u093e\u0940-\u0943\u0947\u0948\u094b\u094c\u0901\u0902])", "$1")
 
 
 #: Encoding to processor; every other encoding has the common one.
