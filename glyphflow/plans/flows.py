@@ -76,10 +76,10 @@ def document_files(s, d):
     conversations = table(s, d, "conversations")
     made = conversations.groupBy("conv_id").agg(whole.alias("content"))
     made = made.select("conv_id", F.concat(F.lit("c"), (F.col("conv_id") % 10).cast("string"), F.lit("/conversation-"), F.col("conv_id").cast("string"), F.lit(".md")).alias("name"), "content")
-    last = conversations.agg(F.max("conv_id").alias("last"))
+    last = conversations.agg(F.max("conv_id")).first()[0] or 0
     shared_dir(s)
     with scratch(s, "files") as at:
-        fails = made.where(F.col("conv_id") % 100 == 0).join(F.broadcast(last)).withColumn("content", F.when(F.col("conv_id") + 100 > F.col("last"), F.raise_error(F.lit("the write fails here"))).otherwise("of the write that failed"))
+        fails = made.where(F.col("conv_id") % 100 == 0).withColumn("content", F.when(F.col("conv_id") + 100 > last, F.raise_error(F.lit("the write fails here"))).otherwise("of the write that failed"))
         try:
             documents.write_files(fails, at)
         except PySparkException:
