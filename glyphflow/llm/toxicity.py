@@ -15,7 +15,9 @@
     the score: a logistic function of the length-normalised log-likelihood ratios of all words, and of the
     words that are strong evidence alone.
 *   Scoring needs two sorted arrays (strings and contexts the classes have seen, with their log ratios), of
-    MOST_STRINGS at most whatever the texts are, and looks every distinct word of a batch up once.
+    MOST_STRINGS at most, and looks every distinct word of a batch up once.  Where the classes have more strings
+    (texts that are letters at random) nothing is sent: the same ratios are joined to the characters of all distinct
+    words, and the words' sums to the documents, as tables.
 
 Defined cases: null and empty texts have ratio 0 and get the score of that; labels that are null do not
 count, the larger of repeated ones does; the fit reads equal rows of one id once; without labels of both classes every score is 0.5; null ids are not
@@ -37,8 +39,8 @@ from .workspace import Workspace, partitions
 
 #: Labelled rows that the fit may read, and the bytes of their texts.
 FIT_ROWS, FIT_BYTES = 40_000, 192 << 20
-#: Strings of the classes that are kept, about 76 bytes each on the driver; a string that is met so often is always kept
-#: (FIT_BYTES have FIT_BYTES / OFTEN of these at most).
+#: Strings of the classes, about 76 bytes each on the driver, up to which scoring goes by arrays and not by joins; where
+#: ``class_counts`` is asked for a table of so many, a string that is met so often is always in it.
 MOST_STRINGS, OFTEN = 2_000_000, 128
 #: Characters of context, and the discount of all counts.
 CONTEXT, DISCOUNT = 5, 0.75
@@ -232,13 +234,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def class_counts(fit: DataFrame, strings: DataFrame, contexts: DataFrame, ws: Workspace, most: int = MOST_STRINGS) -> pa.Table:
+def strings_of(fit: DataFrame, ws: Workspace) -> DataFrame:
+    """Counts by class and fold of all strings of fit (group, text)."""
+    return ws.keep(fit.mapInArrow(tidy(_count), COUNTS).groupBy("string", "context", "triple").agg(*[F.sum(c).alias(c) for c in SUMS]), "class")
+
+
+def class_counts(fit: DataFrame, strings: DataFrame, contexts: DataFrame, ws: Workspace, most: int = MOST_STRINGS, counts: DataFrame | None = None) -> pa.Table:
     """Counts by class and fold of the strings of fit (group, text), with the shared counts.
 
-    All strings that the fit has, or where these are more than ``most`` (texts that are letters at random) those that
-    it has often enough: the table and what is broadcast of it have a bound in rows, and so in bytes.
+    All strings that the fit has, or where these are more than ``most`` those that it has often enough: for arrays that
+    have a bound.  ``score_toxicity`` asks for it only where all are within the bound.  counts: of ``strings_of``.
     """
-    counts = ws.keep(fit.mapInArrow(tidy(_count), COUNTS).groupBy("string", "context", "triple").agg(*[F.sum(c).alias(c) for c in SUMS]), "class")
+    counts = strings_of(fit, ws) if counts is None else counts
     times = sum((F.col(c) for c in SUMS[1:]), F.col(SUMS[0]))
     having = dict(map(tuple, counts.groupBy(F.least(times, F.lit(OFTEN)).alias("times")).count().collect()))  # OFTEN rows
     least, kept = OFTEN, having.get(OFTEN, 0)
@@ -335,6 +342,75 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray
     return w / scale
 
 
+# -- any number of strings ----------------------------------------------------------------------------------
+
+#: Folds whose counts score: the first fold's rows, the second's, and all others.
+FOLDS = ((1,), (0,), (0, 1))
+
+
+def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, found in chunks(batches, "n", "word", most=TEXT_BYTES):
+        w = Words(found)
+        spelt = Spelling(w, np.arange(w.n))
+        string, context = spelt.hashes()
+        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (w.value[spelt.of], string, context)], names=["word", "string", "context"])
+
+
+def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's distinct words and how often it has them; one without a word for every row."""
+    for at, texts in chunks(batches, "at", most=TEXT_BYTES):
+        w = Words(texts)
+        pair, n = np.unique(w.doc * max(w.n, 1) + w.which, return_counts=True)
+        doc, which = np.divmod(pair, max(w.n, 1))
+        word = pa.concat_arrays([pa.array(w.value[which].view(np.int64)), pa.nulls(len(at), pa.int64())])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([at[doc], at])), word, pa.array(np.concatenate([n, np.zeros(len(at), np.int64)]))], names=["at", "word", "n"])
+
+
+def word_ratios(texts: DataFrame, counts: DataFrame, strings: DataFrame, contexts: DataFrame, shared: np.ndarray) -> DataFrame:
+    """word (its hash) and its log ratio by each of FOLDS (r0, r1, r2): those of ``Ratios``, for any number of strings."""
+    spark = texts.sparkSession
+    sides, one, zero = range(len(FOLDS)), F.lit(1.0), F.lit(0.0)
+    of = lambda k, i: sum((F.col(f"{k}_{f}") for f in FOLDS[i][1:]), F.col(f"{k}_{FOLDS[i][0]}"))
+    both = [("toxic", i) for i in sides] + [("ordinary", i) for i in sides]
+    sums = counts.groupBy("context").agg(*[F.sum(of(k, i)).alias(f"{k}_total{i}") for k, i in both], *[F.count_if(of(k, i) > 0).alias(f"{k}_kinds{i}") for k, i in both])
+    total = lambda k, i: F.col(f"{k}_total{i}")
+    left = lambda k, i: F.when(total(k, i) > 0, DISCOUNT * F.col(f"{k}_kinds{i}") / total(k, i)).otherwise(one)
+    p = lambda k, i: F.greatest(of(k, i) - DISCOUNT, zero) / F.greatest(total(k, i), one) + left(k, i) * F.col("below")
+    model = spark.createDataFrame(pa.table({"triple": pa.array(np.arange(len(shared), dtype=np.int32)), "p": pa.array(shared)}))  # 64**3 rows
+    known = counts.join(strings, "string").join(contexts, "context").join(sums, "context").join(F.broadcast(model), "triple")
+    known = known.withColumn("below", (F.col("shared_n") - DISCOUNT + DISCOUNT * F.col("shared_kinds") * F.col("p")) / F.col("shared_total"))
+    of_string = known.select("string", *[F.when(of("toxic", i) + of("ordinary", i) > 0, F.log(p("toxic", i) / p("ordinary", i))).cast("float").alias(f"s{i}") for i in sides])
+    of_context = sums.select("context", *[F.when(total("toxic", i) + total("ordinary", i) > 0, F.log(left("toxic", i) / left("ordinary", i))).cast("float").alias(f"c{i}") for i in sides])
+    words = texts.mapInArrow(tidy(_count_words), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    spelt = words.mapInArrow(tidy(_spell), "word long, string long, context long")
+    met = spelt.join(of_string, "string", "left").join(of_context, "context", "left")
+    return met.groupBy("word").agg(*[F.sum(F.coalesce(f"s{i}", f"c{i}", F.lit(0).cast("float"))).cast("float").alias(f"r{i}") for i in sides])
+
+
+def _evidence(texts: DataFrame, ratios: DataFrame, by: dict[str, Column]) -> DataFrame:
+    """at, n (words) and the sums from each bound of EVIDENCE on, by the ratio of every name in ``by``."""
+    words = texts.select("at", "text").mapInArrow(tidy(_words_of), "at long, word long, n long").join(ratios, "word", "left")
+    sums = [F.coalesce(F.sum(F.when(r >= float(e), r * F.col("n"))), F.lit(0.0)).alias(f"{name}_{i}") for name, r in by.items() for i, e in enumerate(EVIDENCE)]
+    return words.groupBy("at").agg(F.sum("n").alias("n"), *sums)
+
+
+def score_by_joins(texts: DataFrame, fit: DataFrame, counts: DataFrame, strings: DataFrame, contexts: DataFrame, shared: np.ndarray, ws: Workspace) -> DataFrame:
+    """doc_id, row and score of texts, with all strings of the classes however many they are."""
+    ratio = ws.keep(word_ratios(texts, counts, strings, contexts, shared), "words")
+    turned = ws.keep(fit.withColumn("at", F.monotonically_increasing_id()), "turned")
+    found = _evidence(turned, ratio, {"a": F.col("r0"), "b": F.col("r1")}).join(turned.select("at", "group"), "at")
+    own = [F.when(F.col("group") < 2, F.col(f"a_{i}")).otherwise(F.col(f"b_{i}")).alias(f"t{i}") for i in range(len(EVIDENCE))]
+    measured = found.select("group", "n", *own).toArrow()  # FIT_ROWS rows
+    group, n, *total = (measured.column(c).to_numpy() for c in ("group", "n", *(f"t{i}" for i in range(len(EVIDENCE)))))
+    first, *weights = map(float, fit_logistic(features(np.stack(total), n), (group % 2 == 0).astype(np.float64)))
+    rows = ws.keep(texts.withColumn("at", F.monotonically_increasing_id()), "rows")
+    length = F.greatest(F.col("n"), F.lit(1)).cast("double")
+    parts = [F.col(f"t_{i}") / by for by in (length, F.sqrt(length)) for i in range(len(EVIDENCE))]
+    value = sum((x * w for x, w in zip(parts, weights, strict=True)), F.lit(first))
+    scored = _evidence(rows, ratio, {"t": F.col("r2")}).select("at", (1 / (1 + F.exp(-F.least(F.greatest(value, F.lit(-30.0)), F.lit(30.0))))).alias("score"))
+    return rows.drop("text").join(scored, "at").select("doc_id", "row", "score")
+
+
 # -- the operator -------------------------------------------------------------------------------------------
 
 
@@ -361,10 +437,11 @@ def fit_rows_of(texts: DataFrame, labels: DataFrame, ws: Workspace, fit_rows: in
     return fit.where(F.col("turn") <= F.lit(last).cast("long")).select("group", "text")
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, row: str | None = None, fit_bytes: int = FIT_BYTES) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, row: str | None = None, fit_bytes: int = FIT_BYTES, most: int = MOST_STRINGS) -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted (1 from 0.7) for each row of docs (doc_id, text).
 
-    row: a column of docs (long) that the result carries too.
+    row: a column of docs (long) that the result carries too.  most: strings of the classes up to which scoring goes by
+    arrays; the scores are the same.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(row or "doc_id").cast("long").alias("row"))
@@ -372,7 +449,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
         fit = fit_rows_of(texts, labels, ws, fit_rows, fit_bytes)
         shared = shared_model(texts)
         strings, contexts = shared_counts(texts, ws)
-        counts = class_counts(fit, strings, contexts, ws)
+        held = F.coalesce(third(F.col("doc_id")) == 1, F.lit(False))
+        result = lambda scored: ws.result(scored.select("doc_id", *([F.col("row").alias(row)] if row else []), held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")))
+        every = strings_of(fit, ws)
+        if every.count() > most:
+            return result(score_by_joins(texts, fit, every, strings, contexts, shared, ws))
+        counts = class_counts(fit, strings, contexts, ws, most, every)
         other = spark.sparkContext.broadcast((Ratios(counts, shared, (1,)), Ratios(counts, shared, (0,))))
 
         def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -403,8 +485,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*(ids.pop(r) for r in rows.tolist()), strict=True)), pa.array(1 / (1 + np.exp(-np.clip(value, -30, 30))))], names=["doc_id", "row", "score"])
 
         scored = texts.mapInArrow(tidy(score), "doc_id long, row long, score double")
-        held = F.coalesce(third(F.col("doc_id")) == 1, F.lit(False))
-        found = ws.result(scored.select("doc_id", *([F.col("row").alias(row)] if row else []), held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")))
+        found = result(scored)
         other.unpersist()
         model.unpersist()
         return found

@@ -212,3 +212,13 @@ def test_many_short_rows_keep_their_ids(spark):
     docs = spark.range(30_000).selectExpr("id AS doc_id", "if(id % 7 = 0, null, concat('w', id % 50)) AS text", "-id AS row").repartition(2)
     scored = score_toxicity(docs, spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, toxic int"), row="row")
     assert scored.where("row = -doc_id").count() == 30_000 and scored.selectExpr("count(DISTINCT doc_id)").first()[0] == 30_000
+
+
+def test_more_strings_than_arrays_hold_give_the_same_scores(spark):
+    docs, labels = corpus(random.Random(9), 300)
+    rows = [(i, t) for i, t, *_ in docs] + [(None, "no id"), (3, None), (3, ""), (3, "twice the id")]
+    df, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    told = lambda most: sorted(((r.doc_id is None, r.doc_id or 0, r.held_out, r.predicted, r.score) for r in score_toxicity(df, marks, most=most).collect()))
+    by_arrays, by_joins = told(10**6), told(100)
+    assert len(by_arrays) == len(rows) and len({x[4] for x in by_arrays}) > 100
+    assert all(a[:4] == b[:4] and abs(a[4] - b[4]) < 1e-4 for a, b in zip(by_arrays, by_joins, strict=True))
