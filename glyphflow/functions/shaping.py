@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import SPACES, is_blank, strip, words
+from .text import SPACES, is_blank, once, strip, words
 
 CHUNK = 2000
 #: What ends a sentence.
@@ -95,6 +95,49 @@ def wrap_to_width(text: Column, width: Column | float, size: Column | float) ->
     return _fold_words(text, state(_none(), F.lit(""), F.lit(0.0)), step)
 
 
+def _lengths(text: Column) -> Column:
+    """Of each paragraph the lengths of its words; none for a blank one."""
+    return F.transform(F.split(text, "\n"), lambda p: F.transform(words(p), F.length))
+
+
+def _count_lines(lengths: Column, step) -> Column:
+    """How many lines a fold over the words' lengths has begun; a blank paragraph is one."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("used"))
+    of_paragraph = lambda p: F.greatest(F.lit(1), F.aggregate(p, start, step, lambda at: at["n"]))
+    return F.aggregate(F.transform(lengths, of_paragraph), F.lit(0), lambda n, m: n + m)
+
+
+def _line(n: Column, used: Column) -> Column:
+    return F.struct(n.alias("n"), used.cast("double").alias("used"))
+
+
+def _count_wrapped(lengths: Column, width: Column | int) -> Column:
+    """The number of lines of ``wrap``."""
+    width = F.lit(width) if isinstance(width, int) else width
+
+    def step(at: Column, w: Column) -> Column:
+        used = at["used"] + w + 1
+        return F.when(used <= width, _line(F.greatest(at["n"], F.lit(1)), used)).otherwise(_line(at["n"] + 1, w))
+
+    return _count_lines(lengths, step)
+
+
+def _count_to_width(lengths: Column, width: Column, size: Column) -> Column:
+    """The number of lines of ``wrap_to_width``, by the same sums in the same order."""
+
+    def step(at: Column, w: Column) -> Column:
+        own = w * size * 0.5
+        used = at["used"] + F.when(at["n"] == 0, F.lit(0.0)).otherwise(size * 0.25) + own
+        return F.when(used <= width, _line(F.greatest(at["n"], F.lit(1)), used)).otherwise(_line(at["n"] + 1, own))
+
+    return _count_lines(lengths, step)
+
+
+def lines_to_width(text: Column, width: Column, size: float) -> Column:
+    """How many lines wrap_to_width gives."""
+    return once(_lengths(text), lambda x: _count_to_width(x, width, F.lit(float(size))))
+
+
 def sizes_down(start: float, least: float) -> list[float]:
     """The font sizes tried, each nine tenths of the one before."""
     out = []
@@ -104,17 +147,46 @@ def sizes_down(start: float, least: float) -> list[float]:
     return out
 
 
+#: What sums of doubles may be off by, and more.
+SLACK = 1e-9
+
+
+def _first_fit(text: Column, sizes: list[float], least: float, height: Column, step: float, width, count) -> Column:
+    """The first of some sizes at which a text's lines, each ``step`` sizes high, are not higher than height.
+
+    width: by size, what a line of words and nothing else may hold at most, in half sizes.  Words, cut once, of more than
+    so many lines cannot fit; words that are no wider than a line are one; only what lies between is wrapped.
+    """
+
+    def tried(x: Column) -> Column:
+        one = F.size(x["lengths"]) == 1
+
+        def fits(s: float) -> Column:
+            w = width(s)
+            fewest = F.when((w > 0) & (x["widest"] <= w * (1 - SLACK)), F.ceil(x["total"] / w * (1 - SLACK))).otherwise(F.size(x["lengths"]))
+            most = F.lit(s * step)
+            short = one & (x["total"] + x["n"] + 1 <= w * (1 - SLACK))  # a space is one half size at most
+            n = F.when(short, F.lit(1)).otherwise(count(x["lengths"], s))
+            return F.when(F.greatest(F.lit(1), fewest) * most > height, F.lit(False)).otherwise(n * most <= height)
+
+        return F.coalesce(*[F.when(fits(s), F.lit(s)) for s in sizes], F.lit(least))
+
+    def summed(lengths: Column) -> Column:
+        return once(F.flatten(lengths), lambda f: F.struct(lengths.alias("lengths"), F.coalesce(F.array_max(f), F.lit(0)).alias("widest"), F.size(f).alias("n"), F.aggregate(f, F.lit(0), lambda a, w: a + w).alias("total")))
+
+    return once(once(_lengths(text), summed), tried)
+
+
 def fit_font_size(text: Column, width: float, height: float, margin: float = 0.0, start: float = 11.0, least: float = 6.0) -> Column:
     """The largest size tried at which the wrapped text is not higher than the page."""
     w, h = width - 2 * margin, height - 2 * margin
-    tried = [F.when(F.size(wrap(text, int(w / (s * 0.5)))) * F.lit(s * 1.4) <= h, F.lit(s)) for s in sizes_down(start, least)]
-    return F.coalesce(*tried, F.lit(least))
+    of_size = lambda s: int(w / (s * 0.5))
+    return _first_fit(text, sizes_down(start, least), least, F.lit(h), 1.4, lambda s: F.lit(float(of_size(s))), lambda x, s: _count_wrapped(x, of_size(s)))
 
 
 def fit_block_size(text: Column, width: Column, height: Column, original: float, least: float = 5.0, most: float = 12.0) -> Column:
     """The largest size tried at which the wrapped text fits its box."""
-    tried = [F.when(F.size(wrap_to_width(text, width, s)) * F.lit(s * 1.2) <= height, F.lit(s)) for s in sizes_down(max(least, min(original, most)), least)]
-    return F.coalesce(*tried, F.lit(least))
+    return _first_fit(text, sizes_down(max(least, min(original, most)), least), least, height, 1.2, lambda s: width / F.lit(s * 0.5), lambda x, s: _count_to_width(x, width, F.lit(s)))
 
 
 def pages_of_markers(text: Column, pages: int) -> Column:

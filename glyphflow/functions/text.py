@@ -23,7 +23,8 @@ def strip(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return F.coalesce(strip(text), F.lit("")) == ""
+    """Whether a text is null, empty or white space: the search ends at the first other character."""
+    return ~F.coalesce(text.rlike(f"[^{SPACES}]"), F.lit(False))
 
 
 def words(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.shaping import wrap_to_width
+from ..functions.shaping import lines_to_width
 from ..functions.text import is_blank
 from .overlaps import MANY, meeting_boxes, sweep
 
@@ -132,7 +132,7 @@ def place_lines(blocks: DataFrame, page_height: float = 842.0) -> DataFrame:
     Text keeps one size, so it may be higher than its box; what would pass the page's end is left out.
     """
     p, line = F.col("position"), SIZE * 1.2
-    lines = F.size(wrap_to_width(F.col("raw_text"), p["x1"] - p["x0"] - 2 * PADDING, SIZE))
+    lines = lines_to_width(F.col("raw_text"), p["x1"] - p["x0"] - 2 * PADDING, SIZE)
     none = F.expr("CAST(array() AS array<struct<idx:bigint,x0:double,x1:double,y:double,n:int,end:double>>)")
 
     def step(placed: Column, x: Column) -> Column:

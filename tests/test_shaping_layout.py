@@ -127,3 +127,22 @@ def test_renderings(spark):
     texts = spark.createDataFrame([(1, "a|b\nc\n\nd", "x")], "doc_id long, source_text string, translated_text string")
     assert render.bilingual(texts, meta).first().rendered.endswith("| a\\|b c | x |\n| d |  |")
     assert one(spark, "a.b/c.pdf", lambda c: render.output_name(c, "_scanned.pdf")) == "a.b/c_scanned.pdf"
+
+
+def test_line_counts_and_sizes_are_those_of_the_wrapped_lines(spark):
+    """Sizes are found from the lengths of words alone; each must be what wrapping the text gives."""
+    rng = random.Random(5)
+    texts = ["", " ", "\n", "a", "x" * 200, "aa\n\nbb", "aaaa bbbb"] + [rng.choice([" ", "  ", "\n"]).join("w" * rng.choice([1, 2, 5, 9, 60]) for _ in range(rng.randrange(1, 40))) for _ in range(150)]
+    rows = [(t, w, h) for t in texts for w, h in ((0.0, 20.0), (-1.0, 20.0), (60.0, 14.4), (150.0, 25.0), (300.0, 60.0))]
+    df = spark.createDataFrame(rows, "t string, w double, h double")
+    t, w, h = F.col("t"), F.col("w"), F.col("h")
+    size = F.coalesce(*[F.when(F.size(S.wrap_to_width(t, w, s)) * F.lit(s * 1.2) <= h, F.lit(s)) for s in S.sizes_down(12.0, 5.0)], F.lit(5.0))
+    page = F.coalesce(*[F.when(F.size(S.wrap(t, int(300.0 / (s * 0.5)))) * F.lit(s * 1.4) <= 60.0, F.lit(s)) for s in S.sizes_down(11.0, 6.0)], F.lit(6.0))
+    found = df.select(S.fit_block_size(t, w, h, 12.0) == size, S.fit_font_size(t, 300.0, 60.0) == page, S.lines_to_width(t, w, 11.0) == F.size(S.wrap_to_width(t, w, 11.0)))
+    assert all(all(r) for r in found.collect())
+
+
+def test_sizes_do_not_wrap_the_text(spark):
+    df = spark.createDataFrame([("a b", 9.0)], "t string, h double").select(S.fit_block_size(F.col("t"), F.lit(60.0), F.col("h"), 12.0).alias("s"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") <= 2  # paragraphs, words: once for all sizes
