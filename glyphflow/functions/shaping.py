@@ -29,7 +29,18 @@ def _put(at: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """A text cut behind its sentence ends and the white space after them; the pieces join to the text."""
-    return F.regexp_extract_all(text, F.lit(rf"[^{ENDS}]*[{ENDS}]+[{SPACES}]*|[^{ENDS}]+\z"), F.lit(0))
+    lead = lambda p: F.regexp_extract(p, f"^[{SPACES}]*", 0)
+
+    def joined(pieces: Column) -> Column:
+        """Pieces end at sentence ends; the white space that the next one begins with is given back."""
+
+        def whole(p: Column, i: Column) -> Column:
+            own = F.when(i == 0, p).otherwise(F.substring(p, F.length(lead(p)) + 1, F.length(p)))
+            return F.concat(own, F.coalesce(lead(F.get(pieces, i + 1)), F.lit("")))
+
+        return F.filter(F.transform(pieces, whole), lambda s: s != "")
+
+    return once(F.split(text, f"(?<=[{ENDS}])(?![{ENDS}])"), joined)
 
 
 def chunks(text: Column, size: int = CHUNK) -> Column:

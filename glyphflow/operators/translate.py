@@ -162,7 +162,8 @@ def _edge(backend: Backend, source: str, target: str, lanes: int = 1) -> Callabl
                     backend.sleep(2 ** (attempt - 1) * backend.backoff + random.random())
                 try:
                     wait(lane)
-                    return backend.call(text, source, target), None
+                    told = backend.call(text, source, target)
+                    return text if told is None else told, None
                 except UsageLimitExceeded:
                     raise  # no further call may be made
                 except TranslationError as e:
@@ -189,7 +190,8 @@ def translate_texts(texts: DataFrame, backend: Backend | None = None, source: st
     if backend is None:
         done = F.when(blank, F.col("parts")).otherwise(F.transform("parts", lambda x: mock(x)))
         return cut.select("doc_id", F.array_join(done, "\n\n").alias("translated_text"), F.size("parts").alias("chunk_count"), F.array().cast("array<string>").alias("warnings"))
-    rows = cut.select("doc_id", blank.alias("blank"), F.posexplode("parts").alias("ord", "chunk")).withColumn("key", F.sha2("chunk", 256))
+    # No array is empty.  The inner form would have its size and nullness asked below, by cutting each text thrice.
+    rows = cut.select("doc_id", blank.alias("blank"), F.posexplode_outer("parts").alias("ord", "chunk")).withColumn("key", F.sha2("chunk", 256))
     once = rows.where(~F.col("blank")).groupBy("key").agg(F.min("chunk").alias("chunk"))
     lanes = texts.sparkSession.sparkContext.defaultParallelism if backend.rate else 1
     if backend.rate:
@@ -198,16 +200,17 @@ def translate_texts(texts: DataFrame, backend: Backend | None = None, source: st
     else:
         once = once.withColumn("lane", F.lit(None).cast("int"))
     translated = once.mapInArrow(_edge(backend, source, target, lanes), "key string, translated string, error string")
-    back = rows.join(translated, "key", "left")
-    text = F.coalesce("translated", "chunk")
-    warning = F.when(F.col("error").isNotNull(), F.concat(F.lit("Chunk "), (F.col("ord") + 1).cast("string"), F.lit(" translation failed: "), F.col("error")))
-    parts = F.array_sort(F.collect_list(F.struct("ord", text.alias("t"), warning.alias("w"))))
-    joined = back.groupBy("doc_id").agg(parts.alias("p"))
-    return joined.select(
-        "doc_id",
-        F.array_join(F.transform("p", lambda x: x["t"]), "\n\n").alias("translated_text"),
-        F.size("p").alias("chunk_count"),
-        F.filter(F.transform("p", lambda x: x["w"]), lambda w: w.isNotNull()).alias("warnings"),
+    # The edge gives every chunk back, a failed one as it was: only blank texts travel with their rows.
+    light = rows.select("doc_id", "ord", "key", F.when(F.col("blank"), F.col("chunk")).alias("kept"))
+    back = light.join(translated, "key", "left")
+    place = F.col("ord")
+    warning = F.concat(F.lit("Chunk "), (place + 1).cast("string"), F.lit(" translation failed: "), F.col("error"))
+    listed = lambda value, given: F.transform(F.array_sort(F.collect_list(F.when(given, F.struct(place.alias("ord"), value.alias("x"))))), lambda r: r["x"])
+    # Three aggregates, so that what a query does not ask for is not collected.
+    return back.groupBy("doc_id").agg(
+        F.array_join(listed(F.coalesce("translated", "kept"), place.isNotNull()), "\n\n").alias("translated_text"),
+        F.count(F.lit(1)).cast("int").alias("chunk_count"),
+        listed(warning, F.col("error").isNotNull()).alias("warnings"),
     )
 
 

@@ -146,3 +146,11 @@ def test_sizes_do_not_wrap_the_text(spark):
     df = spark.createDataFrame([("a b", 9.0)], "t string, h double").select(S.fit_block_size(F.col("t"), F.lit(60.0), F.col("h"), 12.0).alias("s"))
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") <= 2  # paragraphs, words: once for all sizes
+
+
+def test_sentences_end_where_one_pattern_would_end_them(spark):
+    rng = random.Random(8)
+    texts = ["", " ", "a", ".", " . ", "a.  ", "a. .b", "  a!? b"] + ["".join(rng.choice("ab .!?\u0964\u00a0\n\u3000") for _ in range(rng.randrange(60))) for _ in range(400)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", S.sentences(F.col("t")).alias("s")).collect()
+    spaces, ends = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000", "\u0964\u0965.!?"
+    assert all(r.s == re.findall(rf"[^{ends}]*[{ends}]+[{spaces}]*|[^{ends}]+\Z", r.t) for r in got)

@@ -71,3 +71,13 @@ def test_usage_files(spark):
     rows = files.usage_of_json(spark.createDataFrame([(text,), ("broken {",)], "json string"))
     assert [(r.service, r.month, r.characters) for r in rows.collect()] == [("gcp", "2024-01", 7)]
     assert '"characters":7' in files.usage_json(rows).first().json
+
+
+def test_texts_are_cut_once_and_only_what_is_asked_for_is_collected(spark):
+    long = "a. " * 900 + "b"
+    given = spark.createDataFrame([(1, long), (2, " "), (3, None), (4, "short")], "doc_id long, source_text string")
+    done = T.translate_texts(given, T.Backend("odd", lambda t, a, b: None if t == "short" else t.upper()))
+    got = {r.doc_id: (r.translated_text.replace("\n\n", ""), r.chunk_count, r.warnings) for r in done.collect()}
+    assert got == {1: (long.upper(), 2, []), 2: (" ", 1, []), 3: ("", 1, []), 4: ("short", 1, [])}
+    plan = T.characters_sent(given, done)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_join" not in plan and "size(parts" not in plan and "size(CASE" not in plan
