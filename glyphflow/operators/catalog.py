@@ -57,8 +57,18 @@ def shared_keys(encoding: str) -> list[str]:
 
 
 def holds_any(text: Column, keys: list[str]) -> Column:
-    """Whether a text has one of the keys."""
-    return text.rlike("|".join("".join(f"\\x{{{ord(c):x}}}" for c in k) for k in keys)) if keys else F.lit(False)
+    """Whether a text has one of the keys.
+
+    A place is looked at only if it may be a key's beginning: printable ASCII by one range where no key begins so, else
+    by the class of all first characters.  Keys of one character are a class and not tried one after another.
+    """
+    if not keys:
+        return F.lit(False)
+    written = lambda k: "".join(f"\\x{{{ord(c):x}}}" for c in k)
+    firsts = sorted({k[0] for k in keys})
+    singles, longer = [k for k in keys if len(k) == 1], [k for k in keys if len(k) > 1]
+    guard = "(?![ -~])" if not any(" " <= c <= "~" for c in firsts) else f"(?=[{''.join(map(written, firsts))}])"
+    return text.rlike(f"{guard}(?:{'|'.join([f'[{written(singles)}]'] * bool(singles) + [written(k) for k in longer])})")
 
 
 def key_of(encoding: str, number: Column) -> Column:
