@@ -17,6 +17,8 @@ from .text import DEVANAGARI, characters, once, where
 
 #: What may stay as it is besides Devanagari: printable ASCII and line ends.
 PASSED = r"\x20-\x7e\t\n\r"
+#: Most characters of most texts, all of them passed.
+PLAIN = r"\x20-\x7e\x{900}-\x{97f}"
 UNKNOWN = "\ufffd"
 #: First of the characters (private use, plane 15) that stand for longer values meanwhile.
 PLACEHOLDERS = 0xF0000
@@ -61,7 +63,8 @@ def replace_sequences(text: Column, encoding: str) -> Column:
 
 def unmapped(text: Column, encoding: str) -> Column:
     """The distinct characters that no rule covers, sorted, of a text whose sequences have been replaced."""
-    return F.sort_array(F.array_distinct(characters(F.regexp_replace(text, f"[{_covered(encoding)}]+", ""))))
+    left = F.regexp_replace(text, f"[{PLAIN}]+", "")  # what most characters are, by two ranges and not by all of them
+    return F.sort_array(F.array_distinct(characters(F.regexp_replace(left, f"[{_covered(encoding)}]+", ""))))
 
 
 def _lengthened(text: Column, longer: dict[str, str]) -> Column:
@@ -91,7 +94,7 @@ def replace_characters(text: Column, encoding: str, preserve_unknown: bool = Tru
     odd = [k for k, v in longer.items() if set(v[1:]) & {*singles, "$", "\\"}]
     placeholder = {k: chr(PLACEHOLDERS + i) for i, k in enumerate(odd)}
     if not preserve_unknown:
-        text = F.regexp_replace(text, f"[^{_covered(encoding)}]", UNKNOWN)
+        text = F.regexp_replace(text, f"(?![{PLAIN}])[^{_covered(encoding)}]", UNKNOWN)
     out = _lengthened(text, {k: v for k, v in longer.items() if k not in placeholder})
     kept = [k for k, v in singles.items() if v] + [k for k, v in singles.items() if not v]  # translate drops the last ones
     out = F.translate(out, "".join(kept), "".join(placeholder.get(k, singles[k][:1]) for k in kept))
@@ -126,5 +129,5 @@ def applied(text: Column, encoding: str, preserve_unknown: bool = True) -> Colum
 
 def conversion_rate(original: Column, n_unmapped: Column) -> Column:
     """The share of distinct characters that were mapped; 1 for empty text."""
-    distinct = F.size(F.array_distinct(characters(original)))
-    return F.when(F.length(original) > 0, (distinct - n_unmapped).cast("double") / F.nullif(distinct, F.lit(0))).otherwise(1.0)
+    of = lambda n: F.when(n > 0, (n - n_unmapped).cast("double") / n)
+    return F.when(F.length(original) > 0, once(F.size(F.array_distinct(characters(original))), of)).otherwise(1.0)

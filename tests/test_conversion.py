@@ -104,3 +104,25 @@ def test_placeholders_in_a_text(spark):
     got = one(spark, text, lambda c: C.convert(c, "kruti-dev"))
     assert got.converted == "\U000f0000 भारत \U000f0001" and got.unmapped == ["\U000f0000", "\U000f0001"]
     assert one(spark, "क\u00e9\u0958", lambda c: C.convert(c, "kruti-dev", preserve_unknown=False)).converted == "क\ufffd\u0915\u093c"
+
+
+def test_patterns_pass_over_what_most_characters_are(spark):
+    """Plain characters go by ranges first; results are those of the one class of all covered characters."""
+    from pyspark.sql import functions as F
+
+    from glyphflow.data.encodings import PARTS
+    from glyphflow.functions import conversion
+    from glyphflow.functions.text import characters
+    from glyphflow.operators import catalog
+
+    odd = "".join(map(chr, [9, 10, 13, 127, 160, 169, 0x0915, 0x093C, 0x0902, 0x2022, 0xA8E0, 0x1CD0, 0x20AC, 0xFFFD, 0x1F600]))
+    texts = [odd, "plain text", "", *(k for e in PARTS for k in catalog.shared_keys(e))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").cache()
+    t = F.col("t")
+    for e in PARTS:
+        covered, keys = conversion._covered(e), catalog.shared_keys(e)
+        missed = F.sort_array(F.array_distinct(characters(F.regexp_replace(t, f"[{covered}]+", ""))))
+        held = df.select("t", conversion.unmapped(t, e) == missed, catalog.holds_any(t, keys).alias("held")).collect()
+        assert all(r[1] and r.held == any(k in r.t for k in keys) for r in held)
+    plan = df.select(conversion.conversion_rate(t, F.lit(0)).alias("r"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_distinct") == 1  # it was computed for each of its uses
