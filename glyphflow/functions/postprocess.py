@@ -39,9 +39,14 @@ def _replace_all(text: Column, pairs: list[tuple[str, str]]) -> Column:
 def common(text: Column) -> Column:
     """Vowel signs merged, nukta before them, nasal signs and visarga after them, no space before a mark."""
     text = _replace_all(text, VOWEL_PAIRS)
-    text = F.regexp_replace(text, "([\u0915-\u0939\u0958-\u095f])([\u093e-\u094c\u0962\u0963])(\u093c)", "$1$3$2")
+    text = where(text, lambda t: F.contains(t, F.lit("\u093c")), lambda t: F.regexp_replace(t, "([\u0915-\u0939\u0958-\u095f])([\u093e-\u094c\u0962\u0963])(\u093c)", "$1$3$2"))
     text = F.regexp_replace(text, "([\u0901-\u0903])([\u093e-\u094c]+)", "$2$1")
-    return F.regexp_replace(text, rf"{NO_SPACE}[{SPACES}]+([\u094d\u093e-\u094c\u0901\u0902])", "$1")
+    return _unspaced(text, "[\u094d\u093e-\u094c\u0901\u0902]")
+
+
+def _unspaced(text: Column, marks: str) -> Column:
+    """No white space before a mark: looked for only in texts that have some there."""
+    return where(text, lambda t: t.rlike(f"{NO_SPACE}[{SPACES}]{marks}"), lambda t: F.regexp_replace(t, rf"{NO_SPACE}[{SPACES}]+({marks})", "$1"))
 
 
 def _signs_i(text: Column) -> Column:
@@ -67,7 +72,7 @@ def shree_dev(text: Column) -> Column:
     pairs = [SHREE_DEV_STAND_IN, *SHREE_DEV_PAIRS]
     text = where(text, lambda t: t.rlike(f"[{''.join(sorted(signs))}]{{2}}|{SHREE_DEV_STAND_IN[0]}"), lambda t: _replace_all(t, pairs))
     text = F.regexp_replace(text, f"([\u0901-\u0903\u0970]+)([{SHREE_DEV_SIGN}]+)", "$2$1")
-    return F.regexp_replace(text, f"{NO_SPACE}[{SPACES}]+([\u093d\u094d\u093e\u0940-\u0943\u0947\u0948\u094b\u094c\u0901\u0902])", "$1")
+    return _unspaced(text, "[\u093d\u094d\u093e\u0940-\u0943\u0947\u0948\u094b\u094c\u0901\u0902]")
 
 
 #: Encoding to processor; every other encoding has the common one.
