@@ -132,7 +132,8 @@ def session_states(s, d):
             part = events.where((F.lit(True) if low is None else F.col("ts") >= F.lit(low)) & (F.lit(True) if high is None else F.col("ts") < F.lit(high)))
             part.write.mode("append").parquet(f"{at}/in")
         s.range(1).select(F.lit(-1).cast("long").alias("session_id"), F.to_timestamp(F.lit("2200-01-01 00:00:00")).alias("ts"), F.lit(-1).cast("long").alias("seq"), F.lit("get").alias("kind"), F.lit(None).cast("string").alias("result")).write.mode("append").parquet(f"{at}/in")
-        read = s.readStream.schema(events.schema).option("maxFilesPerTrigger", 64).parquet(f"{at}/in")
+        files = max(64, events.rdd.getNumPartitions())  # a part has no more, so batches stay few however large the parts are
+        read = s.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(f"{at}/in")
         stream = session_state.session_states(read, TTL, "20 days")
         stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
         return s.read.schema(session_state.TOLD).parquet(f"{at}/out").checkpoint()

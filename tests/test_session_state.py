@@ -1,5 +1,6 @@
 import random
 from datetime import datetime, timedelta, timezone
+from functools import partial
 
 import pytest
 
@@ -112,3 +113,31 @@ def test_steps():
     assert (status, gone, s.result, s.end(ttl)) == (200, None, "x", 50)
     assert S.step(s, 51, "get", None, ttl) == (None, 404, 50)
     assert S.step(S.Session(0), 10, "get", None, ttl)[1] == 200 and S.step(S.Session(0), 11, "get", None, ttl) == (None, 404, 10)
+
+
+def test_sessions_that_share_a_bucket(spark, monkeypatch):
+    """Without an id, without a number, without a kind or result, with ids and results that a double does not hold."""
+    large = (1 << 62) + 1
+    rows = [(large + k if k else None, ts, (1 << 61) + seq, kind if seq % 9 else None, result if seq % 5 else None) for k, ts, seq, kind, result in operations(240, 11)]
+    rows += [(k, START + timedelta(hours=1, microseconds=7 * i + 3), None, kind, "u") for i, (k, kind) in enumerate([(None, "create"), (large + 1, "create"), (None, "start"), (None, "set_result"), (large + 1, "delete")])]
+    expected = brute([r if r[2] else (*r[:2], 1 << 62, *r[3:]) for r in rows], 3600 * 1_000_000)
+    expected = sorted(((*r[:2], None if r[2] == 1 << 62 else r[2], *r[3:]) for r in expected), key=str)
+    rows.sort(key=lambda r: r[1])
+    monkeypatch.setattr(S, "session_states", partial(S.session_states, buckets=2))
+    assert streamed(spark, [rows[:90], rows[90:100], rows[100:]], 3600) == expected
+
+
+def test_states_are_of_buckets(spark):
+    """There are no more timers than buckets, whatever the number of sessions."""
+    n = 9000
+    with scratch(spark, "test") as at, S.rocks(spark):
+        made = spark.range(n).selectExpr("id AS session_id", "timestamp_seconds(1704067200 + id) AS ts", "id AS seq", "'create' AS kind", "'r' AS result")
+        made.coalesce(1).write.parquet(f"{at}/in/0")
+        spark.createDataFrame([FAR], SCHEMA).coalesce(1).write.parquet(f"{at}/in/1")
+        read = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{at}/in/*")
+        query = S.session_states(read, 60, "12 hours").writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/c").trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert max(dict(p.stateOperators[0].customMetrics)["numRegisteredTimers"] for p in query.recentProgress) <= 4096
+        told = spark.read.parquet(f"{at}/out")
+        assert told.where("kind = 'create' AND status = 200 AND at = (1704067200 + session_id) * 1000000").count() == n
+        assert told.where("kind = 'expire' AND status = 410 AND at = (1704067260 + session_id) * 1000000").count() == n and told.count() == 2 * n
